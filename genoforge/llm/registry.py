@@ -1,11 +1,15 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, jaccard_join, language, mixing, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op8_packing": packing.op8_packing,
+    "op9_language": language.op9_language,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.SQL}
