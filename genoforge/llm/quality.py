@@ -145,5 +145,19 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents, with all their columns, whose score is 0.5 or more; texts stay where they are."""
+    known = labels.select("doc_id").distinct()
+    model = fitted(measured(documents.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        if not len(texts) or model is None:
+            return pd.Series(np.ones(len(texts), bool))
+        return pd.Series(model.score(np.array([statistics(t) for t in texts])) >= 0.5)
+
+    return documents.where(good("text"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
