@@ -1,12 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, jaccard_join, language, licenses, mixing, packing, quality, substring_dedup
+from . import exact_dedup, html_extract, jaccard_join, language, licenses, media, mixing, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality": quality.op2_quality,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_html_extract": html_extract.op5_html_extract,
+    "op6_media_copies": media.op6_media_copies,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_packing": packing.op8_packing,
     "op9_language": language.op9_language,
