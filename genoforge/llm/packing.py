@@ -9,6 +9,7 @@ they need the totals by source and where their own share of each queue starts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,36 +27,58 @@ QUANTUM = 64
 END = 1
 #: Queues; of more sources, the smallest share the last queue.
 MAX_QUEUES = 1024
-CACHED_WORDS = 400_000
+CACHED_PIECES = 500_000
 
 TOKENISED = "part int, doc_id long, source string, ids binary, n long, local_start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Texts of these characters only (Latin, without what is neither letter, number, sign nor plain blank) are cut here.
+_PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u012f\u0131-\u017f]*")
+_LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+
+
 class WordIds(dict):
-    """Ids of a text by its blank-separated words, as little-endian uint32 bytes.
+    """Ids of a text by the pieces that the tokenizer cuts it into, as little-endian uint32 bytes.
 
-    The tokenizer splits at white space before anything else, so words can be encoded one by one and
-    remembered. The memory is bounded: a full one starts anew.
+    Pieces are encoded on their own, so the ids of those seen are remembered; new ones of a text are encoded
+    together, and each ends with a token that closes a word. The memory is bounded: a full one starts anew.
+    Texts with other characters or with the tokenizer's own marks are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, pieces: list[str]) -> None:
+        ids = self.ids(" ".join(pieces))
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer cuts these texts in another way")
+        raw, at = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends.tolist()):
+            self[piece] = raw[at:end]
+            at = end
 
     def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        ids = b"".join(map(self.__getitem__, words))
-        if len(self) > CACHED_WORDS:
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self.ids(text).tobytes()
+        pieces = _PIECE.findall(text.lower())
+        new = [p for p in set(pieces) if p not in self]
+        if new:
+            self.learn(new)
+        out = b"".join(map(self.__getitem__, pieces))
+        if len(self) > CACHED_PIECES:
             self.clear()
-        return ids
+        return out
 
 
 def tokenised(documents: DataFrame, path: str) -> DataFrame:
