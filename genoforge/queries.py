@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import association as A
+from .operators import family as Y
 from .operators import summaries as S
 from .plans.mask import mask
 from .plans.study import Study
@@ -92,3 +94,46 @@ MASKS = {
 }
 for _name, (_terms, _where) in MASKS.items():
     query(f"mask_{_name}", lambda s, terms=_terms: mask(s, terms).variants.select("var_id", "chr", "bp1"), f"SELECT var_id, chr, bp1 FROM vc v WHERE {_where}")
+
+_FISHER = """(SELECT list_sum(list_filter(q, lambda x: x <= p0*(1+1e-7))) FROM (SELECT list_transform(range(greatest(0,({a}+{b})+({a}+{c})-({a}+{b}+{c}+{d})), least({a}+{b},{a}+{c})+1),
+ lambda k: exp(lgamma({a}+{b}+1)+lgamma({c}+{d}+1)+lgamma({a}+{c}+1)+lgamma({b}+{d}+1)-lgamma({a}+{b}+{c}+{d}+1)-lgamma(k+1)-lgamma({a}+{b}-k+1)-lgamma({a}+{c}-k+1)-lgamma({d}-{a}+k+1))) AS q,
+ exp(lgamma({a}+{b}+1)+lgamma({c}+{d}+1)+lgamma({a}+{c}+1)+lgamma({b}+{d}+1)-lgamma({a}+{b}+{c}+{d}+1)-lgamma({a}+1)-lgamma({b}+1)-lgamma({c}+1)-lgamma({d}+1)) AS p0) z)"""
+_CHI2 = "CASE WHEN CAST({a}+{b} AS DOUBLE)*({c}+{d})*({a}+{c})*({b}+{d})<=1e-10 THEN 0 ELSE ({a}+{b}+{c}+{d})*pow(CAST({a} AS DOUBLE)*({d})-CAST({b} AS DOUBLE)*({c}),2)/(CAST({a}+{b} AS DOUBLE)*({c}+{d})*({a}+{c})*({b}+{d})) END"
+_OR = "CASE WHEN {a}=0 OR {b}=0 OR {c}=0 OR {d}=0 THEN ({a}+0.5)*({d}+0.5)/(({b}+0.5)*({c}+0.5)) ELSE CAST({a} AS DOUBLE)*({d})/(CAST({b} AS DOUBLE)*({c})) END"
+_CELLS = {"": ("a_ac", "(a_tot-a_ac)", "u_ac", "(u_tot-u_ac)"), "dom": ("(a_het+a_hom)", "a_rr", "(u_het+u_hom)", "u_rr"), "rec": ("a_hom", "(a_rr+a_het)", "u_hom", "(u_rr+u_het)")}
+query("v_assoc", A.v_assoc, "SELECT var_id, round(maf,6) AS maf, a_rr AS refa, a_het AS heta, a_hom AS homa, u_rr AS refu, u_het AS hetu, u_hom AS homu, " + ", ".join(
+    f"round({t.format(**dict(zip('abcd', cells)))},6) AS {n}{tag}" for tag, cells in _CELLS.items() for n, t in (("chi2", _CHI2), ("p", "least(1.0," + _FISHER + ")"), ("or", _OR))) + " FROM vc")
+query("glm_linear", A.glm_linear, """SELECT var_id, CAST(n AS BIGINT) AS n, round(beta,6) AS beta, round(se,6) AS se, round(beta/se,6) AS stat FROM (
+ SELECT *, sqrt((cyy-beta*cxy)/(n-2)/cxx) AS se FROM (SELECT *, cxy/cxx AS beta FROM (SELECT var_id, n, sxx-sx*sx/n AS cxx, sxy-sx*sy/n AS cxy, syy-sy*sy/n AS cyy FROM (
+ SELECT var_id, tn-ln AS n, sx, sxx, sxy, ty-ly AS sy, tyy-lyy AS syy FROM (SELECT var_id, CAST(coalesce(sum(ac),0) AS DOUBLE) AS sx, CAST(coalesce(sum(ac*ac),0) AS DOUBLE) AS sxx, coalesce(sum(ac*qt),0) AS sxy,
+ count(*) FILTER (ac IS NULL) AS ln, coalesce(sum(qt) FILTER (ac IS NULL),0) AS ly, coalesce(sum(qt*qt) FILTER (ac IS NULL),0) AS lyy FROM g_geno JOIN g_indiv USING (indiv_id) WHERE qt IS NOT NULL GROUP BY 1) a
+ CROSS JOIN (SELECT CAST(count(qt) AS DOUBLE) AS tn, sum(qt) AS ty, sum(qt*qt) AS tyy FROM g_indiv) b) c) d WHERE cxx>1e-9 AND n>2) e) f""")
+query("glm_logistic", lambda s: A.glm(s))
+query("gene_tests", A.gene_tests, """, car AS (SELECT loc_id, g.var_id, indiv_id, ac, aff FROM vl JOIN g_geno g ON vl.var_id=g.var_id JOIN g_indiv USING (indiv_id) WHERE ac>0),
+ ea AS (SELECT loc_id, var_id, CAST(sum(ac) AS DOUBLE) AS k, CAST(sum(CASE WHEN aff=2 THEN ac ELSE 0 END) AS DOUBLE) AS ka, count(*) FILTER (aff=2) AS ca, count(*) FILTER (aff<>2) AS cu, any_value(CAST(na AS DOUBLE)/n.n) AS sh, any_value(n.n) AS nn, any_value(na) AS na, any_value(nu) AS nu FROM car CROSS JOIN n GROUP BY 1,2),
+ bv AS (SELECT loc_id, count(*) AS nvar, sum(CHI2) AS sumstat, count(*) FILTER (ca>0 AND cu=0) AS uniq_a, count(*) FILTER (cu>0 AND ca=0) AS uniq_u, sum((ka-sh*k)/sqrt((1+k)/(2+nn)*(1-(1+k)/(2+nn)))) AS frqwgt,
+ sum(pow(ka-k*sh,2)-k*sh*(1-sh)) AS t, sum(k*sh*(1-sh)*(1+(2*k-6)*sh*(1-sh))-pow(k*sh*(1-sh),2)) AS v FROM ea GROUP BY 1),
+ st AS (SELECT loc_id, k, sum(ka) AS ka, sum(k) AS s, sum(k*k) AS s2, any_value(sh) AS sh FROM ea GROUP BY 1,2),
+ vt AS (SELECT loc_id, max(z) AS vt FROM (SELECT loc_id, (sum(ka) OVER w - sh*sum(s) OVER w)/sqrt(sum(s2) OVER w) AS z FROM st WINDOW w AS (PARTITION BY loc_id ORDER BY k)) q GROUP BY 1),
+ pe AS (SELECT loc_id, indiv_id, aff, CAST(sum(ac) AS DOUBLE) AS b, count(*) AS hits FROM car GROUP BY 1,2,3),
+ bu AS (SELECT loc_id, sum(CASE WHEN aff=2 THEN b ELSE 0 END)/na AS ma, sum(CASE WHEN aff<>2 THEN b ELSE 0 END)/nu AS mu, sum(CASE WHEN aff=2 THEN b*b ELSE 0 END)/na AS qa, sum(CASE WHEN aff<>2 THEN b*b ELSE 0 END)/nu AS qu, na, nu,
+ count(*) FILTER (aff=2 AND hits>1)-count(*) FILTER (aff<>2 AND hits>1) AS mhit FROM pe CROSS JOIN n GROUP BY loc_id, na, nu)
+ SELECT bv.loc_id, nvar, round(sumstat,6) AS sumstat, round(CASE WHEN ma>mu THEN (ma-mu)/sqrt((qa-ma*ma)/na+(qu-mu*mu)/nu) ELSE 0 END,6) AS burden, uniq_a, uniq_u, mhit, round(frqwgt,6) AS frqwgt, round(vt,6) AS vt,
+ round(CASE WHEN v>0 THEN t/sqrt(v) END,6) AS calpha FROM bv JOIN bu USING (loc_id) JOIN vt USING (loc_id)""".replace(", car AS", "SELECT * FROM (WITH car AS", 1).replace("CHI2", _CHI2.format(a="ca", b="(na-ca)", c="cu", d="(nu-cu)")) + ")")
+query("gene_permuted", A.permuted)
+query("skat", A.skat)
+query("concordance", Y.concordance, """SELECT indiv_id, count(*) AS n, count(*) FILTER (g1<>g2) AS disc, count(*) FILTER (g1=0 AND g2>0) AS ref_alt, count(*) FILTER (g1>0 AND g2>0 AND g1<>g2) AS alt_alt, round(1-count(*) FILTER (g1<>g2)/CAST(count(*) AS DOUBLE),6) AS rate
+ FROM (SELECT a.indiv_id, a.ac AS g1, b.ac AS g2 FROM g_calls a JOIN g_calls b ON a.var_id=b.var_id AND a.indiv_id=b.indiv_id WHERE a.file_id=1 AND b.file_id=2 AND NOT a.is_null AND NOT b.is_null) x GROUP BY 1""")
+query("denovo", Y.denovo, """SELECT child, count(*) FILTER (lost) AS missing, count(*) FILTER (NOT lost AND one AND c=0) AS trans_ref_from_het, count(*) FILTER (NOT lost AND one AND c=1) AS trans_alt_from_het,
+ count(*) FILTER (NOT lost AND (c<lo OR c>hi)) AS non_mendelian, count(*) FILTER (NOT lost AND c=1) AS child_het, count(*) FILTER (NOT lost AND p=0 AND m=0 AND c=1) AS potential_denovo FROM (
+ SELECT *, (c<0 OR p<0 OR m<0) AS lost, ((p=1 AND m=0) OR (m=1 AND p=0)) AS one, CAST(p=2 AS INT)+CAST(m=2 AS INT) AS lo, CAST(p>0 AS INT)+CAST(m>0 AS INT) AS hi FROM (
+ SELECT child, var_id, coalesce(max(ac) FILTER (who='c'),0) AS c, coalesce(max(ac) FILTER (who='p'),0) AS p, coalesce(max(ac) FILTER (who='m'),0) AS m FROM (
+ SELECT t.indiv_id AS child, g.var_id, w.who, coalesce(g.ac,-1) AS ac FROM g_indiv t CROSS JOIN (VALUES ('c'),('p'),('m')) w(who) JOIN g_geno g ON g.indiv_id=CASE w.who WHEN 'c' THEN t.indiv_id WHEN 'p' THEN t.pat ELSE t.mat END
+ WHERE t.pat IN (SELECT indiv_id FROM g_indiv) AND t.mat IN (SELECT indiv_id FROM g_indiv)) a GROUP BY 1,2) b) d GROUP BY 1""")
+query("ibs", Y.ibs, """, g AS (SELECT g.* FROM g_geno g JOIN vc USING (var_id) WHERE NOT flip), lo AS (SELECT indiv_id, count(*) AS k FROM g WHERE ac IS NULL GROUP BY 1),
+ bo AS (SELECT x.indiv_id AS i, y.indiv_id AS j, count(*) AS kk FROM g x JOIN g y ON x.var_id=y.var_id AND x.indiv_id<y.indiv_id WHERE x.ac IS NULL AND y.ac IS NULL GROUP BY 1,2)
+ SELECT id1, id2, ibs, (SELECT count(*) FROM vc WHERE NOT flip)-coalesce(a.k,0)-coalesce(b.k,0)+coalesce(kk,0) AS obs FROM (SELECT x.indiv_id AS id1, y.indiv_id AS id2, count(*) AS ibs FROM g x JOIN g y ON x.var_id=y.var_id AND x.indiv_id<y.indiv_id
+ WHERE x.ac>0 AND y.ac>0 GROUP BY 1,2) s LEFT JOIN lo a ON a.indiv_id=id1 LEFT JOIN lo b ON b.indiv_id=id2 LEFT JOIN bo ON i=id1 AND j=id2""".replace(", g AS", "SELECT * FROM (WITH g AS", 1) + ")")
+query("proximity", Y.proximity, """, p AS (SELECT lag(var_id) OVER w AS before, var_id, bp1-lag(bp1) OVER w AS dist FROM g_variants WINDOW w AS (PARTITION BY chr ORDER BY bp1, var_id)), q AS (SELECT * FROM p WHERE dist<=40),
+ k AS (SELECT var_id AS pair, indiv_id, count(*) AS k FROM (SELECT q.var_id, g.indiv_id FROM q JOIN g_geno g ON g.var_id IN (q.before, q.var_id) WHERE g.ac>0) x GROUP BY 1,2)
+ SELECT before, var_id, dist, coalesce(b.both,0) AS both, coalesce(b.either,0) AS either FROM q LEFT JOIN (SELECT pair, count(*) FILTER (k=2) AS both, count(*) AS either FROM k GROUP BY 1) b ON pair=var_id""".replace(", p AS", "SELECT * FROM (WITH p AS", 1) + ")")
