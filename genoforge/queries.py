@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import association as A
 from .operators import family as Y
+from .operators import loci as L
 from .operators import summaries as S
 from .plans.mask import mask
 from .plans.study import Study
@@ -137,3 +138,29 @@ query("ibs", Y.ibs, """, g AS (SELECT g.* FROM g_geno g JOIN vc USING (var_id) W
 query("proximity", Y.proximity, """, p AS (SELECT lag(var_id) OVER w AS before, var_id, bp1-lag(bp1) OVER w AS dist FROM g_variants WINDOW w AS (PARTITION BY chr ORDER BY bp1, var_id)), q AS (SELECT * FROM p WHERE dist<=40),
  k AS (SELECT var_id AS pair, indiv_id, count(*) AS k FROM (SELECT q.var_id, g.indiv_id FROM q JOIN g_geno g ON g.var_id IN (q.before, q.var_id) WHERE g.ac>0) x GROUP BY 1,2)
  SELECT before, var_id, dist, coalesce(b.both,0) AS both, coalesce(b.either,0) AS either FROM q LEFT JOIN (SELECT pair, count(*) FILTER (k=2) AS both, count(*) AS either FROM k GROUP BY 1) b ON pair=var_id""".replace(", p AS", "SELECT * FROM (WITH p AS", 1) + ")")
+query("loc_intersect", L.loc_intersect, "SELECT a.loc_id, count(DISTINCT b.altname) AS n, array_to_string(list_sort(list(DISTINCT b.altname)),'|') AS genes FROM g_loci a JOIN g_loci b ON a.chr=b.chr AND a.bp1<=b.bp2 AND a.bp2>=b.bp1 WHERE a.group_id=0 AND b.group_id<>0 GROUP BY 1")
+query("loc_overlap", L.loc_overlap, "SELECT a.loc_id AS loc_a, b.loc_id AS loc_b, least(a.bp2,b.bp2)-greatest(a.bp1,b.bp1)+1 AS intersection, greatest(a.bp2,b.bp2)-least(a.bp1,b.bp1)+1 AS joint FROM g_loci a JOIN g_loci b ON a.chr=b.chr AND a.bp1<=b.bp2 AND a.bp2>=b.bp1 WHERE a.group_id=0 AND b.group_id=1")
+query("loc_merge", L.loc_merge, "SELECT group_id, altname, chr, min(bp1) AS bp1, max(bp2) AS bp2, count(*) AS parts FROM g_loci GROUP BY 1,2,3")
+query("loc_flatten", L.loc_flatten, """SELECT chr, min(bp1) AS bp1, max(bp2) AS bp2, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY chr ORDER BY bp1, bp2, loc_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+ SELECT *, CASE WHEN max(bp2) OVER (PARTITION BY chr ORDER BY bp1, bp2, loc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= bp1-1 THEN 0 ELSE 1 END AS fresh FROM g_loci) a) b GROUP BY chr, island""")
+query("loc_subtract", L.loc_subtract, """SELECT chr, min(p) AS bp1, max(p) AS bp2 FROM (SELECT chr, p, p-row_number() OVER (PARTITION BY chr ORDER BY p) AS run FROM (
+ SELECT DISTINCT chr, unnest(range(bp1,bp2+1)) AS p FROM g_loci WHERE group_id=0 EXCEPT SELECT DISTINCT chr, unnest(range(bp1,bp2+1)) AS p FROM g_loci WHERE group_id=1) a) b GROUP BY chr, run""")
+query("intersect", L.intersect, "SELECT loc_id, altname FROM g_loci l WHERE EXISTS (SELECT 1 FROM g_variants v WHERE v.chr=l.chr AND v.bp1 BETWEEN l.bp1 AND l.bp2)")
+query("loc_summary", L.loc_summary, "SELECT group_id, count(*) AS n, CAST(sum(bp2-bp1+1) AS BIGINT) AS bases FROM g_loci GROUP BY 1")
+query("ref_summary", L.ref_summary, "SELECT grp, count(*) AS n FROM g_ref GROUP BY 1")
+query("var_summary", L.var_summary, "SELECT file_id, count(DISTINCT var_id) AS variants, count(DISTINCT indiv_id) AS people, count(*) AS calls FROM g_calls GROUP BY 1")
+query("ind_summary", L.ind_summary, "SELECT pheno, count(value) AS observed, count(DISTINCT value) AS values FROM g_pheno GROUP BY 1")
+query("i_view", L.i_view, "SELECT indiv_id, sex, pat, mat, CAST(aff AS DOUBLE) AS aff, round(qt,6) AS qt, CAST(strata AS DOUBLE) AS strata FROM g_indiv")
+query("g_matrix", L.g_matrix, "SELECT gene, indiv_id, CAST(sum(ac) AS BIGINT) AS ac FROM (SELECT DISTINCT altname AS gene, var_id FROM vl) v JOIN g_geno g USING (var_id) WHERE ac>0 GROUP BY 1,2")
+query("net_view", L.net_view, "SELECT DISTINCT a, b, 1 AS hops FROM g_edges WHERE score>=0")
+query("net_view_2", lambda s: L.net_view(s, 2), "SELECT a, b, min(hops) AS hops FROM (SELECT a, b, 1 AS hops FROM g_edges WHERE score>=0 UNION ALL SELECT x.a, y.b, 2 FROM g_edges x JOIN g_edges y ON x.b=y.a WHERE x.score>=0 AND y.score>=0 AND x.a<>y.b) q GROUP BY 1,2")
+query("net_assoc", L.net_assoc, """SELECT seed, count(*) FILTER (aff=2) AS cases, count(*) FILTER (aff=1) AS controls FROM (SELECT DISTINCT seed, indiv_id FROM (SELECT a AS seed, b AS loc_id FROM g_edges UNION SELECT a, a FROM g_edges) e
+ JOIN vl USING (loc_id) JOIN g_geno g ON vl.var_id=g.var_id WHERE ac>0) x JOIN g_indiv USING (indiv_id) GROUP BY 1""")
+query("seq_stats", L.seq_stats, "SELECT doc_id, length(seq) AS length, length(seq)-length(translate(seq,'GC','')) AS gc, length(seq)-length(translate(seq,'N','')) AS n, length(seq)-length(translate(seq,'ACGT','')) AS acgt, CAST((length(seq)-length(replace(seq,'CG','')))/2 AS BIGINT) AS cg FROM g_seq")
+query("kmers", L.kmers, "SELECT kmer, count(*) AS n FROM (SELECT substr(seq, CAST(i AS INT), 2) AS kmer FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM g_seq WHERE length(seq)>=2) a) b WHERE NOT regexp_matches(kmer,'[^ACGT]') GROUP BY 1")
+query("lookup", L.lookup, f"""SELECT var_id, 'alleles' AS key, concat(ref,'/',alt) AS value FROM g_variants UNION ALL SELECT var_id, 'titv', CASE WHEN {TI} THEN 'ti' ELSE 'tv' END FROM g_variants UNION ALL SELECT var_id, 'case_alt', CAST(a_ac AS VARCHAR) FROM vc
+ UNION ALL SELECT var_id, 'control_alt', CAST(u_ac AS VARCHAR) FROM vc UNION ALL (SELECT DISTINCT var_id, 'locus', altname FROM vl) UNION ALL (SELECT DISTINCT v.var_id, concat('ref_',grp), '1' FROM g_variants v JOIN g_ref r ON v.chr=r.chr AND v.bp1=r.bp1)""")
+query("indiv_enrich", L.indiv_enrich, """SELECT indiv_id, st AS set, obs, total, round(f,6) AS f, round((obs-f/(1-f)*(total-obs))/sqrt(f/(1-f)*total),6) AS z FROM (
+ SELECT h.indiv_id, s.superset_name AS st, count(*) AS obs FROM (SELECT DISTINCT indiv_id, loc_id FROM vl JOIN g_geno USING (var_id) WHERE ac>0) h JOIN g_sets s USING (loc_id) GROUP BY 1,2) a
+ JOIN (SELECT indiv_id, count(DISTINCT loc_id) AS total FROM vl JOIN g_geno USING (var_id) WHERE ac>0 GROUP BY 1) b USING (indiv_id)
+ JOIN (SELECT superset_name AS st, sum(bp2-bp1+1)/CAST((SELECT sum(bp2-bp1+1) FROM g_loci) AS DOUBLE) AS f FROM g_loci JOIN g_sets USING (loc_id) GROUP BY 1) c USING (st)""")
