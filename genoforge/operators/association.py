@@ -81,10 +81,12 @@ def glm(study: Study, covariates: tuple[str, ...] = ("sex",), logistic: bool = T
     names = ["y", *covariates]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        away = pdf.groupby(names)["w"].sum().reindex(pd.MultiIndex.from_frame(whole[names]), fill_value=0).to_numpy()
-        rest = whole.assign(ac=0, w=whole["w"].to_numpy() - away)
+        away = pdf.groupby(names, as_index=False)["w"].sum().rename(columns={"w": "away"})
+        rest = whole.merge(away, on=names, how="left").fillna({"away": 0})
+        rest = rest.assign(ac=0, w=(rest["w"] - rest["away"]).astype(int))[[*names, "ac", "w"]]
         rows = pd.concat([rest, pdf.loc[pdf["ac"] >= 0, [*names, "ac", "w"]]])
         rows = rows[rows["w"] > 0]
+        rows = rows.reset_index(drop=True)
         rows = rows.loc[rows.index.repeat(rows["w"])]
         x = np.column_stack([np.ones(len(rows)), rows["ac"], *[rows[c] for c in covariates]]).astype(float)
         found = regression(x, rows["y"].to_numpy(float), logistic) if rows["ac"].nunique() > 1 else None
