@@ -27,7 +27,7 @@ QUANTUM = 64
 END = 1
 #: Queues; of more sources, the smallest share the last queue.
 MAX_QUEUES = 1024
-CACHED_PIECES = 500_000
+CACHED = 800_000
 
 TOKENISED = "part int, doc_id long, source string, ids binary, n long, local_start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,21 +36,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Texts of these characters only (Latin, without what is neither letter, number, sign nor plain blank) are cut here.
 _PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u012f\u0131-\u017f]*")
 _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+_PIECE = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}{_NUMBER}]+")
 
 
-class WordIds(dict):
-    """Ids of a text by the pieces that the tokenizer cuts it into, as little-endian uint32 bytes.
+class WordIds:
+    """Ids of a text by blank-separated words and the pieces that the tokenizer cuts these into, as little-endian uint32 bytes.
 
-    Pieces are encoded on their own, so the ids of those seen are remembered; new ones of a text are encoded
-    together, and each ends with a token that closes a word. The memory is bounded: a full one starts anew.
-    Texts with other characters or with the tokenizer's own marks are encoded as they are.
+    Pieces are encoded on their own, so the ids of words and pieces seen are remembered; new pieces of a text
+    are encoded together, and each ends with a token that closes a word. The memory is bounded: a full one
+    starts anew. Texts with other characters or with the tokenizer's own marks are encoded as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)  # for pieces, which are lower-cased and composed already
+        self.bare.normalizer = normalizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -59,25 +63,30 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, pieces: list[str]) -> None:
-        ids = self.ids(" ".join(pieces))
+        ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
         if len(ends) != len(pieces):
             raise ValueError("the tokenizer cuts these texts in another way")
         raw, at = ids.tobytes(), 0
         for piece, end in zip(pieces, ends.tolist()):
-            self[piece] = raw[at:end]
+            self.pieces[piece] = raw[at:end]
             at = end
 
     def of(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return self.ids(text).tobytes()
-        pieces = _PIECE.findall(text.lower())
-        new = [p for p in set(pieces) if p not in self]
-        if new:
-            self.learn(new)
-        out = b"".join(map(self.__getitem__, pieces))
-        if len(self) > CACHED_PIECES:
-            self.clear()
+        words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if new := set(words).difference(self.words):
+            cut = [(w, _PIECE.findall(w)) for w in new]
+            if fresh := list({p for _, ps in cut for p in ps}.difference(self.pieces)):
+                self.learn(fresh)
+            for w, ps in cut:
+                self.words[w] = b"".join([self.pieces[p] for p in ps])
+        out = b"".join(map(self.words.__getitem__, words))
+        if len(self.words) > CACHED:
+            self.words = {"": b""}
+        if len(self.pieces) > CACHED:
+            self.pieces = {}
         return out
 
 
