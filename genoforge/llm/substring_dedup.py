@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import released, table, written
 
 WINDOW = 13
 GRAM = 5
@@ -94,7 +94,7 @@ def read(documents: DataFrame) -> DataFrame:
 
 
 def cut(shared: DataFrame) -> DataFrame:
-    """(row, doc_id, first, minimiser, packed, key) of the super-k-mers with one of the row's shared minimisers."""
+    """(row, doc_id, first, minimiser, packed) of the super-k-mers with one of the row's shared minimisers."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor()
@@ -104,11 +104,10 @@ def cut(shared: DataFrame) -> DataFrame:
                 words, wanted = open_.decompress(body).split(b" "), set(mins.tolist())
                 for m, at, k in super_kmers(words):
                     if m in wanted:
-                        packed = b" ".join(words[at : at + k + WINDOW - 1])
-                        out.append((row, doc_id, at, m, packed, xxhash.xxh3_128_digest(packed)))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "first", "minimiser", "packed", "key"])
+                        out.append((row, doc_id, at, m, b" ".join(words[at : at + k + WINDOW - 1])))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "first", "minimiser", "packed"])
 
-    return shared.mapInPandas(rows, "row long, doc_id long, first int, minimiser long, packed binary, key binary")
+    return shared.mapInPandas(rows, "row long, doc_id long, first int, minimiser long, packed binary")
 
 
 LOWS = "key binary, lows array<long>"
@@ -172,12 +171,12 @@ def repeats_removed(documents: DataFrame) -> DataFrame:
     grams = docs.where("doc_id is not null").select("row", F.explode("mins").alias("minimiser"))
     shared = grams.groupBy("minimiser").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("minimiser")
     wanted = grams.join(shared, "minimiser").groupBy("row").agg(F.collect_list("minimiser").alias("mins"))
-    touched = written(docs.select("row", "doc_id", "body").join(wanted, "row"), "touched")
-    pieces = written(cut(touched), "pieces")
-    strings = written(pieces.groupBy("minimiser", "key").agg(F.first("packed").alias("packed"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")
+    touched = released(written(docs.select("row", "doc_id", "body").join(wanted, "row"), "touched"))
+    pieces = written(cut(touched), "pieces").withColumn("key", F.unhex(F.md5("packed")))
+    strings = released(written(pieces.groupBy("minimiser", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")).withColumn("key", F.unhex(F.md5("packed")))
     buckets = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
-    sized = written(strings.join(buckets.select("minimiser", "strings"), "minimiser"), "sized")
-    lows = written(sorted_buckets(sized.where(F.col("strings") <= BUCKET)).union(dealt_windows(sized.where(F.col("strings") > BUCKET))), "lows")
+    sized = released(written(strings.join(buckets.select("minimiser", "strings"), "minimiser"), "sized"))
+    lows = released(written(sorted_buckets(sized.where(F.col("strings") <= BUCKET)).union(dealt_windows(sized.where(F.col("strings") > BUCKET))), "lows"))
     marks = pieces.select("row", "doc_id", "first", "key").join(lows, "key").where(F.exists("lows", lambda x: x < F.col("doc_id")))
     hits = marks.select("row", F.transform(F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("first"))), lambda x: x.isNotNull()), lambda x: x.cast("int")).alias("at"))
     found = hits.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))
