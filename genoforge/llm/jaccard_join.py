@@ -21,12 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, released, table, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Ratio of the sizes at a size class's ends.
 CLASS_RATIO = 1.5
+#: Turns in which signatures are matched.
+SLICES = 3
 
 
 class _WordHashes(dict):
@@ -74,7 +76,12 @@ def size_classes(num: int, den: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A hash of each part of the set, for its size class and, where larger partners may lie there, the next."""
+    """Hashes of the set's parts, for its size class and, where larger partners may lie there, the next.
+
+    There are `spare` parts more than the bound needs, so linked sets agree in more than `spare` parts. A set
+    leaves out its smallest parts, empty ones and those of a shingle or two that anything may share, as far as
+    all parts of that size are `spare` at most: equal parts have equal sizes, so one that both name remains.
+    """
     n, bounds, out = len(tokens), size_classes(num, den), []
     if not n:
         return np.zeros(0, np.uint64)
@@ -82,13 +89,16 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     for c in (own, own + 1):
         if c > own and num * bounds[c] > den * n:
             break
-        parts = most_apart(2 * (bounds[c + 1] - 1), num, den) + 1
-        if parts > 1:  # else only equal sets can be linked
+        bound = most_apart(2 * (bounds[c + 1] - 1), num, den)
+        if bound:  # else only equal sets can be linked
+            spare = 1 + bound // 7
+            parts = bound + 1 + spare
             part = (tokens % np.uint64(parts)).astype(np.int64)
             order, count = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(tokens[order] * _ODD), dtype=np.uint64)])
             ends = np.cumsum(count)
-            out.append(_mixed((sums[ends] - sums[ends - count]) * _ODD + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c)))
+            named = _mixed((sums[ends] - sums[ends - count]) * _ODD + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c))
+            out.append(named[count > np.searchsorted(np.cumsum(np.bincount(count)), spare, "right") - 1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -109,18 +119,31 @@ def shingled(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, sigs array<long>, body binary")
 
 
-def stars(sets: DataFrame) -> DataFrame:
-    """(rep, leader), rep <> leader: the leaders of all groups that a set (rep, sigs) meets others in."""
-    parts = sets.select("rep", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    members = written(parts.join(shared, "sig"), "members")
+def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, leader, crowd), rep <> leader: the leaders of all groups in which a set meets others, and the largest group's size.
+
+    docs: (doc_id, set_key, sigs); equal sets meet as their representative (set_key, rep). Signatures are taken in
+    SLICES turns; the shuffle files of one are gone before the next is made.
+    """
+    parts = docs.select("doc_id", F.explode("sigs").alias("sig"))
+    met = None
+    for k in range(SLICES):
+        turn = parts.where(F.pmod("sig", F.lit(SLICES)) == k)
+        some = released(written(turn.join(turn.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig"), "sig"), "met"))
+        met = some if met is None else met.union(some)
+    reps = met.join(docs.select("doc_id", "set_key"), "doc_id").join(classes, "set_key").select("sig", "rep").distinct()
+    reps = released(written(reps, "reps"))
+    members = released(written(reps.join(reps.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "sig"), "members"))
     company = members.groupBy("rep").agg(F.sum("met").alias("company"))
     leaders = members.join(company, "rep").groupBy("sig").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("leader"))
-    return members.join(leaders, "sig").where("rep <> leader").select("rep", "leader").distinct()
+    return members.join(leaders, "sig").where("rep <> leader").groupBy("rep", "leader").agg(F.max("met").alias("crowd"))
+
 
+def differences(pairs: DataFrame, bodies: DataFrame, width: int, whole: bool) -> DataFrame:
+    """pairs (rep, leader, crowd) with both set sizes and in how many shingles they are `apart`.
 
-def differences(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
-    """pairs (rep, leader) with both set sizes, what the rep has beyond the leader (`new`) and lacks of it (`gone`)."""
+    If whole, also what the rep has beyond the leader (`new`) and lacks of it (`gone`), which are null else.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor()
@@ -131,14 +154,15 @@ def differences(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
 
         for pdf in batches:
             out = []
-            for rep, leader, body, leader_body in zip(pdf["rep"], pdf["leader"], pdf["body"], pdf["leader_body"]):
+            for rep, leader, crowd, body, leader_body in zip(pdf["rep"], pdf["leader"], pdf["crowd"], pdf["body"], pdf["leader_body"]):
                 a, b = shingles(open_.decompress(body), width), leader_set(bytes(leader_body))
-                out.append((rep, leader, len(a), len(b), np.setdiff1d(a, b, True).view(np.int64), np.setdiff1d(b, a, True).view(np.int64)))
-            yield pd.DataFrame(out, columns=["rep", "leader", "n", "leader_n", "new", "gone"])
+                new, gone = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
+                out.append((rep, leader, crowd, len(a), len(b), len(new) + len(gone), new.view(np.int64) if whole else None, gone.view(np.int64) if whole else None))
+            yield pd.DataFrame(out, columns=["rep", "leader", "crowd", "n", "leader_n", "apart", "new", "gone"])
 
     led = pairs.join(bodies.select(F.col("rep").alias("leader"), F.col("body").alias("leader_body")), "leader")
     both = led.join(bodies.select("rep", "body"), "rep")
-    return both.select("rep", "leader", "body", "leader_body").mapInPandas(rows, "rep long, leader long, n long, leader_n long, new array<long>, gone array<long>")
+    return both.select("rep", "leader", "crowd", "body", "leader_body").mapInPandas(rows, "rep long, leader long, crowd long, n long, leader_n long, apart long, new array<long>, gone array<long>")
 
 
 def linked(apart: F.Column, total: F.Column, num: int, den: int) -> F.Column:
@@ -146,10 +170,21 @@ def linked(apart: F.Column, total: F.Column, num: int, den: int) -> F.Column:
     return (den + num) * apart <= (den - num) * total
 
 
-def opened(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the other links of members (rep, leader, n, leader_n, new, gone, far) that are far from their leader."""
-    crowds = members.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("far").alias("any_far")).where("k > 1 and any_far").select("leader")
-    inside = written(members.join(crowds, "leader").withColumn("apart", F.size("new") + F.size("gone")), "inside")
+def opened(members: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): the other links of members (rep, leader, crowd, n, leader_n, apart, far) that are far from their leader.
+
+    Who met the leader alone is done with it: any other partner is met under another signature. Partners are
+    about as far from the leader as each other, so who has no neighbour in that order is done, too. Only what
+    is left after that is opened.
+    """
+    widest = F.floor(F.col("n") * (num + den) / num * (den - num) / (den + num))
+    order = Window.partitionBy("leader").orderBy("apart", "rep")
+    gap = F.least(F.col("apart") - F.lag("apart").over(order), F.lead("apart").over(order) - F.col("apart"))
+    members = members.where("crowd > 2").withColumn("gap", gap).where(F.col("gap") <= widest)
+    crowds = members.groupBy("leader").agg(F.max("far").alias("any_far")).where("any_far").select("leader")
+    chosen = released(written(members.join(crowds, "leader").select("rep", "leader", "crowd", "far"), "chosen"))
+    inside = differences(chosen.drop("far"), bodies, width, True).join(chosen.select("rep", "leader", "far"), ["rep", "leader"])
+    inside = released(written(inside, "inside"))
     cells = inside.select("leader", "rep", F.explode(F.concat(
         F.transform("new", lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_new"))),
         F.transform("gone", lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_new"))))).alias("t")).select("leader", "rep", "t.*")
@@ -160,11 +195,10 @@ def opened(members: DataFrame, num: int, den: int) -> DataFrame:
     ranked = cells.join(matrix, ["leader", "token"]).withColumn("place", F.row_number().over(rare)).withColumn("strange", F.sum(F.when(F.col("is_new") & (F.col("held") == 1), 1).otherwise(0)).over(each))
     ranked = ranked.join(inside.select("leader", "rep", "n", "leader_n", "apart", "far"), ["leader", "rep"])
     bound = den * (F.col("n") - F.col("strange")) >= num * F.col("n")
-    widest = F.floor(F.col("n") * (num + den) / num * (den - num) / (den + num))
     least_far = F.col("apart") - widest - 1
     least_near = F.floor(((den + num) * F.col("apart") + (den - num) * (F.col("leader_n") - F.col("n"))) / (2 * (den + num)))
     least = F.greatest(F.lit(1), F.when(F.col("far"), least_far).otherwise(least_near)).cast("long")
-    prefixes = written(ranked.where(bound & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "n", "apart", "far", "place"), "prefixes")
+    prefixes = released(written(ranked.where(bound & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "n", "apart", "far", "place"), "prefixes"))
     a, b = prefixes.where("far").alias("a"), prefixes.alias("b")
     total, both = F.col("a.n") + F.col("b.n"), F.col("a.apart") + F.col("b.apart")
     # Twice the shared differences must reach this; behind the places of the two tokens there must be so many left.
@@ -191,13 +225,12 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 8, den: int
     docs = written(shingled(documents, width, num, den), "shingled")
     live = docs.where("n > 0 and doc_id is not null")
     classes = written(live.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = live.select("doc_id", "set_key", "sigs").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
-    pairs = written(stars(reps.select(F.col("doc_id").alias("rep"), "sigs").where(F.size("sigs") > 0)), "stars")
+    pairs = released(written(stars(live.select("doc_id", "set_key", "sigs"), classes), "stars"))
     named = pairs.select("rep").union(pairs.select("leader")).distinct()
-    bodies = written(live.select(F.col("doc_id").alias("rep"), "set_key", "body").join(classes, ["rep", "set_key"], "left_semi").join(named, "rep", "left_semi").select("rep", "body"), "bodies")
-    apart = F.size("new") + F.size("gone")
-    members = written(differences(pairs, bodies, width).withColumn("far", ~linked(apart, F.col("n") + F.col("leader_n"), num, den)), "members")
-    links = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(opened(members, num, den))
+    bodies = released(written(live.select(F.col("doc_id").alias("rep"), "set_key", "body").join(classes, ["rep", "set_key"], "left_semi").join(named, "rep", "left_semi").select("rep", "body"), "bodies"))
+    apart = differences(pairs, bodies, width, False).drop("new", "gone")
+    members = released(written(apart.withColumn("far", ~linked(F.col("apart"), F.col("n") + F.col("leader_n"), num, den)), "members"))
+    links = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(opened(members, bodies, width, num, den))
     found = components(links)
     joined = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     rows = docs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
