@@ -29,6 +29,9 @@ END = 1
 MAX_QUEUES = 1024
 CACHED = 800_000
 
+#: Rows of (task, source, start) that are broadcast at most, some 100 bytes each.
+BROADCAST_ROWS = 200_000
+
 TOKENISED = "part int, doc_id long, source string, ids binary, n long, local_start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -168,6 +171,8 @@ def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int =
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
+    # A row for each task and source; if few, they go to the tokens, else both are shuffled.
+    starts = F.broadcast(starts) if totals.count() <= BROADCAST_ROWS else starts
     whole = tokens.alias("k").join(starts.alias("s"), F.col("k.source").eqNullSafe(F.col("s.source")) & (F.col("k.part") == F.col("s.part")))
     return whole.select("k.doc_id", "k.ids", "k.n", "s.queue", (F.col("s.base") + F.col("k.local_start")).alias("start")).mapInPandas(pieces, PIECES)
 
