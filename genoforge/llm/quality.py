@@ -91,7 +91,7 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1; with one class only, that class for certain; 0.5 with none."""
-        if not 0 in self.classes or not 1 in self.classes:
+        if len(self.classes) < 2:
             return np.full(len(x), 1.0 if 1 in self.classes else 0.0)
         z = (x - self.mean) / self.scale
         gap = np.clip(self.log_density(z, 1) - self.log_density(z, 0), -500, 500)
