@@ -70,6 +70,18 @@ def test_license_notices(spark):
     assert licenses.notices(cases.empty(spark)).count() == 0
 
 
+def test_license_notices_wrapped_and_several(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    share_alike = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."
+    filler = "some words between the notices of a long line " * 60
+    lines = {1: "MIT\n\n" + mit, 2: bsd, 3: "# x\n" + gpl, 4: share_alike, 5: "Released under the MIT License. " + filler + "Licensed under CC BY 4.0. " + filler,
+             6: "Released under the BSD 3-Clause License. Released under the MIT License.", 7: "Released under the MIT License.\nReleased under the MIT License.", 8: mit + "\n\n" + bsd, 9: filler}
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.notices(spark.createDataFrame(list(lines.items()), "doc_id long, text string")).collect())
+    assert got == [(1, 2, "mit"), (2, 0, "bsd"), (3, 1, "gpl-3.0"), (4, 0, "cc-by-sa"), (5, 0, "cc-by"), (5, 0, "mit"), (6, 0, "bsd"), (6, 0, "mit"), (7, 0, "mit"), (7, 1, "mit"), (8, 0, "mit"), (8, 3, "bsd")]
+
+
 def test_html_extraction(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Menu</a></li></ul></nav><article><h1>A &amp; b</h1><p>First   <b>bold</b> text,\nhere.<p>Second one, with more words to read.<div class=ad>Buy now</div></article><footer>&copy; x</footer>"
     pages = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (3, "u", "", 5), (None, "u", "<p", 5)], "page_id long, url string, html string, text int")
