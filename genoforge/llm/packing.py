@@ -25,8 +25,10 @@ WINDOW = 2048
 #: A queue sends at least so many tokens at once, so that rare sources don't crumble.
 QUANTUM = 64
 END = 1
-#: Queues; of more sources, the smallest share the last queue.
+#: Queues that are served side by side; of more sources, the smallest share the last queue and are served in it in turn.
 MAX_QUEUES = 1024
+#: Rounds x queues that are looked at together.
+BLOCK = 1 << 18
 CACHED = 800_000
 
 #: Rows of (task, source, start) that are broadcast at most, some 100 bytes each.
@@ -111,28 +113,43 @@ def tokenised(documents: DataFrame, path: str) -> DataFrame:
     return written(documents.select("doc_id", "text", "source").mapInPandas(encoded, TOKENISED), "tokens")
 
 
-def sent(rounds: np.ndarray, totals: np.ndarray, window: int, quantum: int) -> np.ndarray:
-    """Tokens that each queue (column) has sent after each round (row); after the last round, all."""
-    whole = int(totals.sum())
+def sent(rounds: np.ndarray, totals: np.ndarray, window: int, quantum: int, whole: int | None = None) -> np.ndarray:
+    """Tokens that each queue (column) has sent after each round (row); after the last round, all. whole: of all queues."""
+    whole = int(totals.sum()) if whole is None else whole
     share = np.floor(rounds[:, None].astype(np.float64) * window / max(whole, 1) * totals[None, :] / quantum).astype(np.int64) * quantum
     return np.where(rounds[:, None] >= -(-whole // window), totals[None, :], np.minimum(np.maximum(share, 0), totals[None, :]))
 
 
+def sending(queue: int, start: int, n: int, totals: np.ndarray, window: int, quantum: int) -> np.ndarray:
+    """The rounds (counted from 1) in which a queue sends the n tokens at start: those that complete one of their quanta."""
+    whole, own = int(totals.sum()), totals[queue : queue + 1]
+    last = -(-whole // window)
+    goal = np.arange(start // quantum + 1, (start + n - 1) // quantum + 2) * quantum
+    upto = lambda r: sent(r, own, window, quantum, whole)[:, 0]
+    rounds = np.clip(np.ceil(goal * (whole / (max(int(own[0]), 1) * window))).astype(np.int64), 1, last)
+    while (late := (upto(rounds - 1) >= goal) & (rounds > 1)).any():  # what rounding of the estimate left
+        rounds = rounds - late
+    while (early := (upto(rounds) < goal) & (rounds < last)).any():
+        rounds = rounds + early
+    return np.unique(rounds)
+
+
 def placed(queue: int, start: int, n: int, totals: np.ndarray, window: int, quantum: int) -> list[tuple[int, int, int, int]]:
     """(offset in the document, length, sequence, offset there) of the n tokens at start of a queue."""
-    whole = int(totals.sum())
-    last = -(-whole // window)
-    # The rounds that may send these tokens, with one round's slack for the rounding to quanta.
-    first = max(int(start * whole / (max(int(totals[queue]), 1) * window)) - 2, 0)
-    until = min(int((start + n + quantum) * whole / (max(int(totals[queue]), 1) * window)) + 3, last)
-    upto = sent(np.arange(first, until + 1), totals, window, quantum)
-    own, every = upto[:, queue], upto.sum(1)
-    earlier = np.diff(upto[:, :queue], axis=0).sum(1)
     out = []
-    for r in range(len(own) - 1):
-        a, b = max(start, int(own[r])), min(start + n, int(own[r + 1]))
-        if a < b:
-            at = int(every[r]) + int(earlier[r]) + a - int(own[r])
+    if n <= 0:
+        return out
+    sends = sending(queue, start, n, totals, window, quantum)
+    block = max(BLOCK // len(totals), 1)
+    for first in range(0, len(sends), block):  # memory is bounded, however far apart the rounds are
+        r = sends[first : first + block]
+        known = np.unique(np.concatenate([r - 1, r]))
+        upto, at_r = sent(known, totals, window, quantum), np.searchsorted(known, r)
+        before = np.searchsorted(known, r - 1)
+        every, own, behind = upto.sum(1)[before], upto[:, queue], upto[:, :queue].sum(1)
+        for a0, b0, at0 in zip(own[before].tolist(), own[at_r].tolist(), (every + behind[at_r] - behind[before]).tolist()):
+            a, b = max(start, a0), min(start + n, b0)
+            at = at0 + a - a0
             while a < b:
                 take = min(b - a, window - at % window)
                 if out and out[-1][2] == at // window and out[-1][3] + out[-1][1] == at % window:
@@ -143,6 +160,63 @@ def placed(queue: int, start: int, n: int, totals: np.ndarray, window: int, quan
     return out
 
 
+class Queues:
+    """Queues of queues: of more than `most` sources, the smallest share the last queue, in which they take turns in the same way.
+
+    A node deals to `most` queues at most. Sources are known by their rank by size; those of a shared queue are
+    dealt over queues by rank, so the depth grows with the logarithm of their number.
+    """
+
+    def __init__(self, sizes: np.ndarray, most: int):
+        self.sizes, self.most = sizes, most
+        self.nodes: dict[tuple[int, ...], np.ndarray] = {}
+
+    def path(self, rank: int) -> list[tuple[int, np.ndarray]]:
+        """(queue, totals) of each node from the root to the source."""
+        if len(self.sizes) <= self.most:
+            return [(rank, self.sizes)]
+        own = self.most - 1
+        if () not in self.nodes:
+            self.nodes[()] = np.append(self.sizes[:own], self.sizes[own:].sum())
+        out = [(min(rank, own), self.nodes[()])]
+        if rank < own:
+            return out
+        k, step, key = rank - own, 1, ()
+        while True:  # the members of a node: every step-th of the shared sources, from the place that the key names
+            at = sum(d * self.most**i for i, d in enumerate(key))
+            members = -(-(len(self.sizes) - own - at) // step)
+            queue = (k - at) // step % self.most if members > self.most else (k - at) // step
+            if (0, *key) not in self.nodes:
+                rest = self.sizes[own + at :: step]
+                self.nodes[(0, *key)] = rest if members <= self.most else np.array([rest[q :: self.most].sum() for q in range(self.most)])
+            out.append((queue, self.nodes[(0, *key)]))
+            if members <= self.most:
+                return out
+            key, step = (*key, queue), step * self.most
+
+
+def placed_in(path: list[tuple[int, np.ndarray]], start: int, n: int, window: int, quantum: int) -> list[tuple[int, int, int, int]]:
+    """placed() of a source whose queue is in queues: what a node has placed is where its own queue takes it from."""
+    pieces = [(0, start, n)]
+    for depth, (queue, totals) in enumerate(reversed(path)):
+        found = [(at + o, k, s, off) for at, begin, size in pieces for o, k, s, off in placed(queue, begin, size, totals, window, quantum)]
+        if depth == len(path) - 1:
+            return _joined(found, window)
+        pieces = [(o, s * window + off, k) for o, k, s, off in found]
+    return []
+
+
+def _joined(pieces: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    out = pieces[:1]
+    for o, k, s, off in pieces[1:]:
+        po, pk, ps, poff = out[-1]
+        if ps == s and poff + pk == off and po + pk == o:
+            out[-1] = (po, pk + k, ps, poff)
+        else:
+            out.append((o, k, s, off))
+    return out
+
+
 def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
@@ -153,28 +227,27 @@ def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int =
     tokens = tokenised(documents, path)
     totals = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "totals")
     by_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = totals.groupBy("source").agg(F.sum("n").alias("n")).withColumn("queue", F.least(F.row_number().over(Window.orderBy(F.desc("n"), "source")) - 1, F.lit(MAX_QUEUES - 1)))
-    in_queue = Window.partitionBy("queue").orderBy(F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = written(ranked.withColumn("source_base", F.coalesce(F.sum("n").over(in_queue), F.lit(0))), "queues")
+    ranked = totals.groupBy("source").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "source")) - 1)
+    ranked = written(ranked, "queues")
     starts = totals.withColumn("base", F.coalesce(F.sum("n").over(by_source), F.lit(0))).alias("t").join(
-        ranked.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source"))).select("t.source", "t.part", "r.queue", (F.col("base") + F.col("source_base")).alias("base"))
-    sizes = ranked.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # MAX_QUEUES rows at most
-    queue_totals = np.array([r["n"] for r in sizes], np.int64)
+        ranked.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source"))).select("t.source", "t.part", "r.rank", "base")
+    sizes = np.array([r["n"] for r in ranked.orderBy("rank").select("n").toLocalIterator()], np.int64)  # a number for each source
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queues = Queues(sizes, MAX_QUEUES)
         for pdf in batches:
             rows = []
-            for doc_id, ids, n, queue, start in zip(pdf["doc_id"], pdf["ids"], pdf["n"], pdf["queue"], pdf["start"]):
+            for doc_id, ids, n, rank, start in zip(pdf["doc_id"], pdf["ids"], pdf["n"], pdf["rank"], pdf["start"]):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 view = memoryview(ids)
-                rows += [(doc_id, a, k, zlib.crc32(view[4 * a : 4 * (a + k)]), n, s, o) for a, k, s, o in placed(int(queue), int(start), int(n), queue_totals, window, quantum)]
+                rows += [(doc_id, a, k, zlib.crc32(view[4 * a : 4 * (a + k)]), n, s, o) for a, k, s, o in placed_in(queues.path(int(rank)), int(start), int(n), window, quantum)]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     # A row for each task and source; if few, they go to the tokens, else both are shuffled.
     starts = F.broadcast(starts) if totals.count() <= BROADCAST_ROWS else starts
     whole = tokens.alias("k").join(starts.alias("s"), F.col("k.source").eqNullSafe(F.col("s.source")) & (F.col("k.part") == F.col("s.part")))
-    return whole.select("k.doc_id", "k.ids", "k.n", "s.queue", (F.col("s.base") + F.col("k.local_start")).alias("start")).mapInPandas(pieces, PIECES)
+    return whole.select("k.doc_id", "k.ids", "k.n", "s.rank", (F.col("s.base") + F.col("k.local_start")).alias("start")).mapInPandas(pieces, PIECES)
 
 
 def vocabulary() -> str:

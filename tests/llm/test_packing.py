@@ -41,3 +41,62 @@ def test_windows_hold_the_shares():
                 by[s, q] += k
     assert (by[:-1].sum(1) == 2048).all() and by.sum() == totals.sum()
     assert (np.abs(by[:-1] - 2048 * totals / totals.sum()) <= 64 * len(totals) + 1).all()
+
+
+def whole_matrix(queue, start, n, totals, window, quantum):
+    """Offsets of the n tokens at start of a queue, from all rounds at once."""
+    upto = packing.sent(np.arange(-(-int(totals.sum()) // window) + 1), totals, window, quantum)
+    at = upto.sum(1)[:-1] + np.diff(upto[:, :queue], axis=0).sum(1)
+    r = np.searchsorted(upto[:, queue], np.arange(start, start + n), side="right") - 1
+    return at[r] + np.arange(start, start + n) - upto[r, queue]
+
+
+def spread(pieces, window):
+    return np.concatenate([s * window + o + np.arange(k) for _, k, s, o in pieces])
+
+
+def test_places_are_those_of_all_rounds():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        totals = r.integers(1, 10 ** r.integers(1, 6, r.integers(1, 9)))
+        for q in range(len(totals)):
+            start = int(r.integers(0, totals[q]))
+            n = int(r.integers(1, totals[q] - start + 1))
+            assert (spread(packing.placed(q, start, n, totals, 128, 16), 128) == whole_matrix(q, start, n, totals, 128, 16)).all()
+
+
+def test_rare_source_takes_little_memory():
+    import tracemalloc
+
+    totals = np.array([7_000_000_000 // 1023] * 1023 + [700])
+    tracemalloc.start()
+    got = packing.placed(1023, 0, 700, totals, 2048, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k for _, k, _, _ in got) == 700 and peak < 50_000_000
+    assert got[-1][2] - got[0][2] > 3_000_000  # over the whole corpus
+
+
+def test_sources_beyond_the_queues_keep_their_shares():
+    r = np.random.default_rng(5)
+    for count, most in ((3, 4), (9, 4), (40, 4)):
+        sizes = np.sort(r.integers(2_000, 9_000, count))[::-1].copy()
+        queues, seen, shared = packing.Queues(sizes, most), [], {}
+        for rank, size in enumerate(sizes.tolist()):
+            at = np.concatenate([spread(packing.placed_in(queues.path(rank), s, min(700, size - s), 256, 16), 256) for s in range(0, size, 700)])
+            assert (np.diff(at) > 0).all()
+            seen.append(at)
+            if rank >= most - 1:
+                shared[rank] = at
+        assert (np.sort(np.concatenate(seen)) == np.arange(sizes.sum())).all()
+        if count > most:  # in each tenth of the corpus, each has about a tenth of its tokens
+            for rank, at in shared.items():
+                tenths = np.bincount(at * 10 // int(sizes.sum()), minlength=10) / sizes[rank]
+                assert (np.abs(tenths - 0.1) < 0.06).all()
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    pieces = packing.packed(cases.documents(spark), packing.vocabulary(), 64, 8).collect()
+    at = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces)
+    assert at[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(at, at[1:]))
