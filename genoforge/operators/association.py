@@ -138,8 +138,10 @@ def permuted(study: Study, replicates: int = 99, seed: int = 1, strata: bool = T
     """(loc_id, p, ties): one-sided permutation p of the burden in cases, labels shuffled within strata.
 
     A replicate is a column of the label table, not a pass over genotypes: (indiv, replicate) rows join carriers
-    summed by person and locus. p is (as large or larger + 1) / (replicates + 1).
+    summed by person and locus. p is (as large or larger + 1) / (replicates + 1). Each locus with a variant has a
+    row; where no carrier is a case, in the data or in a replicate, the burden is 0.
     """
+    loci = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("loc_id")).distinct()
     person = _carriers(study).groupBy("loc_id", "indiv_id").agg(F.sum("ac").alias("b"))
     within = ["strata"] if strata else []
     order = Window.partitionBy("rep", *within).orderBy(F.xxhash64("rep", "indiv_id", F.lit(seed)), "indiv_id")
@@ -148,8 +150,10 @@ def permuted(study: Study, replicates: int = 99, seed: int = 1, strata: bool = T
     drawn = reps.withColumn("slot", F.row_number().over(order)).alias("d").join(reps.withColumn("slot", F.row_number().over(slots)).alias("s"), ["rep", *within, "slot"]).select("rep", F.col("d.aff").alias("shuffled"), F.col("s.indiv_id").alias("indiv_id"), F.col("s.aff").alias("aff"))
     labels = drawn.select("rep", "indiv_id", F.when(F.col("rep") == 0, F.col("aff")).otherwise(F.col("shuffled")).alias("aff")).where("aff = 2")
     score = person.join(labels, "indiv_id").groupBy("loc_id", "rep").agg(F.sum("b").alias("t"))
-    real = score.where("rep = 0").select("loc_id", F.col("t").alias("seen"))
-    return score.where("rep > 0").join(real, "loc_id").groupBy("loc_id").agg(((F.count(F.when(F.col("t") >= F.col("seen"), 1)) + 1) / F.lit(float(replicates + 1))).alias("p"), F.count(F.when(F.col("t") == F.col("seen"), 1)).alias("ties"))
+    real = loci.join(score.where("rep = 0").select("loc_id", F.col("t").alias("t0")), "loc_id", "left").select("loc_id", F.coalesce("t0", F.lit(0)).alias("seen"))
+    drawn = real.join(score.where("rep > 0"), "loc_id", "left").groupBy("loc_id", "seen").agg(F.count("t").alias("with"), F.count(F.when(F.col("t") >= F.col("seen"), 1)).alias("r"), F.count(F.when(F.col("t") == F.col("seen"), 1)).alias("ties"))
+    zero = F.when(F.col("seen") == 0, replicates - F.col("with")).otherwise(0)  # replicates without a row have a burden of 0
+    return drawn.select("loc_id", ((F.col("r") + zero + 1) / F.lit(float(replicates + 1))).alias("p"), (F.col("ties") + zero).alias("ties"))
 
 
 def liu_tail(q: float, eigen: np.ndarray) -> float:

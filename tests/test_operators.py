@@ -96,6 +96,17 @@ def test_logistic_regression(spark):
     assert got.n == n and got.beta == pytest.approx(b[1], abs=1e-6) and got.se == pytest.approx(se[1], abs=1e-6) and got.p < 0.01
 
 
+def test_permuted_burden_of_every_locus(spark):
+    indiv = spark.createDataFrame([(k, 2 if k < 3 else 1, 0) for k in range(300)], "indiv_id long, aff int, strata int")
+    variants = spark.createDataFrame([(k, 1, 100 * k) for k in range(1, 5)], "var_id long, chr int, bp1 long")
+    loci = spark.createDataFrame([(k, 1, 100 * k, 100 * k + 9) for k in range(1, 6)], "loc_id long, chr int, bp1 long, bp2 long")
+    geno = spark.createDataFrame([(1, 200, 1), (2, 0, 2), (2, 1, 2), (2, 2, 2), (3, 0, 1), (3, 100, 1)], "var_id long, indiv_id long, ac int")
+    got = {r.loc_id: r for r in association.permuted(tiny(spark).but(indiv=indiv, variants=variants, loci=loci, geno=geno), 19).collect()}
+    assert set(got) == {1, 2, 3, 4}  # no variant lies in the fifth
+    assert got[1].p == 1 and got[4].p == 1 and got[4].ties == 19  # carriers among controls only, and none
+    assert got[2].p == 1 / 20 and got[3].p <= 0.2
+
+
 def test_annotation(spark):
     exons = spark.createDataFrame([("T", "G", 1, 100, 111, "+", 103, 205, 0), ("T", "G", 1, 200, 210, "+", 103, 205, 9)], "transcript string, gene string, chr int, bp1 long, bp2 long, strand string, cds1 long, cds2 long, offset long")
     cds = spark.createDataFrame([("T", "ATGGCTTACTGTTAA")], "transcript string, seq string")
