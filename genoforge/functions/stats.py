@@ -63,7 +63,7 @@ def hwe_exact(het: pd.Series, hom1: pd.Series, hom2: pd.Series) -> pd.Series:
     return pd.Series([seen[k] if k in seen else seen.setdefault(k, hwe_p(*k)) for k in keys], dtype=float)
 
 
-def chi2_tail(x: float, df: int) -> float:
+def chi2_tail(x: float, df: float) -> float:
     """Upper tail of the chi-square distribution, from the incomplete gamma function's series or continued fraction."""
     if x <= 0:
         return 1.0

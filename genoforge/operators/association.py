@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,9 @@ from ..functions.stats import chi2_2x2, chi2_p, chi2_tail, fisher_2x2, normal_p,
 from ..plans.study import Study, counted, people
 from .intervals import points_in
 
+#: People whose genotypes at a locus are one matrix in skat.
+BLOCK_PEOPLE = 1024
+
 
 def v_assoc(study: Study) -> DataFrame:
     """Allelic, dominant and recessive 2 x 2 tests of each biallelic variant: chi-square, exact p and odds ratio."""
@@ -45,19 +50,20 @@ def glm_linear(study: Study) -> DataFrame:
     return v.select("var_id", "n", "beta", se.alias("se"), (F.col("beta") / se).alias("stat"))
 
 
-def regression(x: np.ndarray, y: np.ndarray, logistic: bool, steps: int = 20) -> tuple[np.ndarray, np.ndarray] | None:
-    """Coefficients and standard errors of least squares or logistic regression; None where it doesn't settle."""
+def regression(x: np.ndarray, y: np.ndarray, logistic: bool, steps: int = 20, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coefficients and standard errors of least squares or logistic regression; None where it doesn't settle. w: how often a row stands."""
+    w = np.ones(len(y)) if w is None else w
     try:
         if not logistic:
-            inverse = np.linalg.inv(x.T @ x)
-            b = inverse @ x.T @ y
+            inverse = np.linalg.inv((x * w[:, None]).T @ x)
+            b = inverse @ x.T @ (w * y)
             r = y - x @ b
-            return b, np.sqrt(np.diag(inverse) * (r @ r) / (len(y) - x.shape[1]))
+            return b, np.sqrt(np.diag(inverse) * (w * r @ r) / (w.sum() - x.shape[1]))
         b = np.zeros(x.shape[1])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            h = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
-            step = h @ x.T @ (y - p)
+            h = np.linalg.inv((x * (w * p * (1 - p))[:, None]).T @ x)
+            step = h @ x.T @ (w * (y - p))
             b = b + step
             if np.abs(step).max() < 1e-6:
                 return b, np.sqrt(np.diag(h))
@@ -66,14 +72,58 @@ def regression(x: np.ndarray, y: np.ndarray, logistic: bool, steps: int = 20) ->
     return None
 
 
+def _glm_sums(study: Study, covariates: tuple[str, ...]) -> DataFrame:
+    """Least squares of the trait on ALT count and covariates from sums: those of all people less those of missing genotypes.
+
+    People without trait or covariates are left out. Trait and covariates are taken from their means, which
+    changes no slope and keeps the sums small.
+    """
+    names = [*covariates, "qt"]
+    full = study.indiv.select("indiv_id", *[F.col(c).cast("double").alias(f"t{k}") for k, c in enumerate(names)]).dropna()
+    means = full.agg(*[F.avg(f"t{k}").alias(f"m{k}") for k in range(len(names))])
+    full = full.crossJoin(F.broadcast(means)).select("indiv_id", F.lit(1.0).alias("z0"), *[(F.col(f"t{k}") - F.col(f"m{k}")).alias(f"z{k + 1}") for k in range(len(names))])  # one row
+    m = len(names) + 1
+    crossed = [(i, j) for i in range(m) for j in range(i, m)]
+    total = full.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"a{i}_{j}") for i, j in crossed])
+    g = study.geno.join(full, "indiv_id")
+    lost = [F.coalesce(F.sum(F.when(F.col("ac").isNull(), F.col(f"z{i}") * F.col(f"z{j}"))), F.lit(0.0)).alias(f"l{i}_{j}") for i, j in crossed]
+    held = [F.coalesce(F.sum(F.col("ac") * F.col(f"z{i}")), F.lit(0.0)).alias(f"h{i}") for i in range(m)]
+    sums = g.groupBy("var_id").agg(*lost, *held, F.coalesce(F.sum((F.col("ac") * F.col("ac")).cast("double")), F.lit(0.0)).alias("hh")).crossJoin(F.broadcast(total))  # one row
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                whole = np.zeros((m + 1, m + 1))  # 1, covariates, trait, ALT count
+                for i, j in crossed:
+                    whole[i, j] = whole[j, i] = r[f"a{i}_{j}"] - r[f"l{i}_{j}"]
+                whole[m, :m] = whole[:m, m] = [r[f"h{i}"] for i in range(m)]
+                whole[m, m] = r["hh"]
+                n, at = whole[0, 0], [0, m, *range(1, m - 1)]
+                found = None
+                if n > len(at) and whole[m, m] - whole[0, m] ** 2 / n > 1e-9:
+                    try:
+                        inverse, right = np.linalg.inv(whole[np.ix_(at, at)]), whole[at, m - 1]
+                        slopes = inverse @ right
+                        found = slopes[1], np.sqrt(inverse[1, 1] * max(whole[m - 1, m - 1] - right @ slopes, 0.0) / (n - len(at)))
+                    except np.linalg.LinAlgError:
+                        pass
+                out.append((r["var_id"], int(n), *((*found, found[0] / found[1] if found[1] > 0 else None) if found else (None, None, None))))
+            yield pd.DataFrame(out, columns=["var_id", "n", "beta", "se", "stat"])
+
+    return sums.mapInPandas(fit, "var_id long, n long, beta double, se double, stat double").withColumn("p", normal_p("stat"))
+
+
 def glm(study: Study, covariates: tuple[str, ...] = ("sex",), logistic: bool = True) -> DataFrame:
     """Regression of disease (or trait) on ALT count and covariates, a row for each variant.
 
     A variant's task gets its stored genotypes only. The people are sent with the task as grouped counts:
     those with equal phenotype and covariates are one row with a weight, so the table is bounded by
-    their combinations; quantitative covariates belong in glm_linear or in strata.
+    their combinations; quantitative covariates belong in the linear model, which needs sums only, or in strata.
     """
-    y = (F.col("aff") - 1).cast("double") if logistic else F.col("qt")
+    if not logistic:
+        return _glm_sums(study, covariates)
+    y = (F.col("aff") - 1).cast("double")
     person = F.struct(y.alias("y"), *[F.col(c).cast("double").alias(c) for c in covariates])
     whole = study.indiv.groupBy(person.alias("k")).agg(F.count(F.lit(1)).alias("w")).select("k.*", "w").toPandas()
     g = study.geno.join(study.indiv.select("indiv_id", y.alias("y"), *[F.col(c).cast("double").alias(c) for c in covariates]), "indiv_id")
@@ -86,12 +136,10 @@ def glm(study: Study, covariates: tuple[str, ...] = ("sex",), logistic: bool = T
         rest = rest.assign(ac=0, w=(rest["w"] - rest["away"]).astype(int))[[*names, "ac", "w"]]
         rows = pd.concat([rest, pdf.loc[pdf["ac"] >= 0, [*names, "ac", "w"]]])
         rows = rows[rows["w"] > 0]
-        rows = rows.reset_index(drop=True)
-        rows = rows.loc[rows.index.repeat(rows["w"])]
         x = np.column_stack([np.ones(len(rows)), rows["ac"], *[rows[c] for c in covariates]]).astype(float)
-        found = regression(x, rows["y"].to_numpy(float), logistic) if rows["ac"].nunique() > 1 else None
+        found = regression(x, rows["y"].to_numpy(float), True, w=rows["w"].to_numpy(float)) if rows["ac"].nunique() > 1 else None
         b, se = (float(found[0][1]), float(found[1][1])) if found else (None, None)
-        return pd.DataFrame([(int(pdf["var_id"].iloc[0]), len(rows), b, se, b / se if found else None)], columns=["var_id", "n", "beta", "se", "stat"])
+        return pd.DataFrame([(int(pdf["var_id"].iloc[0]), int(rows["w"].sum()), b, se, b / se if found else None)], columns=["var_id", "n", "beta", "se", "stat"])
 
     return cells.groupBy("var_id").applyInPandas(fit, "var_id long, n long, beta double, se double, stat double").withColumn("p", normal_p("stat"))
 
@@ -159,42 +207,49 @@ def permuted(study: Study, replicates: int = 99, seed: int = 1, strata: bool = T
 def liu_tail(q: float, eigen: np.ndarray) -> float:
     """Upper tail of a weighted sum of chi-squares by matching moments, with a central chi-square."""
     c = [float((eigen**k).sum()) for k in (1, 2, 3, 4)]
-    s1 = c[2] / c[1] ** 1.5
-    s2 = c[3] / c[1] ** 2
-    df = 1 / s2 if s1**2 <= s2 else None
-    if df is None:
-        a = 1 / (s1 - np.sqrt(s1**2 - s2))
-        df = a**2 - 2 * (s1 * a**3 - a**2)
+    df = c[1] ** 2 / c[3]  # any real number
     z = (q - c[0]) / np.sqrt(2 * c[1])
-    return chi2_tail(max(df + z * np.sqrt(2 * df), 0.0), max(int(round(df)), 1))
+    return chi2_tail(max(df + z * np.sqrt(2 * df), 0.0), df)
 
 
-def skat(study: Study, a1: float = 1.0, a2: float = 25.0) -> DataFrame:
+def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEOPLE) -> DataFrame:
     """(loc_id, nvar, q, p): kernel test with beta(MAF) weights of the disease residuals, without covariates.
 
-    A locus's task gets its carriers; all others enter by the shared residual mean only.
+    Carriers are summed by blocks of people to (variant, variant) products, and these by locus in Spark, so a
+    locus's task gets the products of its variants; all others enter by the shared residual mean only.
     """
-    n = people(study.indiv)
-    g = _carriers(study).crossJoin(F.broadcast(n))  # one row
+    n = F.broadcast(people(study.indiv))  # one row
+    g = _carriers(study).crossJoin(n).withColumn("block", F.pmod(F.xxhash64("indiv_id"), F.ceil(F.col("n") / block)))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, share = float(pdf["n"].iloc[0]), float(pdf["na"].iloc[0] / pdf["n"].iloc[0])
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf["indiv_id"].astype("category").cat, pdf["var_id"].astype("category").cat
         x = np.zeros((len(rows.categories), len(cols.categories)))
         x[rows.codes, cols.codes] = pdf["ac"]
-        y = np.zeros(len(x))
-        y[rows.codes] = pdf["aff"] == 2
-        maf = x.sum(0) / (2 * k)
+        case = np.zeros(len(x))
+        case[rows.codes] = pdf["aff"] == 2
+        xx, ids = np.triu(x.T @ x), cols.categories.to_numpy()
+        i, j = np.nonzero(xx)
+        own = i == j
+        return pd.DataFrame({"loc_id": pdf["loc_id"].iloc[0], "v": ids[i], "u": ids[j], "xx": xx[i, j], "s": np.where(own, x.sum(0)[i], 0.0), "c": np.where(own, (case @ x)[i], 0.0)})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, share = float(pdf["n"].iloc[0]), float(pdf["na"].iloc[0] / pdf["n"].iloc[0])
+        own = pdf[pdf["v"] == pdf["u"]].sort_values("v")
+        ids, s, c = own["v"].to_numpy(), own["s"].to_numpy(), own["c"].to_numpy()
+        i, j = np.searchsorted(ids, pdf["v"]), np.searchsorted(ids, pdf["u"])
+        xx = np.zeros((len(ids), len(ids)))
+        xx[i, j] = xx[j, i] = pdf["xx"]
+        maf = s / (2 * k)
         w = a2 * (1 - maf) ** (a2 - 1) if a1 == 1 else maf ** (a1 - 1) * (1 - maf) ** (a2 - 1)
-        x = x * w
-        q = float((((y - share) @ x) ** 2).sum()) / 2
-        means = x.sum(0) / k
-        eigen = np.linalg.eigvalsh((x.T @ x - k * np.outer(means, means)) * share * (1 - share) / 2)
+        q = float(((w * (c - share * s)) ** 2).sum()) / 2
+        eigen = np.linalg.eigvalsh(np.outer(w, w) * (xx - np.outer(s, s) / k) * share * (1 - share) / 2)
         eigen = eigen[eigen > max(eigen.mean(), 0) / 1e5]
         p = liu_tail(q, eigen) if len(eigen) else 1.0
-        return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), x.shape[1], q, p)], columns=["loc_id", "nvar", "q", "p"])
+        return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), len(ids), q, p)], columns=["loc_id", "nvar", "q", "p"])
 
-    return g.groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, q double, p double")
+    sums = g.groupBy("loc_id", "block").applyInPandas(products, "loc_id long, v long, u long, xx double, s double, c double")
+    sums = sums.groupBy("loc_id", "v", "u").agg(F.sum("xx").alias("xx"), F.sum("s").alias("s"), F.sum("c").alias("c")).crossJoin(n)
+    return sums.groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, q double, p double")
 
 
 def gene_p(tests: DataFrame) -> DataFrame:

@@ -96,6 +96,42 @@ def test_logistic_regression(spark):
     assert got.n == n and got.beta == pytest.approx(b[1], abs=1e-6) and got.se == pytest.approx(se[1], abs=1e-6) and got.p < 0.01
 
 
+def test_liu_tail_keeps_the_degrees_of_freedom():
+    eigen = np.array([1.0, 0.5, 0.2])
+    draws = np.random.default_rng(1).chisquare(1, (400_000, 3)) @ eigen
+    df = (eigen**2).sum() ** 2 / (eigen**4).sum()
+    for q in (4.0, 7.0):
+        x = df + (q - eigen.sum()) / np.sqrt(2 * (eigen**2).sum()) * np.sqrt(2 * df)
+        matched = (np.random.default_rng(2).gamma(df / 2, 2, 1_000_000) > x).mean()
+        assert association.liu_tail(q, eigen) == pytest.approx(matched, abs=1e-3)
+        assert association.liu_tail(q, eigen) == pytest.approx((draws > q).mean(), rel=0.1)
+
+
+def test_skat_in_blocks_and_linear_sums(spark):
+    r = np.random.default_rng(6)
+    n, m = 500, 4
+    x = r.choice([0, 0, 0, 1, 2], (n, m))
+    case, sex, age = r.integers(0, 2, n), r.integers(0, 2, n), r.random(n)
+    qt = 1000 + x[:, 0] * 0.4 + age + r.normal(0, 1, n)
+    indiv = spark.createDataFrame([(k, int(sex[k]), int(case[k]) + 1, float(qt[k]), float(age[k])) for k in range(n)], "indiv_id long, sex int, aff int, qt double, age double")
+    variants = spark.createDataFrame([(v, 1, 10 + v) for v in range(m)], "var_id long, chr int, bp1 long")
+    loci = spark.createDataFrame([(1, 1, 1, 100)], "loc_id long, chr int, bp1 long, bp2 long")
+    rows = [(v, k, int(x[k, v])) for v in range(m) for k in range(n) if x[k, v]]
+    study = tiny(spark).but(indiv=indiv, variants=variants, loci=loci, geno=spark.createDataFrame(rows, "var_id long, indiv_id long, ac int"))
+    w = 25 * (1 - x.sum(0) / (2 * n)) ** 24
+    share, c = case.mean(), (x - x.mean(0)) * w
+    eigen = np.linalg.eigvalsh(c.T @ c * share * (1 - share) / 2)
+    q = (((case - share) @ (x * w)) ** 2).sum() / 2
+    for block in (7, 1000):
+        got = association.skat(study, block=block).first()
+        assert got.nvar == m and got.q == pytest.approx(q) and got.p == pytest.approx(association.liu_tail(q, eigen[eigen > eigen.mean() / 1e5]))
+    lost = study.but(geno=spark.createDataFrame([*rows, (0, int(np.flatnonzero(x[:, 0] == 0)[0]), None)], "var_id long, indiv_id long, ac int"))
+    keep = np.arange(n) != np.flatnonzero(x[:, 0] == 0)[0]
+    got = association.glm(lost, ("sex", "age"), logistic=False).where("var_id = 0").first()
+    b, se = association.regression(np.column_stack([np.ones(n), x[:, 0], sex, age]).astype(float)[keep], qt[keep], False)
+    assert got.n == n - 1 and got.beta == pytest.approx(b[1], abs=1e-8) and got.se == pytest.approx(se[1], abs=1e-8)
+
+
 def test_permuted_burden_of_every_locus(spark):
     indiv = spark.createDataFrame([(k, 2 if k < 3 else 1, 0) for k in range(300)], "indiv_id long, aff int, strata int")
     variants = spark.createDataFrame([(k, 1, 100 * k) for k in range(1, 5)], "var_id long, chr int, bp1 long")
