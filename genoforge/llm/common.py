@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of every contract: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files go as soon as the query has ended.
+DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later passes and lost executors start from the files."""
+    """Writes df once to the shared folder and reads it back: later passes and lost executors start from the files.
+
+    Nothing reads the shuffle files of this write again, so Spark is told to drop them when it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROPS_SHUFFLES, None)
+    spark.conf.set(DROPS_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(DROPS_SHUFFLES) if before is None else spark.conf.set(DROPS_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -44,18 +53,6 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """df; shuffle files of finished queries go now.
-
-    Spark removes them when the driver's JVM collects its garbage, which a driver with little to do hardly ever
-    does. It is asked to, twice: what the first round finalises holds on to them until the second.
-    """
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
@@ -70,16 +67,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         .distinct(),
         "edges",
     )
-    labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels")
+    labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumn("moved", F.lit(True)), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         hop = labels.select(F.col("u").alias("label"), F.col("label").alias("hop"))
-        new = written(
-            labels.join(near, "u").join(hop, "label", "left")
-            .select("u", F.least("label", "near", "hop").alias("label"), (F.least("label", "near", "hop") < F.col("label")).alias("moved")),
-            "labels",
-        )
-        labels = new.select("u", "label")
-        if new.where("moved").limit(1).count() == 0:
+        least = F.least("label", "near", "hop")
+        new = written(labels.select("u", "label").join(near, "u").join(hop, "label", "left").select("u", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        discarded(labels)
+        labels = new
+        if labels.where("moved").limit(1).count() == 0:
+            discarded(both)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -1,12 +1,15 @@
-"""N-gram Jaccard self-join by token groups, exact at its threshold.
-
-Documents whose shingle sets can be similar are put into groups around a leader. Sets that differ in at most
-K shingles agree in at least one of K + 1 parts into which the shingles are dealt, so documents that share a
-part's signature meet; the member with the most company leads. A member is stored as its difference from
-its leader. The group's token matrix, rows (leader, token, members that have it), gives the union of the
-group's tokens: it bounds how much of a query any member can hold, and only groups that may reach the
-threshold are opened. Inside an opened group, members are compared where the rarest tokens of their
-differences meet, so copies that stay near their leader are never paired with each other.
+"""N-gram Jaccard self-join by a token-group matrix, exact at its threshold.
+
+The tokens of a set are the parts into which its shingles are dealt: sets that differ in at most K shingles
+agree in more than `spare` of K + 1 + spare parts. Documents are partitioned into groups: each goes home to the
+document with the most company among those that it shares a token with. The matrix, rows (token, group, members
+that have it), is each group's token union. A query meets the groups that its tokens name, and a group is
+opened only if its union holds as many of the query's tokens as any link needs.
+
+In an opened group everything is known by its difference from the group's base. Who is close enough to the
+base is linked by it; of the others, the union of the members' differences bounds the overlap once more, and
+pairs are compared only where the rarest tokens of their differences meet, so copies that stay near their
+base are never paired with each other.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, released, table, written
+from .common import components, discarded, table, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Ratio of the sizes at a size class's ends.
 CLASS_RATIO = 1.5
-#: Turns in which signatures are matched.
+#: Turns in which tokens are matched, so that only so large a share of them is shuffled at once.
 SLICES = 3
+#: A token's lowest bits hold its size class.
+CLASSES = 128
 
 
 class _WordHashes(dict):
@@ -75,12 +80,26 @@ def size_classes(num: int, den: int) -> list[int]:
     return bounds
 
 
+def slack(bound: int) -> tuple[int, int, int, int]:
+    """(spare, small, hot, need) of a size class whose linked sets differ in `bound` shingles at most.
+
+    Of bound + 1 + spare parts linked sets agree in more than spare. A set may leave out its `small` smallest
+    parts and its `hot` most frequent ones; `need` tokens that both name then still are the same.
+    """
+    spare = 1 + bound // 7
+    if spare < 4:
+        return spare, spare, 0, 1
+    small = spare // 2
+    hot = (spare - small) // 2
+    return spare, small, hot, spare + 1 - small - hot
+
+
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the set's parts, for its size class and, where larger partners may lie there, the next.
 
-    There are `spare` parts more than the bound needs, so linked sets agree in more than `spare` parts. A set
-    leaves out its smallest parts, empty ones and those of a shingle or two that anything may share, as far as
-    all parts of that size are `spare` at most: equal parts have equal sizes, so one that both name remains.
+    A set leaves out its smallest parts, empty ones and those of a shingle or two that anything may share, as
+    far as all parts of that size are `small` at most: equal parts have equal sizes, so two sets that leave
+    out different sizes leave out no more of what they share than the one that leaves out more.
     """
     n, bounds, out = len(tokens), size_classes(num, den), []
     if not n:
@@ -91,56 +110,75 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
             break
         bound = most_apart(2 * (bounds[c + 1] - 1), num, den)
         if bound:  # else only equal sets can be linked
-            spare = 1 + bound // 7
+            spare, small, _, _ = slack(bound)
             parts = bound + 1 + spare
             part = (tokens % np.uint64(parts)).astype(np.int64)
             order, count = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(tokens[order] * _ODD), dtype=np.uint64)])
             ends = np.cumsum(count)
             named = _mixed((sums[ends] - sums[ends - count]) * _ODD + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c))
-            out.append(named[count > np.searchsorted(np.cumsum(np.bincount(count)), spare, "right") - 1])
+            named = named // np.uint64(CLASSES) * np.uint64(CLASSES) + np.uint64(c)
+            out.append(named[count > np.searchsorted(np.cumsum(np.bincount(count)), small, "right") - 1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _of_class(token: F.Column, num: int, den: int, which: int) -> F.Column:
+    """An entry of slack() for the token's size class."""
+    bounds = size_classes(num, den)
+    entries = [slack(most_apart(2 * (bounds[c + 1] - 1), num, den))[which] for c in range(len(bounds) - 1)]
+    return F.get(F.array(*[F.lit(x) for x in entries]), F.pmod(token, F.lit(CLASSES)).cast("int"))
+
+
 def shingled(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, set_key, signatures, packed text), a row for each row of documents (doc_id, text)."""
+    """(doc_id, n, set_key, tokens), a row for each row of documents (doc_id, text)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                raw = (text or "").encode("utf-8", "replace")
-                s = shingles(raw, width)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signatures(s, num, den).view(np.int64), press.compress(raw)))
-            n, key, sigs, body = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "set_key": key, "sigs": sigs, "body": body})
+                s = shingles(text, width)
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signatures(s, num, den).view(np.int64)))
+            n, key, tokens = zip(*out) if out else ((), (), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "set_key": key, "tokens": tokens})
 
-    return documents.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, sigs array<long>, body binary")
+    return documents.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, tokens array<long>")
 
 
-def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, leader, crowd), rep <> leader: the leaders of all groups in which a set meets others, and the largest group's size.
+def named_tokens(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, rep) of the tokens that more than one of classes (rep, tokens) has, without each one's `hot` most frequent.
 
-    docs: (doc_id, set_key, sigs); equal sets meet as their representative (set_key, rep). Signatures are taken in
-    SLICES turns; the shuffle files of one are gone before the next is made.
+    Tokens are taken in SLICES turns; one that many sets have is counted where it is read, and Spark splits its join.
     """
-    parts = docs.select("doc_id", F.explode("sigs").alias("sig"))
-    met = None
+    each, met = classes.select("rep", F.explode("tokens").alias("token")), None
     for k in range(SLICES):
-        turn = parts.where(F.pmod("sig", F.lit(SLICES)) == k)
-        some = released(written(turn.join(turn.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig"), "sig"), "met"))
+        turn = each.where(F.pmod(F.shiftright("token", 7), F.lit(SLICES)) == k)
+        some = written(turn.join(turn.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "token"), "met")
         met = some if met is None else met.union(some)
-    reps = met.join(docs.select("doc_id", "set_key"), "doc_id").join(classes, "set_key").select("sig", "rep").distinct()
-    reps = released(written(reps, "reps"))
-    members = released(written(reps.join(reps.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "sig"), "members"))
-    company = members.groupBy("rep").agg(F.sum("met").alias("company"))
-    leaders = members.join(company, "rep").groupBy("sig").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("leader"))
-    return members.join(leaders, "sig").where("rep <> leader").groupBy("rep", "leader").agg(F.max("met").alias("crowd"))
+    hottest = Window.partitionBy("rep", F.pmod("token", F.lit(CLASSES))).orderBy(F.desc("met"), "token")
+    return met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > _of_class(F.col("token"), num, den, 2)).select("token", "rep")
+
 
+def matched(named: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, leader, asks, inside), rep <> leader: sets with the groups that they may have links in, and with their own group.
 
-def differences(pairs: DataFrame, bodies: DataFrame, width: int, whole: bool) -> DataFrame:
-    """pairs (rep, leader, crowd) with both set sizes and in how many shingles they are `apart`.
+    named: (token, rep). A token's leader is the set with the most company that has it, a set's group that of
+    the token leader with the most company. asks: the group qualifies; inside: it is the set's own.
+    """
+    company = named.join(named.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "token").groupBy("rep").agg(F.sum("met").alias("company"))
+    ranked = named.join(company, "rep").select("token", "rep", F.struct("company", (-F.col("rep")).alias("r")).alias("rank"))
+    leaders = ranked.groupBy("token").agg(F.max("rank").alias("rank"))
+    homes = named.join(leaders, "token").groupBy("rep").agg((-F.max("rank")["r"]).alias("home"))
+    settled = written(named.join(homes, "rep"), "settled")
+    matrix = settled.groupBy("token", "home").agg(F.count(F.lit(1)).alias("held")).select("token", F.col("home").alias("leader"), "held")
+    own = F.col("home") == F.col("leader")
+    asked = settled.join(matrix, "token").where(~own | (F.col("held") > 1)).groupBy("rep", "leader", F.pmod("token", F.lit(CLASSES)).alias("class")).agg(F.count(F.lit(1)).alias("shared"))
+    opens = asked.where(F.col("shared") >= _of_class(F.col("class"), num, den, 3)).select("rep", "leader", F.lit(True).alias("asks"), F.lit(False).alias("inside"))
+    roles = opens.union(homes.select("rep", "home", F.lit(False), F.lit(True)))
+    return roles.where("rep <> leader").groupBy("rep", "leader").agg(F.max("asks").alias("asks"), F.max("inside").alias("inside"))
+
+
+def differences(pairs: DataFrame, texts: DataFrame, width: int, whole: bool) -> DataFrame:
+    """pairs (rep, leader, asks, inside) with both set sizes and in how many shingles they are `apart`.
 
     If whole, also what the rep has beyond the leader (`new`) and lacks of it (`gone`), which are null else.
     """
@@ -154,15 +192,26 @@ def differences(pairs: DataFrame, bodies: DataFrame, width: int, whole: bool) ->
 
         for pdf in batches:
             out = []
-            for rep, leader, crowd, body, leader_body in zip(pdf["rep"], pdf["leader"], pdf["crowd"], pdf["body"], pdf["leader_body"]):
+            for rep, leader, asks, inside, body, leader_body in zip(pdf["rep"], pdf["leader"], pdf["asks"], pdf["inside"], pdf["body"], pdf["leader_body"]):
                 a, b = shingles(open_.decompress(body), width), leader_set(bytes(leader_body))
                 new, gone = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
-                out.append((rep, leader, crowd, len(a), len(b), len(new) + len(gone), new.view(np.int64) if whole else None, gone.view(np.int64) if whole else None))
-            yield pd.DataFrame(out, columns=["rep", "leader", "crowd", "n", "leader_n", "apart", "new", "gone"])
+                out.append((rep, leader, asks, inside, len(a), len(b), len(new) + len(gone), new.view(np.int64) if whole else None, gone.view(np.int64) if whole else None))
+            yield pd.DataFrame(out, columns=["rep", "leader", "asks", "inside", "n", "leader_n", "apart", "new", "gone"])
+
+    led = pairs.join(texts.select(F.col("rep").alias("leader"), F.col("body").alias("leader_body")), "leader")
+    both = led.join(texts.select("rep", "body"), "rep")
+    return both.select("rep", "leader", "asks", "inside", "body", "leader_body").mapInPandas(rows, "rep long, leader long, asks boolean, inside boolean, n long, leader_n long, apart long, new array<long>, gone array<long>")
+
+
+def pressed(documents: DataFrame) -> DataFrame:
+    """(rep, body): the texts of documents (doc_id, text), compressed."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            yield pd.DataFrame({"rep": pdf["doc_id"], "body": [press.compress((t or "").encode("utf-8", "replace")) for t in pdf["text"]]})
 
-    led = pairs.join(bodies.select(F.col("rep").alias("leader"), F.col("body").alias("leader_body")), "leader")
-    both = led.join(bodies.select("rep", "body"), "rep")
-    return both.select("rep", "leader", "crowd", "body", "leader_body").mapInPandas(rows, "rep long, leader long, crowd long, n long, leader_n long, apart long, new array<long>, gone array<long>")
+    return documents.select("doc_id", "text").mapInPandas(rows, "rep long, body binary")
 
 
 def linked(apart: F.Column, total: F.Column, num: int, den: int) -> F.Column:
@@ -170,43 +219,42 @@ def linked(apart: F.Column, total: F.Column, num: int, den: int) -> F.Column:
     return (den + num) * apart <= (den - num) * total
 
 
-def opened(members: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b): the other links of members (rep, leader, crowd, n, leader_n, apart, far) that are far from their leader.
+def opened(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): the links in groups, other than to the base, of members (rep, leader, asks, inside, n, leader_n, apart, far).
 
-    Who met the leader alone is done with it: any other partner is met under another signature. Partners are
-    about as far from the leader as each other, so who has no neighbour in that order is done, too. Only what
-    is left after that is opened.
+    Two that are near the base are linked by it, so one must be far. Partners are about as far from the base as
+    each other: only who has company within the widest distance of a link is looked at.
     """
-    widest = F.floor(F.col("n") * (num + den) / num * (den - num) / (den + num))
-    order = Window.partitionBy("leader").orderBy("apart", "rep")
-    gap = F.least(F.col("apart") - F.lag("apart").over(order), F.lead("apart").over(order) - F.col("apart"))
-    members = members.where("crowd > 2").withColumn("gap", gap).where(F.col("gap") <= widest)
-    crowds = members.groupBy("leader").agg(F.max("far").alias("any_far")).where("any_far").select("leader")
-    chosen = released(written(members.join(crowds, "leader").select("rep", "leader", "crowd", "far"), "chosen"))
-    inside = differences(chosen.drop("far"), bodies, width, True).join(chosen.select("rep", "leader", "far"), ["rep", "leader"])
-    inside = released(written(inside, "inside"))
-    cells = inside.select("leader", "rep", F.explode(F.concat(
+    widest = lambda n: F.floor(F.col(n) * (den - num) / num)
+    groups = members.groupBy("leader").agg(F.max("far").alias("any_far"), F.max("n").alias("top")).where("any_far").select("leader", (widest("top") + 1).alias("step"))
+    placed = members.join(groups, "leader").withColumn("cell", F.floor(F.col("apart") / F.col("step")))
+    crowds = placed.groupBy("leader", "cell").agg(F.count(F.lit(1)).alias("k"))
+    crowds = crowds.select("leader", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"), "k").groupBy("leader", "cell").agg(F.sum("k").alias("k")).where("k > 1").select("leader", "cell")
+    chosen = written(placed.join(crowds, ["leader", "cell"]).select("rep", "leader", "asks", "inside", "far"), "chosen")
+    inside = differences(chosen.drop("far"), texts, width, True).join(chosen.select("rep", "leader", "far"), ["rep", "leader"])
+    inside = written(inside, "inside")
+    cells = inside.select("leader", "rep", "inside", F.explode(F.concat(
         F.transform("new", lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_new"))),
-        F.transform("gone", lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_new"))))).alias("t")).select("leader", "rep", "t.*")
-    # The token matrix: how many members differ from the leader in a token. A new token of one member alone is outside the union of the others.
-    matrix = cells.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("held"))
-    rare = Window.partitionBy("leader", "rep").orderBy("held", "token")
+        F.transform("gone", lambda t: F.struct(t.alias("token"), F.lit(False).alias("is_new"))))).alias("t")).select("leader", "rep", "inside", "t.*")
+    # The union of the members' differences: what a query has besides base and union, no member has.
+    matrix = cells.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.col("inside").cast("int")).alias("held"))
+    rare = Window.partitionBy("leader", "rep").orderBy("seen", "token")
     each = Window.partitionBy("leader", "rep")
-    ranked = cells.join(matrix, ["leader", "token"]).withColumn("place", F.row_number().over(rare)).withColumn("strange", F.sum(F.when(F.col("is_new") & (F.col("held") == 1), 1).otherwise(0)).over(each))
-    ranked = ranked.join(inside.select("leader", "rep", "n", "leader_n", "apart", "far"), ["leader", "rep"])
-    bound = den * (F.col("n") - F.col("strange")) >= num * F.col("n")
-    least_far = F.col("apart") - widest - 1
+    strange = F.col("is_new") & (F.col("held") == F.col("inside").cast("int"))
+    ranked = cells.join(matrix, ["leader", "token"]).withColumn("place", F.row_number().over(rare)).withColumn("strange", F.sum(strange.cast("int")).over(each))
+    ranked = ranked.drop("inside").join(inside.select("leader", "rep", "asks", "inside", "n", "leader_n", "apart", "far"), ["leader", "rep"])
+    qualifies = F.col("inside") | (den * (F.col("n") - F.col("strange")) >= num * F.col("n"))
+    least_far = F.col("apart") - widest("n") - 1
     least_near = F.floor(((den + num) * F.col("apart") + (den - num) * (F.col("leader_n") - F.col("n"))) / (2 * (den + num)))
     least = F.greatest(F.lit(1), F.when(F.col("far"), least_far).otherwise(least_near)).cast("long")
-    prefixes = released(written(ranked.where(bound & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "n", "apart", "far", "place"), "prefixes"))
-    a, b = prefixes.where("far").alias("a"), prefixes.alias("b")
+    prefixes = written(ranked.where(qualifies & (F.col("seen") > 1) & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "asks", "inside", "n", "apart", "far", "place"), "prefixes")
+    a, b = prefixes.where("asks").alias("a"), prefixes.where("inside").alias("b")
     total, both = F.col("a.n") + F.col("b.n"), F.col("a.apart") + F.col("b.apart")
     # Twice the shared differences must reach this; behind the places of the two tokens there must be so many left.
     needed = (den + num) * both - (den - num) * total
     left = 1 + F.least(F.col("a.apart") - F.col("a.place"), F.col("b.apart") - F.col("b.place"))
     may = (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n")) & (2 * (den + num) * left >= needed)
-    once = (F.col("a.rep") < F.col("b.rep")) | (~F.col("b.far") & (F.col("a.rep") != F.col("b.rep")))
-    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & once & may)
+    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")) & (F.col("a.far") | F.col("b.far")) & may)
     pairs = met.select("a.leader", F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     side = lambda x: inside.select("leader", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"), F.concat("new", "gone").alias(f"diff_{x}"))
     known = pairs.join(side("a"), ["leader", "a"]).join(side("b"), ["leader", "b"])
@@ -219,22 +267,27 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 8, den: int
 
     Documents link when den * intersection >= num * union of their sets of `width`-word shingles; component_id
     is the smallest doc_id reachable by links. Null, empty and blank texts have no shingles and link with
-    nothing. Rows that share a doc_id count as one document with the links of each; rows without a doc_id
-    link with nothing and get no component. An empty table gives no rows.
+    nothing. Very long texts are read whole. Rows that share a doc_id count as one document with the links of
+    each; rows without a doc_id link with nothing and get no component. Of ties the smallest doc_id leads.
+    Other columns are not read, whatever their names. An empty table gives no rows.
     """
     docs = written(shingled(documents, width, num, den), "shingled")
     live = docs.where("n > 0 and doc_id is not null")
-    classes = written(live.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    pairs = released(written(stars(live.select("doc_id", "set_key", "sigs"), classes), "stars"))
-    named = pairs.select("rep").union(pairs.select("leader")).distinct()
-    bodies = released(written(live.select(F.col("doc_id").alias("rep"), "set_key", "body").join(classes, ["rep", "set_key"], "left_semi").join(named, "rep", "left_semi").select("rep", "body"), "bodies"))
-    apart = differences(pairs, bodies, width, False).drop("new", "gone")
-    members = released(written(apart.withColumn("far", ~linked(F.col("apart"), F.col("n") + F.col("leader_n"), num, den)), "members"))
-    links = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(opened(members, bodies, width, num, den))
+    classes = written(live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "classes")
+    named = written(named_tokens(classes, num, den), "named")
+    pairs = written(matched(named, num, den), "matched")
+    wanted = pairs.select("rep").union(pairs.select("leader")).distinct().withColumnRenamed("rep", "doc_id")
+    texts = written(pressed(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "texts")
+    apart = differences(pairs, texts, width, False).drop("new", "gone")
+    members = written(apart.withColumn("far", ~linked(F.col("apart"), F.col("n") + F.col("leader_n"), num, den)), "members")
+    discarded(named, pairs)
+    links = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(opened(members, texts, width, num, den))
     found = components(links)
     joined = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    rows = docs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    return rows.join(joined, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
+    none = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    alone = rows.where(none).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where(~none).join(joined, "set_key").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

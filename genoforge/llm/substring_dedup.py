@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discarded, released, table, written
+from .common import discarded, table, written
 
 WINDOW = 13
 GRAM = 5
@@ -171,13 +171,13 @@ def repeats_removed(documents: DataFrame) -> DataFrame:
     grams = docs.where("doc_id is not null").select("row", F.explode("mins").alias("minimiser"))
     shared = grams.groupBy("minimiser").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("minimiser")
     wanted = grams.join(shared, "minimiser").groupBy("row").agg(F.collect_list("minimiser").alias("mins"))
-    touched = released(written(docs.select("row", "doc_id", "body").join(wanted, "row"), "touched"))
+    touched = written(docs.select("row", "doc_id", "body").join(wanted, "row"), "touched")
     pieces = written(cut(touched), "pieces").withColumn("key", F.unhex(F.md5("packed")))
-    packed = released(written(pieces.groupBy("minimiser", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings"))
+    packed = written(pieces.groupBy("minimiser", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")
     strings = packed.withColumn("key", F.unhex(F.md5("packed")))
     buckets = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings"), F.min("low").alias("a"), F.max("high").alias("b")).where("a < b")
-    sized = released(written(strings.join(buckets.select("minimiser", "strings"), "minimiser"), "sized"))
-    lows = released(written(sorted_buckets(sized.where(F.col("strings") <= BUCKET)).union(dealt_windows(sized.where(F.col("strings") > BUCKET))), "lows"))
+    sized = written(strings.join(buckets.select("minimiser", "strings"), "minimiser"), "sized")
+    lows = written(sorted_buckets(sized.where(F.col("strings") <= BUCKET)).union(dealt_windows(sized.where(F.col("strings") > BUCKET))), "lows")
     discarded(packed, sized)
     marks = pieces.select("row", "doc_id", "first", "key").join(lows, "key").where(F.exists("lows", lambda x: x < F.col("doc_id")))
     hits = marks.select("row", F.transform(F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("first"))), lambda x: x.isNotNull()), lambda x: x.cast("int")).alias("at"))
