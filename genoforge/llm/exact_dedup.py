@@ -1,25 +1,30 @@
 """Exact deduplication on a sharded cuckoo-filter index.
 
 Digests are dealt to shards by their leading bits. A shard stores its live digests (the content that
-verifies a hit) and a cuckoo filter over them: two candidate buckets of four 16-bit fingerprints. A digest
-the filter rejects is new for certain; one it accepts is looked up among the shard's stored digests. A
-filter that can't place a fingerprint doubles its buckets and is filled again from the stored digests.
+verifies a hit) by filter bucket, and a cuckoo filter over them: two candidate buckets of four 16-bit
+fingerprints. A digest that the filter rejects is new for certain; one that it accepts is looked up in
+the content of its bucket. A filter that can't place a fingerprint doubles its buckets and is filled
+again from the stored digests.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_dir, table, written
+from .common import SPACE, discarded, shared_dir, table, written
 
 SLOTS = 4
 MAX_KICKS = 200
-KEYS_PER_SHARD = 20_000
+KEYS_PER_SHARD = 2_000
+#: Digests that a task sums before it sends them on.
+SUMMED = 200_000
 
 KEYS = "shard int, digest string, keep_id long, copies long"
 FILTERS = "shard int, buckets int, live long, resizes int, cells binary"
@@ -79,55 +84,68 @@ def key_hash(digest: str) -> int:
 
 
 class Shard:
-    """One shard's live digests with their keep_id and number of copies, and the filter over them."""
+    """One shard's live digests with their keep_id and number of copies, in buckets, and the filter over them.
 
-    def __init__(self, keys: pd.DataFrame, state: pd.DataFrame):
-        self.keys = {d: [k, c] for d, k, c in zip(keys["digest"], keys["keep_id"], keys["copies"])}
-        self.resizes = int(state["resizes"].iloc[0]) if len(state) else 0
-        self.filter = CuckooFilter(int(state["buckets"].iloc[0]), state["cells"].iloc[0]) if len(state) else CuckooFilter()
+    Whether a digest was seen is the filter's to say: what it rejects is stored without a look at the content.
+    """
+
+    def __init__(self, filter: CuckooFilter | None = None, resizes: int = 0):
+        self.filter, self.resizes = filter or CuckooFilter(), resizes
+        self.content: dict[int, dict[str, list]] = {}
+
+    def _bucket(self, h: int) -> int:
+        return h & (self.filter.buckets - 1)
+
+    def _found(self, digest: str, h: int) -> list | None:
+        return self.content.get(self._bucket(h), {}).get(digest) if h in self.filter else None
 
-    def insert(self, digest: str, keep_id, copies: int) -> None:
+    def store(self, digest: str, keep_id: int | None, copies: int) -> None:
+        """A digest that the filter holds already."""
+        self.content.setdefault(self._bucket(key_hash(digest)), {})[digest] = [keep_id, copies]
+
+    def insert(self, digest: str, keep_id: int | None, copies: int) -> bool:
+        """True if the digest is new."""
         h = key_hash(digest)
-        if h in self.filter and digest in self.keys:
-            held = self.keys[digest]
-            held[0] = keep_id if held[0] is None or pd.isna(held[0]) else held[0] if keep_id is None or pd.isna(keep_id) else min(held[0], keep_id)
+        if held := self._found(digest, h):
+            held[0] = min((x for x in (held[0], keep_id) if x is not None), default=None)
             held[1] += copies
-            return
-        self.keys[digest] = [keep_id, copies]
+            return False
+        self.store(digest, keep_id, copies)
         if not self.filter.insert(h):
             self._resize()
+        return True
 
     def delete(self, digest: str, copies: int) -> None:
-        """Takes copies away; a digest without copies leaves the keys and frees its fingerprint."""
+        """Takes copies away; a digest without copies leaves the content and frees its fingerprint."""
         h = key_hash(digest)
-        if h in self.filter and digest in self.keys:
-            self.keys[digest][1] -= copies
-            if self.keys[digest][1] <= 0:
-                del self.keys[digest]
+        if held := self._found(digest, h):
+            held[1] -= copies
+            if held[1] <= 0:
+                del self.content[self._bucket(h)][digest]
                 self.filter.delete(h)
 
+    def keys(self) -> Iterator[tuple[str, int | None, int]]:
+        return ((d, k, c) for bucket in self.content.values() for d, (k, c) in bucket.items())
+
     def _resize(self) -> None:
-        buckets = self.filter.buckets
+        buckets, keys = self.filter.buckets, list(self.keys())
         while True:
             buckets *= 2
             self.resizes += 1
             self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(key_hash(d)) for d in self.keys):
-                return
-
-    def rows(self, shard: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-        keys = pd.DataFrame([(shard, d, k, c) for d, (k, c) in self.keys.items()], columns=["shard", "digest", "keep_id", "copies"])
-        keys["keep_id"] = keys["keep_id"].astype("Int64")
-        state = pd.DataFrame([(shard, self.filter.buckets, len(self.keys), self.resizes, self.filter.cells.tobytes())], columns=["shard", "buckets", "live", "resizes", "cells"])
-        return keys, state
+            if all(self.filter.insert(key_hash(d)) for d, _, _ in keys):
+                break
+        self.content = {}
+        for key in keys:
+            self.store(*key)
 
 
 class CuckooIndex:
     """An index at a path of the shared folder: `keys` and `filters`, both by shard.
 
     insert() and delete() write a new version beside the old one and return it, so a failed job leaves the
-    index as it was. Batches are summed by digest before they are dealt to shards: however many copies a
-    text has, its shard gets one row, and a shard holds about KEYS_PER_SHARD digests.
+    index as it was. Tasks sum what they read by digest before they send it on: however many copies a text has,
+    its shard gets a row for each task. A shard holds about KEYS_PER_SHARD digests; tasks hold one at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None, shards: int):
@@ -151,39 +169,70 @@ class CuckooIndex:
 
     def insert(self, digests: DataFrame) -> CuckooIndex:
         """digests: (digest, doc_id), a row for each live document."""
-        batch = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        return self._changed(batch.withColumn("added", F.lit(True)))
+        return self._changed(digests.select("digest", "doc_id"), 2)
 
     def delete(self, digests: DataFrame) -> CuckooIndex:
         """digests: (digest), a row for each document that goes; digests without live copies are forgotten."""
-        batch = digests.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        return self._changed(batch.withColumn("added", F.lit(False)))
+        return self._changed(digests.select("digest", F.lit(None).cast("long").alias("doc_id")), 3)
+
+    def _changed(self, batch: DataFrame, kind: int) -> CuckooIndex:
+        """Old keys, filter and batch of a shard follow each other as rows of one sorted partition."""
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[str, list] = {}
+            rows = lambda: pa.RecordBatch.from_pydict(
+                {"digest": list(seen), "keep_id": [k for k, _ in seen.values()], "copies": [c for _, c in seen.values()]},
+                schema=pa.schema([("digest", pa.string()), ("keep_id", pa.int64()), ("copies", pa.int64())]))
+            for some in batches:
+                for digest, doc_id in zip(some["digest"].to_pylist(), some["doc_id"].to_pylist()):
+                    if held := seen.get(digest):
+                        held[0] = min((x for x in (held[0], doc_id) if x is not None), default=None)
+                        held[1] += 1
+                    else:
+                        seen[digest] = [doc_id, 1]
+                if len(seen) > SUMMED:
+                    yield rows()
+                    seen = {}
+            yield rows()
 
-    def _changed(self, batch: DataFrame) -> CuckooIndex:
-        """Old keys, filter and batch of a shard meet as rows of one table, sorted; each shard is rebuilt in turn."""
-        kind = "shard int, kind int, digest string, keep_id long, copies long, buckets int, resizes int, cells binary"
         void = [F.lit(None).cast(t).alias(c) for c, t in (("buckets", "int"), ("resizes", "int"), ("cells", "binary"))]
-        rows = batch.select(self._shard().alias("shard"), F.when(F.col("added"), 2).otherwise(3).alias("kind"), "digest", "keep_id", "copies", *void)
+        rows = batch.mapInArrow(summed, "digest string, keep_id long, copies long").select(self._shard().alias("shard"), F.lit(kind).alias("kind"), "digest", "keep_id", "copies", *void)
         if self.path:
             rows = rows.union(self.keys().select("shard", F.lit(1), "digest", "keep_id", "copies", *void)).union(
                 self.filters().select("shard", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("long"), "buckets", "resizes", "cells"))
-
-        def rebuilt(pdf: pd.DataFrame) -> pd.DataFrame:
-            shard = Shard(pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0])
-            for digest, keep, copies in pdf.loc[pdf["kind"] == 2, ["digest", "keep_id", "copies"]].itertuples(index=False):
-                shard.insert(digest, keep, int(copies))
-            for digest, copies in pdf.loc[pdf["kind"] == 3, ["digest", "copies"]].itertuples(index=False):
-                shard.delete(digest, int(copies))
-            keys, state = shard.rows(int(pdf["shard"].iloc[0]))
-            out = pd.concat([keys.assign(kind=1), state.assign(kind=0)], ignore_index=True)
-            for c in ("keep_id", "copies", "buckets", "resizes", "live"):
-                out[c] = out[c].astype("Int64")
-            return out[["kind", "shard", "digest", "keep_id", "copies", "buckets", "live", "resizes", "cells"]]
+        out = "kind int, shard int, digest string, keep_id long, copies long, buckets int, live long, resizes int, cells binary"
+        columns = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("digest", pa.string()), ("keep_id", pa.int64()), ("copies", pa.int64()), ("buckets", pa.int32()), ("live", pa.int64()), ("resizes", pa.int32()), ("cells", pa.binary())])
+
+        def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, shard = None, Shard()
+
+            def state() -> pa.RecordBatch:
+                found = [(1, at, d, k, c, None, None, None, None) for d, k, c in shard.keys()]
+                found.append((0, at, None, None, None, shard.filter.buckets, len(found), shard.resizes, shard.filter.cells.tobytes()))
+                return pa.RecordBatch.from_pydict(dict(zip(columns.names, map(list, zip(*found)))), schema=columns)
+
+            for some in batches:
+                for n, kind, digest, keep_id, copies, buckets, resizes, cells in zip(*[c.to_pylist() for c in some.columns]):
+                    if n != at:
+                        if at is not None:
+                            yield state()
+                        at, shard = n, Shard()
+                    if kind == 0:
+                        shard = Shard(CuckooFilter(buckets, cells), resizes)
+                    elif kind == 1:
+                        shard.store(digest, keep_id, copies)
+                    elif kind == 2:
+                        shard.insert(digest, keep_id, copies)
+                    else:
+                        shard.delete(digest, copies)
+            if at is not None:
+                yield state()
 
         path = f"{shared_dir(self.spark)}/cuckoo-{uuid.uuid4().hex}"
-        done = written(rows.toDF(*[x.split()[0] for x in kind.split(", ")]).groupBy("shard").applyInPandas(rebuilt, "kind int, shard int, digest string, keep_id long, copies long, buckets int, live long, resizes int, cells binary"), "shards")
+        done = written(rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(rebuilt, out), "shards")
         done.where("kind = 1").select("shard", "digest", "keep_id", "copies").write.parquet(f"{path}/keys")
         done.where("kind = 0").select("shard", "buckets", "live", "resizes", "cells").write.parquet(f"{path}/filters")
+        discarded(done)
         return CuckooIndex(self.spark, path, self.shards)
 
     def lookup(self, digests: DataFrame) -> DataFrame:
@@ -215,8 +264,10 @@ def digested(documents: DataFrame) -> DataFrame:
 def exact_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of documents (doc_id, text).
 
-    Null texts equal empty ones. Rows that repeat a doc_id count each, and are all kept if theirs is the
-    smallest; a null doc_id is kept only where its whole group has none. An empty table gives no rows.
+    Null texts equal empty ones; very long texts are read whole. Rows that repeat a doc_id count each, and are all
+    kept if theirs is the smallest; a null doc_id is kept only where its whole group has none. Other columns are
+    not read, whatever their names. An empty table gives no rows. All digests were inserted, so a probe could
+    only say yes: the rows are joined with the keys that the filters let in.
     """
     spark = documents.sparkSession
     rows = written(digested(documents), "digests")

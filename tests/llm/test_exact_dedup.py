@@ -2,7 +2,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from genoforge.llm import exact_dedup as X
@@ -29,16 +28,31 @@ def test_empty_table(spark):
 
 def test_filter_keeps_all_and_forgets_deleted():
     keys = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(3000)]
-    shard = X.Shard(pd.DataFrame(columns=["digest", "keep_id", "copies"]), pd.DataFrame())
-    for k, d in enumerate(keys):
-        shard.insert(d, k, 1)
+    shard = X.Shard()
+    assert all([shard.insert(d, k, 1) for k, d in enumerate(keys)])
     assert shard.resizes > 0 and all(X.key_hash(d) in shard.filter for d in keys)
-    shard.insert(keys[5], 3, 2)
-    assert shard.keys[keys[5]] == [3, 3]
+    assert not shard.insert(keys[5], 3, 2) and not shard.insert(keys[6], None, 1)
+    held = {d: (k, c) for d, k, c in shard.keys()}
+    assert len(held) == 3000 and held[keys[5]] == (3, 3) and held[keys[6]] == (6, 2)
     for d in keys[:1000]:
         shard.delete(d, 3)
-    assert len(shard.keys) == 2000 and all(X.key_hash(d) in shard.filter for d in keys[1000:])
+    assert {d for d, _, _ in shard.keys()} == set(keys[1000:]) and all(X.key_hash(d) in shard.filter for d in keys[1000:])
     assert sum(X.key_hash(d) in shard.filter for d in keys[:1000]) < 20
+    assert shard.insert(keys[1], 9, 1) and not shard.insert(keys[1], 8, 1)
+
+
+def test_what_the_filter_denies_is_new():
+    """Copies are found through the filter: one that forgets makes them new."""
+    shard, digest = X.Shard(), hashlib.sha256(b"x").hexdigest()
+    shard.insert(digest, 4, 5)
+    shard.filter.cells[:] = 0
+    assert shard.insert(digest, 7, 1) and list(shard.keys()) == [(digest, 7, 1)]
+
+
+def test_equal_fingerprints_are_told_apart_by_content():
+    shard, tail = X.Shard(), "00ab" + "0" * 11 + "7"
+    digests = [f"{k:048x}" + tail for k in range(6)]
+    assert all([shard.insert(d, k, 1) for k, d in enumerate(digests)]) and not any([shard.insert(d, 10, 1) for d in digests])
 
 
 def test_index_inserts_and_deletes(spark):
