@@ -9,21 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 GRAM = 4
-POSITIONS = 1 << 18
 HASHES = 3
-#: N-grams in a language's filter: its most frequent ones.
-PROFILE = 6000
+#: Positions of a filter for each n-gram of the language that has most; fuller filters only let more strange n-grams pass, which is corrected for.
+ROOM, MOST_POSITIONS = 24, 1 << 20
+#: A language has the n-grams that occur once at least in so many of its training documents.
+RARE = 2000
 #: Training documents of a language at most, chosen by a hash of doc_id.
 TRAINING_DOCUMENTS = 10_000
+#: Languages whose sizes are broadcast at most, some 50 bytes each.
+BROADCAST_LANGUAGES = 20_000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -53,27 +57,30 @@ def grams(text: str | None) -> np.ndarray:
 class BitSlicedFilters:
     """One Bloom filter for each language, sliced by position; masks of 64 languages a word."""
 
-    def __init__(self, languages: list[str]):
-        self.languages = languages
-        self.slices = np.zeros((max(1, -(-len(languages) // 64)), POSITIONS), np.uint64)
+    def __init__(self, languages: list[str], positions: int = 1 << 18):
+        self.languages, self.positions = languages, positions
+        self.slices = np.zeros((max(1, -(-len(languages) // 64)), positions), np.uint64)
 
     @staticmethod
-    def _positions(h: np.ndarray) -> list[np.ndarray]:
-        return [((h >> np.uint64(20 * k)) & np.uint64(POSITIONS - 1)).astype(np.int64) for k in range(HASHES)]
+    def places(h: np.ndarray, positions: int) -> list[np.ndarray]:
+        return [((h >> np.uint64(20 * k)) & np.uint64(positions - 1)).astype(np.int64) for k in range(HASHES)]
 
     def add(self, language: str, h: np.ndarray) -> None:
+        for at in self.places(h, self.positions):
+            self.set(language, at)
+
+    def set(self, language: str, at: np.ndarray) -> None:
         word, bit = divmod(self.languages.index(language), 64)
-        for at in self._positions(h):
-            self.slices[word, at] |= np.uint64(1) << np.uint64(bit)
+        self.slices[word, at] |= np.uint64(1) << np.uint64(bit)
 
     def false_rates(self) -> np.ndarray:
         """Of each language: the share of strange n-grams that its filter lets pass."""
-        fill = [np.count_nonzero(self.slices[w] >> np.uint64(b) & np.uint64(1)) / POSITIONS for w, b in (divmod(i, 64) for i in range(len(self.languages)))]
-        return np.array(fill) ** HASHES
+        fill = [np.count_nonzero(self.slices[w] >> np.uint64(b) & np.uint64(1)) / self.positions for w, b in (divmod(i, 64) for i in range(len(self.languages)))]
+        return np.minimum(np.array(fill) ** HASHES, 0.999)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         """The languages that contain each n-gram, as words of bits."""
-        at = self._positions(h)
+        at = self.places(h, self.positions)
         out = self.slices[:, at[0]]
         for more in at[1:]:
             out &= self.slices[:, more]
@@ -89,11 +96,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def trained(documents: DataFrame) -> BitSlicedFilters:
-    """Filters of each language's PROFILE most frequent n-grams in its training documents (doc_id, text, lang)."""
-    known = documents.where(F.col("lang").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = known.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * TRAINING_DOCUMENTS) / F.col("n"))
+def profiles(documents: DataFrame) -> DataFrame:
+    """(lang, h): every n-gram of each language in its training documents (doc_id, text, lang) that isn't rarer than RARE.
+
+    No text is shuffled: the languages' sizes go to the documents unless there are very many languages.
+    """
+    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
+    sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "languages")
+    few = sizes.count() <= BROADCAST_LANGUAGES
+    share = F.lit(1_000_000.0 * TRAINING_DOCUMENTS) / F.col("docs")
+    chosen = known.join(F.broadcast(sizes) if few else sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -102,11 +114,25 @@ def trained(documents: DataFrame) -> BitSlicedFilters:
                 yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n})
 
     totals = chosen.select("lang", "text").mapInPandas(counted, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    top = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("rank") <= PROFILE)
-    profiles = top.select("lang", "h").toPandas()  # PROFILE rows for each language
-    filters = BitSlicedFilters(sorted(profiles["lang"].unique()))
-    for lang, part in profiles.groupby("lang"):
-        filters.add(lang, part["h"].to_numpy(np.int64).view(np.uint64))
+    least = F.least(F.col("docs"), F.lit(TRAINING_DOCUMENTS)) / RARE
+    return written(totals.join(F.broadcast(sizes) if few else sizes, "lang").where(F.col("n") >= least).select("lang", "h"), "profiles")
+
+
+def trained(documents: DataFrame) -> BitSlicedFilters:
+    """Filters of the languages' n-grams, as large as these need; positions are found by tasks, so MOST_POSITIONS a language reach the driver at most."""
+    known = profiles(documents)
+    kinds = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each language
+    positions = min(MOST_POSITIONS, 1 << ceil(log2(ROOM * max(kinds.values(), default=1))))
+    filters = BitSlicedFilters(sorted(kinds), positions)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.concatenate(BitSlicedFilters.places(pdf["h"].to_numpy(np.int64).view(np.uint64), positions))
+            yield pd.DataFrame({"lang": np.tile(pdf["lang"].to_numpy(), HASHES), "at": at})
+
+    filled = known.mapInPandas(placed, "lang string, at int").distinct().toPandas()
+    for lang, part in filled.groupby("lang"):
+        filters.set(lang, part["at"].to_numpy(np.int64))
     return filters
 
 
@@ -115,7 +141,8 @@ def languages(documents: DataFrame) -> DataFrame:
 
     score: the language's part of all languages' evidence. `und` with score 0 where the text is null, has no
     letter, or nothing is learned; texts whose n-grams are all strange get the first language with score 0.
-    Of equal evidence the first language by name wins. Rows that repeat a doc_id are judged each.
+    Of equal evidence the first language by name wins. Rows that repeat a doc_id are judged each; very long texts
+    are read whole, other columns not at all, whatever their names. An empty table gives no rows.
     """
     filters = trained(documents)
     rates = filters.false_rates()
