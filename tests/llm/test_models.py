@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -54,13 +56,40 @@ def cases_null():
 
 def test_masks_hold_what_was_added():
     filters = language.BitSlicedFilters([f"l{k:02}" for k in range(70)])
-    h = language.grams("some words of a language and then some more")
+    h = np.unique(language.grams("some words of a language and then a few more"))
     filters.add("l03", h)
     filters.add("l68", h[:10])
     e = filters.evidence(h, filters.false_rates())
     assert e[3] == pytest.approx(len(h), abs=1) and 9 <= e[68] <= 12 and e[5] == 0
 
 
+def test_language_against_plain_sets(spark):
+    """Every language that has an n-gram is found, and popcounts are those of plain sets but for the false positives."""
+    docs = table(spark, SF, "documents")
+    rows = docs.selectExpr("doc_id", "text", "lang").collect()
+    seen = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            seen.setdefault(r.lang, set()).update(language.grams(r.text).tolist())  # as small a table has no n-gram that is too rare
+    filters = language.trained(docs)
+    rates = filters.false_rates()
+    assert filters.languages == sorted(seen) and (rates < 0.01).all()
+    right = 0
+    for r in rows:
+        h = language.grams(r.text)
+        if not len(h):
+            continue
+        exact = np.array([sum(x in seen[lang] for x in h.tolist()) for lang in filters.languages], float)
+        found = filters.masks(h)[0]
+        for k, lang in enumerate(filters.languages):
+            own = np.array([x in seen[lang] for x in h.tolist()])
+            assert (found[own] >> np.uint64(k) & np.uint64(1)).all()
+        e = filters.evidence(h, rates)
+        assert np.abs(e - exact).max() <= 5 + 0.02 * len(h)
+        right += e.argmax() == exact.argmax()
+    assert right >= 0.99 * len(rows)
+
+
 def test_license_notices(spark):
     lines = {1: "Hello there.\nReleased under the MIT License.\nmore", 2: "Licensed under CC BY-NC 4.0.", 3: "the license of the version under the public work", 4: None, 5: "",
              6: "(c) 2020 Someone. Licensed under the Apache License, Version 2.0.", 7: "All rights reserved.", 8: "This work is licensed under the GNU General Public License, version 3."}
@@ -99,13 +128,92 @@ def test_html_on_unseen_layouts():
     assert right >= 54
 
 
+def picture(r, side=14, cell=10):
+    return np.kron(r.integers(0, 255, (side, side)), np.ones((cell, cell)))
+
+
+def png(pixels, kind):
+    """A PNG of one filter kind for all lines."""
+    h, w, c = pixels.shape
+    lines, above = [], np.zeros((w, c), int)
+    for line in pixels.astype(int):
+        left, corner = np.vstack([np.zeros((1, c), int), line[:-1]]), np.vstack([np.zeros((1, c), int), above[:-1]])
+        p = left + above - corner
+        paeth = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        guess = [0, left, above, (left + above) // 2, paeth][kind]
+        lines.append(bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes())
+        above = line
+    chunk = lambda k, body: len(body).to_bytes(4, "big") + k + body + zlib.crc32(k + body).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_round_trip(kind):
+    r = np.random.default_rng(kind)
+    for c in (1, 2, 3, 4):
+        pixels = r.integers(0, 256, (9, 7, c)).astype(np.uint8)
+        assert (media.decoded(png(pixels, kind)) == media._grey(pixels).astype(np.float32)).all()
+    assert media.decoded(png(pixels, kind)[:60]) is None and media.decoded(b"P5\n9 9\n255\n") is None
+    assert media.decoded(b"P6 # x\n2 1 255\n" + bytes(6)).shape == (1, 2)
+
+
 def test_media_copies(spark):
     r = np.random.default_rng(4)
     rows = []
     for k in range(12):
-        a = np.kron(r.integers(0, 255, (14, 14)), np.ones((10, 10)))
-        rows += [(100 * k, media.encoded(a)), (100 * k + 1, media.encoded(a[15:125, 10:130])), (100 * k + 2, media.encoded(np.clip(a * 0.9 + 9, 0, 255))), (100 * k + 3, media.encoded(np.rot90(a))), (100 * k + 4, media.encoded(a))]
+        a = picture(r)
+        rows += [(100 * k, media.encoded(a)), (100 * k + 1, media.encoded(a[15:125, 10:130])), (100 * k + 2, media.encoded(np.clip(a * 0.9 + 9, 0, 255))), (100 * k + 3, png(np.rot90(a)[..., None], 2)), (100 * k + 4, media.encoded(a))]
     rows += [(5001, None), (5002, b"no"), (None, None), (5003, media.encoded(np.zeros((60, 60)))), (5100, None)]
-    got = {(x.query_id, x.match_id): x for x in media.copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    rows = [(i, x, "q", "d", 3, 4.0) for i, x in rows]
+    schema = "media_id long, image binary, q string, digest string, d0 int, votes double"
+    got = {(x.query_id, x.match_id): x for x in media.copies(spark.createDataFrame(rows, schema)).collect()}
     assert set(got) == {(100 * k, 100 * k + j) for k in range(12) for j in range(4)} | {(5100, 5001)}
     assert got[0, 0].copies == 2 and got[0, 0].votes is None
+    assert media.copies(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_media_recall_against_all_pairs(spark):
+    """Noisy, rescaled and strongly cropped copies of large pictures, and what a comparison of all pairs of images finds."""
+    r = np.random.default_rng(8)
+    rows, kinds = [], {}
+    for k in range(5):
+        a = picture(r, 20, 9)
+        edits = {
+            "noise": np.clip(a + r.normal(0, 6, a.shape), 0, 255), "crop": a[70:160, 40:130], "darker": a * 0.7,
+            "half": media._scaled(a.astype(np.float32), 0.5), "smaller": media._scaled(a.astype(np.float32), 0.7), "turned": np.rot90(a, 2), "caption": np.vstack([a, np.full((40, a.shape[1]), 255)]),
+        }
+        rows.append((100 * k, media.encoded(a)))
+        for j, (kind, b) in enumerate(edits.items(), 1):
+            kinds[100 * k, 100 * k + j] = kind
+            rows.append((100 * k + j, media.encoded(np.rint(b))))
+    got = {(x.query_id, x.match_id) for x in media.copies(spark.createDataFrame(rows, "media_id long, image binary")).where("votes is not null").collect()}
+    known = {i: media.descriptors(media.decoded(x)) for i, x in rows}
+    want = set()
+    for q in range(0, 500, 100):
+        for m, (places, bits) in known.items():
+            i, j = np.nonzero(np.bitwise_count(known[q][1][:, None] ^ bits[None]).sum(2) <= media.MOST_BITS_APART)
+            if m != q and media.consensus(known[q][0], places, np.stack([i, j], 1)):
+                want.add((q, m))
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+    found = {kind: np.mean([p in got for p, x in kinds.items() if x == kind]) for kind in set(kinds.values())}
+    print(found)
+    assert got <= set(kinds) and min(v for v in found.values()) >= 0.9
+
+
+def test_media_recall_by_distance(spark):
+    """Descriptors that differ in so many bits are found: all up to 15, at least nine in ten up to MOST_BITS_APART."""
+    r = np.random.default_rng(3)
+    asked = r.integers(-(2**63), 2**63 - 1, (200, 4))
+    rows = []
+    for far in range(media.MOST_BITS_APART + 3):
+        for q in asked.tolist():
+            bits = np.unpackbits(np.array(q, ">i8").view(np.uint8))
+            bits[r.choice(256, far, replace=False)] ^= 1
+            rows.append((*np.packbits(bits).view(">i8").tolist(), far))
+    names = "d0 long, d1 long, d2 long, d3 long"
+    known = spark.createDataFrame([(*x[:4], x[4]) for x in rows], names + ", held int")
+    found = media.alike(spark.createDataFrame(asked.tolist(), names), known).groupBy("held").count().collect()
+    share = {x.held: x["count"] / 200 for x in found}
+    print(share)
+    assert all(share[k] == 1 for k in range(16)) and all(share[k] >= 0.9 for k in range(media.MOST_BITS_APART + 1)) and max(share) == media.MOST_BITS_APART
