@@ -30,5 +30,5 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
     df = QUERIES[name](spark, SF)
     got = df.collect()
-    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall()
+    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in df.columns)} FROM ({SQL[name]})").fetchall()
     assert plain(got) == plain(want)
