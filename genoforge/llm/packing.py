@@ -2,9 +2,10 @@
 
 Every source is a queue of tokens. Round by round a queue's deficit grows by its share of a window and the
 queue sends its deficit, in whole quanta; what is left is carried to the next round, and a sequence that a
-round doesn't fill takes its rest from the next. The running total that a queue has sent after r rounds is
-therefore a formula of r and the queue totals, so tasks place their documents without talking to each other:
-they need the totals by source and where their own share of each queue starts.
+round doesn't fill takes its rest from the next. A queue that is empty leaves its share to the others. The
+running total that a queue has sent after r rounds is therefore a formula of r, the queue totals and the
+target weights, so tasks place their documents without talking to each other: they need the totals by source
+and where their own share of each queue starts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW = 2048
-#: A queue sends at least so many tokens at once, so that rare sources don't crumble.
-QUANTUM = 64
+#: A queue sends at least so many tokens at once, so that documents don't crumble.
+QUANTUM = 256
 END = 1
 #: Queues that are served side by side; of more sources, the smallest share the last queue and are served in it in turn.
 MAX_QUEUES = 1024
@@ -67,15 +68,17 @@ class WordIds:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> bool:
+        """False if the tokenizer cuts these pieces in another way."""
         ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
         if len(ends) != len(pieces):
-            raise ValueError("the tokenizer cuts these texts in another way")
+            return False
         raw, at = ids.tobytes(), 0
         for piece, end in zip(pieces, ends.tolist()):
             self.pieces[piece] = raw[at:end]
             at = end
+        return True
 
     def of(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
@@ -83,8 +86,9 @@ class WordIds:
         words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if new := set(words).difference(self.words):
             cut = [(w, _PIECE.findall(w)) for w in new]
-            if fresh := list({p for _, ps in cut for p in ps}.difference(self.pieces)):
-                self.learn(fresh)
+            fresh = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+            if fresh and not self.learn(fresh):
+                return self.ids(text).tobytes()
             for w, ps in cut:
                 self.words[w] = b"".join([self.pieces[p] for p in ps])
         out = b"".join(map(self.words.__getitem__, words))
@@ -113,51 +117,104 @@ def tokenised(documents: DataFrame, path: str) -> DataFrame:
     return written(documents.select("doc_id", "text", "source").mapInPandas(encoded, TOKENISED), "tokens")
 
 
-def sent(rounds: np.ndarray, totals: np.ndarray, window: int, quantum: int, whole: int | None = None) -> np.ndarray:
-    """Tokens that each queue (column) has sent after each round (row); after the last round, all. whole: of all queues."""
-    whole = int(totals.sum()) if whole is None else whole
-    share = np.floor(rounds[:, None].astype(np.float64) * window / max(whole, 1) * totals[None, :] / quantum).astype(np.int64) * quantum
-    return np.where(rounds[:, None] >= -(-whole // window), totals[None, :], np.minimum(np.maximum(share, 0), totals[None, :]))
+class Node:
+    """Queues that are served side by side: how much each has sent after so many rounds.
 
+    Queue q has `totals[q]` tokens and sends in proportion to `weights[q]` as long as it has any. At pace v it has
+    sent weights[q] * v tokens; the pace after r rounds is where all queues together have sent r windows.
+    """
 
-def sending(queue: int, start: int, n: int, totals: np.ndarray, window: int, quantum: int) -> np.ndarray:
-    """The rounds (counted from 1) in which a queue sends the n tokens at start: those that complete one of their quanta."""
-    whole, own = int(totals.sum()), totals[queue : queue + 1]
-    last = -(-whole // window)
-    goal = np.arange(start // quantum + 1, (start + n - 1) // quantum + 2) * quantum
-    upto = lambda r: sent(r, own, window, quantum, whole)[:, 0]
-    rounds = np.clip(np.ceil(goal * (whole / (max(int(own[0]), 1) * window))).astype(np.int64), 1, last)
-    while (late := (upto(rounds - 1) >= goal) & (rounds > 1)).any():  # what rounding of the estimate left
-        rounds = rounds - late
-    while (early := (upto(rounds) < goal) & (rounds < last)).any():
-        rounds = rounds + early
-    return np.unique(rounds)
+    def __init__(self, totals: np.ndarray, weights: np.ndarray):
+        self.totals, self.weights = totals.astype(np.int64), weights.astype(np.float64)
+        self.whole = int(self.totals.sum())
+        dry = self.totals / self.weights
+        order = np.argsort(dry, kind="stable")
+        self.paces = np.concatenate([[0.0], dry[order]])
+        left = self.weights.sum() - np.concatenate([[0.0], np.cumsum(self.weights[order])])[:-1]
+        self.reached = np.concatenate([[0.0], np.cumsum(np.maximum(left, 0) * np.diff(self.paces))])
+
+    def _between(self, x: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Linear between the points, never beyond the ends of a stretch, so that it never falls."""
+        k = np.clip(np.searchsorted(xs, x, "right") - 1, 0, len(xs) - 2)
+        step = xs[k + 1] - xs[k]
+        share = np.divide(x - xs[k], step, out=np.ones_like(x), where=step > 0)
+        return np.clip(ys[k] + share * (ys[k + 1] - ys[k]), ys[k], ys[k + 1])
+
+    def last(self, window: int) -> int:
+        return -(-self.whole // window)
+
+    def sent(self, rounds: np.ndarray, window: int, quantum: int, queues: np.ndarray | None = None) -> np.ndarray:
+        """Of each round a row with the tokens that each queue has sent, or of queues (as long as rounds) that queue's; all after the last round."""
+        pace = self._between(np.maximum(rounds, 0).astype(np.float64) * window, self.reached, self.paces)
+        if queues is None:
+            pace, ended, totals, weights = pace[:, None], rounds[:, None] >= self.last(window), self.totals[None, :], self.weights[None, :]
+        else:
+            ended, totals, weights = rounds >= self.last(window), self.totals[queues], self.weights[queues]
+        return np.where(ended, totals, np.minimum(np.floor(weights * pace / quantum).astype(np.int64) * quantum, totals))
 
+    def round_of(self, queues: np.ndarray, goals: np.ndarray, window: int, quantum: int) -> np.ndarray:
+        """The first round, counted from 1, after which each queue has sent its goal; the last one if none."""
+        last = self.last(window)
+        guess = np.ceil(self._between(goals / self.weights[queues], self.paces, self.reached) / window)
+        rounds = np.clip(guess.astype(np.int64), 1, last)
+        while (late := (rounds > 1) & (self.sent(rounds - 1, window, quantum, queues) >= goals)).any():  # what rounding of the guess left
+            rounds = rounds - late
+        while (early := (rounds < last) & (self.sent(rounds, window, quantum, queues) < goals)).any():
+            rounds = rounds + early
+        return rounds
 
-def placed(queue: int, start: int, n: int, totals: np.ndarray, window: int, quantum: int) -> list[tuple[int, int, int, int]]:
-    """(offset in the document, length, sequence, offset there) of the n tokens at start of a queue."""
-    out = []
-    if n <= 0:
-        return out
-    sends = sending(queue, start, n, totals, window, quantum)
-    block = max(BLOCK // len(totals), 1)
-    for first in range(0, len(sends), block):  # memory is bounded, however far apart the rounds are
-        r = sends[first : first + block]
-        known = np.unique(np.concatenate([r - 1, r]))
-        upto, at_r = sent(known, totals, window, quantum), np.searchsorted(known, r)
-        before = np.searchsorted(known, r - 1)
-        every, own, behind = upto.sum(1)[before], upto[:, queue], upto[:, :queue].sum(1)
-        for a0, b0, at0 in zip(own[before].tolist(), own[at_r].tolist(), (every + behind[at_r] - behind[before]).tolist()):
-            a, b = max(start, a0), min(start + n, b0)
-            at = at0 + a - a0
-            while a < b:
-                take = min(b - a, window - at % window)
-                if out and out[-1][2] == at // window and out[-1][3] + out[-1][1] == at % window:
-                    out[-1] = (out[-1][0], out[-1][1] + take, out[-1][2], out[-1][3])
-                else:
-                    out.append((a - start, take, at // window, at % window))
-                a, at = a + take, at + take
-    return out
+
+def placed(node: Node, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int, quantum: int) -> tuple[np.ndarray, ...]:
+    """Pieces (item, offset in the item, length, place) of items: the n tokens at start of a queue.
+
+    Looks only at the rounds in which an item's queue completes one of its quanta, in blocks of bounded size.
+    """
+    first = start // quantum + 1
+    goals = np.where(n > 0, (start + n - 1) // quantum + 2 - first, 0)
+    block, found = max(BLOCK // len(node.totals), 1), []
+    ends = np.cumsum(goals)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, block):
+        index = np.arange(low, min(low + block, int(ends[-1])))
+        item = np.searchsorted(ends, index, "right")
+        goal = (first[item] + index - (ends[item] - goals[item])) * quantum
+        rounds = node.round_of(queue[item], goal, window, quantum)
+        fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (rounds[1:] != rounds[:-1])])
+        item, rounds = item[fresh], rounds[fresh]
+        known = np.unique(np.concatenate([rounds - 1, rounds]))
+        upto = node.sent(known, window, quantum)
+        behind = np.cumsum(upto, 1) - upto
+        was, now, q = np.searchsorted(known, rounds - 1), np.searchsorted(known, rounds), queue[item]
+        a0, b0 = upto[was, q], upto[now, q]
+        a, b = np.maximum(start[item], a0), np.minimum(start[item] + n[item], b0)
+        at = upto.sum(1)[was] + behind[now, q] - behind[was, q] + a - a0
+        some = a < b
+        found.append((item[some], (a - start[item])[some], (b - a)[some], at[some]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _joined(item: np.ndarray, offset: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces in order of item and offset, with those made one that follow each other in both; a block may repeat the end of the one before."""
+    order = np.lexsort((offset, item))
+    item, offset, length, place = item[order], offset[order], length[order], place[order]
+    if not len(item):
+        return item, offset, length, place
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (offset[1:] != offset[:-1]) | (place[1:] != place[:-1])])
+    item, offset, length, place = item[new], offset[new], length[new], place[new]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (offset[:-1] + length[:-1] != offset[1:]) | (place[:-1] + length[:-1] != place[1:])])
+    starts = np.flatnonzero(new)
+    return item[new], offset[new], np.add.reduceat(length, starts), place[new]
+
+
+def windowed(item: np.ndarray, offset: np.ndarray, length: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces (item, offset, length, sequence, offset there), cut where a sequence ends."""
+    cuts = np.where(length > 0, (place + length - 1) // window - place // window + 1, 0)
+    of = np.repeat(np.arange(len(item)), cuts)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = np.where(k == 0, place[of], (place[of] // window + k) * window)
+    end = np.minimum(place[of] + length[of], (begin // window + 1) * window)
+    return item[of], offset[of] + begin - place[of], end - begin, begin // window, begin % window
 
 
 class Queues:
@@ -167,62 +224,63 @@ class Queues:
     dealt over queues by rank, so the depth grows with the logarithm of their number.
     """
 
-    def __init__(self, sizes: np.ndarray, most: int):
-        self.sizes, self.most = sizes, most
-        self.nodes: dict[tuple[int, ...], np.ndarray] = {}
-
-    def path(self, rank: int) -> list[tuple[int, np.ndarray]]:
-        """(queue, totals) of each node from the root to the source."""
-        if len(self.sizes) <= self.most:
-            return [(rank, self.sizes)]
-        own = self.most - 1
-        if () not in self.nodes:
-            self.nodes[()] = np.append(self.sizes[:own], self.sizes[own:].sum())
-        out = [(min(rank, own), self.nodes[()])]
+    def __init__(self, sizes: np.ndarray, weights: np.ndarray, most: int):
+        self.sizes, self.weights, self.most = sizes, weights, most
+        self.nodes: dict[tuple[int, ...], Node] = {}
+
+    def _node(self, key: tuple[int, ...], groups: list[slice]) -> Node:
+        if key not in self.nodes:
+            self.nodes[key] = Node(np.array([self.sizes[g].sum() for g in groups]), np.array([self.weights[g].sum() for g in groups]))
+        return self.nodes[key]
+
+    def path(self, rank: int) -> list[tuple[int, tuple[int, ...]]]:
+        """(queue, key of its node) from the root to the source."""
+        size, most = len(self.sizes), self.most
+        if size <= most:
+            self._node((), [slice(k, k + 1) for k in range(size)])
+            return [(rank, ())]
+        own = most - 1
+        self._node((), [*(slice(k, k + 1) for k in range(own)), slice(own, None)])
+        out = [(min(rank, own), ())]
         if rank < own:
             return out
-        k, step, key = rank - own, 1, ()
-        while True:  # the members of a node: every step-th of the shared sources, from the place that the key names
-            at = sum(d * self.most**i for i, d in enumerate(key))
-            members = -(-(len(self.sizes) - own - at) // step)
-            queue = (k - at) // step % self.most if members > self.most else (k - at) // step
-            if (0, *key) not in self.nodes:
-                rest = self.sizes[own + at :: step]
-                self.nodes[(0, *key)] = rest if members <= self.most else np.array([rest[q :: self.most].sum() for q in range(self.most)])
-            out.append((queue, self.nodes[(0, *key)]))
-            if members <= self.most:
+        k, step, at, key = rank - own, 1, 0, (0,)
+        while True:  # the members of a node: every step-th of the shared sources, from `at`
+            members = -(-(size - own - at) // step)
+            split = most if members > most else members
+            queue = (k - at) // step % split
+            if key not in self.nodes:
+                self._node(key, [slice(own + at + q * step, None, step * split) for q in range(split)])
+            out.append((queue, key))
+            if members <= most:
                 return out
-            key, step = (*key, queue), step * self.most
-
-
-def placed_in(path: list[tuple[int, np.ndarray]], start: int, n: int, window: int, quantum: int) -> list[tuple[int, int, int, int]]:
-    """placed() of a source whose queue is in queues: what a node has placed is where its own queue takes it from."""
-    pieces = [(0, start, n)]
-    for depth, (queue, totals) in enumerate(reversed(path)):
-        found = [(at + o, k, s, off) for at, begin, size in pieces for o, k, s, off in placed(queue, begin, size, totals, window, quantum)]
-        if depth == len(path) - 1:
-            return _joined(found, window)
-        pieces = [(o, s * window + off, k) for o, k, s, off in found]
-    return []
-
-
-def _joined(pieces: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    out = pieces[:1]
-    for o, k, s, off in pieces[1:]:
-        po, pk, ps, poff = out[-1]
-        if ps == s and poff + pk == off and po + pk == o:
-            out[-1] = (po, pk + k, ps, poff)
-        else:
-            out.append((o, k, s, off))
-    return out
-
-
-def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
+            at, step, key = at + queue * step, step * most, (*key, queue)
+
+    def placed(self, ranks: np.ndarray, start: np.ndarray, n: np.ndarray, window: int, quantum: int) -> tuple[np.ndarray, ...]:
+        """Pieces (item, offset, length, sequence, offset there) of items of sources, by rank: what a node has placed is where its own queue takes it from."""
+        paths, alike, found = {r: self.path(r) for r in np.unique(ranks).tolist()}, {}, []
+        for i, r in enumerate(ranks.tolist()):
+            alike.setdefault(tuple(key for _, key in paths[r]), []).append(i)
+        for path, mine in alike.items():
+            mine = np.array(mine, np.int64)
+            item, offset, length, place = mine, np.zeros(len(mine), np.int64), n[mine], start[mine]
+            for depth in range(len(path) - 1, -1, -1):
+                queue = np.array([paths[r][depth][0] for r in ranks[item].tolist()], np.int64)
+                of, o, k, p = placed(self.nodes[path[depth]], queue, place, length, window, quantum)
+                item, offset, length, place = _joined(item[of], offset[of] + o, k, p)
+            found.append(windowed(item, offset, length, place, window))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str | None, float] | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
-    Null and empty texts are one END token; null is a source of its own; rows with one doc_id are packed each
-    on their own. Only the last sequence may be short. An empty table gives no rows. Each window holds each
-    source's share of all tokens to within a quantum and what its deficit carries.
+    weights: the target proportions of sources, 1 for those that it doesn't name; without it, sources go in
+    proportion to their tokens. Each window holds each source's target share to within a quantum and what its
+    deficit carries; sources that run out leave their share to the others. Null and empty texts are one END
+    token; null is a source of its own; rows with one doc_id are packed each on their own; very long texts are
+    cut like others. Other columns are not read, whatever their names. Only the last sequence may be short. An
+    empty table gives no rows.
     """
     tokens = tokenised(documents, path)
     totals = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "totals")
@@ -231,18 +289,19 @@ def packed(documents: DataFrame, path: str, window: int = WINDOW, quantum: int =
     ranked = written(ranked, "queues")
     starts = totals.withColumn("base", F.coalesce(F.sum("n").over(by_source), F.lit(0))).alias("t").join(
         ranked.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source"))).select("t.source", "t.part", "r.rank", "base")
-    sizes = np.array([r["n"] for r in ranked.orderBy("rank").select("n").toLocalIterator()], np.int64)  # a number for each source
+    sizes, targets = [], []
+    for r in ranked.orderBy("rank").select("source", "n").toLocalIterator():  # two numbers for each source
+        sizes.append(r["n"])
+        targets.append(r["n"] if weights is None else max(float(weights.get(r["source"], 1)), 1e-9))
+    sizes, targets = np.array(sizes, np.int64), np.array(targets, np.float64)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queues = Queues(sizes, MAX_QUEUES)
+        queues = Queues(sizes, targets, MAX_QUEUES)
         for pdf in batches:
-            rows = []
-            for doc_id, ids, n, rank, start in zip(pdf["doc_id"], pdf["ids"], pdf["n"], pdf["rank"], pdf["start"]):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                view = memoryview(ids)
-                rows += [(doc_id, a, k, zlib.crc32(view[4 * a : 4 * (a + k)]), n, s, o) for a, k, s, o in placed_in(queues.path(int(rank)), int(start), int(n), window, quantum)]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            item, a, k, sequence, offset = queues.placed(*[pdf[c].to_numpy(np.int64) for c in ("rank", "start", "n")], window, quantum)
+            views = [memoryview(x) for x in pdf["ids"]]
+            crc = [zlib.crc32(views[i][4 * x : 4 * (x + y)]) for i, x, y in zip(item.tolist(), a.tolist(), k.tolist())]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy()[item], "start": a, "length": k, "ids_crc32": crc, "doc_tokens": pdf["n"].to_numpy()[item], "sequence_id": sequence, "offset": offset})
 
     # A row for each task and source; if few, they go to the tokens, else both are shuffled.
     starts = F.broadcast(starts) if totals.count() <= BROADCAST_ROWS else starts
