@@ -15,22 +15,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id. Rows that share a doc_id stay or go together."""
-    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts the document with the smallest doc_id, or those without any where none has one.
+
+    Rows that repeat both doc_id and text are one document. Other rows of a doc_id are judged by their own texts.
+    """
+    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256").distinct().alias("g")
+    rows = docs.select(F.struct("*").alias("row"), exact_dedup.digest("text").alias("digest")).alias("d")
+    same = (F.col("d.digest") == F.col("g.text_sha256")) & F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id."""
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document, with the links of each; rows without a doc_id stay.
+    """
     gone = jaccard_join.similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, 0 to 3 times."""
-    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.col("_copies")))).where("_copy > 0").select(docs.columns)
+    copies = mixing.mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).alias("c")
+    rows = docs.select(F.struct("*").alias("row")).alias("d").join(copies, F.col("d.row.doc_id").eqNullSafe(F.col("c.doc_id")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("c.copies")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

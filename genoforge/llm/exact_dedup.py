@@ -255,10 +255,14 @@ class CuckooIndex:
         return tagged.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(asked, "digest string, maybe boolean")
 
 
+def digest(text: str) -> F.Column:
+    """SHA-256 of the text with each run of white space as one space; null counts as empty."""
+    return F.sha2(F.encode(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), "UTF-8"), 256)
+
+
 def digested(documents: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with each run of white space as one space; null counts as empty."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
-    return documents.select("doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
+    """(doc_id, digest) of documents (doc_id, text)."""
+    return documents.select("doc_id", digest("text").alias("digest"))
 
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:

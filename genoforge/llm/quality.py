@@ -116,7 +116,7 @@ def fitted(points: DataFrame, labels: DataFrame) -> Discriminant | None:
         for c, v in total.items():
             yield pd.DataFrame({"quality": c, "k": np.arange(len(v)), "v": v})
 
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out()).dropDuplicates(["doc_id"])
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     parts = points.join(known, "doc_id").select("quality", "x").mapInPandas(sums, "quality int, k int, v double")
     found = parts.groupBy("quality", "k").agg(F.sum("v").alias("v")).toPandas()  # 2 (1 + d + d²) numbers
     moments = {}
@@ -129,9 +129,10 @@ def fitted(points: DataFrame, labels: DataFrame) -> Discriminant | None:
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of documents (doc_id, text).
 
-    labels: (doc_id, quality); other values than 0 and 1 are left out, of several rows of a doc_id one counts.
+    labels: (doc_id, quality); other values than 0 and 1 are left out, of several labels of a doc_id the least counts.
     Null and empty texts are scored by their statistics; without any label every score is 0.5. Rows that
-    repeat a doc_id are scored each; a null doc_id is never held out. An empty table gives no rows.
+    repeat a doc_id are scored each; a null doc_id is never held out; a score of exactly 0.5 is predicted 1. Very
+    long texts are measured whole; other columns are not read, whatever their names. An empty table gives no rows.
     """
     points = written(measured(documents), "statistics")
     model = fitted(points, labels)

@@ -28,6 +28,29 @@ def test_quality_edges(spark):
     assert quality.quality_scores(cases.empty(spark), labels).count() == 0
 
 
+def test_scores_against_numpy(spark):
+    """Log densities of both classes by plain inverses and determinants of the shrunk covariances."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learned = {i: q for i, q in known.items() if q in (0, 1) and i in texts and zlib.crc32(str(i).encode()) % 3 != 1}
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    every = np.stack([x[i] for i in learned])
+    groups = {c: np.stack([x[i] for i, q in learned.items() if q == c]) for c in (0, 1)}
+    covs = {c: np.cov(g.T, bias=True) for c, g in groups.items()}
+    pooled = sum(len(g) / len(every) * covs[c] for c, g in groups.items())
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+
+    def density(v, c):
+        shrunk = ((1 - quality.POOL - quality.RIDGE) * covs[c] + quality.POOL * pooled) / np.outer(scale, scale) + quality.RIDGE * np.eye(len(scale))
+        z = (v - groups[c].mean(0)) / scale
+        return np.log(len(groups[c]) / len(every)) - 0.5 * np.linalg.slogdet(shrunk)[1] - 0.5 * z @ np.linalg.inv(shrunk) @ z
+
+    for r in quality.quality_scores(docs, labels).collect():
+        gap = np.clip(density(x[r.doc_id], 1) - density(x[r.doc_id], 0), -500, 500)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-gap)), abs=1e-6)
+
+
 def test_scores_are_density_differences():
     r = np.random.default_rng(1)
     x0, x1 = r.normal(0, 1, (400, 3)), r.normal(1, 2, (500, 3))
