@@ -80,26 +80,24 @@ def size_classes(num: int, den: int) -> list[int]:
     return bounds
 
 
-def slack(bound: int) -> tuple[int, int, int, int]:
-    """(spare, small, hot, need) of a size class whose linked sets differ in `bound` shingles at most.
+def slack(bound: int) -> tuple[int, int, int]:
+    """(spare, hot, need) of a size class whose linked sets differ in `bound` shingles at most.
 
-    Of bound + 1 + spare parts linked sets agree in more than spare. A set may leave out its `small` smallest
-    parts and its `hot` most frequent ones; `need` tokens that both name then still are the same.
+    Sets are dealt to bound + 1 + spare parts. Linked sets name hot + need parts alike; each may leave out its
+    `hot` most frequent ones, and `need` of them are still the same.
     """
-    spare = 1 + bound // 7
-    if spare < 4:
-        return spare, spare, 0, 1
-    small = spare // 2
-    hot = (spare - small) // 2
-    return spare, small, hot, spare + 1 - small - hot
+    spare = 2 + bound // 7
+    alike = spare // 2
+    return spare, alike // 2, alike - alike // 2
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the set's parts, for its size class and, where larger partners may lie there, the next.
 
-    A set leaves out its smallest parts, empty ones and those of a shingle or two that anything may share, as
-    far as all parts of that size are `small` at most: equal parts have equal sizes, so two sets that leave
-    out different sizes leave out no more of what they share than the one that leaves out more.
+    Sets that differ in d shingles agree in all but d parts at least, and a set's size bounds d for all of its
+    partners. So it may leave out its smallest parts, empty ones and those of a shingle or two that anything may
+    share, as long as hot + need of those that agree are left: equal parts have equal sizes, so of two sets one
+    leaves out all that the other does. If the parts of one size are too many, it leaves out no such part.
     """
     n, bounds, out = len(tokens), size_classes(num, den), []
     if not n:
@@ -110,15 +108,16 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
             break
         bound = most_apart(2 * (bounds[c + 1] - 1), num, den)
         if bound:  # else only equal sets can be linked
-            spare, small, _, _ = slack(bound)
+            spare, hot, need = slack(bound)
             parts = bound + 1 + spare
+            agree = parts - most_apart(n + min(bounds[c + 1] - 1, n * den // num), num, den)
             part = (tokens % np.uint64(parts)).astype(np.int64)
             order, count = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(tokens[order] * _ODD), dtype=np.uint64)])
             ends = np.cumsum(count)
             named = _mixed((sums[ends] - sums[ends - count]) * _ODD + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c))
             named = named // np.uint64(CLASSES) * np.uint64(CLASSES) + np.uint64(c)
-            out.append(named[count > np.searchsorted(np.cumsum(np.bincount(count)), small, "right") - 1])
+            out.append(named[count > np.searchsorted(np.cumsum(np.bincount(count)), agree - hot - need, "right") - 1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -155,7 +154,7 @@ def named_tokens(classes: DataFrame, num: int, den: int) -> DataFrame:
         some = written(turn.join(turn.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "token"), "met")
         met = some if met is None else met.union(some)
     hottest = Window.partitionBy("rep", F.pmod("token", F.lit(CLASSES))).orderBy(F.desc("met"), "token")
-    return met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > _of_class(F.col("token"), num, den, 2)).select("token", "rep")
+    return met.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > _of_class(F.col("token"), num, den, 1)).select("token", "rep")
 
 
 def matched(named: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,7 +171,7 @@ def matched(named: DataFrame, num: int, den: int) -> DataFrame:
     matrix = settled.groupBy("token", "home").agg(F.count(F.lit(1)).alias("held")).select("token", F.col("home").alias("leader"), "held")
     own = F.col("home") == F.col("leader")
     asked = settled.join(matrix, "token").where(~own | (F.col("held") > 1)).groupBy("rep", "leader", F.pmod("token", F.lit(CLASSES)).alias("class")).agg(F.count(F.lit(1)).alias("shared"))
-    opens = asked.where(F.col("shared") >= _of_class(F.col("class"), num, den, 3)).select("rep", "leader", F.lit(True).alias("asks"), F.lit(False).alias("inside"))
+    opens = asked.where(F.col("shared") >= _of_class(F.col("class"), num, den, 2)).select("rep", "leader", F.lit(True).alias("asks"), F.lit(False).alias("inside"))
     roles = opens.union(homes.select("rep", "home", F.lit(False), F.lit(True)))
     return roles.where("rep <> leader").groupBy("rep", "leader").agg(F.max("asks").alias("asks"), F.max("inside").alias("inside"))
 
