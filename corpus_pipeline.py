@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoforge.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from genoforge.llm.common import table, written
+from genoforge.llm.common import small_batches, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; without labels, all."""
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -43,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens."""
+    small_batches(spark)
     return packing.packed(docs, packing.vocabulary())
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's setting by which a query's shuffle files go as soon as the query has ended.
 DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker gets at once: texts can be long, and a worker holds a batch in several forms.
+BATCH, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of the session get ROWS_AT_ONCE rows at once."""
+    spark.conf.set(BATCH, ROWS_AT_ONCE)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later passes and lost executors start from the files.
 
-    Nothing reads the shuffle files of this write again, so Spark is told to drop them when it has ended.
+    Nothing reads the shuffle files of this write again, so Spark is told to drop them when it has ended. Python
+    workers get small batches.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROPS_SHUFFLES, None)
+    held = {key: spark.conf.get(key, None) for key in (DROPS_SHUFFLES, BATCH)}
     spark.conf.set(DROPS_SHUFFLES, "true")
+    spark.conf.set(BATCH, ROWS_AT_ONCE)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(DROPS_SHUFFLES) if before is None else spark.conf.set(DROPS_SHUFFLES, before)
+        for key, before in held.items():
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

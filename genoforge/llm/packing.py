@@ -30,7 +30,7 @@ END = 1
 MAX_QUEUES = 1024
 #: Rounds x queues that are looked at together.
 BLOCK = 1 << 18
-CACHED = 800_000
+CACHED = 200_000
 
 #: Rows of (task, source, start) that are broadcast at most, some 100 bytes each.
 BROADCAST_ROWS = 200_000

@@ -14,6 +14,8 @@ from .common import table, written
 
 #: Class covariances are (1 - POOL - RIDGE) own + POOL pooled + RIDGE identity, of standardised statistics.
 POOL, RIDGE = 0.2, 0.05
+#: Labelled documents that the classifier is fitted on at most, chosen by a hash of doc_id; some 16 bytes each go to every task.
+LABELLED = 200_000
 FOLDS, HELD_OUT = 3, 1
 
 STATISTICS = [
@@ -102,8 +104,15 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels outside the held-out fold, about LABELLED at most, chosen by a hash of doc_id."""
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = min(1.0, LABELLED / max(labels.count(), 1))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * share))
+
+
 def fitted(points: DataFrame, labels: DataFrame) -> Discriminant | None:
-    """The discriminant of all labelled rows outside the held-out fold; sums are made by task, then added up."""
+    """The discriminant of the labelled points; their ids are few enough to be sent to the points, sums are made by task, then added up."""
     d = len(STATISTICS)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,8 +125,7 @@ def fitted(points: DataFrame, labels: DataFrame) -> Discriminant | None:
         for c, v in total.items():
             yield pd.DataFrame({"quality": c, "k": np.arange(len(v)), "v": v})
 
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    parts = points.join(known, "doc_id").select("quality", "x").mapInPandas(sums, "quality int, k int, v double")
+    parts = points.join(F.broadcast(labelled(labels)), "doc_id").select("quality", "x").mapInPandas(sums, "quality int, k int, v double")
     found = parts.groupBy("quality", "k").agg(F.sum("v").alias("v")).toPandas()  # 2 (1 + d + d²) numbers
     moments = {}
     for c, part in found.groupby("quality"):
@@ -129,7 +137,7 @@ def fitted(points: DataFrame, labels: DataFrame) -> Discriminant | None:
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of documents (doc_id, text).
 
-    labels: (doc_id, quality); other values than 0 and 1 are left out, of several labels of a doc_id the least counts.
+    labels: (doc_id, quality); other values than 0 and 1 are left out, LABELLED are used, of several labels of a doc_id the least counts.
     Null and empty texts are scored by their statistics; without any label every score is 0.5. Rows that
     repeat a doc_id are scored each; a null doc_id is never held out; a score of exactly 0.5 is predicted 1. Very
     long texts are measured whole; other columns are not read, whatever their names. An empty table gives no rows.
@@ -148,8 +156,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents, with all their columns, whose score is 0.5 or more; texts stay where they are."""
-    known = labels.select("doc_id").distinct()
-    model = fitted(measured(documents.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels)
+    model = fitted(measured(documents.select("doc_id", "text").join(F.broadcast(labelled(labels)), "doc_id", "left_semi")), labels)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
