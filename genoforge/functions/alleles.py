@@ -52,6 +52,21 @@ def in_region(region: str, chr_: Column, bp: Column) -> Column:
     return here & bp.between(int(low), int(high or low))
 
 
+def is_region(region: str, chr_: Column, bp1: Column, bp2: Column) -> Column:
+    """The region's chromosome, first and last base are exactly these; a bare chromosome is no region."""
+    name, _, span = region.partition(":")
+    if not span:
+        return F.lit(False)
+    number = {"X": 23, "Y": 24, "M": 25}.get(name.removeprefix("chr").upper()) or int(name.removeprefix("chr"))
+    if "+" in span:
+        mid, around = map(int, span.split("+"))
+        low, high = mid - around, mid + around
+    else:
+        first, _, last = span.replace("..", "-").partition("-")
+        low, high = int(first), int(last or first)
+    return (chr_ == number) & (bp1 == low) & (bp2 == high)
+
+
 def in_range(value: Column, text: str, bare: int = 0) -> Column:
     """`a:b`, `a-b`, `a:`, `:b`, `n` and `*`; a bare n means at most (-1), exactly (0) or at least (1) n. Negative values are in no range."""
     if text in ("*", "."):

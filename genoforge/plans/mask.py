@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alleles import allele_type, in_range, in_region
+from ..functions.alleles import allele_type, in_range, in_region, is_region
 from ..operators.intervals import points_in
 from .study import Study, consensus, counted, with_hwe
 
@@ -44,22 +44,34 @@ def _template(text: str) -> Column:
     return like("ref", ref) & like("alt", alt or "*")
 
 
+def _exactly(regions) -> list[Column]:
+    return [is_region(r, F.col("chr"), F.col("bp1"), F.col("bp1") + F.length("ref") - 1) for r in _list(regions)]
+
+
+def _some(*kinds: str) -> Column:
+    """An ALT is of one of these kinds."""
+    return F.exists(F.split("alt", ","), lambda a: allele_type(F.col("ref"), a).isin(*kinds))
+
+
+def _snp() -> Column:
+    """All ALTs are substitutions of one base."""
+    return F.forall(F.split("alt", ","), lambda a: allele_type(F.col("ref"), a) == "substitution")
+
+
 #: Terms on a variant's own columns.
 SITE: dict[str, Callable[..., Column]] = {
     "qual": lambda x: in_range(F.col("qual"), x, 1),
     "filter": lambda x: _filters(_list(x)), "filter.ex": lambda x: ~_filters(_list(x)), "filter.req": lambda x: _all([_filters([n]) for n in _list(x)]),
     "any.filter": lambda x: F.col("filter") != "PASS", "any.filter.req": lambda x: F.col("filter") != "PASS", "any.filter.ex": lambda x: F.col("filter") == "PASS",
     "include": lambda x: F.coalesce(F.expr(x), F.lit(False)), "v-include": lambda x: F.coalesce(F.expr(x), F.lit(False)), "exclude": lambda x: F.coalesce(~F.expr(x), F.lit(False)),
-    "snp": lambda x: allele_type(F.col("ref"), F.col("alt")) == "substitution", "snp.ex": lambda x: allele_type(F.col("ref"), F.col("alt")) != "substitution",
-    "indel": lambda x: allele_type(F.col("ref"), F.col("alt")).isin("insertion", "deletion"), "indel.ex": lambda x: ~allele_type(F.col("ref"), F.col("alt")).isin("insertion", "deletion"),
-    "mnp": lambda x: allele_type(F.col("ref"), F.col("alt")) == "mnp", "mnp.ex": lambda x: allele_type(F.col("ref"), F.col("alt")) != "mnp",
+    "snp": lambda x: _snp(), "snp.ex": lambda x: ~_snp(), "indel": lambda x: _some("insertion", "deletion"), "indel.ex": lambda x: ~_some("insertion", "deletion"), "mnp": lambda x: _some("mnp"), "mnp.ex": lambda x: ~_some("mnp"),
     "biallelic": lambda x: ~F.col("alt").contains(",") & (allele_type(F.col("ref"), F.col("alt")) != "unknown"),
     "biallelic.ex": lambda x: F.col("alt").contains(",") | (allele_type(F.col("ref"), F.col("alt")) == "unknown"),
     "allele": lambda x: _any([_template(t) for t in _list(x)]), "allele.ex": lambda x: ~_any([_template(t) for t in _list(x)]),
     "novel": lambda x: F.col("name") == ".", "novel.ex": lambda x: F.col("name") != ".",
     "meta": lambda x: _any([_criterion(c) for c in _list(x)]), "meta.req": lambda x: _all([_criterion(c) for c in _list(x)]),
     "reg.req": lambda x: _all([in_region(r, F.col("chr"), F.col("bp1")) for r in _list(x)]), "reg.ex": lambda x: ~_any([in_region(r, F.col("chr"), F.col("bp1")) for r in _list(x)]),
-    "ereg.req": lambda x: _all([in_region(r, F.col("chr"), F.col("bp1")) for r in _list(x)]), "ereg.ex": lambda x: ~_any([in_region(r, F.col("chr"), F.col("bp1")) for r in _list(x)]),
+    "ereg.req": lambda x: _all(_exactly(x)), "ereg.ex": lambda x: ~_any(_exactly(x)),
     "id.req": lambda x: F.col("name").isin(_list(x)), "id.ex": lambda x: ~F.col("name").isin(_list(x)),
 }
 
@@ -87,8 +99,11 @@ TABLES = ("loc", "gene", "locset", "ref", "var", "varset")
 PEOPLE = ("indiv", "indiv.ex", "phe", "phe.ex", "phe.req", "phe.obs", "phe.allow.missing")
 GENOTYPES = ("file", "file.ex", "geno", "geno.req", "assume-ref", "seg", "seg.req", "seg.ex")
 INCLUDES = ("loc", "gene", "locset", "ref", "var", "varset", "reg", "ereg", "id")
+#: Terms that name the groups of the result, see Study.groups; and terms that the evaluator takes as true.
+GROUPS, VOID = ("loc.group", "locset.group", "varset.group", "all.group", "empty.group"), ("alt.group", "alt.group.req", "alt.group.ex")
+ATTACHED = ("meta.attach", "meta.file", "fail.nfile", "fail.single.file")
 REFINING = ("loc.subset", "loc.skip", "locset.subset", "locset.skip", "limit", "eval", "loc.append", "locset.append", "var.append", "varset.append", "ref.append", "ref.allelic", "collapse", "no-geno", "no-vmeta", "no-gmeta", "load-vmeta")
-TERMS = sorted({*SITE, *COUNTS, *FILES, *PEOPLE, *GENOTYPES, *INCLUDES, *REFINING, *(f"{t}.{k}" for t in TABLES if t != "gene" for k in ("req", "ex"))})
+TERMS = sorted({*SITE, *COUNTS, *FILES, *PEOPLE, *GENOTYPES, *INCLUDES, *REFINING, *GROUPS, *VOID, *ATTACHED, *(f"{t}.{k}" for t in TABLES if t != "gene" for k in ("req", "ex"))})
 
 
 def _criterion(text: str) -> Column:
@@ -109,7 +124,15 @@ def _pheno(study: Study, text: str) -> DataFrame:
     """(indiv_id) of the people with one of the values of `name:v1:v2`, or with any for a bare name."""
     name, *values = str(text).split(":")
     rows = study.pheno.where((F.col("pheno") == name) & F.col("value").isNotNull())
-    return (rows.where(F.col("value").isin([float(v) for v in values])) if values else rows).select("indiv_id").distinct()
+    return (rows.where(_any([_same(F.col("value"), v) for v in values])) if values else rows).select("indiv_id").distinct()
+
+
+def _same(value: Column, text: str) -> Column:
+    """Values are compared as numbers where the text is one, else as texts."""
+    try:
+        return value.cast("double") == float(text)
+    except ValueError:
+        return value.cast("string") == text
 
 
 def _people(study: Study, terms: dict) -> DataFrame:
@@ -198,14 +221,44 @@ def _appended(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
     return variants
 
 
+def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
+    """variants with what is attached before any condition reads it.
+
+    meta.attach names groups of study.metas, or ALL: their fields are a map column `attached`. meta.file takes tables
+    (chr, bp1, field ...), each joined by site with its fields as columns.
+    """
+    if "meta.attach" in terms:
+        groups = _list(terms["meta.attach"])
+        rows = study.metas if "ALL" in groups else study.metas.where(F.col("grp").isin(groups))
+        one = rows.groupBy("var_id", "key").agg(F.min("value").alias("value"))
+        maps = one.groupBy("var_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("attached"))
+        variants = variants.join(maps, "var_id", "left")
+    for table in _list(terms.get("meta.file", [])):
+        variants = variants.join(table.dropDuplicates(["chr", "bp1"]), ["chr", "bp1"], "left")
+    return variants
+
+
+def _failing(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
+    """variants by how many files' records of them fail: fail.nfile `n:m` takes n failing at most and m good at least."""
+    fails = F.count(F.when(F.col("filter") != "PASS", 1))
+    seen = study.sites.groupBy("var_id").agg(fails.alias("_bad"), (F.count(F.lit(1)) - fails).alias("_good"))
+    keep = variants.join(seen, "var_id", "left").fillna(0, ["_bad", "_good"])
+    if "fail.nfile" in terms:
+        most, _, least = str(terms["fail.nfile"]).replace("-", ":").partition(":")
+        keep = keep.where((F.col("_bad") <= int(most)) & (F.col("_good") >= int(least or 0)))
+    if terms.get("fail.single.file"):
+        keep = keep.where("_bad = 0")
+    return keep.select(variants.columns)
+
+
 def mask(study: Study, terms: dict) -> Study:
-    """The study with the people, genotypes and variants that the terms leave."""
+    """The study with the people, genotypes and variants that the terms leave, and with the groups that they name."""
     if unknown := set(terms) - set(TERMS):
         raise ValueError(f"unknown mask terms: {sorted(unknown)}")
     study = study.but(indiv=_people(study, terms))
     study = _genotypes(study, terms)
-    v = study.variants
-    # A FILTER or file requirement that holds makes include terms void.
+    v = _attached(study, terms, study.variants)
+    # A FILTER requirement that holds makes include terms void.
     free = [SITE["filter.req"](terms["filter.req"])] if "filter.req" in terms else []
     for t, value in terms.items():
         if t in SITE:
@@ -218,7 +271,8 @@ def mask(study: Study, terms: dict) -> Study:
     wanted = []
     for kind in ("reg", "ereg"):
         if kind in terms:
-            wanted.append(v.where(_any([in_region(r, F.col("chr"), F.col("bp1")) for r in _list(terms[kind])])).select("var_id"))
+            here = _exactly(terms[kind]) if kind == "ereg" else [in_region(r, F.col("chr"), F.col("bp1")) for r in _list(terms[kind])]
+            wanted.append(v.where(_any(here)).select("var_id"))
     if "id" in terms:
         wanted.append(v.where(F.col("name").isin(_list(terms["id"]))).select("var_id"))
     wanted += [_members(study.but(variants=v), terms, kind, terms[kind]) for kind in TABLES if kind in terms]
@@ -227,6 +281,8 @@ def mask(study: Study, terms: dict) -> Study:
     if any(t in FILES for t in terms):
         seen = study.calls.groupBy("var_id").agg(F.collect_set("file_id").alias("obs"), F.collect_set(F.when(~F.col("is_null") & (F.col("ac") > 0), F.col("file_id"))).alias("alts"))
         v = v.join(seen, "var_id").where(_all([FILES[t](x) for t, x in terms.items() if t in FILES])).select(v.columns)
+    if "fail.nfile" in terms or terms.get("fail.single.file"):
+        v = _failing(study, terms, v)
     if any(t in COUNTS for t in terms):
         counts = counted(study.but(variants=v))
         counts = with_hwe(counts) if "hwe" in terms else counts
@@ -240,7 +296,13 @@ def mask(study: Study, terms: dict) -> Study:
         v = v.orderBy("chr", "bp1", "var_id").limit(int(terms["limit"]))
     geno = study.geno.where("false") if terms.get("no-geno") else study.geno
     kept = geno.join(v.select("var_id"), "var_id", "left_semi").join(study.indiv.select("indiv_id"), "indiv_id", "left_semi")
-    return study.but(variants=v, geno=kept)
+    study = study.but(variants=v, geno=kept)
+    for term, by in (("loc.group", "loc"), ("locset.group", "locset"), ("varset.group", "varset"), ("all.group", "all")):
+        if terms.get(term):
+            own = study.but(loci=_loci(study, terms, terms[term])) if by == "loc" else study
+            names = _list(terms[term]) if by in ("locset", "varset") and terms[term] is not True else None
+            study = study.but(groups=grouped(own, by, names, bool(terms.get("empty.group"))))
+    return study
 
 
 def grouped(study: Study, by: str = "loc", names: list | None = None, empty: bool = False) -> DataFrame:
@@ -254,5 +316,6 @@ def grouped(study: Study, by: str = "loc", names: list | None = None, empty: boo
         loci = study.loci.withColumn("group", F.col("altname")) if by == "loc" else study.loci.join(study.sets, "loc_id").withColumn("group", F.col("set_name"))
         rows = points_in(study.variants, loci.select("chr", "bp1", "bp2", "group")).select(F.col("i_group").alias("group"), "var_id").distinct()
         every = loci.select("group").distinct()
-    rows = rows.where(F.col("group").isin(names)) if names else rows
+    if names:
+        rows, every = rows.where(F.col("group").isin(names)), every.where(F.col("group").isin(names))
     return every.join(rows, "group", "left") if empty else rows

@@ -18,7 +18,9 @@ class Study:
     geno (var_id, indiv_id, ac; null is missing), indiv (indiv_id, sex, aff, qt, strata, factor, pat, mat),
     loci (loc_id, group_id, chr, bp1, bp2, altname), sets (loc_id, set_name, superset_name),
     refs (grp, var_id, chr, bp1, name, alt), edges (a, b, score), seqs (doc_id, seq), segments (indiv_id, seg, t1, t2, n),
-    pheno (indiv_id, pheno, value), var_sets (var_id, set_name, superset_name).
+    pheno (indiv_id, pheno, value), var_sets (var_id, set_name, superset_name), proteins (transcript, source, feature,
+    chr, bp1, bp2), sites (file_id, var_id, filter: what a file says of a variant), groups (group, var_id: what a mask
+    grouped), metas (var_id, grp, key, value: fields that are attached on demand).
     """
 
     variants: DataFrame
@@ -33,6 +35,10 @@ class Study:
     segments: DataFrame | None = None
     pheno: DataFrame | None = None
     var_sets: DataFrame | None = None
+    proteins: DataFrame | None = None
+    sites: DataFrame | None = None
+    groups: DataFrame | None = None
+    metas: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Study:
         return replace(self, **tables)

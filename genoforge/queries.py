@@ -11,8 +11,12 @@ from .operators import association as A
 from .operators import family as Y
 from .operators import loci as L
 from .operators import summaries as S
+from .operators import views as V
+from .plans import genotypes as G
+from .plans import merge as M
 from .plans.mask import mask
 from .plans.study import Study
+from .sources import records as R
 from .sources.projection import sql, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +76,9 @@ query("i_pop", S.i_pop, """SELECT indiv_id, strata AS pop, nvar, round(exp(ll-ma
  SELECT a.indiv_id, a.ac AS g, s.strata, (coalesce(c.ac,0)+0.5)/CAST(2*s.n+1 AS DOUBLE) AS f FROM g_geno a CROSS JOIN (SELECT strata, count(*) AS n FROM g_indiv GROUP BY 1) s
  LEFT JOIN (SELECT var_id, strata, sum(ac) AS ac FROM g_geno JOIN g_indiv USING (indiv_id) WHERE ac>0 GROUP BY 1,2) c ON a.var_id=c.var_id AND s.strata=c.strata WHERE a.ac>0) p GROUP BY 1,2) q) r WINDOW w AS (PARTITION BY indiv_id)""")
 
+_ALTS = "len(list_filter(string_split(alt,','), lambda a: {}))"
+_SNP = _ALTS.format("NOT (length(ref)=1 AND length(a)=1 AND a<>ref)") + "=0"
+_INDEL, _MNP = _ALTS.format("length(a)<>length(ref)") + ">0", _ALTS.format("length(ref)>1 AND length(a)=length(ref) AND a<>ref") + ">0"
 #: One query for each mask term, with the term's condition in SQL.
 MASKS = {
     "mac": ({"mac": "20:28"}, "mac BETWEEN 20 AND 28"), "maf": ({"maf": "0.002:0.01"}, "maf BETWEEN 0.002 AND 0.01"), "aac": ({"aac": "2:"}, "ac>=2"), "aaf": ({"aaf": "0.01:1"}, "aaf BETWEEN 0.01 AND 1"),
@@ -79,7 +86,8 @@ MASKS = {
     "hwe": ({"hwe": "0.05"}, "(SELECT hwe FROM hw WHERE hw.het=v.het AND hw.hom=v.hom AND hw.rr=v.rr)>=0.05"), "null": ({"null": "1:2"}, "nul BETWEEN 1 AND 2"), "null_prop": ({"null.prop": "0.001"}, "nul/CAST(n AS DOUBLE)<=0.001"),
     "qual": ({"qual": "920:950"}, "qual BETWEEN 920 AND 950"), "filter": ({"filter": ["LowQual"]}, "filter='LowQual'"), "filter_ex": ({"filter.ex": ["LowQual"]}, "filter<>'LowQual'"), "filter_req": ({"filter.req": ["PASS"]}, "filter='PASS'"),
     "any_filter": ({"any.filter": True}, "filter<>'PASS'"), "any_filter_ex": ({"any.filter.ex": True}, "filter='PASS'"),
-    "snp": ({"snp": True}, "ref<>alt"), "snp_ex": ({"snp.ex": True}, "ref=alt"), "biallelic": ({"biallelic": True}, "true"), "allele": ({"allele": ["A/G", "C/*"]}, "(ref='A' AND alt='G') OR ref='C'"), "allele_ex": ({"allele.ex": ["A/G"]}, "NOT (ref='A' AND alt='G')"),
+    "snp": ({"snp": True}, _SNP), "snp_ex": ({"snp.ex": True}, f"NOT ({_SNP})"), "indel": ({"indel": True}, _INDEL), "indel_ex": ({"indel.ex": True}, f"NOT ({_INDEL})"), "mnp": ({"mnp": True}, _MNP), "mnp_ex": ({"mnp.ex": True}, f"NOT ({_MNP})"),
+    "biallelic": ({"biallelic": True}, "alt NOT LIKE '%,%'"), "biallelic_ex": ({"biallelic.ex": True}, "alt LIKE '%,%'"), "allele": ({"allele": ["A/G", "C/*"]}, "(ref='A' AND alt='G') OR ref='C'"), "allele_ex": ({"allele.ex": ["A/G"]}, "NOT (ref='A' AND alt='G')"),
     "novel": ({"novel": True}, "name='.'"), "novel_ex": ({"novel.ex": True}, "name<>'.'"), "include": ({"include": "qual > 930 AND size % 2 = 0"}, "qual>930 AND size%2=0"), "meta": ({"meta": ["size:gt:40", "qual:lt:950"]}, "size>40 OR qual<950"), "meta_req": ({"meta.req": ["size:gt:10", "qual:lt:1450"]}, "size>10 AND qual<1450"),
     "reg": ({"reg": ["chr1:1000..2000", "chr5"]}, "(chr=1 AND bp1 BETWEEN 1000 AND 2000) OR chr=5"), "reg_ex": ({"reg.ex": ["chr5"]}, "chr<>5"), "reg_req": ({"reg.req": ["chr2", "chr2:1500+400"]}, "chr=2 AND bp1 BETWEEN 1100 AND 1900"),
     "id": ({"id": ["rs7", "rs12"]}, "name IN ('rs7','rs12')"), "id_ex": ({"id.ex": ["rs7"]}, "name<>'rs7'"),
@@ -91,11 +99,45 @@ MASKS = {
     "var": ({"var": ["S1"]}, "var_id%5=1"), "var_ex": ({"var.ex": ["S1", "S2"]}, "var_id%5 NOT IN (1,2)"), "varset": ({"varset": ["X"]}, "var_id%5<2"), "varset_ex": ({"varset.ex": ["X"]}, "var_id%5>=2"),
     "case_control": ({"case.control": ["1:2", "0"]}, "least(a_ac,a_tot-a_ac) BETWEEN 1 AND 2 AND least(u_ac,u_tot-u_ac)=0"), "case_uniq": ({"case.uniq": True}, "least(a_ac,a_tot-a_ac)>=1 AND least(u_ac,u_tot-u_ac)=0"), "control_uniq": ({"control.uniq": True}, "least(a_ac,a_tot-a_ac)=0 AND least(u_ac,u_tot-u_ac)>=1"),
     "obs_nfile": ({"obs.nfile": "2"}, "(SELECT count(DISTINCT file_id) FROM g_calls k WHERE k.var_id=v.var_id)>=2"), "alt_file_ex": ({"alt.file.ex": [1]}, "var_id IN (SELECT var_id FROM g_calls GROUP BY 1 HAVING count(*) FILTER (file_id=1 AND NOT is_null AND ac>0)=0)"),
+    "ereg": ({"ereg": ["chr1:1001", "chr2:1003..1003", "chr3", "chr2:1000..1100"]}, "(chr=1 AND bp1=1040) OR (chr=2 AND bp1=1015 AND length(ref)=3)"), "ereg_ex": ({"ereg.ex": ["chr1:1040"]}, "NOT (chr=1 AND bp1=1040 AND length(ref)=1)"), "ereg_req": ({"ereg.req": ["chr2:1003"]}, "chr=2 AND bp1=1003 AND length(ref)=1"),
+    "fail_nfile": ({"fail.nfile": "0:2"}, "var_id IN (SELECT var_id FROM g_sites GROUP BY 1 HAVING count(*) FILTER (filter<>'PASS')=0 AND count(*) FILTER (filter='PASS')>=2)"), "fail_single_file": ({"fail.single.file": True}, "var_id NOT IN (SELECT var_id FROM g_sites WHERE filter<>'PASS')"),
+    "meta_attach": ({"meta.attach": ["M1"], "include": "CAST(attached['weight'] AS DOUBLE) > 2"}, "var_id%3=0 AND size/10.0>2"), "alt_group": ({"alt.group": ["x"], "qual": "920:950"}, "qual BETWEEN 920 AND 950"),
+    "obs_file": ({"obs.file": [1]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1)"), "obs_file_req": ({"obs.file.req": [1, 2]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1) AND var_id IN (SELECT var_id FROM g_calls WHERE file_id=2)"), "obs_file_ex": ({"obs.file.ex": [2]}, "var_id IN (SELECT var_id FROM g_calls) AND var_id NOT IN (SELECT var_id FROM g_calls WHERE file_id=2)"),
+    "alt_nfile": ({"alt.nfile": "2"}, "(SELECT count(DISTINCT file_id) FROM g_calls k WHERE k.var_id=v.var_id AND NOT is_null AND ac>0)>=2"), "alt_file": ({"alt.file": [1]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1 AND NOT is_null AND ac>0)"), "alt_file_req": ({"alt.file.req": [1, 2]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1 AND NOT is_null AND ac>0) AND var_id IN (SELECT var_id FROM g_calls WHERE file_id=2 AND NOT is_null AND ac>0)"),
+    "any_filter_req": ({"any.filter.req": True}, "filter<>'PASS'"), "v_include": ({"v-include": "sqrt(size) > 5 and pow(size, 2) < 2000"}, "sqrt(size)>5 AND size*size<2000"), "id_req": ({"id.req": ["rs7", "rs12"]}, "name IN ('rs7','rs12')"), "locset_ex": ({"locset.ex": ["NATION_3"]}, "var_id NOT IN (SELECT var_id FROM vl JOIN g_sets USING (loc_id) WHERE set_name='NATION_3')"), "locset_req": ({"locset.req": ["NATION_3"]}, "var_id IN (SELECT var_id FROM vl JOIN g_sets USING (loc_id) WHERE set_name='NATION_3')"),
+    "loc_skip": ({"loc": [0, 1, 2], "loc.skip": ["GENE3"]}, "var_id IN (SELECT var_id FROM vl WHERE altname<>'GENE3')"), "var_req": ({"var.req": ["S1"]}, "var_id%5=1"), "varset_req": ({"varset.req": ["Y"]}, "var_id%5>=2"),
     "both": ({"loc": [0], "reg": ["chr3"], "maf": ":0.01", "any.filter.ex": True}, "(var_id IN (SELECT var_id FROM vl WHERE group_id=0) OR chr=3) AND maf<=0.01 AND filter='PASS'"),
 }
 for _name, (_terms, _where) in MASKS.items():
     query(f"mask_{_name}", lambda s, terms=_terms: mask(s, terms).variants.select("var_id", "chr", "bp1"), f"SELECT var_id, chr, bp1 FROM vc v WHERE {_where}")
 
+#: Masks that change people or genotypes, seen in what is left of the genotypes.
+LEFT = {
+    "indiv": ({"indiv": [1, 2, 4, 5]}, "indiv_id IN (1,2,4,5)"), "indiv_ex": ({"indiv.ex": [1, 2, 4, 5]}, "indiv_id NOT IN (1,2,4,5)"), "phe": ({"phe": ["strata:1:2"]}, "indiv_id IN (SELECT indiv_id FROM g_indiv WHERE strata IN (1,2))"),
+    "phe_ex": ({"phe.ex": ["aff:2"]}, "indiv_id IN (SELECT indiv_id FROM g_indiv WHERE aff<>2)"), "phe_req": ({"phe.req": ["aff:2", "strata:0"]}, "indiv_id IN (SELECT indiv_id FROM g_indiv WHERE aff=2 AND strata=0)"), "phe_obs": ({"phe.obs": "qt"}, "true"),
+    "assume_ref": ({"assume-ref": True}, "ac IS NOT NULL"), "no_geno": ({"no-geno": True}, "false"),
+}
+for _name, (_terms, _where) in LEFT.items():
+    query(f"mask_{_name}", lambda s, terms=_terms: mask(s, terms).geno.select("var_id", "indiv_id", "ac"), f"SELECT var_id, indiv_id, ac FROM g_geno WHERE indiv_id IN (SELECT indiv_id FROM g_indiv) AND {_where}")
+_REGENO = "SELECT var_id, indiv_id, CASE WHEN count(DISTINCT x)=1 THEN max(x) END AS ac FROM (SELECT var_id, indiv_id, {x} AS x FROM g_calls WHERE {w}) k GROUP BY 1,2"
+for _name, _terms, _x, _w in (("file", {"file": [1]}, "CASE WHEN NOT is_null THEN ac END", "file_id=1"), ("file_ex", {"file.ex": [1]}, "CASE WHEN NOT is_null THEN ac END", "file_id<>1"),
+    ("geno", {"geno": ["dp:ge:30", "gq:ge:90"]}, "CASE WHEN NOT is_null AND (dp>=30 OR gq>=90) THEN ac END", "true"), ("geno_req", {"geno.req": ["dp:ge:10", "gq:ge:30"]}, "CASE WHEN NOT is_null AND dp>=10 AND gq>=30 THEN ac END", "true")):
+    query(f"mask_{_name}", lambda s, terms=_terms: mask(s, terms).geno.select("var_id", "indiv_id", "ac"), _REGENO.format(x=_x, w=_w))
+#: Masks that name groups.
+NAMED = {
+    "loc_group": ({"loc.group": [1]}, "SELECT DISTINCT altname AS grp, var_id FROM vl WHERE group_id=1"), "locset_group": ({"locset.group": True}, "SELECT DISTINCT set_name AS grp, var_id FROM vl JOIN g_sets USING (loc_id)"),
+    "varset_group": ({"varset.group": ["S1", "S3"]}, "SELECT set_name AS grp, var_id FROM g_varsets WHERE set_name IN ('S1','S3')"), "all_group": ({"all.group": True, "qual": "920:950"}, "SELECT 'all' AS grp, var_id FROM g_variants WHERE qual BETWEEN 920 AND 950"),
+    "empty_group": ({"loc.group": [0], "empty.group": True, "reg": ["chr3"]}, "SELECT g.altname AS grp, var_id FROM (SELECT DISTINCT altname FROM g_loci WHERE group_id=0) g LEFT JOIN (SELECT DISTINCT altname, var_id FROM vl WHERE group_id=0 AND chr=3) v USING (altname)"),
+}
+for _name, (_terms, _body) in NAMED.items():
+    query(f"mask_{_name}", lambda s, terms=_terms: mask(s, terms).groups.select(F.col("group").alias("grp"), "var_id"), _body)
+for _name, _terms, _column, _of in (("loc_append", {"loc.append": [1]}, "loc_names", "SELECT var_id, list_sort(list(DISTINCT altname)) AS x FROM vl WHERE group_id=1 GROUP BY 1"),
+    ("locset_append", {"locset.append": ["EUROPE", "ASIA"]}, "locset_names", "SELECT var_id, list_sort(list(DISTINCT set_name)) AS x FROM vl JOIN g_sets USING (loc_id) WHERE superset_name IN ('EUROPE','ASIA') GROUP BY 1"),
+    ("var_append", {"var.append": ["S1", "S2"]}, "var_names", "SELECT var_id, list_sort(list(DISTINCT set_name)) AS x FROM g_varsets WHERE set_name IN ('S1','S2') GROUP BY 1"),
+    ("varset_append", {"varset.append": ["X"]}, "varset_names", "SELECT var_id, list_sort(list(DISTINCT set_name)) AS x FROM g_varsets WHERE superset_name='X' GROUP BY 1"),
+    ("ref_append", {"ref.append": ["A", "B"]}, "ref_names", "SELECT v.var_id, list_sort(list(DISTINCT r.name)) AS x FROM g_variants v JOIN g_ref r ON v.chr=r.chr AND v.bp1=r.bp1 GROUP BY 1")):
+    query(f"mask_{_name}", lambda s, terms=_terms, c=_column: mask(s, terms).variants.select("var_id", F.array_join(c, "|").alias("names")), f"SELECT v.var_id, array_to_string(x, '|') AS names FROM g_variants v LEFT JOIN ({_of}) a USING (var_id)")
+
 _FISHER = """(SELECT list_sum(list_filter(q, lambda x: x <= p0*(1+1e-7))) FROM (SELECT list_transform(range(greatest(0,({a}+{b})+({a}+{c})-({a}+{b}+{c}+{d})), least({a}+{b},{a}+{c})+1),
  lambda k: exp(lgamma({a}+{b}+1)+lgamma({c}+{d}+1)+lgamma({a}+{c}+1)+lgamma({b}+{d}+1)-lgamma({a}+{b}+{c}+{d}+1)-lgamma(k+1)-lgamma({a}+{b}-k+1)-lgamma({a}+{c}-k+1)-lgamma({d}-{a}+k+1))) AS q,
  exp(lgamma({a}+{b}+1)+lgamma({c}+{d}+1)+lgamma({a}+{c}+1)+lgamma({b}+{d}+1)-lgamma({a}+{b}+{c}+{d}+1)-lgamma({a}+1)-lgamma({b}+1)-lgamma({c}+1)-lgamma({d}+1)) AS p0) z)"""
@@ -164,3 +206,82 @@ query("indiv_enrich", L.indiv_enrich, """SELECT indiv_id, st AS set, obs, total,
  SELECT h.indiv_id, s.superset_name AS st, count(*) AS obs FROM (SELECT DISTINCT indiv_id, loc_id FROM vl JOIN g_geno USING (var_id) WHERE ac>0) h JOIN g_sets s USING (loc_id) GROUP BY 1,2) a
  JOIN (SELECT indiv_id, count(DISTINCT loc_id) AS total FROM vl JOIN g_geno USING (var_id) WHERE ac>0 GROUP BY 1) b USING (indiv_id)
  JOIN (SELECT superset_name AS st, sum(bp2-bp1+1)/CAST((SELECT sum(bp2-bp1+1) FROM g_loci) AS DOUBLE) AS f FROM g_loci JOIN g_sets USING (loc_id) GROUP BY 1) c USING (st)""")
+
+_LABEL = "concat(CASE WHEN ac IS NULL THEN '.' WHEN ac>=2 THEN alt ELSE ref END, '/', CASE WHEN ac IS NULL THEN '.' WHEN ac>=1 THEN alt ELSE ref END)"
+#: Carriers of the minor allele; who has no row has two reference alleles.
+_MINOR = """(SELECT v.var_id, v.chr, v.bp1, v.ref, v.alt, i.indiv_id, coalesce(g.ac,0) AS ac FROM vc v CROSS JOIN g_indiv i LEFT JOIN g_geno g ON g.var_id=v.var_id AND g.indiv_id=i.indiv_id
+ WHERE (g.var_id IS NULL OR g.ac IS NOT NULL) AND CASE WHEN v.flip THEN coalesce(g.ac,0)<2 ELSE coalesce(g.ac,0)>0 END)"""
+_GENES = "(SELECT DISTINCT altname AS gene, var_id FROM vl)"
+query("v_view", V.v_view, """SELECT var_id, chr, bp1, name, ref, alt, filter, round(qual,6) AS qual, coalesce(files,'') AS files, coalesce(calls,0) AS calls FROM g_variants v LEFT JOIN (
+ SELECT var_id, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id) AS files, CAST(sum(k) AS BIGINT) AS calls FROM (SELECT var_id, file_id, count(*) AS k FROM g_calls GROUP BY 1,2) a GROUP BY 1) b USING (var_id)""")
+for _name, _kw, _where in (("v_view_genotypes", {}, "true"), ("v_view_hide_null", {"hide_null": True}, "ac IS NOT NULL"), ("v_view_only_alt", {"only_alt": True}, "ac>0")):
+    query(_name, lambda s, kw=_kw: V.v_view_genotypes(s, **kw), f"SELECT var_id, indiv_id, {_LABEL} AS genotype FROM g_geno JOIN g_variants USING (var_id) WHERE {_where}")
+query("rv_view", V.rv_view, f"SELECT var_id, chr, bp1, indiv_id, {_LABEL} AS genotype FROM {_MINOR} m")
+query("mv_view", V.mv_view, "SELECT 'all' AS grp, var_id, chr, bp1, ref, alt, a_ac AS case_alt, u_ac AS control_alt FROM vc")
+query("mrv_view", V.mrv_view, f"SELECT indiv_id, count(*) AS variants, CAST(sum(ac) AS BIGINT) AS alt, 'all' AS grp FROM {_MINOR} m GROUP BY 1")
+query("g_view", V.g_view, f"SELECT gene, var_id, chr, bp1, ref, alt, a_ac AS case_alt, u_ac AS control_alt FROM {_GENES} g JOIN vc USING (var_id)")
+query("g_view_rarelist", V.g_view_rarelist, f"SELECT gene, indiv_id, count(*) AS n, string_agg(CAST(var_id AS VARCHAR), ',' ORDER BY bp1, var_id) AS var_ids FROM {_GENES} g JOIN {_MINOR} m USING (var_id) GROUP BY 1,2")
+query("loc_view", V.loc_view, "SELECT loc_id, group_id, altname, chr, bp1, bp2, bp2-bp1+1 AS bases, coalesce(sets,'') AS sets FROM g_loci LEFT JOIN (SELECT loc_id, string_agg(DISTINCT set_name, '|' ORDER BY set_name) AS sets FROM g_sets GROUP BY 1) s USING (loc_id)")
+query("ref_view", lambda s: V.ref_view(s, "B"), "SELECT grp, name, chr, bp1, alt FROM g_ref WHERE grp='B'")
+query("seg_view", V.seg_view, "SELECT indiv_id, aff, CAST(seg AS BIGINT) AS seg, n FROM g_segments JOIN g_indiv USING (indiv_id)")
+query("prot_view", V.prot_view, "SELECT transcript, source, feature, var_id FROM g_prot p JOIN g_variants v ON v.chr=p.chr AND v.bp1 BETWEEN p.bp1 AND p.bp2")
+query("prot_summary", V.prot_summary, "SELECT source, count(*) AS n, count(DISTINCT feature) AS features, count(DISTINCT transcript) AS transcripts FROM g_prot GROUP BY 1")
+_FIVE = [1, 2, 4, 5, 7]
+query("v_matrix", lambda s: V.v_matrix(s, _FIVE), "SELECT v.var_id, " + ", ".join(f"coalesce(max(CASE WHEN indiv_id={i} THEN coalesce(ac,-1) END),0) AS i{i}" for i in _FIVE) + " FROM g_variants v LEFT JOIN g_geno g USING (var_id) GROUP BY 1")
+query("meta_matrix", lambda s: V.meta_matrix(s, ["qual", "size"]), "SELECT var_id, chr, bp1, round(qual,6) AS qual, size FROM g_variants")
+query("v_meta_matrix", lambda s: V.v_meta_matrix(s, _FIVE), "SELECT var_id, " + ", ".join(f"round(max(CASE WHEN indiv_id={i} THEN dp END),6) AS i{i}" for i in _FIVE) + f" FROM g_calls WHERE indiv_id IN ({','.join(map(str, _FIVE))}) GROUP BY 1")
+query("g_meta_matrix", V.g_meta_matrix, f"SELECT gene, indiv_id, round(avg(x),6) AS mean, count(x) AS n FROM (SELECT var_id, indiv_id, max(dp) AS x FROM g_calls GROUP BY 1,2) c JOIN {_GENES} g USING (var_id) GROUP BY 1,2")
+query("seg_summary", V.seg_summary, "SELECT segments, count(*) AS people, CAST(sum(events) AS BIGINT) AS events FROM (SELECT indiv_id, count(*) AS segments, sum(n) AS events FROM g_segments GROUP BY 1) a GROUP BY 1")
+query("seq_summary", V.seq_summary, "SELECT count(seq) AS sequences, min(length(seq)) AS shortest, max(length(seq)) AS longest, CAST(sum(length(seq)) AS BIGINT) AS bases FROM g_seq")
+query("meta_summary", V.meta_summary)
+query("score_weights", lambda s: V.score_weights(s, s.metas.select("var_id", F.col("value").cast("double").alias("weight"))), "SELECT indiv_id, round(sum(ac*(size/10.0)),6) AS score, count(*) AS n FROM g_geno JOIN g_variants USING (var_id) WHERE ac>0 AND var_id%3=0 GROUP BY 1")
+
+
+def record_query(name: str, make: Callable[[R.Records], DataFrame], body: str | None = None) -> None:
+    """A query over records of several files."""
+    QUERIES[name] = lambda spark, sf_dir: S.rounded(make(R.records(spark, sf_dir)))
+    if body:
+        SQL[name] = R.sql(body)
+
+
+for _name, _mode, _view in (("merge_none", "no-merge", "r_none"), ("merge_exact", "exact-merge", "r_exact"), ("merge_any", "any-merge", "r_any")):
+    record_query(_name, lambda r, mode=_mode: M.variants(M.merged(r.sites, mode)), f"""SELECT var_id, chr, start AS bp1, stop AS bp2, records, files, alleles FROM (SELECT var_id, min(chr) AS chr, min(bp1) AS start, max(bp2) AS stop,
+     count(DISTINCT site_id) AS records, count(DISTINCT file_id) AS files FROM {_view} GROUP BY 1) v JOIN (SELECT var_id, string_agg(DISTINCT al, ' ' ORDER BY al) AS alleles FROM (
+     SELECT var_id, concat(CAST(bp1-min(bp1) OVER (PARTITION BY var_id) AS VARCHAR), ':', ref, '>', a) AS al FROM (SELECT var_id, bp1, ref, unnest(alts) AS a FROM {_view}) x) y GROUP BY 1) z USING (var_id)""")
+record_query("consensus_genotypes", lambda r: M.consensus(M.merged(r.sites), r.genotypes), """SELECT var_id, indiv_id, CASE WHEN count(DISTINCT t)=1 THEN max(t) END AS genotype FROM (
+ SELECT var_id, indiv_id, array_to_string(list_sort([CASE WHEN a1=0 THEN ref ELSE alts[a1] END, CASE WHEN a2=0 THEN ref ELSE alts[a2] END]), '/') AS t FROM r_geno JOIN r_exact USING (site_id) WHERE a1 IS NOT NULL) x GROUP BY 1,2""")
+_SEEN = """SELECT var_id, indiv_id, min(ac) AS low, max(ac) AS high, min(ac) FILTER (ac>0) AS alt_low, list(DISTINCT file_id) AS seen FROM (
+ SELECT var_id, indiv_id, file_id, CAST(a1>0 AS INT)+CAST(a2>0 AS INT) AS ac FROM r_geno JOIN r_exact USING (site_id) WHERE a1 IS NOT NULL) x GROUP BY 1,2"""
+record_query("mask_soft_ref", lambda r: M.soft_or_hard(M.merged(r.sites), r.genotypes, r.members, False), f"SELECT var_id, indiv_id, CASE WHEN high=0 THEN 0 WHEN alt_low=high THEN high END AS ac FROM ({_SEEN}) s")
+record_query("mask_hard_ref", lambda r: M.soft_or_hard(M.merged(r.sites), r.genotypes, r.members, True), f"""SELECT var_id, indiv_id, CASE WHEN low=high AND (high=0 OR len(list_filter(list_intersect(covers, files), lambda f: NOT list_contains(seen, f)))=0) THEN high END AS ac
+ FROM ({_SEEN}) s JOIN (SELECT var_id, list(DISTINCT file_id) AS covers FROM r_exact GROUP BY 1) c USING (var_id) JOIN (SELECT indiv_id, list(DISTINCT file_id) AS files FROM r_members GROUP BY 1) m USING (indiv_id)""")
+record_query("mask_downcode", lambda r: M.downcoded(M.merged(r.sites), r.genotypes), """SELECT site_id, var_id, alts[k] AS alt, indiv_id, CAST(a1=k AS INT)+CAST(a2=k AS INT) AS ac FROM (SELECT *, unnest(range(1, len(alts)+1)) AS k FROM r_exact) e JOIN r_geno USING (site_id)
+ WHERE a1 IS NOT NULL AND (a1=k OR a2=k)""")
+record_query("allele_counts", lambda r: M.allele_counts(M.merged(r.sites), r.genotypes), """SELECT site_id, alts[k] AS alt, CAST(coalesce(sum(CAST(a1=k AS INT)+CAST(a2=k AS INT)),0) AS BIGINT) AS n FROM (SELECT *, unnest(range(1, len(alts)+1)) AS k FROM r_exact) e
+ LEFT JOIN r_geno USING (site_id) GROUP BY 1,2""")
+_PLACED = "(SELECT g.*, s.chr, s.bp1, i.sex FROM r_geno g JOIN r_sites s USING (site_id) JOIN r_indiv i USING (indiv_id))"
+
+
+def placed_genotypes(r: R.Records) -> DataFrame:
+    return r.genotypes.join(r.sites.select("site_id", "chr", "bp1"), "site_id").join(r.indiv, "indiv_id")
+
+
+record_query("mask_fix_xy", lambda r: G.fixed_xy(placed_genotypes(r), {23: "X", 24: "Y"}, [(23, 1000, 1030), (24, 1000, 1030)]).select("site_id", "indiv_id", "a1", "a2").where("a1 is not null"), f"""SELECT site_id, indiv_id,
+ a1, CASE WHEN NOT single THEN a2 END AS a2 FROM (SELECT *, (chr=23 AND sex<>0 OR chr=24 AND sex=1) AND NOT bp1 BETWEEN 1000 AND 1030 AS single FROM {_PLACED} p) q
+ WHERE a1 IS NOT NULL AND NOT (chr=24 AND sex<>1) AND (NOT single OR a1=a2)""")
+for _model, _score in (("ALLELIC", "x+y"), ("DOM", "greatest(x,y)"), ("REC", "x*y"), ("REC2", "x*y"), ("ALLELIC2", "x+y"), ("ALLELIC3", "x+y"), ("NULL", "0")):
+    record_query(f"genotype_model_{_model.lower()}", lambda r, m=_model: G.scored(r.genotypes, m).groupBy("site_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")),
+        f"SELECT site_id, CAST(sum(CASE WHEN a1 IS NULL THEN 0 ELSE {_score} END) AS BIGINT) AS score, count(*) AS n FROM (SELECT *, CAST(a1>0 AS INT) AS x, CAST(a2>0 AS INT) AS y FROM r_geno) g GROUP BY 1")
+_HAPLOID = f"(SELECT site_id, a1, CASE WHEN NOT single THEN a2 END AS a2 FROM (SELECT *, chr=23 AND sex<>0 AS single FROM {_PLACED} p) q WHERE NOT single OR a1=a2)"
+for _model, _one, _two in (("ALLELIC2", "2*x", "x+y"), ("ALLELIC3", "1+x", "x+y"), ("DOM", "x", "greatest(x,y)"), ("REC", "0", "x*y"), ("REC2", "x", "x*y")):
+    record_query(f"genotype_model_x_{_model.lower()}", lambda r, m=_model: G.scored(G.fixed_xy(placed_genotypes(r), {23: "X"}, []).where("chr = 23"), m).groupBy("site_id").agg(F.sum("score").alias("score")),
+        f"SELECT site_id, CAST(sum(CASE WHEN a1 IS NULL THEN 0 WHEN a2 IS NULL THEN {_one} ELSE {_two} END) AS BIGINT) AS score FROM (SELECT site_id, CASE WHEN NOT single OR a1=a2 THEN a1 END AS a1, CASE WHEN NOT single THEN a2 END AS a2,"
+        f" CAST(a1>0 AS INT) AS x, CAST(a2>0 AS INT) AS y FROM (SELECT *, sex<>0 AS single FROM {_PLACED} p WHERE chr=23) q) z GROUP BY 1")
+record_query("mask_hard_call", lambda r: G.hard_called(r.genotypes, "dosage", 0.2).select("site_id", "indiv_id", "ac"), "SELECT site_id, indiv_id, CASE WHEN dosage<=0.2 THEN 0 WHEN abs(dosage-1)<=0.2 THEN 1 WHEN dosage>=2-0.2 THEN 2 END AS ac FROM r_geno")
+_EM = """, obs AS (SELECT site_id AS var_id, l0, l1, l2, count(*) AS w FROM r_geno GROUP BY 1,2,3,4), tot AS (SELECT var_id, CAST(sum(w) AS DOUBLE) AS n FROM obs GROUP BY 1),
+ em AS (SELECT var_id, n, 1/(2*n) AS f, 0 AS i, false AS done FROM tot UNION ALL
+ SELECT var_id, n, g AS f, i+1 AS i, abs(g-f)<1e-4 OR g<=0 OR g>=1 AS done FROM (SELECT e.var_id, e.n, e.f, e.i, sum(w*(l1*2*f*(1-f)+2*l2*f*f)/(l0*(1-f)*(1-f)+l1*2*f*(1-f)+l2*f*f))/(2*e.n) AS g
+ FROM em e JOIN obs o ON e.var_id=o.var_id WHERE NOT e.done AND e.i<10 GROUP BY e.var_id, e.n, e.f, e.i) x)"""
+QUERIES["em"] = lambda spark, sf_dir: S.rounded(G.em_frequencies(R.records(spark, sf_dir).genotypes.withColumnRenamed("site_id", "var_id")))
+SQL["em"] = R.sql("SELECT var_id, CAST(n AS BIGINT) AS n, round(f,6) AS f FROM (SELECT *, max(i) OVER (PARTITION BY var_id) AS last FROM em) z WHERE i=last").replace("\nSELECT var_id, CAST(n", _EM + "\nSELECT var_id, CAST(n")
+record_query("mask_em", lambda r: G.em_called(r.genotypes.withColumnRenamed("site_id", "var_id"), 0.6).select("var_id", "indiv_id", "dosage", "ac"))

@@ -12,15 +12,22 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = F.col("p_partkey")
     base = lambda k: F.substring(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1))
+    # Most variants change one base; some are insertions, deletions, changes of two bases, or have a second ALT.
+    other = base(key % 4 + 1 + F.col("p_size") % 3)
+    ref = F.when(key % 9 == 1, F.concat(base(key), F.lit("CG"))).when(key % 9 == 2, "AC").otherwise(base(key))
+    alt = F.when(key % 9 == 0, F.concat(base(key), F.lit("A"))).when(key % 9 == 1, base(key)).when(key % 9 == 2, "GT").when(key % 11 == 0, F.concat(other, F.lit(",TT"))).otherwise(other)
     variants = t("part").select(
         key.alias("var_id"), (key % 22 + 1).cast("int").alias("chr"), (1000 + F.floor(key / 22) * 40 + F.col("p_size")).cast("long").alias("bp1"),
-        F.when(key % 10 == 0, ".").otherwise(F.concat(F.lit("rs"), key.cast("string"))).alias("name"), base(key).alias("ref"), base(key % 4 + 1 + F.col("p_size") % 3).alias("alt"),
+        F.when(key % 10 == 0, ".").otherwise(F.concat(F.lit("rs"), key.cast("string"))).alias("name"), ref.alias("ref"), alt.alias("alt"),
         F.col("p_retailprice").alias("qual"), F.when(F.col("p_type") == "ECONOMY", "LowQual").otherwise("PASS").alias("filter"), F.col("p_size").alias("size"))
     c = F.col("c_custkey")
     indiv = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
         c.alias("indiv_id"), (c % 2).cast("int").alias("sex"), F.when(F.col("c_acctbal") >= 4500, 2).otherwise(1).alias("aff"), F.col("c_acctbal").alias("qt"),
         F.col("n_regionkey").alias("strata"), F.col("c_mktsegment").alias("factor"), F.when(c % 3 == 2, c - 2).alias("pat"), F.when(c % 3 == 2, c - 1).alias("mat"))
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Some variants are rare, some seen in no one or in one file only.
+    v = F.col("l_partkey")
+    seen = ((v % 4 != 0) | (F.col("o_custkey") % 50 == v % 50)) & (v % 17 != 0) & ((v % 5 != 0) | (F.col("l_linestatus") == "F"))
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(seen)
     calls = lines.groupBy(F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("file_id"), F.col("l_partkey").alias("var_id"), F.col("o_custkey").alias("indiv_id")).agg(
         F.least(F.lit(2), F.count(F.lit(1))).cast("int").alias("ac"), F.sum("l_quantity").alias("dp"), (F.max("l_discount") * 1000).alias("gq"),
         ((F.max("l_returnflag") == "R") & (F.sum("l_quantity") < 5)).alias("is_null"))
@@ -42,20 +49,26 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     segments = runs.groupBy(F.col("user_id").alias("indiv_id"), "seg").agg(F.min("ts").alias("t1"), F.max("ts").alias("t2"), F.count(F.lit(1)).alias("n"))
     pheno = indiv.select("indiv_id", F.explode(F.create_map(F.lit("aff"), F.col("aff").cast("double"), F.lit("qt"), "qt", F.lit("strata"), F.col("strata").cast("double"))).alias("pheno", "value"))
     var_sets = variants.select("var_id", F.concat(F.lit("S"), (F.col("var_id") % 5).cast("string")).alias("set_name"), F.when(F.col("var_id") % 5 < 2, "X").otherwise("Y").alias("superset_name"))
+    proteins = loci.select(F.col("altname").alias("transcript"), F.when(F.col("loc_id") % 2 == 0, "PFAM").otherwise("SMART").alias("source"),
+        F.concat(F.lit("F"), (F.col("loc_id") % 5).cast("string")).alias("feature"), "chr", (F.col("bp1") + 100).alias("bp1"), (F.col("bp1") + 500).alias("bp2"))
+    sites = calls.select("file_id", "var_id").distinct().withColumn("filter", F.when((F.col("var_id") + F.col("file_id")) % 4 == 0, "LowQual").otherwise("PASS"))
+    metas = variants.where("var_id % 3 = 0").select("var_id", F.lit("M1").alias("grp"), F.lit("weight").alias("key"), (F.col("size") / 10).cast("string").alias("value"))
     return Study(
-        variants=variants, calls=calls, geno=consensus(calls), indiv=indiv, loci=loci, sets=sets, refs=refs, edges=links.union(links.select("b", "a", "score")),
+        proteins=proteins, sites=sites, metas=metas, variants=variants, calls=calls, geno=consensus(calls), indiv=indiv, loci=loci, sets=sets, refs=refs, edges=links.union(links.select("b", "a", "score")),
         seqs=t("documents").select("doc_id", F.translate("text", "acgtn", "ACGTN").alias("seq")), segments=segments, pheno=pheno, var_sets=var_sets)
 
 
 #: The same tables for the SQL side, each a common table expression.
 VIEWS = {
     "g_variants": """SELECT p_partkey AS var_id, CAST(p_partkey % 22 + 1 AS INT) AS chr, CAST(1000 + CAST(floor(p_partkey/22.0) AS BIGINT)*40 + p_size AS BIGINT) AS bp1,
- CASE WHEN p_partkey % 10 = 0 THEN '.' ELSE concat('rs', CAST(p_partkey AS VARCHAR)) END AS name, substr('ACGT', CAST(p_partkey%4+1 AS INT), 1) AS ref,
- substr('ACGT', CAST((p_partkey%4+1+p_size%3)%4+1 AS INT), 1) AS alt, p_retailprice AS qual, CASE WHEN p_type='ECONOMY' THEN 'LowQual' ELSE 'PASS' END AS filter, p_size AS size FROM part""",
+ CASE WHEN p_partkey % 10 = 0 THEN '.' ELSE concat('rs', CAST(p_partkey AS VARCHAR)) END AS name, CASE p_partkey%9 WHEN 1 THEN concat(b, 'CG') WHEN 2 THEN 'AC' ELSE b END AS ref,
+ CASE p_partkey%9 WHEN 0 THEN concat(b, 'A') WHEN 1 THEN b WHEN 2 THEN 'GT' ELSE CASE WHEN p_partkey%11=0 THEN concat(o, ',TT') ELSE o END END AS alt, p_retailprice AS qual, CASE WHEN p_type='ECONOMY' THEN 'LowQual' ELSE 'PASS' END AS filter, p_size AS size
+ FROM (SELECT *, substr('ACGT', CAST(p_partkey%4+1 AS INT), 1) AS b, substr('ACGT', CAST((p_partkey%4+1+p_size%3)%4+1 AS INT), 1) AS o FROM part) p""",
     "g_indiv": """SELECT c_custkey AS indiv_id, CAST(c_custkey%2 AS INT) AS sex, CASE WHEN c_acctbal>=4500 THEN 2 ELSE 1 END AS aff, c_acctbal AS qt, n_regionkey AS strata,
  c_mktsegment AS factor, CASE WHEN c_custkey%3=2 THEN c_custkey-2 END AS pat, CASE WHEN c_custkey%3=2 THEN c_custkey-1 END AS mat FROM customer JOIN nation ON c_nationkey=n_nationkey""",
     "g_calls": """SELECT CASE WHEN l_linestatus='F' THEN 1 ELSE 2 END AS file_id, l_partkey AS var_id, o_custkey AS indiv_id, CAST(least(2,count(*)) AS INT) AS ac, sum(l_quantity) AS dp,
- max(l_discount)*1000 AS gq, (max(l_returnflag)='R' AND sum(l_quantity)<5) AS is_null FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2,3""",
+ max(l_discount)*1000 AS gq, (max(l_returnflag)='R' AND sum(l_quantity)<5) AS is_null FROM lineitem JOIN orders ON l_orderkey=o_orderkey
+ WHERE (l_partkey%4<>0 OR o_custkey%50=l_partkey%50) AND l_partkey%17<>0 AND (l_partkey%5<>0 OR l_linestatus='F') GROUP BY 1,2,3""",
     "g_geno": """SELECT var_id, indiv_id, CASE WHEN count(DISTINCT CASE WHEN NOT is_null THEN ac END)=1 THEN max(CASE WHEN NOT is_null THEN ac END) END AS ac FROM g_calls GROUP BY 1,2""",
     "g_loci": """SELECT s_suppkey AS loc_id, CAST(s_nationkey%3 AS INT) AS group_id, CAST(s_suppkey%22+1 AS INT) AS chr, CAST(1000+CAST(floor(s_suppkey/22.0) AS BIGINT)*600 AS BIGINT) AS bp1,
  CAST(1900+CAST(floor(s_suppkey/22.0) AS BIGINT)*600 AS BIGINT) AS bp2, concat('GENE',CAST(CAST(floor(s_suppkey/2.0) AS BIGINT) AS VARCHAR)) AS altname FROM supplier""",
@@ -69,6 +82,8 @@ VIEWS = {
     "g_pheno": """SELECT indiv_id, 'aff' AS pheno, CAST(aff AS DOUBLE) AS value FROM g_indiv UNION ALL SELECT indiv_id, 'qt' AS pheno, qt AS value FROM g_indiv
  UNION ALL SELECT indiv_id, 'strata' AS pheno, CAST(strata AS DOUBLE) AS value FROM g_indiv""",
     "g_varsets": """SELECT var_id, concat('S', CAST(var_id%5 AS VARCHAR)) AS set_name, CASE WHEN var_id%5<2 THEN 'X' ELSE 'Y' END AS superset_name FROM g_variants""",
+    "g_prot": """SELECT altname AS transcript, CASE WHEN loc_id%2=0 THEN 'PFAM' ELSE 'SMART' END AS source, concat('F', CAST(loc_id%5 AS VARCHAR)) AS feature, chr, bp1+100 AS bp1, bp1+500 AS bp2 FROM g_loci""",
+    "g_sites": """SELECT DISTINCT file_id, var_id, CASE WHEN (var_id+file_id)%4=0 THEN 'LowQual' ELSE 'PASS' END AS filter FROM g_calls""",
     "n": """SELECT count(*) AS n, count(*) FILTER (aff=2) AS na, count(*) FILTER (aff=1) AS nu FROM g_indiv""",
     "c": """SELECT g.var_id, count(*) FILTER (ac=1) AS het, count(*) FILTER (ac=2) AS hom, count(*) FILTER (ac IS NULL) AS nul,
  count(*) FILTER (ac=1 AND aff=2) AS a_het, count(*) FILTER (ac=2 AND aff=2) AS a_hom, count(*) FILTER (ac IS NULL AND aff=2) AS a_nul,
