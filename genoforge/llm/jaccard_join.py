@@ -219,18 +219,20 @@ def linked(apart: F.Column, total: F.Column, num: int, den: int) -> F.Column:
 
 
 def opened(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b): the links in groups, other than to the base, of members (rep, leader, asks, inside, n, leader_n, apart, far).
+    """(a, b): the links in groups, other than to the base, of members (rep, leader, asks, inside, n, leader_n, apart, far, part, leader_part).
 
-    Two that are near the base are linked by it, so one must be far. Partners are about as far from the base as
-    each other: only who has company within the widest distance of a link is looked at.
+    part and leader_part name what is linked already, so only links between different parts are sought. Partners are
+    about as far from the base as each other: who is part of the base already is only looked at if someone who isn't
+    is within the widest distance of a link, and the latter only if anyone is.
     """
     widest = lambda n: F.floor(F.col(n) * (den - num) / num)
-    groups = members.groupBy("leader").agg(F.max("far").alias("any_far"), F.max("n").alias("top")).where("any_far").select("leader", (widest("top") + 1).alias("step"))
-    placed = members.join(groups, "leader").withColumn("cell", F.floor(F.col("apart") / F.col("step")))
-    crowds = placed.groupBy("leader", "cell").agg(F.count(F.lit(1)).alias("k"))
-    crowds = crowds.select("leader", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"), "k").groupBy("leader", "cell").agg(F.sum("k").alias("k")).where("k > 1").select("leader", "cell")
-    chosen = written(placed.join(crowds, ["leader", "cell"]).select("rep", "leader", "asks", "inside", "far"), "chosen")
-    inside = differences(chosen.drop("far"), texts, width, True).join(chosen.select("rep", "leader", "far"), ["rep", "leader"])
+    loose = F.col("far") & (F.col("part") != F.col("leader_part"))
+    groups = members.groupBy("leader").agg(F.max(loose).alias("any_loose"), F.max("n").alias("top")).where("any_loose").select("leader", (widest("top") + 1).alias("step"))
+    placed = members.withColumn("loose", loose).join(groups, "leader").withColumn("cell", F.floor(F.col("apart") / F.col("step")))
+    crowds = placed.groupBy("leader", "cell").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("loose"), 1)).alias("open"))
+    crowds = crowds.select("leader", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"), "k", "open").groupBy("leader", "cell").agg(F.sum("k").alias("k"), F.sum("open").alias("open")).where("k > 1 and open > 0")
+    chosen = written(placed.join(crowds.select("leader", "cell"), ["leader", "cell"]).select("rep", "leader", "asks", "inside", "far", "part"), "chosen")
+    inside = differences(chosen.drop("far", "part"), texts, width, True).join(chosen.select("rep", "leader", "far", "part"), ["rep", "leader"])
     inside = written(inside, "inside")
     cells = inside.select("leader", "rep", "inside", F.explode(F.concat(
         F.transform("new", lambda t: F.struct(t.alias("token"), F.lit(True).alias("is_new"))),
@@ -241,19 +243,19 @@ def opened(members: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     each = Window.partitionBy("leader", "rep")
     strange = F.col("is_new") & (F.col("held") == F.col("inside").cast("int"))
     ranked = cells.join(matrix, ["leader", "token"]).withColumn("place", F.row_number().over(rare)).withColumn("strange", F.sum(strange.cast("int")).over(each))
-    ranked = ranked.drop("inside").join(inside.select("leader", "rep", "asks", "inside", "n", "leader_n", "apart", "far"), ["leader", "rep"])
+    ranked = ranked.drop("inside").join(inside.select("leader", "rep", "asks", "inside", "n", "leader_n", "apart", "far", "part"), ["leader", "rep"])
     qualifies = F.col("inside") | (den * (F.col("n") - F.col("strange")) >= num * F.col("n"))
     least_far = F.col("apart") - widest("n") - 1
     least_near = F.floor(((den + num) * F.col("apart") + (den - num) * (F.col("leader_n") - F.col("n"))) / (2 * (den + num)))
     least = F.greatest(F.lit(1), F.when(F.col("far"), least_far).otherwise(least_near)).cast("long")
-    prefixes = written(ranked.where(qualifies & (F.col("seen") > 1) & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "asks", "inside", "n", "apart", "far", "place"), "prefixes")
+    prefixes = written(ranked.where(qualifies & (F.col("seen") > 1) & (F.col("place") <= F.col("apart") - least + 1)).select("leader", "token", "rep", "asks", "inside", "n", "apart", "far", "part", "place"), "prefixes")
     a, b = prefixes.where("asks").alias("a"), prefixes.where("inside").alias("b")
     total, both = F.col("a.n") + F.col("b.n"), F.col("a.apart") + F.col("b.apart")
     # Twice the shared differences must reach this; behind the places of the two tokens there must be so many left.
     needed = (den + num) * both - (den - num) * total
     left = 1 + F.least(F.col("a.apart") - F.col("a.place"), F.col("b.apart") - F.col("b.place"))
     may = (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n")) & (2 * (den + num) * left >= needed)
-    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")) & (F.col("a.far") | F.col("b.far")) & may)
+    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.far") | F.col("b.far")) & may)
     pairs = met.select("a.leader", F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     side = lambda x: inside.select("leader", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"), F.concat("new", "gone").alias(f"diff_{x}"))
     known = pairs.join(side("a"), ["leader", "a"]).join(side("b"), ["leader", "b"])
@@ -280,8 +282,12 @@ def similar_groups(documents: DataFrame, width: int = 5, num: int = 8, den: int
     apart = differences(pairs, texts, width, False).drop("new", "gone")
     members = written(apart.withColumn("far", ~linked(F.col("apart"), F.col("n") + F.col("leader_n"), num, den)), "members")
     discarded(named, pairs)
-    links = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(opened(members, texts, width, num, den))
-    found = components(links)
+    near = members.where("not far").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    parts = components(near)
+    part = lambda of, name: parts.select(F.col("node").alias(of), F.col("component").alias(name))
+    known = members.join(part("rep", "part"), "rep", "left").join(part("leader", "leader_part"), "leader", "left")
+    known = known.withColumns({"part": F.coalesce("part", "rep"), "leader_part": F.coalesce("leader_part", "leader")})
+    found = components(near.union(opened(known, texts, width, num, den)))
     joined = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     rows = docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
     none = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
