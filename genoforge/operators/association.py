@@ -144,7 +144,7 @@ def glm(study: Study, covariates: tuple[str, ...] = ("sex",), logistic: bool = T
     return cells.groupBy("var_id").applyInPandas(fit, "var_id long, n long, beta double, se double, stat double").withColumn("p", normal_p("stat"))
 
 
-def _carriers(study: Study) -> DataFrame:
+def carriers(study: Study) -> DataFrame:
     """(loc_id, var_id, indiv_id, ac, aff): ALT genotypes at the variants of each locus."""
     v = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("loc_id"), "var_id")
     return study.geno.where("ac > 0").join(v, "var_id").join(study.indiv.select("indiv_id", "aff"), "indiv_id")
@@ -156,7 +156,7 @@ def gene_tests(study: Study) -> DataFrame:
     A person's burden is the number of ALT alleles; VT takes the largest standardised difference over thresholds
     of allele count; CALPHA compares the spread of case counts with a binomial one.
     """
-    g = _carriers(study)
+    g = carriers(study)
     n = F.broadcast(people(study.indiv))  # one row
     case = F.col("aff") == 2
     each = g.groupBy("loc_id", "var_id").agg(F.sum("ac").alias("k"), F.sum(F.when(case, F.col("ac")).otherwise(0)).alias("ka"), F.count(F.when(case, 1)).alias("ca"), F.count(F.when(~case, 1)).alias("cu")).crossJoin(n)
@@ -190,7 +190,7 @@ def permuted(study: Study, replicates: int = 99, seed: int = 1, strata: bool = T
     row; where no carrier is a case, in the data or in a replicate, the burden is 0.
     """
     loci = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("loc_id")).distinct()
-    person = _carriers(study).groupBy("loc_id", "indiv_id").agg(F.sum("ac").alias("b"))
+    person = carriers(study).groupBy("loc_id", "indiv_id").agg(F.sum("ac").alias("b"))
     within = ["strata"] if strata else []
     order = Window.partitionBy("rep", *within).orderBy(F.xxhash64("rep", "indiv_id", F.lit(seed)), "indiv_id")
     slots = Window.partitionBy("rep", *within).orderBy("indiv_id")
@@ -205,21 +205,23 @@ def permuted(study: Study, replicates: int = 99, seed: int = 1, strata: bool = T
 
 
 def liu_tail(q: float, eigen: np.ndarray) -> float:
-    """Upper tail of a weighted sum of chi-squares by matching moments, with a central chi-square."""
+    """Upper tail of a weighted sum of central chi-squares by matching moments.
+
+    The square of the skewness never exceeds the kurtosis of such a sum, so the matching chi-square is central, too.
+    """
     c = [float((eigen**k).sum()) for k in (1, 2, 3, 4)]
     df = c[1] ** 2 / c[3]  # any real number
     z = (q - c[0]) / np.sqrt(2 * c[1])
     return chi2_tail(max(df + z * np.sqrt(2 * df), 0.0), df)
 
 
-def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEOPLE) -> DataFrame:
-    """(loc_id, nvar, q, p): kernel test with beta(MAF) weights of the disease residuals, without covariates.
+def variant_products(study: Study, block: int = BLOCK_PEOPLE) -> DataFrame:
+    """(loc_id, v, u, xx, s, c): by locus and pair of variants the products of ALT counts summed over people; where v = u also the sums over all and over cases.
 
-    Carriers are summed by blocks of people to (variant, variant) products, and these by locus in Spark, so a
-    locus's task gets the products of its variants; all others enter by the shared residual mean only.
+    Carriers are multiplied in blocks of people, so no task holds a locus's whole people x variants matrix.
     """
     n = F.broadcast(people(study.indiv))  # one row
-    g = _carriers(study).crossJoin(n).withColumn("block", F.pmod(F.xxhash64("indiv_id"), F.ceil(F.col("n") / block)))
+    g = carriers(study).crossJoin(n).withColumn("block", F.pmod(F.xxhash64("indiv_id"), F.ceil(F.col("n") / block)))
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf["indiv_id"].astype("category").cat, pdf["var_id"].astype("category").cat
@@ -232,6 +234,17 @@ def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEO
         own = i == j
         return pd.DataFrame({"loc_id": pdf["loc_id"].iloc[0], "v": ids[i], "u": ids[j], "xx": xx[i, j], "s": np.where(own, x.sum(0)[i], 0.0), "c": np.where(own, (case @ x)[i], 0.0)})
 
+    sums = g.groupBy("loc_id", "block").applyInPandas(products, "loc_id long, v long, u long, xx double, s double, c double")
+    return sums.groupBy("loc_id", "v", "u").agg(F.sum("xx").alias("xx"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEOPLE) -> DataFrame:
+    """(loc_id, nvar, q, p): kernel test with beta(MAF) weights of the disease residuals, without covariates.
+
+    A locus's task gets the products of its variants; all others enter by the shared residual mean only.
+    """
+    n = F.broadcast(people(study.indiv))  # one row
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         k, share = float(pdf["n"].iloc[0]), float(pdf["na"].iloc[0] / pdf["n"].iloc[0])
         own = pdf[pdf["v"] == pdf["u"]].sort_values("v")
@@ -247,9 +260,7 @@ def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEO
         p = liu_tail(q, eigen) if len(eigen) else 1.0
         return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), len(ids), q, p)], columns=["loc_id", "nvar", "q", "p"])
 
-    sums = g.groupBy("loc_id", "block").applyInPandas(products, "loc_id long, v long, u long, xx double, s double, c double")
-    sums = sums.groupBy("loc_id", "v", "u").agg(F.sum("xx").alias("xx"), F.sum("s").alias("s"), F.sum("c").alias("c")).crossJoin(n)
-    return sums.groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, q double, p double")
+    return variant_products(study, block).crossJoin(n).groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, q double, p double")
 
 
 def gene_p(tests: DataFrame) -> DataFrame:

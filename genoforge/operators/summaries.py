@@ -87,14 +87,22 @@ def g_stats(study: Study) -> DataFrame:
 
 
 def i_stats(study: Study) -> DataFrame:
-    """Of each individual: ALT genotypes, minor-allele genotypes, heterozygotes, missing, and singletons and mean MAF of the variants carried."""
-    v = counted(study).select("var_id", "flip", "mac", "maf", "ref", "alt", "qual")
+    """Of each individual: ALT genotypes, heterozygotes, missing, singletons, and mean MAF and quality of the variants whose minor allele is carried.
+
+    Where ALT is the commoner allele all but ALT homozygotes and missing genotypes carry the minor one: the sums over
+    these variants less those of the genotypes that don't.
+    """
+    v = counted(study).select("var_id", "flip", "mac", "maf", "qual")
     g = study.geno.join(v, "var_id")
     yes = lambda c: F.count(F.when(c, 1))
-    carries = F.when(F.col("flip"), F.col("ac") < 2).otherwise(F.col("ac") > 0)
+    sign = F.when(~F.col("flip") & (F.col("ac") > 0), 1).when(F.col("flip") & (F.col("ac").isNull() | (F.col("ac") == 2)), -1).otherwise(0)
+    part = lambda c: F.sum(sign * F.col(c))
     by = g.groupBy("indiv_id").agg(yes(F.col("ac") > 0).alias("nalt"), yes(F.col("ac") == 1).alias("nhet"), yes(F.col("ac").isNull()).alias("nmiss"),
-        yes((F.col("ac") > 0) & (F.col("mac") == 1)).alias("sing"), F.avg(F.when(carries, F.col("maf"))).alias("maf"), F.avg(F.when(carries, F.col("qual"))).alias("qual"))
-    return study.indiv.select("indiv_id", "aff").join(by, "indiv_id", "left").fillna(0, ["nalt", "nhet", "nmiss", "sing"])
+        yes((F.col("ac") > 0) & (F.col("mac") == 1)).alias("sing"), F.sum(sign).alias("k"), part("maf").alias("m"), part("qual").alias("q"))
+    whole = v.where("flip").agg(F.count(F.lit(1)).alias("k0"), F.coalesce(F.sum("maf"), F.lit(0.0)).alias("m0"), F.coalesce(F.sum("qual"), F.lit(0.0)).alias("q0"))
+    out = study.indiv.select("indiv_id", "aff").join(by, "indiv_id", "left").fillna(0, ["nalt", "nhet", "nmiss", "sing", "k", "m", "q"]).crossJoin(F.broadcast(whole))  # one row
+    n = F.col("k") + F.col("k0")
+    return out.select("indiv_id", "aff", "nalt", "nhet", "nmiss", "sing", F.when(n > 0, (F.col("m") + F.col("m0")) / n).alias("maf"), F.when(n > 0, (F.col("q") + F.col("q0")) / n).alias("qual"))
 
 
 def v_dist(study: Study, most: int = 4, strata: bool = True) -> DataFrame:
@@ -115,13 +123,21 @@ def v_dist(study: Study, most: int = 4, strata: bool = True) -> DataFrame:
 
 def unique(study: Study, require: int = 2, allow: int = 0) -> DataFrame:
     """Variants whose minor allele is seen in at least `require` cases and at most `allow` controls."""
-    v = counted(study).where(~F.col("flip"))
-    return v.where((F.col("a_het") + F.col("a_hom") >= require) & (F.col("u_het") + F.col("u_hom") <= allow)).select("var_id", (F.col("a_het") + F.col("a_hom")).alias("in_group"), (F.col("u_het") + F.col("u_hom")).alias("outside"))
+    carry = lambda t: F.when(F.col("flip"), F.col(f"{t}rr") + F.col(f"{t}het")).otherwise(F.col(f"{t}het") + F.col(f"{t}hom"))
+    v = counted(study).select("var_id", carry("a_").alias("in_group"), carry("u_").alias("outside"))
+    return v.where((F.col("in_group") >= require) & (F.col("outside") <= allow))
 
 
 def group_comparison(study: Study) -> DataFrame:
-    """How many variants are carried in exactly which set of strata."""
-    sets = study.geno.where("ac > 0").join(study.indiv.select("indiv_id", "strata"), "indiv_id").groupBy("var_id").agg(F.array_join(F.array_sort(F.collect_set("strata")), ",").alias("groups"))
+    """How many variants have their minor allele carried in exactly which set of strata."""
+    sizes = study.indiv.groupBy("strata").agg(F.count(F.lit(1)).alias("n"))
+    v = counted(study).select("var_id", "flip")
+    g = study.geno.join(study.indiv.select("indiv_id", "strata"), "indiv_id")
+    seen = g.groupBy("var_id", "strata").agg(F.count(F.when(F.col("ac") > 0, 1)).alias("alt"), F.count(F.when(F.col("ac").isNull() | (F.col("ac") == 2), 1)).alias("without"))
+    rare = seen.join(v.where("not flip"), "var_id").where("alt > 0").select("var_id", "strata")
+    # Where ALT is the commoner allele, a stratum carries REF unless all of it is homozygous for ALT or missing.
+    common = v.where("flip").select("var_id").crossJoin(F.broadcast(sizes)).join(seen, ["var_id", "strata"], "left").where("n > coalesce(without, 0)").select("var_id", "strata")  # a row for each stratum
+    sets = rare.union(common).groupBy("var_id").agg(F.array_join(F.array_sort(F.collect_set("strata")), ",").alias("groups"))
     return sets.groupBy("groups").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -133,13 +149,21 @@ def clusters(study: Study) -> DataFrame:
 
 
 def i_pop(study: Study) -> DataFrame:
-    """Posterior of each individual's population from stratum frequencies under Hardy-Weinberg, from carried genotypes."""
+    """Posterior of each individual's population from stratum frequencies under Hardy-Weinberg, and the variants called.
+
+    A person's log likelihood is that of reference homozygotes at all variants, corrected by the stored genotypes.
+    """
     sizes = study.indiv.groupBy("strata").agg(F.count(F.lit(1)).alias("n"))
-    seen = study.geno.where("ac > 0").join(study.indiv.select("indiv_id", "strata"), "indiv_id").groupBy("var_id", "strata").agg(F.sum("ac").alias("ac"))
-    pairs = study.geno.where("ac > 0").select("var_id", "indiv_id", F.col("ac").alias("g")).crossJoin(F.broadcast(sizes))  # a row for each population
-    f = (F.coalesce("ac", F.lit(0)) + 0.5) / (2 * F.col("n") + 1)
-    met = pairs.join(seen, ["var_id", "strata"], "left").withColumn("lp", F.when(F.col("g") == 1, F.log(2 * f * (1 - f))).otherwise(F.log(f * f)))
-    ll = met.groupBy("indiv_id", "strata").agg(F.sum("lp").alias("ll"), F.count(F.lit(1)).alias("nvar"))
-    own = Window.partitionBy("indiv_id")
-    e = F.exp(F.col("ll") - F.max("ll").over(own))
-    return ll.withColumn("prob", e / F.sum(e).over(own)).select("indiv_id", F.col("strata").alias("pop"), "nvar", "prob")
+    seen = study.geno.where("ac > 0").join(study.indiv.select("indiv_id", "strata"), "indiv_id").groupBy("var_id", "strata").agg(F.sum("ac").alias("k"))
+    f = (F.coalesce("k", F.lit(0)) + 0.5) / (2 * F.col("n") + 1)
+    freqs = study.variants.select("var_id").crossJoin(F.broadcast(sizes)).join(seen, ["var_id", "strata"], "left").select("var_id", "strata", f.alias("f"))  # a row for each population
+    none = 2 * F.log(1 - F.col("f"))
+    whole = freqs.groupBy("strata").agg(F.sum(none).alias("base"), F.count(F.lit(1)).alias("v"))
+    g = study.geno.join(study.indiv.select("indiv_id"), "indiv_id").join(freqs, "var_id")
+    own = F.when(F.col("ac").isNull(), 0.0).when(F.col("ac") == 0, none).when(F.col("ac") == 1, F.log(2 * F.col("f") * (1 - F.col("f")))).otherwise(2 * F.log("f"))
+    by = g.groupBy("indiv_id", "strata").agg(F.sum(own - none).alias("more"), F.count(F.when(F.col("ac").isNull(), 1)).alias("lost"))
+    ll = study.indiv.select("indiv_id").crossJoin(F.broadcast(whole)).join(by, ["indiv_id", "strata"], "left").fillna(0, ["more", "lost"])
+    ll = ll.select("indiv_id", "strata", (F.col("v") - F.col("lost")).alias("nvar"), (F.col("base") + F.col("more")).alias("ll"))
+    one = Window.partitionBy("indiv_id")
+    e = F.exp(F.col("ll") - F.max("ll").over(one))
+    return ll.withColumn("prob", e / F.sum(e).over(one)).select("indiv_id", F.col("strata").alias("pop"), "nvar", "prob")

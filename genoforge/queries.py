@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import association as A
 from .operators import family as Y
+from .operators import genes as E
 from .operators import loci as L
 from .operators import summaries as S
 from .operators import views as V
@@ -56,8 +57,8 @@ query("v_stats", S.v_stats, f"""SELECT {_STATS}, round(CASE WHEN count(*) FILTER
 query("g_stats", S.g_stats, f"""SELECT l.loc_id, l.altname AS name, round((l.bp2-l.bp1+1)/1000.0,6) AS kb, round((l.bp2-l.bp1+1)/CAST(count(*) AS DOUBLE),6) AS dens, {_STATS}
  FROM vc v JOIN g_loci l ON v.chr=l.chr AND v.bp1 BETWEEN l.bp1 AND l.bp2 GROUP BY l.loc_id, l.altname, l.bp1, l.bp2""")
 query("i_stats", S.i_stats, """SELECT i.indiv_id, i.aff, count(*) FILTER (g.ac>0) AS nalt, count(*) FILTER (g.ac=1) AS nhet, count(*) FILTER (g.var_id IS NOT NULL AND g.ac IS NULL) AS nmiss, count(*) FILTER (g.ac>0 AND mac=1) AS sing,
- round(avg(maf) FILTER (CASE WHEN flip THEN g.ac<2 ELSE g.ac>0 END),6) AS maf, round(avg(qual) FILTER (CASE WHEN flip THEN g.ac<2 ELSE g.ac>0 END),6) AS qual
- FROM g_indiv i LEFT JOIN (SELECT g.*, v.flip, v.mac, v.maf, v.qual FROM g_geno g JOIN vc v USING (var_id)) g ON i.indiv_id=g.indiv_id GROUP BY 1,2""")
+ round(avg(maf) FILTER (CASE WHEN flip THEN g.var_id IS NULL OR g.ac<2 ELSE g.ac>0 END),6) AS maf, round(avg(qual) FILTER (CASE WHEN flip THEN g.var_id IS NULL OR g.ac<2 ELSE g.ac>0 END),6) AS qual
+ FROM g_indiv i CROSS JOIN vc v LEFT JOIN g_geno g ON g.var_id=v.var_id AND g.indiv_id=i.indiv_id GROUP BY 1,2""")
 query("v_dist", S.v_dist, """, grp AS (SELECT indiv_id, aff, 'all' AS stratum FROM g_indiv UNION ALL SELECT indiv_id, aff, CAST(strata AS VARCHAR) FROM g_indiv),
  p AS (SELECT stratum, avg(CASE WHEN aff=2 THEN 1.0 ELSE 0.0 END) AS p FROM grp GROUP BY 1),
  seen AS (SELECT stratum, var_id, CAST(sum(ac) AS BIGINT) AS k, CAST(sum(CASE WHEN aff=2 THEN ac ELSE 0 END) AS BIGINT) AS j FROM g_geno JOIN grp USING (indiv_id) WHERE ac>0 GROUP BY 1,2),
@@ -66,15 +67,16 @@ query("v_dist", S.v_dist, """, grp AS (SELECT indiv_id, aff, 'all' AS stratum FR
  e AS (SELECT g.stratum, g.k, g.j, coalesce(observed,0) AS observed, factorial(CAST(g.k AS INT))/(factorial(CAST(g.j AS INT))*factorial(CAST(g.k-g.j AS INT)))*pow(p,g.j)*pow(1-p,g.k-g.j)*nk AS expected
  FROM grid g LEFT JOIN cells c ON g.stratum=c.stratum AND g.k=c.k AND g.j=c.j JOIN p ON g.stratum=p.stratum)
  SELECT stratum, k, j, observed, round(expected,6) AS expected, round(CASE WHEN expected>0 THEN pow(observed-expected,2)/expected ELSE 0 END,6) AS chi2 FROM e""".replace(", grp", "SELECT * FROM (WITH grp", 1) + ")")
-query("unique", S.unique, "SELECT var_id, a_het+a_hom AS in_group, u_het+u_hom AS outside FROM vc WHERE NOT flip AND a_het+a_hom>=2 AND u_het+u_hom<=0")
-query("group_comparison", S.group_comparison, """SELECT groups, count(*) AS n FROM (SELECT var_id, string_agg(CAST(strata AS VARCHAR), ',' ORDER BY strata) AS groups FROM
- (SELECT DISTINCT var_id, strata FROM g_geno JOIN g_indiv USING (indiv_id) WHERE ac>0) d GROUP BY 1) e GROUP BY 1""")
+query("unique", S.unique, """SELECT * FROM (SELECT var_id, CASE WHEN flip THEN a_rr+a_het ELSE a_het+a_hom END AS in_group, CASE WHEN flip THEN u_rr+u_het ELSE u_het+u_hom END AS outside FROM vc) x WHERE in_group>=2 AND outside<=0""")
+query("group_comparison", S.group_comparison, """SELECT groups, count(*) AS n FROM (SELECT var_id, string_agg(CAST(strata AS VARCHAR), ',' ORDER BY strata) AS groups FROM (
+ SELECT DISTINCT v.var_id, i.strata FROM vc v CROSS JOIN g_indiv i LEFT JOIN g_geno g ON g.var_id=v.var_id AND g.indiv_id=i.indiv_id WHERE CASE WHEN flip THEN g.var_id IS NULL OR g.ac<2 ELSE g.ac>0 END) d GROUP BY 1) e GROUP BY 1""")
 query("clusters", S.clusters, """SELECT loc_id, indiv_id, k, round(mean,6) AS mean, round(sd,6) AS sd FROM (SELECT *, avg(k) OVER (PARTITION BY loc_id) AS mean, stddev_pop(k) OVER (PARTITION BY loc_id) AS sd FROM
  (SELECT loc_id, indiv_id, count(*) AS k FROM vl JOIN g_geno g ON vl.var_id=g.var_id WHERE ac>0 GROUP BY 1,2) a) b WHERE k>mean+5*sd""")
-query("i_pop", S.i_pop, """SELECT indiv_id, strata AS pop, nvar, round(exp(ll-max(ll) OVER w)/sum(exp(ll-m)) OVER w,6) AS prob FROM (SELECT *, max(ll) OVER (PARTITION BY indiv_id) AS m FROM (
- SELECT p.indiv_id, p.strata, sum(CASE WHEN g=1 THEN ln(2*f*(1-f)) ELSE ln(f*f) END) AS ll, count(*) AS nvar FROM (
- SELECT a.indiv_id, a.ac AS g, s.strata, (coalesce(c.ac,0)+0.5)/CAST(2*s.n+1 AS DOUBLE) AS f FROM g_geno a CROSS JOIN (SELECT strata, count(*) AS n FROM g_indiv GROUP BY 1) s
- LEFT JOIN (SELECT var_id, strata, sum(ac) AS ac FROM g_geno JOIN g_indiv USING (indiv_id) WHERE ac>0 GROUP BY 1,2) c ON a.var_id=c.var_id AND s.strata=c.strata WHERE a.ac>0) p GROUP BY 1,2) q) r WINDOW w AS (PARTITION BY indiv_id)""")
+query("i_pop", S.i_pop, """SELECT indiv_id, strata AS pop, nvar, round(exp(ll-m)/sum(exp(ll-m)) OVER (PARTITION BY indiv_id),6) AS prob FROM (SELECT *, max(ll) OVER (PARTITION BY indiv_id) AS m FROM (
+ SELECT i.indiv_id, p.strata, sum(CASE WHEN g.var_id IS NULL OR g.ac=0 THEN 2*ln(1-f) WHEN g.ac=1 THEN ln(2*f*(1-f)) WHEN g.ac=2 THEN 2*ln(f) ELSE 0 END) AS ll, count(*) FILTER (g.var_id IS NULL OR g.ac IS NOT NULL) AS nvar FROM g_indiv i CROSS JOIN (
+ SELECT v.var_id, s.strata, (coalesce(c.ac,0)+0.5)/CAST(2*s.n+1 AS DOUBLE) AS f FROM g_variants v CROSS JOIN (SELECT strata, count(*) AS n FROM g_indiv GROUP BY 1) s
+ LEFT JOIN (SELECT var_id, strata, sum(ac) AS ac FROM g_geno JOIN g_indiv USING (indiv_id) WHERE ac>0 GROUP BY 1,2) c ON v.var_id=c.var_id AND s.strata=c.strata) p
+ LEFT JOIN g_geno g ON g.var_id=p.var_id AND g.indiv_id=i.indiv_id GROUP BY 1,2) q) r""")
 
 _ALTS = "len(list_filter(string_split(alt,','), lambda a: {}))"
 _SNP = _ALTS.format("NOT (length(ref)=1 AND length(a)=1 AND a<>ref)") + "=0"
@@ -165,6 +167,21 @@ query("gene_tests", A.gene_tests, """, car AS (SELECT loc_id, g.var_id, indiv_id
  round(CASE WHEN v>0 THEN t/sqrt(v) END,6) AS calpha FROM bv JOIN bu USING (loc_id) JOIN vt USING (loc_id)""".replace(", car AS", "SELECT * FROM (WITH car AS", 1).replace("CHI2", _CHI2.format(a="ca", b="(na-ca)", c="cu", d="(nu-cu)")) + ")")
 query("gene_permuted", A.permuted)
 query("skat", A.skat)
+query("cancor", E.cancor)
+query("gene_assoc", lambda s: E.gene_assoc(s, (20, 40)))
+query("two_hit", E.two_hit, """, car AS (SELECT loc_id, g.var_id, indiv_id, ac, aff FROM vl JOIN g_geno g ON vl.var_id=g.var_id JOIN g_indiv USING (indiv_id) WHERE ac>0),
+ bo AS (SELECT a.loc_id, a.var_id AS v, b.var_id AS u, a.indiv_id, greatest(a.ac,b.ac) AS most FROM car a JOIN car b ON a.loc_id=b.loc_id AND a.indiv_id=b.indiv_id AND a.var_id<b.var_id),
+ al AS (SELECT loc_id, var_id, count(*) AS k FROM car GROUP BY 1,2),
+ ok AS (SELECT p.loc_id, v, u FROM (SELECT loc_id, v, u, count(*) AS k FROM bo GROUP BY 1,2,3 HAVING max(most)=1) p JOIN al a ON a.loc_id=p.loc_id AND a.var_id=v JOIN al b ON b.loc_id=p.loc_id AND b.var_id=u WHERE a.k>p.k AND b.k>p.k),
+ tw AS (SELECT DISTINCT loc_id, indiv_id FROM bo JOIN ok USING (loc_id, v, u)),
+ pe AS (SELECT c.loc_id, c.indiv_id, aff, max(ac)=2 OR max(tw.indiv_id) IS NOT NULL AS hit, min(ac)=1 AS het FROM car c LEFT JOIN tw ON tw.loc_id=c.loc_id AND tw.indiv_id=c.indiv_id GROUP BY 1,2,3),
+ s AS (SELECT loc_id, count(*) FILTER (hit AND aff=2) AS cases, count(*) FILTER (hit AND aff=1) AS controls, count(*) FILTER (het AND aff=2) AS case_hets, count(*) FILTER (het AND aff=1) AS control_hets FROM pe GROUP BY 1),
+ q AS (SELECT s.*, na, nu, (2*controls+control_hets)/(2.0::DOUBLE*nu) AS af FROM s CROSS JOIN n),
+ r AS (SELECT *, CASE WHEN greatest(af*af, controls/CAST(nu AS DOUBLE))=0 THEN 1e-4 ELSE greatest(af*af, controls/CAST(nu AS DOUBLE)) END AS p FROM q),
+ t AS (SELECT *, risk*p+1-p AS den FROM (SELECT *, 1.1::DOUBLE+0.1::DOUBLE*unnest(range(0,490)) AS risk FROM r WHERE p<1) x),
+ l AS (SELECT *, risk*p/den AS sick, (1-risk*0.01::DOUBLE/den)*p/(1-0.01::DOUBLE) AS well FROM t),
+ b AS (SELECT loc_id, max(cases*ln(sick)+(na-cases)*ln(1-sick)+controls*ln(well)+(nu-controls)*ln(1-well)) AS best FROM l WHERE sick<1 AND well>0 AND well<1 GROUP BY 1)
+ SELECT loc_id, cases, controls, case_hets, control_hets, round(af,6) AS af, CASE WHEN p<1 THEN round(2*greatest(coalesce(best,-1e300)-((cases+controls)*ln(p)+(na-cases+nu-controls)*ln(1-p)),0),6) END AS chi2 FROM r LEFT JOIN b USING (loc_id)""".replace(", car AS", "SELECT * FROM (WITH car AS", 1) + ")")
 query("concordance", Y.concordance, """SELECT indiv_id, count(*) AS n, count(*) FILTER (g1<>g2) AS disc, count(*) FILTER (g1=0 AND g2>0) AS ref_alt, count(*) FILTER (g1>0 AND g2>0 AND g1<>g2) AS alt_alt, round(1-count(*) FILTER (g1<>g2)/CAST(count(*) AS DOUBLE),6) AS rate
  FROM (SELECT a.indiv_id, a.ac AS g1, b.ac AS g2 FROM g_calls a JOIN g_calls b ON a.var_id=b.var_id AND a.indiv_id=b.indiv_id WHERE a.file_id=1 AND b.file_id=2 AND NOT a.is_null AND NOT b.is_null) x GROUP BY 1""")
 query("denovo", Y.denovo, """SELECT child, count(*) FILTER (lost) AS missing, count(*) FILTER (NOT lost AND one AND c=0) AS trans_ref_from_het, count(*) FILTER (NOT lost AND one AND c=1) AS trans_alt_from_het,
@@ -178,8 +195,11 @@ query("ibs", Y.ibs, """, g AS (SELECT g.* FROM g_geno g JOIN vc USING (var_id) W
  SELECT id1, id2, ibs, (SELECT count(*) FROM vc WHERE NOT flip)-coalesce(a.k,0)-coalesce(b.k,0)+coalesce(kk,0) AS obs FROM (SELECT x.indiv_id AS id1, y.indiv_id AS id2, count(*) AS ibs FROM g x JOIN g y ON x.var_id=y.var_id AND x.indiv_id<y.indiv_id
  WHERE x.ac>0 AND y.ac>0 GROUP BY 1,2) s LEFT JOIN lo a ON a.indiv_id=id1 LEFT JOIN lo b ON b.indiv_id=id2 LEFT JOIN bo ON i=id1 AND j=id2""".replace(", g AS", "SELECT * FROM (WITH g AS", 1) + ")")
 query("proximity", Y.proximity, """, p AS (SELECT lag(var_id) OVER w AS before, var_id, bp1-lag(bp1) OVER w AS dist FROM g_variants WINDOW w AS (PARTITION BY chr ORDER BY bp1, var_id)), q AS (SELECT * FROM p WHERE dist<=40),
- k AS (SELECT var_id AS pair, indiv_id, count(*) AS k FROM (SELECT q.var_id, g.indiv_id FROM q JOIN g_geno g ON g.var_id IN (q.before, q.var_id) WHERE g.ac>0) x GROUP BY 1,2)
- SELECT before, var_id, dist, coalesce(b.both,0) AS both, coalesce(b.either,0) AS either FROM q LEFT JOIN (SELECT pair, count(*) FILTER (k=2) AS both, count(*) AS either FROM k GROUP BY 1) b ON pair=var_id""".replace(", p AS", "SELECT * FROM (WITH p AS", 1) + ")")
+ k AS (SELECT q.before, q.var_id, q.dist, i.indiv_id, CASE WHEN a.var_id IS NULL THEN 0.0 ELSE CAST(a.ac AS DOUBLE) END AS x, CASE WHEN b.var_id IS NULL THEN 0.0 ELSE CAST(b.ac AS DOUBLE) END AS y FROM q CROSS JOIN g_indiv i
+ LEFT JOIN g_geno a ON a.var_id=q.before AND a.indiv_id=i.indiv_id LEFT JOIN g_geno b ON b.var_id=q.var_id AND b.indiv_id=i.indiv_id),
+ z AS (SELECT before, var_id, dist, count(*) FILTER (x>0 AND y>0) AS both, count(*) FILTER (x>0 OR y>0) AS either, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, sum(x) FILTER (y IS NOT NULL) AS sx, sum(y) FILTER (x IS NOT NULL) AS sy,
+ sum(x*x) FILTER (y IS NOT NULL) AS sxx, sum(y*y) FILTER (x IS NOT NULL) AS syy, sum(x*y) AS sxy FROM k GROUP BY 1,2,3)
+ SELECT before, var_id, dist, "both", either, CASE WHEN (n*sxx-sx*sx)*(n*syy-sy*sy)>0 THEN round((n*sxy-sx*sy)/sqrt((n*sxx-sx*sx)*(n*syy-sy*sy)),6) END AS r FROM z""".replace(", p AS", "SELECT * FROM (WITH p AS", 1) + ")")
 query("loc_intersect", L.loc_intersect, "SELECT a.loc_id, count(DISTINCT b.altname) AS n, array_to_string(list_sort(list(DISTINCT b.altname)),'|') AS genes FROM g_loci a JOIN g_loci b ON a.chr=b.chr AND a.bp1<=b.bp2 AND a.bp2>=b.bp1 WHERE a.group_id=0 AND b.group_id<>0 GROUP BY 1")
 query("loc_overlap", L.loc_overlap, "SELECT a.loc_id AS loc_a, b.loc_id AS loc_b, least(a.bp2,b.bp2)-greatest(a.bp1,b.bp1)+1 AS intersection, greatest(a.bp2,b.bp2)-least(a.bp1,b.bp1)+1 AS joint FROM g_loci a JOIN g_loci b ON a.chr=b.chr AND a.bp1<=b.bp2 AND a.bp2>=b.bp1 WHERE a.group_id=0 AND b.group_id=1")
 query("loc_merge", L.loc_merge, "SELECT group_id, altname, chr, min(bp1) AS bp1, max(bp2) AS bp2, count(*) AS parts FROM g_loci GROUP BY 1,2,3")
