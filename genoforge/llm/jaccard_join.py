@@ -169,8 +169,8 @@ def matched(named: DataFrame, num: int, den: int) -> DataFrame:
     homes = named.join(leaders, "token").groupBy("rep").agg((-F.max("rank")["r"]).alias("home"))
     settled = written(named.join(homes, "rep"), "settled")
     matrix = settled.groupBy("token", "home").agg(F.count(F.lit(1)).alias("held")).select("token", F.col("home").alias("leader"), "held")
-    own = F.col("home") == F.col("leader")
-    asked = settled.join(matrix, "token").where(~own | (F.col("held") > 1)).groupBy("rep", "leader", F.pmod("token", F.lit(CLASSES)).alias("class")).agg(F.count(F.lit(1)).alias("shared"))
+    # Of two sets in different groups, the one whose group's leader has the smaller id asks the other's group.
+    asked = settled.join(matrix, "token").where((F.col("home") < F.col("leader")) | ((F.col("home") == F.col("leader")) & (F.col("held") > 1))).groupBy("rep", "leader", F.pmod("token", F.lit(CLASSES)).alias("class")).agg(F.count(F.lit(1)).alias("shared"))
     opens = asked.where(F.col("shared") >= _of_class(F.col("class"), num, den, 2)).select("rep", "leader", F.lit(True).alias("asks"), F.lit(False).alias("inside"))
     roles = opens.union(homes.select("rep", "home", F.lit(False), F.lit(True)))
     return roles.where("rep <> leader").groupBy("rep", "leader").agg(F.max("asks").alias("asks"), F.max("inside").alias("inside"))
