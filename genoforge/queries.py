@@ -22,10 +22,13 @@ from .sources.projection import sql, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: What each query makes of a study, for studies that were written before.
+MAKE: dict[str, Callable[[Study], DataFrame]] = {}
 
 
 def query(name: str, make: Callable[[Study], DataFrame], body: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: S.rounded(make(study(spark, sf_dir)))
+    MAKE[name] = lambda s: S.rounded(make(s))
+    QUERIES[name] = lambda spark, sf_dir: MAKE[name](study(spark, sf_dir))
     if body:
         SQL[name] = sql(body)
 
