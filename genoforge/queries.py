@@ -308,3 +308,6 @@ _EM = """, obs AS (SELECT site_id AS var_id, l0, l1, l2, count(*) AS w FROM r_ge
 QUERIES["em"] = lambda spark, sf_dir: S.rounded(G.em_frequencies(R.records(spark, sf_dir).genotypes.withColumnRenamed("site_id", "var_id")))
 SQL["em"] = R.sql("SELECT var_id, CAST(n AS BIGINT) AS n, round(f,6) AS f FROM (SELECT *, max(i) OVER (PARTITION BY var_id) AS last FROM em) z WHERE i=last").replace("\nSELECT var_id, CAST(n", _EM + "\nSELECT var_id, CAST(n")
 record_query("mask_em", lambda r: G.em_called(r.genotypes.withColumnRenamed("site_id", "var_id"), 0.6).select("var_id", "indiv_id", "dosage", "ac"))
+SQL["mask_em"] = R.sql("""SELECT var_id, indiv_id, round(p1+2*p2,6) AS dosage, CASE WHEN greatest(p0,p1,p2)>=0.6 THEN CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END END AS ac FROM (
+ SELECT var_id, indiv_id, q0/(q0+q1+q2) AS p0, q1/(q0+q1+q2) AS p1, q2/(q0+q1+q2) AS p2 FROM (SELECT g.site_id AS var_id, indiv_id, l0*(1-f)*(1-f) AS q0, l1*2*f*(1-f) AS q1, l2*f*f AS q2 FROM r_geno g
+ JOIN (SELECT * FROM (SELECT *, max(i) OVER (PARTITION BY var_id) AS last FROM em) z WHERE i=last) e ON e.var_id=g.site_id) x) y""").replace("\nSELECT var_id, indiv_id, round(", _EM + "\nSELECT var_id, indiv_id, round(")
