@@ -43,17 +43,21 @@ def points_in(points: DataFrame, intervals: DataFrame, bp: str = "bp1") -> DataF
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of left and right intervals (renamed a_... and b_...) that share a base, with shared and joint length.
 
-    Both sides are dealt to bins of WIDTH bases; of the bins that a pair shares only the first counts.
+    Each interval is dealt to bins of its own level and of all coarser ones; a pair meets at the coarser of its two
+    levels, and of the bins that it shares there only the first counts.
     """
+
     def binned(df: DataFrame, tag: str) -> DataFrame:
         named = df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-        first, last = _bin(F.col(f"{tag}_bp1"), F.lit(0)), _bin(F.col(f"{tag}_bp2"), F.lit(0))
-        return named.withColumn(f"_{tag}", F.explode(F.sequence(first, last)))
+        own, first, last = F.col(f"_{tag}_own"), F.col(f"{tag}_bp1"), F.col(f"{tag}_bp2")
+        levelled = named.withColumn(f"_{tag}_own", _level(first, last)).withColumn(f"_{tag}_level", F.explode(F.array(*map(F.lit, LEVELS)))).where(F.col(f"_{tag}_level") >= own)
+        return levelled.withColumn(f"_{tag}_bin", F.explode(F.sequence(_bin(first, F.col(f"_{tag}_level")), _bin(last, F.col(f"_{tag}_level")))))
 
     a, b = binned(left, "a"), binned(right, "b")
-    met = a.join(b, (F.col("a_chr") == F.col("b_chr")) & (F.col("_a") == F.col("_b")))
     low, high = F.greatest("a_bp1", "b_bp1"), F.least("a_bp2", "b_bp2")
-    shared = met.where((low <= high) & (F.col("_a") == _bin(low, F.lit(0)))).drop("_a", "_b")
+    same = (F.col("a_chr") == F.col("b_chr")) & (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_bin") == F.col("_b_bin"))
+    met = a.join(b, same & (F.col("_a_level") == F.greatest("_a_own", "_b_own")) & (low <= high) & (F.col("_a_bin") == _bin(low, F.col("_a_level"))))
+    shared = met.drop(*[f"_{t}_{x}" for t in "ab" for x in ("own", "level", "bin")])
     return shared.withColumn("intersection", high - low + 1).withColumn("joint", F.greatest("a_bp2", "b_bp2") - F.least("a_bp1", "b_bp1") + 1)
 
 
