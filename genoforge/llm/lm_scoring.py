@@ -23,7 +23,7 @@ from .common import table, written
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the shorter history against one occurrence of the longer one.
-PRIOR = 4.0
+PRIOR = 32.0
 #: Positions that an n-gram sets at each level, so one stranger in 2**PROBES passes a level, and bits for each position.
 PROBES, ROOM = 4, 1.45
 #: N-grams are told apart by so many bits of their hashes; slices are ranges of these.
