@@ -61,14 +61,15 @@ def minimisers(words: list[bytes], gram: int) -> np.ndarray:
 
 
 def super_kmers(words: list[bytes], gram: int) -> Iterator[tuple[int, int, int]]:
-    """(minimiser, first window, windows) of each run of windows with one minimiser."""
+    """(minimiser, first window, windows) of each run of windows with one minimiser; n-grams as long as a window name each alone."""
     low = minimisers(words, gram)
     if not len(low):
         return
+    longest = 1 if gram == WINDOW else LONGEST
     starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(low)]):
-        for at in range(a, b, LONGEST):
-            yield int(low[a].view(np.int64)), at, min(LONGEST, b - at)
+        for at in range(a, b, longest):
+            yield int(low[a].view(np.int64)), at, min(longest, b - at)
 
 
 def windows(packed: bytes) -> list[bytes]:

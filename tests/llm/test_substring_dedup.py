@@ -7,15 +7,12 @@ from genoforge.llm import substring_dedup as S
 from . import cases
 
 
-@pytest.mark.parametrize("bucket", [S.BUCKET, 1])
-def test_against_plain_python(spark, monkeypatch, bucket):
-    monkeypatch.setattr(S, "BUCKET", bucket)
-    rows = sorted((i, cases.words(t)) for i, t, *_ in cases.rows() if i is not None)
+def against_plain_python(documents, rows):
     first = {}
     for i, w in rows:
         for k in range(len(w) - 12):
             first.setdefault(tuple(w[k : k + 13]), i)
-    got = {r.doc_id: r for r in S.repeats_removed(cases.documents(spark)).where("doc_id is not null").collect()}
+    got = {r.doc_id: r for r in S.repeats_removed(documents).where("doc_id is not null").collect()}
     removed = 0
     for i, w in rows:
         gone = set()
@@ -25,7 +22,23 @@ def test_against_plain_python(spark, monkeypatch, bucket):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
         removed += len(gone)
-    assert removed > 1000
+    return removed
+
+
+@pytest.mark.parametrize("bucket", [S.BUCKET, 1])
+def test_against_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    rows = sorted((i, cases.words(t)) for i, t, *_ in cases.rows() if i is not None)
+    assert against_plain_python(cases.documents(spark), rows) > 1000
+
+
+@pytest.mark.parametrize("bucket,documents", [(1, 60), (3, 60), (S.BUCKET, 2500)])
+def test_runs_of_one_word(spark, monkeypatch, bucket, documents):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    texts = ["a " * 30, "a " * 20, "x " + "a " * 15 + "y", "a b " * 40, "b a " * 9, "a b c " * 30, "c " + "a b c " * 6]
+    texts += [f"u{k} v{k} " + "0 " * (13 + k % 40) + f"w{k} z{k}" for k in range(documents)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert against_plain_python(table, [(i, t.split()) for i, t in enumerate(texts)]) > 13 * documents
 
 
 def test_nulls_and_empty(spark):
