@@ -8,7 +8,9 @@ one stays a table whose slices answer the n-grams of each chunk of texts. Counts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ BROADCAST = 160_000_000
 #: Words that occur once in HOT tokens at least, so HOT words at most, go to all workers if they have no more than HOT_BYTES; others are joined.
 HOT, HOT_BYTES = 500_000, 64
 #: N-grams that a task gathers before it packs them, words before it sends their counts, and characters of a chunk.
-GATHERED, WORDS, CHUNK = 4_000_000, 300_000, 2_000_000
+GATHERED, WORDS, CHUNK = 3_000_000, 300_000, 2_000_000
 END = b""
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -74,7 +76,7 @@ class Grams:
         inner = np.ones(len(h), bool)
         inner[ends - sizes] = inner[ends - 1] = False
         h[ends - sizes], h[ends - 1] = _BEGIN_HASH, _END_HASH
-        h[inner] = np.fromiter((_hashes[x] for w in texts for x in w), np.uint64, int(inner.sum()))
+        h[inner] = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, len(h) - 2 * len(texts))
         self.hashes: list[np.ndarray] = []
         gram = np.zeros(len(h), np.uint64)
         for m in range(1, order + 1):
@@ -94,28 +96,38 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
+    return ((h >> np.uint64(BITS - 32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
 def cuts(rising: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
     """(slice, from, to) of rising hashes: slices are equal ranges."""
-    of = (rising >> np.uint64(BITS - 32)) * np.uint64(slices) >> np.uint64(32)
+    of = slice_of(rising, slices)
     if not len(of):
         return []
     at = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
     return [(int(of[a]), a, b) for a, b in zip(at, at[1:])]
 
 
-def positions(h: np.ndarray, level: int, bits: int, probes: int) -> Iterator[np.ndarray]:
-    x = mixed((h + np.uint64(level << BITS)) * _ODD)
+def passed(bits: np.ndarray, h: np.ndarray, level: int, size: np.ndarray, start: np.ndarray, probes: int) -> np.ndarray:
+    """Which of the n-grams have all their positions of a level set; each has a slice of `size` bits from `start` on."""
+    own, x = np.arange(len(h)), mixed((h + np.uint64(level << BITS)) * _ODD)
     step = mixed(x + _ODD) | np.uint64(1)
     for _ in range(probes):
-        yield (x >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
-        x = x + step
+        at = start + ((x >> np.uint64(32)) * size >> np.uint64(32))
+        hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        own, step, size, start = own[hit], step[hit], size[hit], start[hit]
+        x = x[hit] + step
+    return own
 
 
 class LogBloom:
-    """One slice of the filter."""
+    """Slices of the filter in a row; sizes in bits."""
 
-    def __init__(self, bits: np.ndarray, probes: int = PROBES):
+    def __init__(self, bits: np.ndarray, probes: int = PROBES, sizes: np.ndarray | None = None):
         self.bits, self.probes = bits, probes
+        self.sizes = np.array([8 * len(bits)] if sizes is None else sizes, np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
     def of(h: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> LogBloom:
@@ -123,20 +135,23 @@ class LogBloom:
         size = max(64, -(-int(levels.sum() * probes * ROOM) // 8) * 8)
         bits = np.zeros(size // 8, np.uint8)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for at in positions(h[levels >= level], level, size, probes):
+            x = mixed((h[levels >= level] + np.uint64(level << BITS)) * _ODD)
+            step = mixed(x + _ODD) | np.uint64(1)
+            for _ in range(probes):
+                at = (x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
                 np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+                x = x + step
         return LogBloom(bits, probes)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """How many levels of each n-gram are in the filter, one after another."""
-        out, alive, level = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
-        while len(alive) and len(self.bits):
+        of = slice_of(h, len(self.sizes))
+        out, alive, level = np.zeros(len(h), np.uint8), np.flatnonzero(self.sizes[of]), 0
+        size, start = self.sizes[of[alive]], self.starts[of[alive]]
+        while len(alive):
             level += 1
-            own = np.arange(len(alive))
-            for at in positions(h[alive], level, 8 * len(self.bits), self.probes):
-                at = at[own]
-                own = own[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
-            alive = alive[own]
+            own = passed(self.bits, h[alive], level, size, start, self.probes)
+            alive, size, start = alive[own], size[own], start[own]
             out[alive] = level
         return out
 
@@ -149,15 +164,14 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """(word, n) over all training texts; the end of a text is the empty word. Tasks add up before anything is shuffled."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[bytes, int] = {}
+        found: Counter[bytes] = Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                for w in words(text):
-                    found[w] = found.get(w, 0) + 1
-                found[END] = found.get(END, 0) + 1
+                found.update(words(text))
+                found[END] += 1
                 if len(found) > WORDS:
                     yield pd.DataFrame({"word": list(found), "n": list(found.values())})
-                    found = {}
+                    found = Counter()
         yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     return documents.where(~held_out()).select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -208,9 +222,13 @@ def filter_slices(documents: DataFrame, slices: int, order: int, probes: int) ->
     return parts.repartition(tasks, "slice").sortWithinPartitions("slice").mapInPandas(merged, "slice long, bits binary")
 
 
-def least(levels: np.ndarray) -> np.ndarray:
-    """The smallest count with so many levels."""
-    return np.where(levels > 0, np.exp2(np.maximum(levels.astype(float) - 1, 0)), 0)
+#: The smallest and the largest count with so many levels.
+LEAST = np.concatenate([[0], np.exp2(np.arange(64))])
+MOST = np.exp2(np.arange(65)) - 1
+
+
+def before(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([a[:1], a[:-1]])
 
 
 def probabilities(g: Grams, levels: list[np.ndarray], tokens: float, kinds: int, prior: float) -> np.ndarray:
@@ -219,13 +237,12 @@ def probabilities(g: Grams, levels: list[np.ndarray], tokens: float, kinds: int,
     A count is the least, a history's the most that its levels allow, so a history's probabilities never add up to more
     than one, and an n-gram is seen no more often than its parts.
     """
-    before = lambda a: np.concatenate([a[:1], a[:-1]])
     for m in range(1, len(levels)):
         levels[m] = np.minimum(levels[m], np.minimum(levels[m - 1], before(levels[m - 1])))
-    p = (least(levels[0]) + 1) / (tokens + kinds + 1)
+    p = (LEAST[levels[0]] + 1) / (tokens + kinds + 1)
     for m in range(1, len(levels)):
-        history = np.exp2(before(levels[m - 1]).astype(float)) - 1
-        p = np.where((g.place >= m) & (history > 0), (least(levels[m]) + prior * p) / (history + prior), p)
+        history = MOST[before(levels[m - 1])]
+        p = np.where((g.place >= m) & (history > 0), (LEAST[levels[m]] + prior * p) / (history + prior), p)
     return np.where(g.place > 0, p, 1)
 
 
@@ -298,30 +315,37 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
     def rows(ids: list, held: list, texts: list[list[bytes]], g: Grams, levels: list[np.ndarray]) -> pd.DataFrame:
         index, logs = known.value
         score, out = np.bincount(g.text, np.log10(probabilities(g, levels, totals["least"], v, prior)), len(ids)), []
-        for i, (doc_id, out_of, w) in enumerate(zip(ids, held, texts)):
-            at = np.fromiter((index.get(x, -1) for x in [*w, END]), np.int64, len(w) + 1)
-            cold: dict[bytes, int] = {}
-            for x in np.flatnonzero(at < 0).tolist():
-                word = w[x] if x < len(w) else END
-                cold[word] = cold.get(word, 0) + 1
-            out.append((doc_id, out_of, len(w) + 1, int((at >= 0).sum()), float(logs[at[at >= 0]].sum()), float(score[i]), list(cold), list(cold.values())))
+        each = np.fromiter(map(index.get, chain.from_iterable([*w, END] for w in texts), repeat(-1)), np.int64, len(g.text) - len(texts))
+        text, hot = g.text[g.place > 0], each >= 0
+        base, n_hot = np.bincount(text[hot], logs[each[hot]], len(ids)), np.bincount(text[hot], minlength=len(ids))
+        strange, ends = np.flatnonzero(~hot), np.cumsum([len(w) + 1 for w in texts])
+        cold: list[Counter[bytes]] = [Counter() for _ in ids]
+        for i, at in zip(text[strange].tolist(), strange.tolist()):
+            at -= int(ends[i]) - len(texts[i]) - 1
+            cold[i][texts[i][at] if at < len(texts[i]) else END] += 1
+        out = [(*x, list(c), list(c.values())) for *x, c in zip(ids, held, map(len, texts), n_hot.tolist(), base.tolist(), score.tolist(), cold)]
         pdf = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "hot", "base", "score", "cold", "times"])
-        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
+        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), n_tokens=pdf["n_tokens"] + 1)
 
     kinds = "doc_id long, held_out boolean, n_tokens long, hot long, base double, score double, cold array<binary>, times array<long>"
     if size <= BROADCAST:
-        held = dict(bits.toPandas().itertuples(index=False, name=None))
-        sent = spark.sparkContext.broadcast({s: np.frombuffer(b, np.uint8) for s, b in held.items()})
+        sizes, held = np.zeros(slices, np.uint64), np.zeros(size, np.uint8)
+        at = 0
+        for r in bits.orderBy("slice").toLocalIterator():
+            sizes[r["slice"]] = 8 * len(r["bits"])
+            held[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+            at += len(r["bits"])
+        sent = spark.sparkContext.broadcast((held, sizes))
+        del held
 
         def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bloom = LogBloom(sent.value[0], probes, sent.value[1])
             for pdf in batches:
                 for a in range(0, len(pdf), 200):
                     part = pdf.iloc[a : a + 200]
                     texts = [words(t) for t in part["text"]]
                     g = Grams(texts, order)
-                    h, back = np.unique(g.all(), return_inverse=True)
-                    found = [LogBloom(sent.value.get(s, np.zeros(0, np.uint8)), probes).levels(h[x:y]) for s, x, y in cuts(h, slices)]
-                    yield rows(part["doc_id"].astype("Int64").tolist(), part["held_out"].tolist(), texts, g, spread(g, np.concatenate([np.zeros(0, np.uint8), *found])[back]))
+                    yield rows(part["doc_id"].astype("Int64").tolist(), part["held_out"].tolist(), texts, g, sought(g, bloom))
 
         one = documents.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(here, kinds)
     else:
@@ -359,5 +383,17 @@ def spread(g: Grams, levels: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sought(g: Grams, bloom: LogBloom) -> list[np.ndarray]:
+    """The levels of all n-grams, an array for each order. One is only sought if its parts are there."""
+    kinds, back = np.unique(g.hashes[0], return_inverse=True)
+    out = [bloom.levels(kinds)[back]]
+    for m in range(1, len(g.hashes)):
+        may = np.flatnonzero((out[-1] > 0) & (before(out[-1]) > 0) & (g.place >= m))
+        own = np.zeros(len(g.text), np.uint8)
+        own[may] = bloom.levels(g.hashes[m][may])
+        out.append(own)
+    return out
+
+
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))
