@@ -26,8 +26,8 @@ ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the shorter history against one occurrence of the longer one.
 PRIOR = 32.0
-#: Positions that an n-gram sets at each level, so one stranger in 2**PROBES passes a level, and bits for each position.
-PROBES, ROOM = 4, 1.45
+#: Bits that an n-gram sets at each level, so about one stranger in 2**PROBES passes a level, and room for each of them.
+PROBES, ROOM = 4, 1.75
 #: N-grams are told apart by so many bits of their hashes; slices are ranges of these.
 BITS = 52
 #: Occurrences of n-grams in one slice, on average and before repeats are merged.
@@ -109,38 +109,30 @@ def cuts(rising: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
     return [(int(of[a]), a, b) for a, b in zip(at, at[1:])]
 
 
-def passed(bits: np.ndarray, h: np.ndarray, level: int, size: np.ndarray, start: np.ndarray, probes: int) -> np.ndarray:
-    """Which of the n-grams have all their positions of a level set; each has a slice of `size` bits from `start` on."""
-    own, x = np.arange(len(h)), mixed((h + np.uint64(level << BITS)) * _ODD)
-    step = mixed(x + _ODD) | np.uint64(1)
-    for _ in range(probes):
-        at = start + ((x >> np.uint64(32)) * size >> np.uint64(32))
-        hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
-        own, step, size, start = own[hit], step[hit], size[hit], start[hit]
-        x = x[hit] + step
-    return own
+def places(h: np.ndarray, level: int, size: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each n-gram at a level: one of `size` words, and the bits in it."""
+    x = mixed((h + np.uint64(level << BITS)) * _ODD)
+    y, mask = mixed(x + _ODD), np.zeros(len(h), np.uint64)
+    for k in range(probes):
+        mask |= np.uint64(1) << (y >> np.uint64(6 * (k % 10)) & np.uint64(63))
+        y = mixed(y * _MIX) if k % 10 == 9 else y
+    return (x >> np.uint64(32)) * size >> np.uint64(32), mask
 
 
 class LogBloom:
-    """Slices of the filter in a row; sizes in bits."""
+    """Slices of the filter in a row, in words of 64 bits; the bits of an n-gram's level lie in one word."""
 
     def __init__(self, bits: np.ndarray, probes: int = PROBES, sizes: np.ndarray | None = None):
-        self.bits, self.probes = bits, probes
-        self.sizes = np.array([8 * len(bits)] if sizes is None else sizes, np.uint64)
+        self.bits, self.probes = bits.view(np.uint64), probes
+        self.sizes = np.array([len(self.bits)] if sizes is None else sizes, np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
     def of(h: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> LogBloom:
         levels = np.frexp(counts.astype(float))[1]  # 1 + floor(log2)
-        size = max(64, -(-int(levels.sum() * probes * ROOM) // 8) * 8)
-        bits = np.zeros(size // 8, np.uint8)
+        bits = np.zeros(max(1, int(levels.sum() * probes * ROOM) // 64 + 1), np.uint64)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            x = mixed((h[levels >= level] + np.uint64(level << BITS)) * _ODD)
-            step = mixed(x + _ODD) | np.uint64(1)
-            for _ in range(probes):
-                at = (x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
-                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                x = x + step
+            np.bitwise_or.at(bits, *places(h[levels >= level], level, np.uint64(len(bits)), probes))
         return LogBloom(bits, probes)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -150,7 +142,8 @@ class LogBloom:
         size, start = self.sizes[of[alive]], self.starts[of[alive]]
         while len(alive):
             level += 1
-            own = passed(self.bits, h[alive], level, size, start, self.probes)
+            at, mask = places(h[alive], level, size, self.probes)
+            own = np.flatnonzero(self.bits[start + at] & mask == mask)
             alive, size, start = alive[own], size[own], start[own]
             out[alive] = level
         return out
@@ -332,7 +325,7 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
         sizes, held = np.zeros(slices, np.uint64), np.zeros(size, np.uint8)
         at = 0
         for r in bits.orderBy("slice").toLocalIterator():
-            sizes[r["slice"]] = 8 * len(r["bits"])
+            sizes[r["slice"]] = len(r["bits"]) // 8
             held[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
             at += len(r["bits"])
         sent = spark.sparkContext.broadcast((held, sizes))
