@@ -128,9 +128,9 @@ class LogBloom:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
-    def of(h: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> LogBloom:
+    def of(h: np.ndarray, counts: np.ndarray, probes: int = PROBES, room: float = ROOM) -> LogBloom:
         levels = np.frexp(counts.astype(float))[1]  # 1 + floor(log2)
-        bits = np.zeros(max(1, int(levels.sum() * probes * ROOM) // 64 + 1), np.uint64)
+        bits = np.zeros(max(1, int(levels.sum() * probes * room) // 64 + 1), np.uint64)
         for level in range(1, int(levels.max(initial=0)) + 1):
             np.bitwise_or.at(bits, *places(h[levels >= level], level, np.uint64(len(bits)), probes))
         return LogBloom(bits, probes)
@@ -170,7 +170,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.where(~held_out()).select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def filter_slices(documents: DataFrame, slices: int, order: int, probes: int) -> DataFrame:
+def filter_slices(documents: DataFrame, slices: int, order: int, probes: int, room: float) -> DataFrame:
     """(slice, bits): the filter over all training texts. A task packs what it has of each slice; a slice's task adds up."""
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,7 @@ def filter_slices(documents: DataFrame, slices: int, order: int, probes: int) ->
         by = np.argsort(h, kind="stable")
         h, c = h[by], c[by]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return s, LogBloom.of(h[first], np.add.reduceat(c.astype(np.int64), first), probes).bits.tobytes()
+        return s, LogBloom.of(h[first], np.add.reduceat(c.astype(np.int64), first), probes, room).bits.tobytes()
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -285,7 +285,7 @@ def asked(parts: DataFrame, bits: DataFrame, slices: int, order: int, probes: in
     return both.repartition(tasks, "slice").sortWithinPartitions("slice", "chunk").mapInPandas(answered, "chunk long, slice long, levels binary")
 
 
-def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probes: int = PROBES) -> DataFrame:
+def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probes: int = PROBES, room: float = ROOM) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents (doc_id, text).
 
     score: the model's log10 probability of the text's words and its end. Null texts are empty ones, whose end is their
@@ -302,7 +302,7 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
     logs = np.log10((hot["n"].to_numpy(np.int64) + 1) / (n + v + 1))
     known = spark.sparkContext.broadcast((dict(zip(hot["word"].map(bytes), range(len(hot)))), logs))
     slices = max(1, -(-n * order // SLICE))
-    bits = written(filter_slices(documents, slices, order, probes), "filter")
+    bits = written(filter_slices(documents, slices, order, probes, room), "filter")
     size = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
 
     def rows(ids: list, held: list, texts: list[list[bytes]], g: Grams, levels: list[np.ndarray]) -> pd.DataFrame:

@@ -49,7 +49,7 @@ def test_against_plain_python(spark, monkeypatch, broadcast, slice_, hot):
         monkeypatch.setattr(L, name, value)
     rows = cases.rows()
     n, v, kinds, score = model(rows, L.ORDER, L.PRIOR)
-    got = L.scored(cases.documents(spark), probes=20).collect()
+    got = L.scored(cases.documents(spark), probes=16, room=20).collect()
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {n}
     by = {}
     for r in got:
@@ -74,7 +74,7 @@ def test_levels_come_back():
 
 def test_probabilities_of_a_history_add_up_to_one_at_most():
     texts = [t.split() for t in (b"a b a b c", b"a b d", b"b b b a c a", b"", b"c c a b")]
-    bloom = L.LogBloom.of(*np.unique(L.Grams(texts, 3).all(), return_counts=True), probes=20)
+    bloom = L.LogBloom.of(*np.unique(L.Grams(texts, 3).all(), return_counts=True), probes=16, room=20)
     counts = Counter(w for t in texts for w in [*t, L.END])
     floor = sum(1 << (c.bit_length() - 1) for c in counts.values())
     for history in ([], [b"a"], [b"b"], [b"a", b"b"], [b"c"], [b"strange"]):
