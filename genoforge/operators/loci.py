@@ -131,46 +131,6 @@ def loc_translate(study: Study, strand: str = "strand") -> DataFrame:
     return study.seqs.select("doc_id", translated(F.translate("seq", "BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz .,\n", "")).alias("aa"))
 
 
-# Consequences from the worst to the mildest.
-CONSEQUENCES = ["nonsense", "start-lost", "readthrough", "frameshift", "esplice", "splice", "missense", "codon-insertion", "codon-deletion", "silent", "utr5", "utr3", "intronic", "intergenic"]
-
-
-def annotated(variants: DataFrame, exons: DataFrame, cds: DataFrame) -> DataFrame:
-    """Consequence of each variant (chr, bp1, ref, alt) in each transcript.
-
-    exons: (transcript, gene, chr, bp1, bp2, strand, cds1, cds2), cds: (transcript, offset, seq): the coding sequence, in
-    reading direction, and for each exon the coding bases before it, also in reading direction. Substitutions
-    in coding bases are translated; other changes of length are frameshifts or codon changes; a base within
-    two of an exon's inner end is an essential splice site, within five a splice site.
-    """
-    spans = exons.groupBy("transcript", "gene", "chr").agg(F.min("bp1").alias("bp1"), F.max("bp2").alias("bp2"))
-    inside = points_in(variants, spans).select(*variants.columns, F.col("i_transcript").alias("transcript"), F.col("i_gene").alias("gene"))
-    e = exons.select("transcript", F.col("bp1").alias("e1"), F.col("bp2").alias("e2"), "strand", "cds1", "cds2", "offset")
-    met = inside.join(e, "transcript").join(cds, "transcript", "left")
-    b, plus = F.col("bp1"), F.col("strand") == "+"
-    within = b.between(F.col("e1"), F.col("e2"))
-    coding = within & b.between(F.col("cds1"), F.col("cds2"))
-    lead = F.greatest("e1", "cds1")
-    tail = F.least("e2", "cds2")
-    at = F.col("offset") + F.when(plus, b - lead).otherwise(tail - b)
-    codon = F.substring("seq", (F.floor(at / 3) * 3 + 1).cast("int"), F.lit(3))
-    place = (at % 3).cast("int")
-    alt = F.when(plus, F.col("alt")).otherwise(reverse_complement(F.col("alt")))
-    changed = F.concat(F.substring(codon, F.lit(1), place), alt, F.substring(codon, place + 2, F.lit(2)))
-    a0, a1 = translated(codon), translated(changed)
-    size = F.length("alt") - F.length("ref")
-    gap = F.least(F.abs(b - F.col("e1")), F.abs(b - F.col("e2")))
-    kind = (
-        F.when(coding & (size == 0), F.when((at < 3) & (a0 == "M") & (a1 != "M"), "start-lost").when(a0 == a1, "silent").when(a1 == "*", "nonsense").when(a0 == "*", "readthrough").otherwise("missense"))
-        .when(coding & (size % 3 != 0), "frameshift").when(coding, F.when(size > 0, "codon-insertion").otherwise("codon-deletion"))
-        .when(within, F.when((b < F.col("cds1")) == plus, "utr5").otherwise("utr3")).when(gap <= 2, "esplice").when(gap <= 5, "splice").otherwise("intronic")
-    )
-    rank = F.array_position(F.array(*map(F.lit, CONSEQUENCES)), kind)
-    protein = F.when(coding & (size == 0), F.concat(a0, (F.floor(at / 3) + 1).cast("string"), a1))
-    worst = met.groupBy("var_id", "transcript", "gene").agg(F.min_by(F.struct(kind.alias("consequence"), protein.alias("protein")), rank).alias("c")).select("var_id", "transcript", "gene", "c.*")
-    return variants.select("var_id").join(worst, "var_id", "left").fillna({"consequence": "intergenic"})
-
-
 def lookup(study: Study) -> DataFrame:
     """(var_id, key, value): what is known of each variant's position, in long form."""
     v = study.variants

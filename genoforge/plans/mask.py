@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import allele_type, in_range, in_region, is_region
+from ..operators.annotation import annotate, worst
 from ..operators.intervals import points_in
-from .study import Study, consensus, counted, with_hwe
+from .study import PIECE, Study, consensus, counted, with_hwe
 
 
 def _list(x) -> list:
@@ -101,7 +102,7 @@ GENOTYPES = ("file", "file.ex", "geno", "geno.req", "assume-ref", "seg", "seg.re
 INCLUDES = ("loc", "gene", "locset", "ref", "var", "varset", "reg", "ereg", "id")
 #: Terms that name the groups of the result, see Study.groups; and terms that the evaluator takes as true.
 GROUPS, VOID = ("loc.group", "locset.group", "varset.group", "all.group", "empty.group"), ("alt.group", "alt.group.req", "alt.group.ex")
-ATTACHED = ("meta.attach", "meta.file", "fail.nfile", "fail.single.file")
+ATTACHED = ("meta.attach", "meta.file", "annot.append", "fail.nfile", "fail.single.file")
 REFINING = ("loc.subset", "loc.skip", "locset.subset", "locset.skip", "limit", "eval", "loc.append", "locset.append", "var.append", "varset.append", "ref.append", "ref.allelic", "collapse", "no-geno", "no-vmeta", "no-gmeta", "load-vmeta")
 TERMS = sorted({*SITE, *COUNTS, *FILES, *PEOPLE, *GENOTYPES, *INCLUDES, *REFINING, *GROUPS, *VOID, *ATTACHED, *(f"{t}.{k}" for t in TABLES if t != "gene" for k in ("req", "ex"))})
 
@@ -225,7 +226,8 @@ def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
     """variants with what is attached before any condition reads it.
 
     meta.attach names groups of study.metas, or ALL: their fields are a map column `attached`. meta.file takes tables
-    (chr, bp1, field ...), each joined by site with its fields as columns.
+    (chr, bp1, field ...), each joined by site with its fields as columns. annot.append gives each variant its worst
+    consequence `func`, the genes that it has it in as `gene`, and `annot_full`.
     """
     if "meta.attach" in terms:
         groups = _list(terms["meta.attach"])
@@ -233,6 +235,8 @@ def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
         one = rows.groupBy("var_id", "key").agg(F.min("value").alias("value"))
         maps = one.groupBy("var_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("attached"))
         variants = variants.join(maps, "var_id", "left")
+    if terms.get("annot.append"):
+        variants = variants.join(worst(annotate(variants, study.transcripts, study.reference, PIECE)).drop("n"), "var_id", "left")
     for table in _list(terms.get("meta.file", [])):
         variants = variants.join(table.dropDuplicates(["chr", "bp1"]), ["chr", "bp1"], "left")
     return variants

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import hwe_exact
 
 
+#: Bases of a piece of the reference.
+PIECE = 64
+
+
 @dataclass(frozen=True)
 class Study:
     """Long tables; a genotype that is stored nowhere is homozygous for the reference, so only carriers and missing take rows.
@@ -20,7 +24,8 @@ class Study:
     refs (grp, var_id, chr, bp1, name, alt), edges (a, b, score), seqs (doc_id, seq), segments (indiv_id, seg, t1, t2, n),
     pheno (indiv_id, pheno, value), var_sets (var_id, set_name, superset_name), proteins (transcript, source, feature,
     chr, bp1, bp2), sites (file_id, var_id, filter: what a file says of a variant), groups (group, var_id: what a mask
-    grouped), metas (var_id, grp, key, value: fields that are attached on demand).
+    grouped), metas (var_id, grp, key, value: fields that are attached on demand), transcripts (transcript,
+    gene, kind, chr, bp1, bp2, strand, frame: exons, coding parts and stop codons), reference (chr, piece, seq: PIECE bases each).
     """
 
     variants: DataFrame
@@ -39,6 +44,8 @@ class Study:
     sites: DataFrame | None = None
     groups: DataFrame | None = None
     metas: DataFrame | None = None
+    transcripts: DataFrame | None = None
+    reference: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Study:
         return replace(self, **tables)

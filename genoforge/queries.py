@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .annotation_sql import annotation
+from .operators import annotation as N
 from .operators import association as A
 from .operators import family as Y
 from .operators import genes as E
@@ -311,3 +313,16 @@ record_query("mask_em", lambda r: G.em_called(r.genotypes.withColumnRenamed("sit
 SQL["mask_em"] = R.sql("""SELECT var_id, indiv_id, round(p1+2*p2,6) AS dosage, CASE WHEN greatest(p0,p1,p2)>=0.6 THEN CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END END AS ac FROM (
  SELECT var_id, indiv_id, q0/(q0+q1+q2) AS p0, q1/(q0+q1+q2) AS p1, q2/(q0+q1+q2) AS p2 FROM (SELECT g.site_id AS var_id, indiv_id, l0*(1-f)*(1-f) AS q0, l1*2*f*(1-f) AS q1, l2*f*f AS q2 FROM r_geno g
  JOIN (SELECT * FROM (SELECT *, max(i) OVER (PARTITION BY var_id) AS last FROM em) z WHERE i=last) e ON e.var_id=g.site_id) x) y""").replace("\nSELECT var_id, indiv_id, round(", _EM + "\nSELECT var_id, indiv_id, round(")
+
+
+def annotation_query(name: str, make: Callable[[Study], DataFrame], body: str) -> None:
+    query(name, make)
+    SQL[name] = sql("").rstrip() + ",\n" + annotation(body)
+
+
+annotation_query("loc_annotate", N.loc_annotate, "SELECT * FROM an")
+annotation_query("annot_summary", N.annotated_variants, "SELECT var_id, func, gene, CASE WHEN kinds>1 THEN 'mixed' ELSE func END AS annot_full, n FROM an_worst")
+annotation_query("counts_func", N.counts_annotated, """SELECT v.var_id, ref, alt, CASE WHEN flip THEN ref ELSE alt END AS minor, CASE WHEN flip THEN a_tot-a_ac ELSE a_ac END AS cnta,
+ CASE WHEN flip THEN u_tot-u_ac ELSE u_ac END AS cntu, a_tot AS tota, u_tot AS totu, func, gene FROM vc v LEFT JOIN an_worst w ON v.var_id=w.var_id""")
+annotation_query("mask_annot_append", lambda s: mask(s, {"annot.append": True, "include": "func in ('nonsense', 'frameshift', 'missense')"}).variants.select("var_id", "func", "gene", "annot_full"),
+    "SELECT var_id, func, gene, CASE WHEN kinds>1 THEN 'mixed' ELSE func END AS annot_full FROM an_worst WHERE func IN ('nonsense','frameshift','missense')")

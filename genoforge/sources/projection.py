@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.study import Study, consensus
+from ..plans.study import PIECE, Study, consensus
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
@@ -53,7 +53,16 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
         F.concat(F.lit("F"), (F.col("loc_id") % 5).cast("string")).alias("feature"), "chr", (F.col("bp1") + 100).alias("bp1"), (F.col("bp1") + 500).alias("bp2"))
     sites = calls.select("file_id", "var_id").distinct().withColumn("filter", F.when((F.col("var_id") + F.col("file_id")) % 4 == 0, "LowQual").otherwise("PASS"))
     metas = variants.where("var_id % 3 = 0").select("var_id", F.lit("M1").alias("grp"), F.lit("weight").alias("key"), (F.col("size") / 10).cast("string").alias("value"))
+    # Each locus is a transcript of three exons, the outer ones coding in part.
+    shape = [("exon", 0, 249), ("exon", 350, 600), ("exon", 700, 900), ("CDS", 50, 249), ("CDS", 350, 600), ("CDS", 700, 800)]
+    layout = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in shape])
+    transcripts = loci.select(F.concat(F.lit("T"), F.col("loc_id").cast("string")).alias("transcript"), F.col("altname").alias("gene"), "chr", "bp1", F.when(F.col("loc_id") % 4 < 2, "+").otherwise("-").alias("strand"), F.inline(layout)).select(
+        "transcript", "gene", "kind", "chr", (F.col("bp1") + F.col("a")).alias("bp1"), (F.col("bp1") + F.col("b")).alias("bp2"), "strand", F.lit(0).alias("frame"))
+    places = loci.select("chr", F.explode(F.sequence(F.floor((F.col("bp1") - PIECE) / PIECE), F.floor((F.col("bp2") + PIECE) / PIECE))).alias("piece")).distinct()
+    digest = F.sha2(F.concat(F.col("chr").cast("string"), F.lit(":"), F.col("piece").cast("string")), 256)
+    reference = places.withColumn("seq", F.translate(digest, "0123456789abcdef", "ACGTACGTACGTACGT"))
     return Study(
+        transcripts=transcripts, reference=reference,
         proteins=proteins, sites=sites, metas=metas, variants=variants, calls=calls, geno=consensus(calls), indiv=indiv, loci=loci, sets=sets, refs=refs, edges=links.union(links.select("b", "a", "score")),
         seqs=t("documents").select("doc_id", F.translate("text", "acgtn", "ACGTN").alias("seq")), segments=segments, pheno=pheno, var_sets=var_sets)
 
@@ -84,6 +93,9 @@ VIEWS = {
     "g_varsets": """SELECT var_id, concat('S', CAST(var_id%5 AS VARCHAR)) AS set_name, CASE WHEN var_id%5<2 THEN 'X' ELSE 'Y' END AS superset_name FROM g_variants""",
     "g_prot": """SELECT altname AS transcript, CASE WHEN loc_id%2=0 THEN 'PFAM' ELSE 'SMART' END AS source, concat('F', CAST(loc_id%5 AS VARCHAR)) AS feature, chr, bp1+100 AS bp1, bp1+500 AS bp2 FROM g_loci""",
     "g_sites": """SELECT DISTINCT file_id, var_id, CASE WHEN (var_id+file_id)%4=0 THEN 'LowQual' ELSE 'PASS' END AS filter FROM g_calls""",
+    "g_genome": """SELECT loc_id, altname, chr, bp1 AS b, loc_id%4>=2 AS minus, 64*CAST(floor((bp1-64)/64.0) AS BIGINT) AS s0,
+ (SELECT string_agg(translate(sha256(concat(CAST(chr AS VARCHAR), ':', CAST(p AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p)
+  FROM unnest(range(CAST(floor((bp1-64)/64.0) AS BIGINT), CAST(floor((bp2+64)/64.0) AS BIGINT)+1)) u(p)) AS g FROM g_loci""",
     "n": """SELECT count(*) AS n, count(*) FILTER (aff=2) AS na, count(*) FILTER (aff=1) AS nu FROM g_indiv""",
     "c": """SELECT g.var_id, count(*) FILTER (ac=1) AS het, count(*) FILTER (ac=2) AS hom, count(*) FILTER (ac IS NULL) AS nul,
  count(*) FILTER (ac=1 AND aff=2) AS a_het, count(*) FILTER (ac=2 AND aff=2) AS a_hom, count(*) FILTER (ac IS NULL AND aff=2) AS a_nul,

@@ -141,11 +141,3 @@ def test_permuted_burden_of_every_locus(spark):
     assert set(got) == {1, 2, 3, 4}  # no variant lies in the fifth
     assert got[1].p == 1 and got[4].p == 1 and got[4].ties == 19  # carriers among controls only, and none
     assert got[2].p == 1 / 20 and got[3].p <= 0.2
-
-
-def test_annotation(spark):
-    exons = spark.createDataFrame([("T", "G", 1, 100, 111, "+", 103, 205, 0), ("T", "G", 1, 200, 210, "+", 103, 205, 9)], "transcript string, gene string, chr int, bp1 long, bp2 long, strand string, cds1 long, cds2 long, offset long")
-    cds = spark.createDataFrame([("T", "ATGGCTTACTGTTAA")], "transcript string, seq string")
-    v = spark.createDataFrame([(1, 1, 103, "A", "C"), (2, 1, 108, "T", "C"), (3, 1, 106, "G", "A"), (4, 1, 202, "T", "A"), (5, 1, 204, "A", "AT"), (6, 1, 113, "A", "C"), (7, 1, 101, "A", "C"), (8, 1, 150, "A", "C"), (9, 1, 999, "A", "C")], "var_id long, chr int, bp1 long, ref string, alt string")
-    got = {r.var_id: (r.consequence, r.protein) for r in loci.annotated(v, exons, cds).collect()}
-    assert got == {1: ("start-lost", "M1L"), 2: ("silent", "A2A"), 3: ("missense", "A2T"), 4: ("nonsense", "C4*"), 5: ("frameshift", None), 6: ("esplice", None), 7: ("utr5", None), 8: ("intronic", None), 9: ("intergenic", None)}
