@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_2x2, chi2_p, chi2_tail, fisher_2x2, normal_p, odds_ratio
+from ..functions.tails import chi2_quantile, weighted_chi2_tail
 from ..plans.study import Study, counted, people
 from .intervals import points_in
 
@@ -238,6 +239,33 @@ def variant_products(study: Study, block: int = BLOCK_PEOPLE) -> DataFrame:
     return sums.groupBy("loc_id", "v", "u").agg(F.sum("xx").alias("xx"), F.sum("s").alias("s"), F.sum("c").alias("c"))
 
 
+def kernel(pdf: pd.DataFrame, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray]:
+    """A locus's scores and their covariance under the null, both with beta(MAF) weights, from its products of variants."""
+    k, share = float(pdf["n"].iloc[0]), float(pdf["na"].iloc[0] / pdf["n"].iloc[0])
+    own = pdf[pdf["v"] == pdf["u"]].sort_values("v")
+    ids, s, c = own["v"].to_numpy(), own["s"].to_numpy(), own["c"].to_numpy()
+    i, j = np.searchsorted(ids, pdf["v"]), np.searchsorted(ids, pdf["u"])
+    xx = np.zeros((len(ids), len(ids)))
+    xx[i, j] = xx[j, i] = pdf["xx"]
+    maf = s / (2 * k)
+    w = a2 * (1 - maf) ** (a2 - 1) if a1 == 1 else maf ** (a1 - 1) * (1 - maf) ** (a2 - 1)
+    return w * (c - share * s), np.outer(w, w) * (xx - np.outer(s, s) / k) * share * (1 - share)
+
+
+def eigenvalues(symmetric: np.ndarray) -> np.ndarray:
+    """Those that count in a sum of chi-squares."""
+    found = np.linalg.eigvalsh(symmetric)
+    return found[found > max(found.mean(), 0) / 1e5]
+
+
+def quadratic_tail(q: float, eigen: np.ndarray) -> float:
+    """Upper tail of a weighted sum of chi-squares by inversion, or by moments where that doesn't settle."""
+    if not len(eigen):
+        return 1.0
+    exact = weighted_chi2_tail(q, eigen)
+    return liu_tail(q, eigen) if exact is None or exact[0] <= 0 else float(exact[0])
+
+
 def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEOPLE) -> DataFrame:
     """(loc_id, nvar, q, p): kernel test with beta(MAF) weights of the disease residuals, without covariates.
 
@@ -246,23 +274,71 @@ def skat(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEO
     n = F.broadcast(people(study.indiv))  # one row
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, share = float(pdf["n"].iloc[0]), float(pdf["na"].iloc[0] / pdf["n"].iloc[0])
-        own = pdf[pdf["v"] == pdf["u"]].sort_values("v")
-        ids, s, c = own["v"].to_numpy(), own["s"].to_numpy(), own["c"].to_numpy()
-        i, j = np.searchsorted(ids, pdf["v"]), np.searchsorted(ids, pdf["u"])
-        xx = np.zeros((len(ids), len(ids)))
-        xx[i, j] = xx[j, i] = pdf["xx"]
-        maf = s / (2 * k)
-        w = a2 * (1 - maf) ** (a2 - 1) if a1 == 1 else maf ** (a1 - 1) * (1 - maf) ** (a2 - 1)
-        q = float(((w * (c - share * s)) ** 2).sum()) / 2
-        eigen = np.linalg.eigvalsh(np.outer(w, w) * (xx - np.outer(s, s) / k) * share * (1 - share) / 2)
-        eigen = eigen[eigen > max(eigen.mean(), 0) / 1e5]
-        p = liu_tail(q, eigen) if len(eigen) else 1.0
-        return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), len(ids), q, p)], columns=["loc_id", "nvar", "q", "p"])
+        score, spread = kernel(pdf, a1, a2)
+        q = float((score**2).sum()) / 2
+        return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), len(score), q, quadratic_tail(q, eigenvalues(spread / 2)))], columns=["loc_id", "nvar", "q", "p"])
 
     return variant_products(study, block).crossJoin(n).groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, q double, p double")
 
 
+#: Weights of the burden against the kernel that SKAT-O tries; 1 would leave no kernel.
+RHOS = np.array([0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.999])
+
+
+def optimal_p(score: np.ndarray, spread: np.ndarray, rhos: np.ndarray = RHOS) -> tuple[float, float, float]:
+    """(rho, its p, p of the best): the kernel test with correlated effects, least p over rhos, against the distribution of that least p.
+
+    For every rho the statistic is kappa * (1 - rho) + tau * chi-square(1) with the same kappa, a weighted sum of
+    chi-squares from what the burden leaves over, and the chi-square of the burden; kappa's tail is integrated over it.
+    """
+    spread, score = spread / 2, score / np.sqrt(2)
+    burden = spread.sum(1)
+    total = burden.sum()
+    if not total > 0:
+        return 0.0, 1.0, 1.0
+    p = np.ones(len(rhos))
+    moments = np.zeros((len(rhos), 3))
+    for i, rho in enumerate(rhos):
+        root = np.sqrt(1 - rho) * np.eye(len(score)) + (np.sqrt(1 - rho + rho * len(score)) - np.sqrt(1 - rho)) / len(score)
+        eigen = eigenvalues(root @ spread @ root)
+        c = [(eigen**k).sum() for k in (1, 2, 4)]
+        df = c[1] ** 2 / c[2]  # the chi-square of the same kurtosis
+        moments[i] = c[0], np.sqrt(2 * c[1]), df
+        q = (1 - rho) * (score**2).sum() + rho * score.sum() ** 2
+        p[i] = chi2_tail(max((q - c[0]) / moments[i, 1] * np.sqrt(2 * df) + df, 0.0), df)
+    best = int(p.argmin())
+    if len(score) == 1 or p[best] >= 1:
+        return float(rhos[best]), float(p[best]), float(p[best])
+    limit = np.array([(chi2_quantile(p[best], df) - df) / np.sqrt(2 * df) * sd + mean for mean, sd, df in moments])
+    left = spread - np.outer(burden, burden) / total
+    weights = eigenvalues(left)
+    tau = rhos * total + (1 - rhos) * (burden @ burden) / total
+    extra = 4 * float(np.trace(np.outer(burden, burden) @ left)) / total  # of burden and rest together
+    mean, plain = weights.sum(), 2 * (weights**2).sum()
+    z, gauss = np.polynomial.legendre.leggauss(96)
+    z, gauss = 3.5 * (z + 1), 3.5 * gauss  # a normal beyond 7 doesn't count
+    delta = ((limit[:, None] - np.multiply.outer(tau, z**2)) / (1 - rhos)[:, None]).min(0)
+    scaled = (delta - mean) * np.sqrt(plain / (plain + extra)) + mean if len(weights) else delta
+    if not len(weights):
+        over = (delta < 0).astype(float)
+    else:
+        over = weighted_chi2_tail(np.maximum(scaled, 0), weights)
+        over = np.array([liu_tail(x, weights) for x in scaled]) if over is None else np.where(scaled <= 0, 1.0, over)
+    whole = float((over * 2 * np.exp(-(z**2) / 2) / np.sqrt(2 * np.pi)) @ gauss)
+    return float(rhos[best]), float(p[best]), min(max(whole, p[best]), 1.0, p[best] * len(rhos))
+
+
+def skat_o(study: Study, a1: float = 1.0, a2: float = 25.0, block: int = BLOCK_PEOPLE) -> DataFrame:
+    """(loc_id, nvar, rho, p_rho, p): the kernel test with the best weight of the burden, and p for having chosen it."""
+    n = F.broadcast(people(study.indiv))  # one row
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        score, spread = kernel(pdf, a1, a2)
+        return pd.DataFrame([(int(pdf["loc_id"].iloc[0]), len(score), *optimal_p(score, spread))], columns=["loc_id", "nvar", "rho", "p_rho", "p"])
+
+    return variant_products(study, block).crossJoin(n).groupBy("loc_id").applyInPandas(fit, "loc_id long, nvar long, rho double, p_rho double, p double")
+
+
 def gene_p(tests: DataFrame) -> DataFrame:
     """gene_tests with the chi-square p of SUMSTAT and the normal p of CALPHA."""
     return tests.withColumn("p_sumstat", chi2_p("sumstat", "nvar")).withColumn("p_calpha", normal_p("calpha"))
