@@ -89,7 +89,7 @@ def net_view(study: Study, depth: int = 1, threshold: float = 0.0) -> DataFrame:
     return near
 
 
-def net_assoc(study: Study) -> DataFrame:
+def net_carriers(study: Study) -> DataFrame:
     """By node: cases and controls that carry an ALT allele in the locus of the node or a neighbour."""
     near = study.edges.select(F.col("a").alias("seed"), F.col("b").alias("loc_id")).union(study.edges.select("a", F.col("a"))).distinct()
     v = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("loc_id"), "var_id")

@@ -13,6 +13,7 @@ from .operators import association as A
 from .operators import family as Y
 from .operators import genes as E
 from .operators import loci as L
+from .operators import network as W
 from .operators import summaries as S
 from .operators import views as V
 from .plans import genotypes as G
@@ -173,6 +174,11 @@ query("gene_tests", A.gene_tests, """, car AS (SELECT loc_id, g.var_id, indiv_id
 query("gene_permuted", A.permuted)
 query("skat", A.skat)
 query("cancor", E.cancor)
+query("skat_o", A.skat_o)
+query("stepup", E.stepup)
+query("net_assoc", W.net_assoc)
+query("net_partners", W.net_partners)
+query("smp", W.smp)
 query("gene_assoc", lambda s: E.gene_assoc(s, (20, 40)))
 query("two_hit", E.two_hit, """, car AS (SELECT loc_id, g.var_id, indiv_id, ac, aff FROM vl JOIN g_geno g ON vl.var_id=g.var_id JOIN g_indiv USING (indiv_id) WHERE ac>0),
  bo AS (SELECT a.loc_id, a.var_id AS v, b.var_id AS u, a.indiv_id, greatest(a.ac,b.ac) AS most FROM car a JOIN car b ON a.loc_id=b.loc_id AND a.indiv_id=b.indiv_id AND a.var_id<b.var_id),
@@ -221,7 +227,7 @@ query("i_view", L.i_view, "SELECT indiv_id, sex, pat, mat, CAST(aff AS DOUBLE) A
 query("g_matrix", L.g_matrix, "SELECT gene, indiv_id, CAST(sum(ac) AS BIGINT) AS ac FROM (SELECT DISTINCT altname AS gene, var_id FROM vl) v JOIN g_geno g USING (var_id) WHERE ac>0 GROUP BY 1,2")
 query("net_view", L.net_view, "SELECT DISTINCT a, b, 1 AS hops FROM g_edges WHERE score>=0")
 query("net_view_2", lambda s: L.net_view(s, 2), "SELECT a, b, min(hops) AS hops FROM (SELECT a, b, 1 AS hops FROM g_edges WHERE score>=0 UNION ALL SELECT x.a, y.b, 2 FROM g_edges x JOIN g_edges y ON x.b=y.a WHERE x.score>=0 AND y.score>=0 AND x.a<>y.b) q GROUP BY 1,2")
-query("net_assoc", L.net_assoc, """SELECT seed, count(*) FILTER (aff=2) AS cases, count(*) FILTER (aff=1) AS controls FROM (SELECT DISTINCT seed, indiv_id FROM (SELECT a AS seed, b AS loc_id FROM g_edges UNION SELECT a, a FROM g_edges) e
+query("net_carriers", L.net_carriers, """SELECT seed, count(*) FILTER (aff=2) AS cases, count(*) FILTER (aff=1) AS controls FROM (SELECT DISTINCT seed, indiv_id FROM (SELECT a AS seed, b AS loc_id FROM g_edges UNION SELECT a, a FROM g_edges) e
  JOIN vl USING (loc_id) JOIN g_geno g ON vl.var_id=g.var_id WHERE ac>0) x JOIN g_indiv USING (indiv_id) GROUP BY 1""")
 query("seq_stats", L.seq_stats, "SELECT doc_id, length(seq) AS length, length(seq)-length(translate(seq,'GC','')) AS gc, length(seq)-length(translate(seq,'N','')) AS n, length(seq)-length(translate(seq,'ACGT','')) AS acgt, CAST((length(seq)-length(replace(seq,'CG','')))/2 AS BIGINT) AS cg FROM g_seq")
 query("kmers", L.kmers, "SELECT kmer, count(*) AS n FROM (SELECT substr(seq, CAST(i AS INT), 2) AS kmer FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM g_seq WHERE length(seq)>=2) a) b WHERE NOT regexp_matches(kmer,'[^ACGT]') GROUP BY 1")

@@ -11,7 +11,7 @@ from genoforge.queries import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 #: The rest run in the driver's own comparison; these touch every operator.
 SOME = ["counts_by_locus", "v_freq", "counts", "g_counts", "means", "v_stats", "g_stats", "i_stats", "v_dist", "group_comparison", "v_assoc", "glm_linear", "gene_tests", "concordance", "denovo", "proximity",
-    "loc_intersect", "loc_flatten", "loc_subtract", "net_view_2", "net_assoc", "seq_stats", "lookup", "indiv_enrich", "mask_hwe", "mask_loc_req", "mask_ref_allelic", "mask_case_control", "mask_both", "mask_indel", "mask_empty_group", "mask_meta_attach", "i_pop", "unique", "two_hit", "g_view_rarelist", "v_view_genotypes", "merge_any", "mask_hard_ref", "mask_fix_xy", "em"]
+    "loc_intersect", "loc_flatten", "loc_subtract", "net_view_2", "net_carriers", "seq_stats", "lookup", "indiv_enrich", "mask_hwe", "mask_loc_req", "mask_ref_allelic", "mask_case_control", "mask_both", "mask_indel", "mask_empty_group", "mask_meta_attach", "i_pop", "unique", "two_hit", "g_view_rarelist", "v_view_genotypes", "merge_any", "mask_hard_ref", "mask_fix_xy", "em"]
 
 
 def plain(rows):
