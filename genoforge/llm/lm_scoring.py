@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +43,23 @@ END = b""
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000:
-            self[word] = h
-        return h
+_BEGIN_HASH, _END_HASH = np.uint64(1), np.uint64(2)
 
 
-_hashes = _Hashes()
-_BEGIN_HASH, _END_HASH = np.uint64(1), np.uint64(2)
+class Vocabulary:
+    """Frequent words by number, with their hashes and log10 probabilities; other words are hashed one by one."""
+
+    def __init__(self, words: list[bytes], logs: np.ndarray):
+        self.index = {w: i for i, w in enumerate(words)}
+        self.logs = logs
+        self.hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.uint64(0))
+
+    def read(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's number or -1, each word's hash, and the places of the words without number."""
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        cold, h = np.flatnonzero(at < 0), self.hashes[at]
+        h[cold] = np.fromiter((xxhash.xxh3_64_intdigest(flat[i]) for i in cold.tolist()), np.uint64, len(cold))
+        return at, h, cold
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -67,16 +74,18 @@ def words(text: str | None) -> list[bytes]:
 class Grams:
     """Of several texts in a row, each between its begin and end: the n-gram of each order that ends at each token."""
 
-    def __init__(self, texts: list[list[bytes]], order: int):
+    def __init__(self, texts: list[list[bytes]], order: int, vocabulary: Vocabulary | None = None):
         sizes = np.array([len(w) + 2 for w in texts], np.int64)
         ends = np.cumsum(sizes)
         self.text = np.repeat(np.arange(len(texts)), sizes)
         self.place = np.arange(len(self.text)) - np.repeat(ends - sizes, sizes)
+        self.flat = list(chain.from_iterable(texts))
+        self.at, words, self.cold = (vocabulary or Vocabulary([], np.zeros(0))).read(self.flat)
         h = np.empty(len(self.text), np.uint64)
-        inner = np.ones(len(h), bool)
-        inner[ends - sizes] = inner[ends - 1] = False
-        h[ends - sizes], h[ends - 1] = _BEGIN_HASH, _END_HASH
-        h[inner] = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, len(h) - 2 * len(texts))
+        self.inner = np.ones(len(h), bool)
+        self.inner[ends - sizes] = self.inner[ends - 1] = False
+        h[ends - sizes], h[ends - 1], h[self.inner] = _BEGIN_HASH, _END_HASH, words
+        self.words = words
         self.hashes: list[np.ndarray] = []
         gram = np.zeros(len(h), np.uint64)
         for m in range(1, order + 1):
@@ -96,6 +105,25 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def with_counts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rising hashes with their counts in the bits that are left; a count that is too large takes several numbers."""
+    most = (1 << (64 - BITS)) - 1
+    times = (counts - 1) // most + 1
+    if times.max(initial=1) == 1:
+        return h << np.uint64(64 - BITS) | counts.astype(np.uint64)
+    part = np.full(int(times.sum()), most)
+    part[np.cumsum(times) - 1] = counts - (times - 1) * most
+    return np.repeat(h, times) << np.uint64(64 - BITS) | part.astype(np.uint64)
+
+
+def counted_again(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes and their counts, of what with_counts gave in several parts."""
+    numbers = np.sort(numbers)
+    h = numbers >> np.uint64(64 - BITS)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat((numbers & np.uint64((1 << (64 - BITS)) - 1)).astype(np.int64), first)
+
+
 def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
     return ((h >> np.uint64(BITS - 32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
@@ -170,7 +198,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.where(~held_out()).select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def filter_slices(documents: DataFrame, slices: int, order: int, probes: int, room: float) -> DataFrame:
+def filter_slices(documents: DataFrame, known: Broadcast, slices: int, order: int, probes: int, room: float) -> DataFrame:
     """(slice, bits): the filter over all training texts. A task packs what it has of each slice; a slice's task adds up."""
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,39 +206,34 @@ def filter_slices(documents: DataFrame, slices: int, order: int, probes: int, ro
 
         def sent() -> pd.DataFrame:
             h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            rows = [(s, packed(h[a:b], press), press.compress(c[a:b].astype(np.uint32).tobytes())) for s, a, b in cuts(h, slices)]
-            return pd.DataFrame(rows, columns=["slice", "h", "c"])
+            return pd.DataFrame([(s, packed(with_counts(h[a:b], c[a:b]), press)) for s, a, b in cuts(h, slices)], columns=["slice", "grams"])
 
         for pdf in batches:
             for a in range(0, len(pdf), 100):
-                held.append(Grams([words(t) for t in pdf["text"].iloc[a : a + 100]], order).all())
+                held.append(Grams([words(t) for t in pdf["text"].iloc[a : a + 100]], order, known.value).all())
                 n += len(held[-1])
                 if n > GATHERED:
                     yield sent()
                     held, n = [], 0
         yield sent()
 
-    def built(s: int, own: list[tuple[bytes, bytes]]) -> tuple[int, bytes]:
-        h = np.concatenate([unpacked(x) for x, _ in own])
-        c = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for _, x in own])
-        by = np.argsort(h, kind="stable")
-        h, c = h[by], c[by]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return s, LogBloom.of(h[first], np.add.reduceat(c.astype(np.int64), first), probes, room).bits.tobytes()
+    def built(s: int, own: list[bytes]) -> pd.DataFrame:
+        bloom = LogBloom.of(*counted_again(np.concatenate([unpacked(x) for x in own])), probes, room)
+        return pd.DataFrame([(s, bloom.bits.tobytes())], columns=["slice", "bits"])
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for pdf in batches:
-            for s, h, c in zip(pdf["slice"], pdf["h"], pdf["c"]):
+            for s, grams in zip(pdf["slice"], pdf["grams"]):
                 if s != at and held:
-                    yield pd.DataFrame([built(at, held)], columns=["slice", "bits"])
+                    yield built(at, held)
                     held = []
                 at = s
-                held.append((h, c))
+                held.append(grams)
         if held:
-            yield pd.DataFrame([built(at, held)], columns=["slice", "bits"])
+            yield built(at, held)
 
-    parts = documents.where(~held_out()).select("text").mapInPandas(gathered, "slice long, h binary, c binary")
+    parts = documents.where(~held_out()).select("text").mapInPandas(gathered, "slice long, grams binary")
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(tasks, "slice").sortWithinPartitions("slice").mapInPandas(merged, "slice long, bits binary")
 
@@ -300,25 +323,30 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
     n, v = totals["tokens"], totals["kinds"]
     hot = counts.where((F.col("n") * HOT >= n) & (F.octet_length("word") <= HOT_BYTES)).toPandas()  # HOT words at most
     logs = np.log10((hot["n"].to_numpy(np.int64) + 1) / (n + v + 1))
-    known = spark.sparkContext.broadcast((dict(zip(hot["word"].map(bytes), range(len(hot)))), logs))
+    known = spark.sparkContext.broadcast(Vocabulary([bytes(w) for w in hot["word"]], logs))
     slices = max(1, -(-n * order // SLICE))
-    bits = written(filter_slices(documents, slices, order, probes, room), "filter")
+    bits = written(filter_slices(documents, known, slices, order, probes, room), "filter")
     size = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
 
-    def rows(ids: list, held: list, texts: list[list[bytes]], g: Grams, levels: list[np.ndarray]) -> pd.DataFrame:
-        index, logs = known.value
-        score, out = np.bincount(g.text, np.log10(probabilities(g, levels, totals["least"], v, prior)), len(ids)), []
-        each = np.fromiter(map(index.get, chain.from_iterable([*w, END] for w in texts), repeat(-1)), np.int64, len(g.text) - len(texts))
-        text, hot = g.text[g.place > 0], each >= 0
-        base, n_hot = np.bincount(text[hot], logs[each[hot]], len(ids)), np.bincount(text[hot], minlength=len(ids))
-        strange, ends = np.flatnonzero(~hot), np.cumsum([len(w) + 1 for w in texts])
-        cold: list[Counter[bytes]] = [Counter() for _ in ids]
-        for i, at in zip(text[strange].tolist(), strange.tolist()):
-            at -= int(ends[i]) - len(texts[i]) - 1
-            cold[i][texts[i][at] if at < len(texts[i]) else END] += 1
-        out = [(*x, list(c), list(c.values())) for *x, c in zip(ids, held, map(len, texts), n_hot.tolist(), base.tolist(), score.tolist(), cold)]
+    ending = known.value.index.get(END, -1)
+
+    def rows(ids: list, held: list, g: Grams, levels: list[np.ndarray]) -> pd.DataFrame:
+        score = np.bincount(g.text, np.log10(probabilities(g, levels, totals["least"], v, prior)), len(ids))
+        logs, text = known.value.logs, g.text[g.inner]
+        size, hot = np.bincount(text, minlength=len(ids)), g.at >= 0
+        base, n_hot = np.bincount(text[hot], logs[g.at[hot]], len(ids)), np.bincount(text[hot], minlength=len(ids))
+        # Words of one text are told apart by the bits of their hashes that the text's number leaves.
+        bits = np.uint64(max(len(ids), 1).bit_length())
+        key = text[g.cold].astype(np.uint64) << (np.uint64(64) - bits) | g.words[g.cold] >> bits
+        _, first, times = np.unique(key, return_index=True, return_counts=True)
+        ends = np.searchsorted(text[g.cold][first], np.arange(len(ids) + 1))
+        strange, times = [g.flat[i] for i in g.cold[first].tolist()], times.tolist()
+        out = []
+        for i, (doc_id, out_of, a, b) in enumerate(zip(ids, held, ends.tolist(), ends[1:].tolist())):
+            end = ([], []) if ending >= 0 else ([END], [1])
+            out.append((doc_id, out_of, int(size[i]) + 1, int(n_hot[i]) + (ending >= 0), float(base[i]) + (float(logs[ending]) if ending >= 0 else 0.0), float(score[i]), strange[a:b] + end[0], times[a:b] + end[1]))
         pdf = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "hot", "base", "score", "cold", "times"])
-        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), n_tokens=pdf["n_tokens"] + 1)
+        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
 
     kinds = "doc_id long, held_out boolean, n_tokens long, hot long, base double, score double, cold array<binary>, times array<long>"
     if size <= BROADCAST:
@@ -336,9 +364,8 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
             for pdf in batches:
                 for a in range(0, len(pdf), 200):
                     part = pdf.iloc[a : a + 200]
-                    texts = [words(t) for t in part["text"]]
-                    g = Grams(texts, order)
-                    yield rows(part["doc_id"].astype("Int64").tolist(), part["held_out"].tolist(), texts, g, sought(g, bloom))
+                    g = Grams([words(t) for t in part["text"]], order, known.value)
+                    yield rows(part["doc_id"].astype("Int64").tolist(), part["held_out"].tolist(), g, sought(g, bloom))
 
         one = documents.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(here, kinds)
     else:
@@ -348,11 +375,10 @@ def scored(documents: DataFrame, order: int = ORDER, prior: float = PRIOR, probe
         def there(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for ids, held, texts, found in zip(pdf["doc_ids"], pdf["held"], pdf["texts"], pdf["answers"]):
-                    split = [words(t) for t in texts]
-                    g = Grams(split, order)
+                    g = Grams([words(t) for t in texts], order, known.value)
                     back = np.unique(g.all(), return_inverse=True)[1]
                     levels = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in found])
-                    yield rows([None if pd.isna(i) else int(i) for i in ids], list(held), split, g, spread(g, levels[back]))
+                    yield rows([None if pd.isna(i) else int(i) for i in ids], list(held), g, spread(g, levels[back]))
 
         one = parts.join(answers, "chunk").select("doc_ids", "held", "texts", F.col("answers.levels").alias("answers")).mapInPandas(there, kinds)
     one = written(one.withColumn("row", F.monotonically_increasing_id()), "scored")
