@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.study import PIECE, Study
-from .intervals import overlaps
+from ..plans.study import PIECE, Study, counted
+from .intervals import overlaps, points_in
 from .loci import AMINO_ACIDS, reverse_complement
 from .summaries import counts
 
@@ -262,6 +262,36 @@ def annotated_variants(study: Study) -> DataFrame:
     return worst(loc_annotate(study))
 
 
+def gs_view(study: Study) -> DataFrame:
+    """(transcript, gene, codon_no, chr, low, high, exon, split, codon, aa, variants, refs, features): each coding codon in reading direction.
+
+    variants: at the base that each starts at, `ALT..`, `.ALT.` or `..ALT` by its place in the codon, ALT alleles of cases and
+    controls, and what the variant does in this transcript. refs: names of reference sites by group. features: protein features of
+    the transcript or its gene that hold the codon's last base. exon counts coding parts; a split codon lies in two.
+    """
+    table, seqs = transcripts(study.transcripts, study.reference, PIECE)
+    part = table.join(seqs, ["transcript", "chr"]).select("transcript", "gene", "chr", "minus", "cdna", "frame", F.size("cds").alias("parts"), F.posexplode("cds").alias("k", "c"))
+    base = part.select("transcript", "gene", "chr", "minus", "cdna", "frame", F.when(F.col("minus"), F.col("parts") - F.col("k")).otherwise(F.col("k") + 1).alias("exon"), "c.first", "c.last", "c.offset")
+    base = base.withColumn("bp", F.explode(F.sequence("first", "last")))
+    base = base.withColumn("i", F.col("offset") + F.when(F.col("minus"), F.col("last") - F.col("bp")).otherwise(F.col("bp") - F.col("first")) - F.col("frame")).where("i >= 0")
+    base = base.select("transcript", "gene", "chr", "bp", "exon", "i", (F.expr("i div 3") + 1).alias("codon_no"), F.substring("cdna", (F.col("i") + F.col("frame") + 1).cast("int"), F.lit(1)).alias("base"))
+    found = loc_annotate(study).where("transcript is not null").groupBy("var_id", "transcript")
+    what = found.agg(F.array_join(F.array_sort(F.collect_set(F.concat("type", F.coalesce(F.concat(F.lit("|"), "protein"), F.lit(""))))), ",").alias("what"))
+    sites = base.select("transcript", "chr", "bp", "i").join(counted(study).select("var_id", "chr", F.col("bp1").alias("bp"), "alt", "a_ac", "u_ac"), ["chr", "bp"]).join(what, ["var_id", "transcript"], "left")
+    place = F.expr("case i % 3 when 0 then concat(alt, '..') when 1 then concat('.', alt, '.') else concat('..', alt) end")
+    label = F.concat(place, F.lit("|A/U="), F.col("a_ac").cast("string"), F.lit(":"), F.col("u_ac").cast("string"), F.lit("|"), F.coalesce("what", F.lit(".")))
+    seen = sites.groupBy("transcript", "chr", "bp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("var_id", label.alias("s")))), lambda x: x["s"]), " ").alias("seen"))
+    refs = study.refs.groupBy("chr", F.col("bp1").alias("bp")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "name"))), lambda x: F.concat(x["grp"], F.lit(":"), x["name"])), ",").alias("refs"))
+    last = base.where("i % 3 = 2").select("transcript", "gene", "chr", F.col("bp").alias("bp1"), "codon_no")
+    held = points_in(last, study.proteins).where("i_transcript = transcript or i_transcript = gene")
+    features = held.groupBy("transcript", "codon_no").agg(F.array_join(F.array_sort(F.collect_set(F.concat("i_source", F.lit(":"), "i_feature"))), ",").alias("features"))
+    rows = base.join(seen, ["transcript", "chr", "bp"], "left").join(refs, ["chr", "bp"], "left").groupBy("transcript", "gene", "codon_no", "chr")
+    in_order = lambda c: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("i", F.col(c).alias("s")))), lambda x: x["s"].isNotNull()), lambda x: x["s"])
+    text = lambda c: F.when(F.count(c) > 0, F.array_join(in_order(c), " "))
+    codon = rows.agg(F.min("bp").alias("low"), F.max("bp").alias("high"), F.min("exon").alias("exon"), (F.max("exon") > F.min("exon")).alias("split"), F.array_join(in_order("base"), "").alias("codon"), text("seen").alias("variants"), text("refs").alias("refs"))
+    return codon.join(features, ["transcript", "codon_no"], "left").withColumn("aa", amino(F.rpad("codon", 3, "-")))
+
+
 def counts_annotated(study: Study) -> DataFrame:
     """Minor allele counts of cases and controls, with FUNC and GENE."""
     return counts(study).join(annotated_variants(study).select("var_id", "func", "gene"), "var_id", "left")

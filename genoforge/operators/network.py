@@ -28,10 +28,10 @@ def ranked(study: Study, strata: bool = True) -> DataFrame:
     return ranks.join(sizes, "stratum").drop("stratum")
 
 
-def replicate_counts(carriers: DataFrame, keys: str, replicates: int) -> DataFrame:
+def replicate_counts(carriers: DataFrame, keys: str, replicates: int, first: int = 0) -> DataFrame:
     """(key, rep, ca, cu): carriers (key, indiv_id, aff, rank, of, cases) by label, as they are (rep 0) and in each replicate.
 
-    Labels follow from ranks, so tasks count what they read and only counts are shuffled.
+    Labels follow from ranks, so tasks count what they read and only counts are shuffled; replicates have the keys first + 1 ...
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +39,7 @@ def replicate_counts(carriers: DataFrame, keys: str, replicates: int) -> DataFra
             key, at = np.unique(pdf["key"].to_numpy(), return_inverse=True)
             all_ = np.bincount(at, minlength=len(key))
             for rep in range(replicates + 1):
-                case = (pdf["aff"] == 2).to_numpy() if rep == 0 else permuted(pdf["rank"].to_numpy(), pdf["of"].to_numpy(), rep) < pdf["cases"].to_numpy()
+                case = (pdf["aff"] == 2).to_numpy() if rep == 0 else permuted(pdf["rank"].to_numpy(), pdf["of"].to_numpy(), first + rep) < pdf["cases"].to_numpy()
                 ca = np.bincount(at, case, len(key)).astype(np.int64)
                 yield pd.DataFrame({"key": key, "rep": rep, "ca": ca, "cu": all_ - ca})
 

@@ -25,7 +25,8 @@ class Study:
     pheno (indiv_id, pheno, value), var_sets (var_id, set_name, superset_name), proteins (transcript, source, feature,
     chr, bp1, bp2), sites (file_id, var_id, filter: what a file says of a variant), groups (group, var_id: what a mask
     grouped), metas (var_id, grp, key, value: fields that are attached on demand), transcripts (transcript,
-    gene, kind, chr, bp1, bp2, strand, frame: exons, coding parts and stop codons), reference (chr, piece, seq: PIECE bases each).
+    gene, kind, chr, bp1, bp2, strand, frame: exons, coding parts and stop codons), reference (chr, piece, seq: PIECE bases each), ibd (id1, id2,
+    chr, bp1, bp2: segments that two people share).
     """
 
     variants: DataFrame
@@ -46,6 +47,7 @@ class Study:
     metas: DataFrame | None = None
     transcripts: DataFrame | None = None
     reference: DataFrame | None = None
+    ibd: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Study:
         return replace(self, **tables)

@@ -14,6 +14,7 @@ from .operators import family as Y
 from .operators import genes as E
 from .operators import loci as L
 from .operators import network as W
+from .operators import sharing as H
 from .operators import summaries as S
 from .operators import views as V
 from .plans import genotypes as G
@@ -87,6 +88,16 @@ query("i_pop", S.i_pop, """SELECT indiv_id, strata AS pop, nvar, round(exp(ll-m)
 _ALTS = "len(list_filter(string_split(alt,','), lambda a: {}))"
 _SNP = _ALTS.format("NOT (length(ref)=1 AND length(a)=1 AND a<>ref)") + "=0"
 _INDEL, _MNP = _ALTS.format("length(a)<>length(ref)") + ">0", _ALTS.format("length(ref)>1 AND length(a)=length(ref) AND a<>ref") + ">0"
+#: One base, an indel with its last base, an indel without it, and a chromosome, which is no exact region.
+_EXACT = ["chr1:1058", "chr11:1008..1010", "chr12:1038..1040", "chr3"]
+
+
+def _exact(regions: list[str]) -> str:
+    """Exact regions as SQL: a variant's chromosome, first and last base."""
+    parts = [(name.removeprefix("chr"), *(span.split("..") * 2)[:2]) for name, _, span in (r.partition(":") for r in regions) if span]
+    return " OR ".join(f"(chr={c} AND bp1={a} AND bp1+length(ref)-1={b})" for c, a, b in parts)
+
+
 #: One query for each mask term, with the term's condition in SQL.
 MASKS = {
     "mac": ({"mac": "20:28"}, "mac BETWEEN 20 AND 28"), "maf": ({"maf": "0.002:0.01"}, "maf BETWEEN 0.002 AND 0.01"), "aac": ({"aac": "2:"}, "ac>=2"), "aaf": ({"aaf": "0.01:1"}, "aaf BETWEEN 0.01 AND 1"),
@@ -107,7 +118,7 @@ MASKS = {
     "var": ({"var": ["S1"]}, "var_id%5=1"), "var_ex": ({"var.ex": ["S1", "S2"]}, "var_id%5 NOT IN (1,2)"), "varset": ({"varset": ["X"]}, "var_id%5<2"), "varset_ex": ({"varset.ex": ["X"]}, "var_id%5>=2"),
     "case_control": ({"case.control": ["1:2", "0"]}, "least(a_ac,a_tot-a_ac) BETWEEN 1 AND 2 AND least(u_ac,u_tot-u_ac)=0"), "case_uniq": ({"case.uniq": True}, "least(a_ac,a_tot-a_ac)>=1 AND least(u_ac,u_tot-u_ac)=0"), "control_uniq": ({"control.uniq": True}, "least(a_ac,a_tot-a_ac)=0 AND least(u_ac,u_tot-u_ac)>=1"),
     "obs_nfile": ({"obs.nfile": "2"}, "(SELECT count(DISTINCT file_id) FROM g_calls k WHERE k.var_id=v.var_id)>=2"), "alt_file_ex": ({"alt.file.ex": [1]}, "var_id IN (SELECT var_id FROM g_calls GROUP BY 1 HAVING count(*) FILTER (file_id=1 AND NOT is_null AND ac>0)=0)"),
-    "ereg": ({"ereg": ["chr1:1001", "chr2:1003..1003", "chr3", "chr2:1000..1100"]}, "(chr=1 AND bp1=1040) OR (chr=2 AND bp1=1015 AND length(ref)=3)"), "ereg_ex": ({"ereg.ex": ["chr1:1040"]}, "NOT (chr=1 AND bp1=1040 AND length(ref)=1)"), "ereg_req": ({"ereg.req": ["chr2:1003"]}, "chr=2 AND bp1=1003 AND length(ref)=1"),
+    "ereg": ({"ereg": _EXACT}, _exact(_EXACT)), "ereg_ex": ({"ereg.ex": _EXACT}, f"NOT ({_exact(_EXACT)})"), "ereg_req": ({"ereg.req": ["chr21:1050..1051"]}, _exact(["chr21:1050..1051"])),
     "fail_nfile": ({"fail.nfile": "0:2"}, "var_id IN (SELECT var_id FROM g_sites GROUP BY 1 HAVING count(*) FILTER (filter<>'PASS')=0 AND count(*) FILTER (filter='PASS')>=2)"), "fail_single_file": ({"fail.single.file": True}, "var_id NOT IN (SELECT var_id FROM g_sites WHERE filter<>'PASS')"),
     "meta_attach": ({"meta.attach": ["M1"], "include": "CAST(attached['weight'] AS DOUBLE) > 2"}, "var_id%3=0 AND size/10.0>2"), "alt_group": ({"alt.group": ["x"], "qual": "920:950"}, "qual BETWEEN 920 AND 950"),
     "obs_file": ({"obs.file": [1]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1)"), "obs_file_req": ({"obs.file.req": [1, 2]}, "var_id IN (SELECT var_id FROM g_calls WHERE file_id=1) AND var_id IN (SELECT var_id FROM g_calls WHERE file_id=2)"), "obs_file_ex": ({"obs.file.ex": [2]}, "var_id IN (SELECT var_id FROM g_calls) AND var_id NOT IN (SELECT var_id FROM g_calls WHERE file_id=2)"),
@@ -332,3 +343,41 @@ annotation_query("counts_func", N.counts_annotated, """SELECT v.var_id, ref, alt
  CASE WHEN flip THEN u_tot-u_ac ELSE u_ac END AS cntu, a_tot AS tota, u_tot AS totu, func, gene FROM vc v LEFT JOIN an_worst w ON v.var_id=w.var_id""")
 annotation_query("mask_annot_append", lambda s: mask(s, {"annot.append": True, "include": "func in ('nonsense', 'frameshift', 'missense')"}).variants.select("var_id", "func", "gene", "annot_full"),
     "SELECT var_id, func, gene, CASE WHEN kinds>1 THEN 'mixed' ELSE func END AS annot_full FROM an_worst WHERE func IN ('nonsense','frameshift','missense')")
+
+
+def probands(s: Study) -> DataFrame:
+    return s.indiv.where("indiv_id % 2 = 0").select(F.col("indiv_id").alias("proband"), (F.col("indiv_id") % 22 + 1).cast("int").alias("chr"), F.lit(1200).cast("long").alias("bp1"), F.lit(1500).cast("long").alias("bp2"))
+
+
+query("mutation_screen", lambda s: H.mutation_screen(s, probands(s)), """SELECT proband, var_id, chr, bp1, CAST(CASE WHEN gp.v IS NULL THEN 0 ELSE gp.ac END AS INT) AS ac, count(partner) AS n_ibd,
+ count(*) FILTER (partner IS NOT NULL AND (gp.v IS NULL OR gp.ac IS NOT NULL) AND (gq.v IS NULL OR gq.ac IS NOT NULL)) AS n_inform,
+ count(*) FILTER (partner IS NOT NULL AND (gp.ac=2 AND gq.v IS NULL OR gp.v IS NULL AND gq.ac=2)) AS n_invalid, count(*) FILTER (partner IS NOT NULL AND gp.ac=1 AND gq.v IS NULL) AS n_a1,
+ count(*) FILTER (partner IS NOT NULL AND gp.ac=1 AND gq.ac=2) AS n_a2, count(*) FILTER (partner IS NOT NULL AND gp.ac=1 AND gq.ac=1) AS n_hethet FROM (
+ SELECT DISTINCT w.proband, v.var_id, w.chr, v.bp1, p.partner FROM (SELECT proband, chr, least(1200, min(bp1)) AS w1, greatest(1500, max(bp2)) AS w2 FROM met GROUP BY 1, 2) w JOIN g_variants v ON v.chr=w.chr AND v.bp1 BETWEEN w1 AND w2
+ LEFT JOIN (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY proband, partner ORDER BY bp1 DESC, bp2 DESC)=1) p ON p.proband=w.proband AND v.bp1 BETWEEN p.bp1 AND p.bp2) x
+ LEFT JOIN (SELECT var_id AS v, indiv_id AS i, ac FROM g_geno) gp ON gp.v=x.var_id AND gp.i=x.proband LEFT JOIN (SELECT var_id AS v, indiv_id AS i, ac FROM g_geno) gq ON gq.v=x.var_id AND gq.i=x.partner GROUP BY 1, 2, 3, 4, 5""")
+SQL["mutation_screen"] = SQL["mutation_screen"].replace("\nSELECT proband,", """, met AS (SELECT i.indiv_id AS proband, s.partner, s.chr, s.bp1, s.bp2 FROM g_indiv i JOIN g_ibd2 s ON s.indiv_id=i.indiv_id AND s.chr=i.indiv_id%22+1
+ AND s.bp1<=1500 AND s.bp2>=1200 WHERE i.indiv_id%2=0 AND s.partner IN (SELECT indiv_id FROM g_indiv))\nSELECT proband,""")
+query("s_assoc", H.s_assoc)
+query("s_assoc_counts", lambda s: H.s_assoc(s, 1).select("loc_id", "nvar", "burden", "aa", "au"), """SELECT loc_id, nvar, CAST(coalesce(sum(CASE WHEN cu=0 THEN ca END),0) AS BIGINT) AS burden, CAST(coalesce(sum(pa),0) AS BIGINT) AS aa, CAST(coalesce(sum(pu),0) AS BIGINT) AS au
+ FROM (SELECT loc_id, var_id, count(*) OVER (PARTITION BY loc_id) AS nvar FROM vl) m LEFT JOIN (SELECT var_id, count(*) FILTER (aff=2) AS ca, count(*) FILTER (aff=1) AS cu FROM g_geno JOIN g_indiv USING (indiv_id) WHERE ac>0 GROUP BY 1 HAVING count(*) FILTER (aff=2)>0) c USING (var_id)
+ LEFT JOIN (SELECT g.var_id, count(*) FILTER (q.aff=2) AS pa, count(*) FILTER (q.aff=1) AS pu FROM g_geno g JOIN g_variants v ON v.var_id=g.var_id JOIN g_indiv i ON i.indiv_id=g.indiv_id AND i.aff=2 JOIN g_ibd2 s ON s.indiv_id=g.indiv_id AND s.chr=v.chr AND v.bp1 BETWEEN s.bp1 AND s.bp2
+ JOIN g_indiv q ON q.indiv_id=s.partner WHERE g.ac>0 GROUP BY 1) p ON p.var_id=m.var_id WHERE nvar>=2 GROUP BY 1, 2""")
+query("ibd_sharing", lambda s: Y.ibd_sharing(s, s.ibd), """SELECT p.var_id, x, y, count(s.bp1) AS nseg, count(*) FILTER (s.chr=v.chr AND v.bp1 BETWEEN s.bp1 AND s.bp2) AS overlap, max(s.bp2-s.bp1+1) FILTER (s.chr=v.chr AND v.bp1 BETWEEN s.bp1 AND s.bp2) AS len
+ FROM (SELECT a.var_id, a.indiv_id AS x, b.indiv_id AS y FROM g_geno a JOIN g_geno b ON a.var_id=b.var_id AND a.indiv_id<b.indiv_id WHERE a.ac>0 AND b.ac>0 AND a.var_id IN (SELECT var_id FROM g_geno WHERE ac>0 GROUP BY 1 HAVING count(*)<=10)) p
+ JOIN g_variants v ON v.var_id=p.var_id LEFT JOIN (SELECT least(id1,id2) AS i, greatest(id1,id2) AS j, chr, bp1, bp2 FROM g_ibd) s ON s.i=x AND s.j=y GROUP BY 1, 2, 3""")
+
+annotation_query("gs_view", N.gs_view, """SELECT transcript, gene, codon_no, chr, min(bp) FILTER (true) AS low, max(bp) AS high, min(exon) AS exon, max(exon)>min(exon) AS split, string_agg(base, '' ORDER BY i) AS codon,
+ CASE WHEN count(*)<3 THEN 'x' ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(sum((strpos('TCAG',base)-1)*CASE i%3 WHEN 0 THEN 16 WHEN 1 THEN 4 ELSE 1 END)+1 AS INT), 1) END AS aa,
+ string_agg(seen, ' ' ORDER BY i) AS variants, string_agg(refs, ' ' ORDER BY i) AS refs, max(features) AS features FROM gs_base b
+ LEFT JOIN gs_seen s USING (transcript, chr, bp) LEFT JOIN (SELECT chr, bp1 AS bp, string_agg(concat(grp,':',name), ',' ORDER BY grp, name) AS refs FROM g_ref GROUP BY 1, 2) r USING (chr, bp)
+ LEFT JOIN gs_feat f USING (transcript, codon_no) GROUP BY transcript, gene, codon_no, chr""")
+SQL["gs_view"] = SQL["gs_view"].replace("\nSELECT transcript, gene, codon_no,", """, gs_part AS (SELECT *, unnest([{'f':50,'t':249,'k':0},{'f':350,'t':600,'k':1},{'f':700,'t':800,'k':2}]) AS u FROM g_genome),
+ gs_each AS (SELECT concat('T', CAST(loc_id AS VARCHAR)) AS transcript, altname AS gene, chr, minus, b, s0, g, u.k AS k, u.f AS f, u.t AS t, unnest(range(b+u.f, b+u.t+1)) AS bp FROM gs_part),
+ gs_base AS (SELECT transcript, gene, chr, bp, CASE WHEN minus THEN 3-k ELSE k+1 END AS exon, i, i//3+1 AS codon_no, CASE WHEN minus THEN translate(c,'ACGT','TGCA') ELSE c END AS base FROM (SELECT *, substr(g, bp-s0+1, 1) AS c,
+ row_number() OVER (PARTITION BY transcript ORDER BY CASE WHEN minus THEN -bp ELSE bp END)-1 AS i FROM gs_each) e),
+ gs_seen AS (SELECT b.transcript, b.chr, b.bp, string_agg(concat(CASE b.i%3 WHEN 0 THEN concat(v.alt,'..') WHEN 1 THEN concat('.',v.alt,'.') ELSE concat('..',v.alt) END, '|A/U=', v.a_ac, ':', v.u_ac, '|', coalesce(n.what,'.')), ' ' ORDER BY v.var_id) AS seen
+ FROM gs_base b JOIN vc v ON v.chr=b.chr AND v.bp1=b.bp LEFT JOIN (SELECT var_id, transcript, array_to_string(list_sort(list_distinct(list(concat(type, CASE WHEN protein IS NULL THEN '' ELSE concat('|',protein) END)))), ',') AS what FROM an WHERE transcript IS NOT NULL GROUP BY 1, 2) n
+ ON n.var_id=v.var_id AND n.transcript=b.transcript GROUP BY 1, 2, 3),
+ gs_feat AS (SELECT b.transcript, b.codon_no, array_to_string(list_sort(list_distinct(list(concat(p.source,':',p.feature)))), ',') AS features FROM gs_base b JOIN g_prot p ON p.transcript=b.gene AND p.chr=b.chr AND b.bp BETWEEN p.bp1 AND p.bp2 WHERE b.i%3=2 GROUP BY 1, 2)
+SELECT transcript, gene, codon_no,""")

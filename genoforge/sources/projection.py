@@ -61,8 +61,12 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     places = loci.select("chr", F.explode(F.sequence(F.floor((F.col("bp1") - PIECE) / PIECE), F.floor((F.col("bp2") + PIECE) / PIECE))).alias("piece")).distinct()
     digest = F.sha2(F.concat(F.col("chr").cast("string"), F.lit(":"), F.col("piece").cast("string")), 256)
     reference = places.withColumn("seq", F.translate(digest, "0123456789abcdef", "ACGTACGTACGTACGT"))
+    pair = indiv.select("indiv_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).join(indiv.agg(F.max("indiv_id").alias("most")).hint("broadcast"))  # one row
+    x, k = F.col("indiv_id"), F.col("k")
+    begin = 1000 + (x * 13 + k * 101) % 700
+    ibd = pair.select(x.alias("id1"), ((x * (2 * k + 1) + 5 * k) % F.col("most") + 1).alias("id2"), ((x + k) % 22 + 1).cast("int").alias("chr"), begin.alias("bp1"), (begin + 150 + x % 5 * 120).alias("bp2")).where("id1 <> id2")
     return Study(
-        transcripts=transcripts, reference=reference,
+        transcripts=transcripts, reference=reference, ibd=ibd,
         proteins=proteins, sites=sites, metas=metas, variants=variants, calls=calls, geno=consensus(calls), indiv=indiv, loci=loci, sets=sets, refs=refs, edges=links.union(links.select("b", "a", "score")),
         seqs=t("documents").select("doc_id", F.translate("text", "acgtn", "ACGTN").alias("seq")), segments=segments, pheno=pheno, var_sets=var_sets)
 
@@ -96,6 +100,9 @@ VIEWS = {
     "g_genome": """SELECT loc_id, altname, chr, bp1 AS b, loc_id%4>=2 AS minus, 64*CAST(floor((bp1-64)/64.0) AS BIGINT) AS s0,
  (SELECT string_agg(translate(sha256(concat(CAST(chr AS VARCHAR), ':', CAST(p AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p)
   FROM unnest(range(CAST(floor((bp1-64)/64.0) AS BIGINT), CAST(floor((bp2+64)/64.0) AS BIGINT)+1)) u(p)) AS g FROM g_loci""",
+    "g_ibd": """SELECT indiv_id AS id1, (indiv_id*(2*k+1)+5*k)%most+1 AS id2, CAST((indiv_id+k)%22+1 AS INT) AS chr, 1000+(indiv_id*13+k*101)%700 AS bp1, 1000+(indiv_id*13+k*101)%700+150+indiv_id%5*120 AS bp2
+ FROM (SELECT i.indiv_id, k, m.most FROM g_indiv i, range(1, 5) r(k), (SELECT max(indiv_id) AS most FROM g_indiv) m) x WHERE indiv_id <> (indiv_id*(2*k+1)+5*k)%most+1""",
+    "g_ibd2": """SELECT id1 AS indiv_id, id2 AS partner, chr, bp1, bp2 FROM g_ibd UNION SELECT id2, id1, chr, bp1, bp2 FROM g_ibd""",
     "n": """SELECT count(*) AS n, count(*) FILTER (aff=2) AS na, count(*) FILTER (aff=1) AS nu FROM g_indiv""",
     "c": """SELECT g.var_id, count(*) FILTER (ac=1) AS het, count(*) FILTER (ac=2) AS hom, count(*) FILTER (ac IS NULL) AS nul,
  count(*) FILTER (ac=1 AND aff=2) AS a_het, count(*) FILTER (ac=2 AND aff=2) AS a_hom, count(*) FILTER (ac IS NULL AND aff=2) AS a_nul,

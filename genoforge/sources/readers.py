@@ -37,8 +37,9 @@ def vcf(spark: SparkSession, path: str, file_id: int = 1) -> tuple[DataFrame, Da
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"))
     pairs = F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda x: x != "."), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)  # of a repeated key the first counts
     site = rows.select("f", chromosome(F.col("f")[0]).alias("chr"), F.col("f")[1].cast("long").alias("bp1"), F.col("f")[2].alias("name"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
-        F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.map_from_entries(F.array_distinct(pairs)).alias("info"))
+        F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.map_from_entries(first).alias("info"))
     site = site.withColumn("bp2", F.col("bp1") + F.length("ref") - 1).withColumn("var_id", F.xxhash64("chr", "bp1", "ref", "alt"))
     variants = site.select("var_id", "chr", "bp1", "bp2", "name", "ref", "alt", "qual", "filter", "info")
     keys = F.split(F.col("f")[8], ":")
@@ -48,8 +49,9 @@ def vcf(spark: SparkSession, path: str, file_id: int = 1) -> tuple[DataFrame, Da
     codes = F.transform(F.split(F.col("gmeta")["GT"], "[/|]"), lambda x: x.try_cast("int"))
     each = each.select("var_id", "alts", "k", gmeta.alias("gmeta")).withColumn("codes", codes)
     lost = F.col("codes").isNull() | F.exists("codes", lambda x: x.isNull() | (x > F.col("alts")))
-    name = F.array(*map(F.lit, samples))[F.col("k")] if samples else F.lit(None).cast("string")
-    calls = each.select(F.lit(file_id).alias("file_id"), "var_id", name.alias("indiv_id"), F.when(~lost, F.size(F.filter("codes", lambda x: x > 0))).alias("ac"),
+    header = F.split("value", "\t")
+    people = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.posexplode(F.slice(header, 10, F.greatest(F.size(header) - 9, F.lit(0)))).alias("k", "indiv_id"))
+    calls = each.join(people, "k", "left").select(F.lit(file_id).alias("file_id"), "var_id", "indiv_id", F.when(~lost, F.size(F.filter("codes", lambda x: x > 0))).alias("ac"),
         F.size("codes").alias("ploidy"), F.contains(F.col("gmeta")["GT"], F.lit("|")).alias("phased"), lost.alias("is_null"), F.map_filter("gmeta", lambda k, v: k != "GT").alias("gmeta"))
     return variants, calls, samples
 

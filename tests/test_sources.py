@@ -8,7 +8,7 @@ from genoforge.sources import writers as W
 
 def test_vcf_round_trip(spark, tmp_path):
     text = "\n".join(["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">', "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT s1 s2 s3".split()),
-        "\t".join("1 100 rs1 A G 50 PASS DP=10;DB GT:DP 0/1:5 1|1:6 ./.:.".split()), "\t".join("chrX 200 . AT A . q10 . GT 1 0/2 0/0".split())])
+        "\t".join("1 100 rs1 A G 50 PASS DP=10;DB;DP=11;DP=10 GT:DP 0/1:5 1|1:6 ./.:.".split()), "\t".join("chrX 200 . AT A . q10 . GT 1 0/2 0/0".split())])
     path = tmp_path / "a.vcf.gz"
     path.write_bytes(gzip.compress(text.encode()))
     variants, calls, samples = R.vcf(spark, str(path))
