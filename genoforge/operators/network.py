@@ -6,7 +6,6 @@ of each seed and takes in that neighbour's own. A round's tables are cut from wh
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.permute import permuted
 from ..functions.stats import chi2_2x2
 from ..plans.study import Study, people
+from ..sources.scratch import shared_folder
 from .intervals import points_in
 
 
@@ -48,10 +48,8 @@ def replicate_counts(carriers: DataFrame, keys: str, replicates: int, first: int
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from files in the shared checkpoint folder; a folder of our own only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    """df from files in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -21,8 +21,10 @@ from .plans import genotypes as G
 from .plans import merge as M
 from .plans.mask import mask
 from .plans.study import Study
+from .sources import bcf as B
 from .sources import records as R
 from .sources.projection import sql, study
+from .sources.scratch import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,3 +383,19 @@ SQL["gs_view"] = SQL["gs_view"].replace("\nSELECT transcript, gene, codon_no,",
  ON n.var_id=v.var_id AND n.transcript=b.transcript GROUP BY 1, 2, 3),
  gs_feat AS (SELECT b.transcript, b.codon_no, array_to_string(list_sort(list_distinct(list(concat(p.source,':',p.feature)))), ',') AS features FROM gs_base b JOIN g_prot p ON p.transcript=b.gene AND p.chr=b.chr AND b.bp BETWEEN p.bp1 AND p.bp2 WHERE b.i%3=2 GROUP BY 1, 2)
 SELECT transcript, gene, codon_no,""")
+
+
+def through_bcf(s: Study) -> tuple[DataFrame, DataFrame]:
+    """The study's sites and calls of two chromosomes between two bases, written as BCF and read back by range."""
+    spark = s.variants.sparkSession
+    path = fresh(spark, "bcf")
+    people = [r[0] for r in s.indiv.select(F.col("indiv_id").cast("string")).orderBy("indiv_id").collect()]  # a BCF's header names them all
+    B.write_bcf(s.variants, s.geno, people, path, 100)
+    variants, calls, _ = B.bcf(spark, path)
+    return tuple(t.where("chr in (2, 11) and bp1 >= 1100 and bp1 <= 3000") for t in (variants, calls))
+
+
+query("bcf_sites", lambda s: through_bcf(s)[0].select("chr", "bp1", "bp2", "name", "ref", "alt", "qual", "filter"),
+    "SELECT chr, bp1, bp1+length(ref)-1 AS bp2, name, ref, alt, round(CAST(CAST(qual AS FLOAT) AS DOUBLE),6) AS qual, filter FROM g_variants WHERE chr IN (2,11) AND bp1 BETWEEN 1100 AND 3000")
+query("bcf_calls", lambda s: through_bcf(s)[1].groupBy("chr", "bp1", "indiv_id").agg(F.max("ac").alias("ac"), F.max("is_null").alias("lost")).where("ac > 0 or lost").select("chr", "bp1", F.col("indiv_id").cast("long").alias("indiv_id"), "ac", "lost"),
+    "SELECT chr, bp1, indiv_id, CAST(max(ac) AS INT) AS ac, max(CAST(ac IS NULL AS INT))=1 AS lost FROM g_variants v JOIN g_geno g ON v.var_id=g.var_id WHERE chr IN (2,11) AND bp1 BETWEEN 1100 AND 3000 GROUP BY 1, 2, 3")
