@@ -8,6 +8,7 @@ People go first, then genotypes, then sites, and what needs counts last, so coun
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -227,7 +228,7 @@ def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
 
     meta.attach names groups of study.metas, or ALL: their fields are a map column `attached`. meta.file takes tables
     (chr, bp1, field ...), each joined by site with its fields as columns. annot.append gives each variant its worst
-    consequence `func`, the genes that it has it in as `gene`, and `annot_full`.
+    consequence `func`, the genes that it has it in as `gene`, and `annot_full`. Expressions that name `g` or `n` get genotypes.
     """
     if "meta.attach" in terms:
         groups = _list(terms["meta.attach"])
@@ -237,11 +238,34 @@ def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
         variants = variants.join(maps, "var_id", "left")
     if terms.get("annot.append"):
         variants = variants.join(worst(annotate(variants, study.transcripts, study.reference, PIECE)).drop("n"), "var_id", "left")
+    if any(re.search(r"\b[gn]\b", text) for text in _texts(terms)):
+        variants = with_genotypes(study, variants)
     for table in _list(terms.get("meta.file", [])):
         variants = variants.join(table.dropDuplicates(["chr", "bp1"]), ["chr", "bp1"], "left")
     return variants
 
 
+def _texts(terms: dict) -> list[str]:
+    """The expressions over a variant's fields."""
+    return [str(x) for t in ("include", "v-include") for x in _list(terms.get(t, []))] + [str(x) for x in dict(terms.get("eval", {})).values()]
+
+
+def with_genotypes(study: Study, variants: DataFrame) -> DataFrame:
+    """variants with `g`, their stored genotypes in order of people, and `n`, the number of people.
+
+    An element has indiv_id, ac (null is missing), dp and gq (the largest over files) and the person's sex, aff, qt, strata
+    and factor. Reference homozygotes are no elements: `n - size(g)` people have an ac of 0. A variant's
+    array grows with its carriers, so mask by frequency first where many people carry it.
+    """
+    depth = study.calls.groupBy("var_id", "indiv_id").agg(F.max("dp").alias("dp"), F.max("gq").alias("gq"))
+    person = study.indiv.select("indiv_id", "sex", "aff", "qt", "strata", "factor")
+    cells = study.geno.join(variants.select("var_id"), "var_id", "left_semi").join(person, "indiv_id").join(depth, ["var_id", "indiv_id"], "left")
+    g = cells.groupBy("var_id").agg(F.sort_array(F.collect_list(F.struct("indiv_id", "ac", "dp", "gq", "sex", "aff", "qt", "strata", "factor"))).alias("g"))
+    n = F.broadcast(study.indiv.agg(F.count(F.lit(1)).alias("n")))  # one row
+    none = F.array().cast(g.schema["g"].dataType)
+    return variants.join(g, "var_id", "left").withColumn("g", F.coalesce("g", none)).crossJoin(n)
+
+
 def _failing(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
     """variants by how many files' records of them fail: fail.nfile `n:m` takes n failing at most and m good at least."""
     fails = F.count(F.when(F.col("filter") != "PASS", 1))
@@ -294,6 +318,7 @@ def mask(study: Study, terms: dict) -> Study:
     v = _appended(study, terms, v)
     for name, expression in dict(terms.get("eval", {})).items():
         v = v.withColumn(name, F.expr(expression))
+    v = v.drop("g", "n")
     if "load-vmeta" in terms or terms.get("no-vmeta"):
         v = v.select("var_id", "chr", "bp1", "name", "ref", "alt", *_list(terms.get("load-vmeta", [])))
     if "limit" in terms:

@@ -399,3 +399,12 @@ query("bcf_sites", lambda s: through_bcf(s)[0].select("chr", "bp1", "bp2", "name
     "SELECT chr, bp1, bp1+length(ref)-1 AS bp2, name, ref, alt, round(CAST(CAST(qual AS FLOAT) AS DOUBLE),6) AS qual, filter FROM g_variants WHERE chr IN (2,11) AND bp1 BETWEEN 1100 AND 3000")
 query("bcf_calls", lambda s: through_bcf(s)[1].groupBy("chr", "bp1", "indiv_id").agg(F.max("ac").alias("ac"), F.max("is_null").alias("lost")).where("ac > 0 or lost").select("chr", "bp1", F.col("indiv_id").cast("long").alias("indiv_id"), "ac", "lost"),
     "SELECT chr, bp1, indiv_id, CAST(max(ac) AS INT) AS ac, max(CAST(ac IS NULL AS INT))=1 AS lost FROM g_variants v JOIN g_geno g ON v.var_id=g.var_id WHERE chr IN (2,11) AND bp1 BETWEEN 1100 AND 3000 GROUP BY 1, 2, 3")
+
+_CARRIED = "filter(g, x -> x.ac > 0)"
+query("mask_g_include", lambda s: mask(s, {"include": "size(filter(g, x -> x.gq >= 90 and x.aff = 2)) >= 2 and size(g) < n / 60"}).variants.select("var_id", "chr", "bp1"),
+    """SELECT var_id, chr, bp1 FROM vc v WHERE (SELECT count(*) FROM g_geno g JOIN (SELECT var_id, indiv_id, max(gq) AS gq FROM g_calls GROUP BY 1, 2) k ON k.var_id=g.var_id AND k.indiv_id=g.indiv_id JOIN g_indiv i ON i.indiv_id=g.indiv_id
+ WHERE g.var_id=v.var_id AND gq>=90 AND aff=2)>=2 AND (SELECT count(*) FROM g_geno g WHERE g.var_id=v.var_id)<n/60.0""")
+query("mask_g_eval", lambda s: mask(s, {"eval": {"qt": f"try_divide(aggregate({_CARRIED}, 0D, (t, x) -> t + x.qt), size({_CARRIED}))", "share": "aggregate(g, 0L, (t, x) -> t + coalesce(x.ac, 0)) / (2D * n)", "deep": "array_max(transform(g, x -> x.dp))"}})
+    .variants.select("var_id", "qt", "share", F.col("deep").cast("double").alias("deep")), """SELECT v.var_id, round(avg(qt) FILTER (ac>0),6) AS qt, round(coalesce(sum(ac),0)/(2.0*max(n.n)),6) AS share, round(CAST(max(dp) AS DOUBLE),6) AS deep
+ FROM g_variants v CROSS JOIN n LEFT JOIN (SELECT g.var_id AS var, ac, qt, dp FROM g_geno g JOIN (SELECT var_id, indiv_id, max(dp) AS dp FROM g_calls GROUP BY 1, 2) k ON k.var_id=g.var_id AND k.indiv_id=g.indiv_id
+ JOIN g_indiv i ON i.indiv_id=g.indiv_id) x ON x.var=v.var_id GROUP BY 1""")
