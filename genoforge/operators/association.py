@@ -51,6 +51,58 @@ def glm_linear(study: Study) -> DataFrame:
     return v.select("var_id", "n", "beta", se.alias("se"), (F.col("beta") / se).alias("stat"))
 
 
+def glm_robust(study: Study, level: float = 1.959963984540054) -> DataFrame:
+    """(var_id, n, beta, se, robust, low, high, p): glm_linear with Huber and White's standard error, and beta's interval of plus and minus `level` of it.
+
+    Carriers are read once more with their variant's fit; all others have no ALT allele, so their squared residuals
+    follow from sums of the trait.
+    """
+    fit = glm_linear(study).select("var_id", "n", "beta", "se")
+    y = F.col("qt")
+    g = study.geno.join(study.indiv.select("indiv_id", "qt"), "indiv_id").where("qt is not null")
+    part = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
+    called = F.col("ac").isNotNull()
+    sums = g.groupBy("var_id").agg(part(called, F.col("ac").cast("double")).alias("sx"), part(called, y).alias("gy"), F.count("ac").alias("gn"), F.sum(y).alias("ay"), F.sum(y * y).alias("ayy"), F.count(F.lit(1)).alias("an"))
+    every = study.indiv.agg(F.count("qt").cast("double").alias("tn"), F.sum("qt").alias("ty"), F.sum(y * y).alias("tyy"))
+    model = fit.join(sums, "var_id").crossJoin(F.broadcast(every))  # one row
+    n, rn, ry, ryy = F.col("n"), F.col("tn") - F.col("an"), F.col("ty") - F.col("ay"), F.col("tyy") - F.col("ayy")
+    my = (ry + F.col("gy")) / n
+    model = model.withColumn("mx", F.col("sx") / n).withColumn("my", my).withColumn("shift", F.col("my") - F.col("beta") * F.col("mx"))
+    # Those without an ALT allele: (0 - mx)**2 * (y - shift)**2, summed.
+    rest = F.col("mx") ** 2 * (ryy - 2 * F.col("shift") * ry + rn * F.col("shift") ** 2)
+    model = model.withColumn("rest", rest).select("var_id", "n", "beta", "se", "mx", "shift", "rest")
+    own = g.where("ac is not null").select("var_id", "ac", "qt").join(model.select("var_id", "beta", "mx", "shift"), "var_id")
+    x = F.col("ac") - F.col("mx")
+    meat = own.groupBy("var_id").agg(F.sum(x**2 * (F.col("qt") - F.col("shift") - F.col("beta") * F.col("ac")) ** 2).alias("meat"), F.sum(F.col("ac").cast("double") ** 2).alias("sxx"))
+    out = model.join(meat, "var_id").withColumn("robust", F.sqrt(F.col("meat") + F.col("rest")) / (F.col("sxx") - n * F.col("mx") ** 2))
+    out = out.withColumn("z", F.col("beta") / F.col("robust"))
+    return out.select("var_id", "n", "beta", "se", "robust", (F.col("beta") - level * F.col("robust")).alias("low"), (F.col("beta") + level * F.col("robust")).alias("high"), normal_p("z").alias("p"))
+
+
+def residuals(study: Study, covariates: tuple[str, ...] = ("sex",)) -> DataFrame:
+    """(indiv_id, residual): the trait less what its covariates explain, by least squares.
+
+    One row of sums reaches the driver, which solves for the slopes; the table itself stays where it is. People without trait or a
+    covariate have none. A covariate that follows from those before it adds nothing.
+    """
+    names = [*covariates, "qt"]
+    full = study.indiv.select("indiv_id", *[F.col(c).cast("double").alias(f"t{k}") for k, c in enumerate(names)]).dropna()
+    m = len(covariates)
+    means = full.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"t{k}").alias(f"m{k}") for k in range(m + 1)]).first()
+    if not means["n"]:
+        return full.select("indiv_id", F.lit(None).cast("double").alias("residual"))
+    z = [F.col(f"t{k}") - F.lit(means[f"m{k}"]) for k in range(m + 1)]
+    sums = full.agg(F.lit(0.0).alias("none"), *[F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i in range(m) for j in range(i, m + 1)]).first()
+    a, b = np.zeros((m, m)), np.zeros(m)
+    for i in range(m):
+        b[i] = sums[f"a{i}_{m}"]
+        for j in range(i, m):
+            a[i, j] = a[j, i] = sums[f"a{i}_{j}"]
+    slopes = np.linalg.lstsq(a, b, rcond=1e-10)[0] if m else b
+    explained = sum((F.lit(float(c)) * z[k] for k, c in enumerate(slopes)), F.lit(0.0))
+    return full.select("indiv_id", (z[m] - explained).alias("residual"))
+
+
 def regression(x: np.ndarray, y: np.ndarray, logistic: bool, steps: int = 20, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Coefficients and standard errors of least squares or logistic regression; None where it doesn't settle. w: how often a row stands."""
     w = np.ones(len(y)) if w is None else w
@@ -73,9 +125,26 @@ def regression(x: np.ndarray, y: np.ndarray, logistic: bool, steps: int = 20, w:
     return None
 
 
+#: Variance inflation above which a variant isn't fitted.
+MOST_INFLATION = 50.0
+
+
+def inflation(spread: np.ndarray) -> float:
+    """The largest variance inflation factor of variables with this covariance; infinite where one follows from others."""
+    sd = np.sqrt(np.diag(spread))
+    if not (sd > 0).all():
+        return float("inf")
+    try:
+        return float(np.diag(np.linalg.inv(spread / np.outer(sd, sd))).max())
+    except np.linalg.LinAlgError:
+        return float("inf")
+
+
 def _glm_sums(study: Study, covariates: tuple[str, ...]) -> DataFrame:
     """Least squares of the trait on ALT count and covariates from sums: those of all people less those of missing genotypes.
 
+    vif is the largest variance inflation; a variant above MOST_INFLATION isn't fitted.
+
     People without trait or covariates are left out. Trait and covariates are taken from their means, which
     changes no slope and keeps the sums small.
     """
@@ -101,18 +170,19 @@ def _glm_sums(study: Study, covariates: tuple[str, ...]) -> DataFrame:
                 whole[m, :m] = whole[:m, m] = [r[f"h{i}"] for i in range(m)]
                 whole[m, m] = r["hh"]
                 n, at = whole[0, 0], [0, m, *range(1, m - 1)]
-                found = None
-                if n > len(at) and whole[m, m] - whole[0, m] ** 2 / n > 1e-9:
+                found, own = None, whole[np.ix_(at[1:], at[1:])] - np.outer(whole[0, at[1:]], whole[0, at[1:]]) / max(n, 1)
+                vif = inflation(own)
+                if vif <= MOST_INFLATION and n > len(at) and whole[m, m] - whole[0, m] ** 2 / n > 1e-9:
                     try:
                         inverse, right = np.linalg.inv(whole[np.ix_(at, at)]), whole[at, m - 1]
                         slopes = inverse @ right
                         found = slopes[1], np.sqrt(inverse[1, 1] * max(whole[m - 1, m - 1] - right @ slopes, 0.0) / (n - len(at)))
                     except np.linalg.LinAlgError:
                         pass
-                out.append((r["var_id"], int(n), *((*found, found[0] / found[1] if found[1] > 0 else None) if found else (None, None, None))))
-            yield pd.DataFrame(out, columns=["var_id", "n", "beta", "se", "stat"])
+                out.append((r["var_id"], int(n), *((*found, found[0] / found[1] if found[1] > 0 else None) if found else (None, None, None)), vif))
+            yield pd.DataFrame(out, columns=["var_id", "n", "beta", "se", "stat", "vif"])
 
-    return sums.mapInPandas(fit, "var_id long, n long, beta double, se double, stat double").withColumn("p", normal_p("stat"))
+    return sums.mapInPandas(fit, "var_id long, n long, beta double, se double, stat double, vif double").withColumn("p", normal_p("stat"))
 
 
 def glm(study: Study, covariates: tuple[str, ...] = ("sex",), logistic: bool = True) -> DataFrame:

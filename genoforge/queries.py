@@ -408,3 +408,11 @@ query("mask_g_eval", lambda s: mask(s, {"eval": {"qt": f"try_divide(aggregate({_
     .variants.select("var_id", "qt", "share", F.col("deep").cast("double").alias("deep")), """SELECT v.var_id, round(avg(qt) FILTER (ac>0),6) AS qt, round(coalesce(sum(ac),0)/(2.0*max(n.n)),6) AS share, round(CAST(max(dp) AS DOUBLE),6) AS deep
  FROM g_variants v CROSS JOIN n LEFT JOIN (SELECT g.var_id AS var, ac, qt, dp FROM g_geno g JOIN (SELECT var_id, indiv_id, max(dp) AS dp FROM g_calls GROUP BY 1, 2) k ON k.var_id=g.var_id AND k.indiv_id=g.indiv_id
  JOIN g_indiv i ON i.indiv_id=g.indiv_id) x ON x.var=v.var_id GROUP BY 1""")
+
+query("glm_robust", lambda s: A.glm_robust(s).select("var_id", "n", "beta", "se", "robust", "low", "high"), """SELECT var_id, n, round(beta,6) AS beta, round(se,6) AS se, round(robust,6) AS robust, round(beta-1.959963984540054*robust,6) AS low, round(beta+1.959963984540054*robust,6) AS high FROM (
+ SELECT var_id, CAST(n AS BIGINT) AS n, beta, sqrt(greatest(syy-beta*sxy,0)/(n-2)/sxx) AS se, sqrt(meat)/sxx AS robust FROM (SELECT a.var_id, n, sxx, sxy, syy, beta, sum((x-mx)*(x-mx)*(y-my-beta*(x-mx))*(y-my-beta*(x-mx))) AS meat FROM each a
+ JOIN (SELECT *, sxy/sxx AS beta FROM (SELECT var_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum((x-ax)*(x-ax)) AS sxx, sum((x-ax)*(y-ay)) AS sxy, sum((y-ay)*(y-ay)) AS syy FROM (SELECT *, avg(x) OVER w AS ax, avg(y) OVER w AS ay FROM each WINDOW w AS (PARTITION BY var_id)) c GROUP BY 1) m WHERE sxx>1e-9 AND n>2) f
+ ON f.var_id=a.var_id GROUP BY ALL) q) z""")
+SQL["glm_robust"] = SQL["glm_robust"].replace("\nSELECT var_id, n, round(", """, each AS (SELECT v.var_id, CAST(coalesce(g.ac, 0) AS DOUBLE) AS x, i.qt AS y FROM (SELECT DISTINCT var_id FROM g_geno) v CROSS JOIN g_indiv i
+ LEFT JOIN g_geno g ON g.var_id=v.var_id AND g.indiv_id=i.indiv_id WHERE i.qt IS NOT NULL AND NOT (g.var_id IS NOT NULL AND g.ac IS NULL))\nSELECT var_id, n, round(""")
+query("residuals", lambda s: A.residuals(s, ("strata",)), """SELECT indiv_id, round(qt-my-slope*(strata-mx),6) AS residual FROM g_indiv, (SELECT regr_slope(qt, strata) AS slope, avg(qt) AS my, avg(strata) AS mx FROM g_indiv) r""")

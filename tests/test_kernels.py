@@ -117,3 +117,20 @@ def test_stepup_against_plain_python(spark):
         assert got[loc].p == pytest.approx((1 + sum(v >= z[0] - 1e-9 for v in z[1:])) / 20)
     best = G.stepped_up(np.array([3.0, -2.0, 0.5]), np.diag([4.0, 3.0, 9.0]))
     assert best == max((sum(abs(c) for c, m in zip((3, -2, 0.5), pick) if m)) ** 2 / sum(d for d, m in zip((4, 3, 9), pick) if m) for pick in itertools.product((0, 1), repeat=3) if any(pick))
+
+
+def test_inflation_and_residuals(spark):
+    r = np.random.default_rng(3)
+    z = r.normal(size=(200, 3))
+    z[:, 2] = z[:, 0] + 0.2 * z[:, 2]
+    others = [np.delete(np.arange(3), k) for k in range(3)]
+    r2 = [1 - np.var(z[:, k] - np.column_stack([np.ones(200), z[:, o]]) @ np.linalg.lstsq(np.column_stack([np.ones(200), z[:, o]]), z[:, k], rcond=None)[0]) / np.var(z[:, k]) for k, o in enumerate(others)]
+    assert A.inflation(np.cov(z.T)) == pytest.approx(max(1 / (1 - x) for x in r2))
+    assert A.inflation(np.zeros((2, 2))) == float("inf")
+    y = 2 * z[:, 0] - z[:, 1] + r.normal(size=200)
+    table = spark.createDataFrame([(i, *map(float, z[i]), float(z[i, 0]), None if i == 7 else float(y[i])) for i in range(200)], "indiv_id long, a double, b double, c double, again double, qt double")
+    got = {x.indiv_id: x.residual for x in A.residuals(Study(variants=None, calls=None, geno=None, indiv=table), ("a", "b", "c", "again")).collect()}
+    keep = np.arange(200) != 7
+    x = np.column_stack([np.ones(199), z[keep]])
+    want = y[keep] - x @ np.linalg.lstsq(x, y[keep], rcond=None)[0]
+    assert 7 not in got and np.allclose([got[i] for i in np.flatnonzero(keep).tolist()], want, atol=1e-9)
