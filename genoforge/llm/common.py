@@ -63,12 +63,12 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     Each round gives a node the smallest label among its neighbours and itself, then the label of that
-    label, so a chain shortens by more than half; hubs are joined and aggregated, never gathered.
-    Raises if labels still change after `rounds` rounds.
+    label, so a chain shortens by more than half; hubs are joined and aggregated, never gathered. It ends when no
+    label moves any more, which every round brings nearer.
     """
     both = written(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -78,7 +78,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         "edges",
     )
     labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumn("moved", F.lit(True)), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
         hop = labels.select(F.col("u").alias("label"), F.col("label").alias("hop"))
         least = F.least("label", "near", "hop")
@@ -88,4 +88,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if labels.where("moved").limit(1).count() == 0:
             discarded(both)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-    raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -9,6 +9,7 @@ cut out returns. The best labelling of the whole tree is found bottom-up.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from html.parser import HTMLParser
@@ -50,6 +51,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.open, self.nodes = [self.root], [self.root]
+        self.names: Counter[str] = Counter()  # of open elements
         self.feed(html)
         self.close()
 
@@ -62,18 +64,20 @@ class Tree(HTMLParser):
             return
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if closes and self.open[-1].tag in closes:
-            self.open.pop()
+            self.names[self.open.pop().tag] -= 1
         node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         self.open[-1].parts.append(node)
         self.open.append(node)
+        self.names[tag] += 1
         self.nodes.append(node)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.open[-1].parts.append("\x00>")
-        for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
+        while self.names[tag]:  # what is open inside of it ends with it
+            closed = self.open.pop()
+            self.names[closed.tag] -= 1
+            if closed.tag == tag:
                 return
 
     def handle_data(self, data: str) -> None:

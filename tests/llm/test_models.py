@@ -142,6 +142,18 @@ def test_html_extraction(spark):
     assert got[2].text == got[3].text == got[None].text == ""
 
 
+def test_html_end_tag_of_an_element_with_many_unclosed_ones():
+    words = "The river rose for three days and the town moved its market to the hill. " * 8
+    page = "<html><body><article><h1>River</h1>" + "<div>" * 400 + f"<p>{words}</p></article><footer class='footer'><p>Imprint and contact</p></footer></body></html>"
+    tree = html_extract.Tree(page)
+    footer = next(n for n in tree.nodes if n.tag == "footer")
+    assert footer.parent.tag == "body" and footer.depth == 3
+    text = html_extract.main_texts([page], html_extract.classifier())[0]
+    assert "three days" in text and "Imprint" not in text
+    stray = html_extract.Tree("<div>" + "</span></p></section>" * 5000 + "<p>a</p></div><p>b</p>")
+    assert [n.parent.tag for n in stray.nodes if n.tag == "p"] == ["div", "#root"]
+
+
 def test_html_on_unseen_layouts():
     model, right = html_extract.classifier(), 0
     for seed in range(20_000, 20_060):
