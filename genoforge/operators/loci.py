@@ -39,6 +39,25 @@ def loc_subtract(study: Study, a: int = 0, b: int = 1) -> DataFrame:
     return subtracted(study.loci.where(F.col("group_id") == a), study.loci.where(F.col("group_id") == b))
 
 
+def name_intersection(study: Study, a: int = 0, b: int = 1) -> DataFrame:
+    """(altname, a, b): names that two groups share, with how many loci each has of them; positions don't matter."""
+    named = study.loci.where(F.col("group_id").isin(a, b)).groupBy("altname").agg(F.count(F.when(F.col("group_id") == a, 1)).alias("a"), F.count(F.when(F.col("group_id") == b, 1)).alias("b"))
+    return named.where("a > 0 and b > 0")
+
+
+def group_span(study: Study) -> DataFrame:
+    """(group_id, chr, bp1, bp2, midpoint, n): from where to where a group's loci reach on each chromosome, and what lies halfway."""
+    span = study.loci.groupBy("group_id", "chr").agg(F.min("bp1").alias("bp1"), F.max("bp2").alias("bp2"), F.count(F.lit(1)).alias("n"))
+    return span.select("group_id", "chr", "bp1", "bp2", F.expr("bp1 + (bp2 - bp1) div 2").alias("midpoint"), "n")
+
+
+def ref_range(study: Study, around: int = 0) -> DataFrame:
+    """(var_id, grp, n, names): the reference sites within each variant's bases, or so many bases around them, by group."""
+    spans = study.variants.select("var_id", "chr", (F.col("bp1") - around).alias("bp1"), (F.col("bp1") + F.length("ref") - 1 + around).alias("bp2"))
+    met = points_in(study.refs.select("grp", "name", "chr", "bp1"), spans)
+    return met.groupBy(F.col("i_var_id").alias("var_id"), "grp").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
 def intersect(study: Study) -> DataFrame:
     """Loci with a variant."""
     met = points_in(study.variants.select("chr", "bp1"), study.loci).select(F.col("i_loc_id").alias("loc_id")).distinct()

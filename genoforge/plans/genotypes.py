@@ -51,6 +51,19 @@ def hard_called(genotypes: DataFrame, field: str, within: float) -> DataFrame:
     return genotypes.withColumn("ac", F.when(d <= within, 0).when(F.abs(d - 1) <= within, 1).when(d >= 2 - within, 2))
 
 
+def imputation_quality(genotypes: DataFrame, key: str = "var_id") -> DataFrame:
+    """(key, n, aaf, rsq): the variance of expected ALT counts against that of Hardy and Weinberg's genotypes at their frequency.
+
+    genotypes have a `dosage` (0 to 2), or posteriors p0, p1, p2; those without any don't count. rsq is 0 where all
+    have the same homozygote. Variance and mean come from one pass.
+    """
+    count = F.col("dosage") if "dosage" in genotypes.columns else F.col("p1") + 2 * F.col("p2")
+    half = genotypes.select(key, (count / 2).alias("t")).where("t is not null")
+    sums = half.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("aaf"), F.var_pop("t").alias("v"))
+    expected = F.col("aaf") * (1 - F.col("aaf"))
+    return sums.select(key, "n", "aaf", F.when(expected > 0, 2 * F.col("v") / expected).otherwise(0.0).alias("rsq"))
+
+
 def em_frequencies(likelihoods: DataFrame, rounds: int = 10, close: float = 1e-4) -> DataFrame:
     """(var_id, n, f): the ALT frequency under Hardy-Weinberg by expectation and maximisation of genotype likelihoods.
 

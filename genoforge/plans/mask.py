@@ -241,7 +241,9 @@ def _attached(study: Study, terms: dict, variants: DataFrame) -> DataFrame:
     if any(re.search(r"\b[gn]\b", text) for text in _texts(terms)):
         variants = with_genotypes(study, variants)
     for table in _list(terms.get("meta.file", [])):
-        variants = variants.join(table.dropDuplicates(["chr", "bp1"]), ["chr", "bp1"], "left")
+        fields = [c for c in table.columns if c not in ("chr", "bp1")]
+        first = table.groupBy("chr", "bp1").agg(F.min(F.struct(*fields)).alias("_f")).select("chr", "bp1", *[F.col("_f")[c].alias(c) for c in fields])  # of several rows of a site the least
+        variants = variants.join(first, ["chr", "bp1"], "left")
     return variants
 
 

@@ -416,3 +416,21 @@ query("glm_robust", lambda s: A.glm_robust(s).select("var_id", "n", "beta", "se"
 SQL["glm_robust"] = SQL["glm_robust"].replace("\nSELECT var_id, n, round(", """, each AS (SELECT v.var_id, CAST(coalesce(g.ac, 0) AS DOUBLE) AS x, i.qt AS y FROM (SELECT DISTINCT var_id FROM g_geno) v CROSS JOIN g_indiv i
  LEFT JOIN g_geno g ON g.var_id=v.var_id AND g.indiv_id=i.indiv_id WHERE i.qt IS NOT NULL AND NOT (g.var_id IS NOT NULL AND g.ac IS NULL))\nSELECT var_id, n, round(""")
 query("residuals", lambda s: A.residuals(s, ("strata",)), """SELECT indiv_id, round(qt-my-slope*(strata-mx),6) AS residual FROM g_indiv, (SELECT regr_slope(qt, strata) AS slope, avg(qt) AS my, avg(strata) AS mx FROM g_indiv) r""")
+
+
+def annotations_of_sites(s: Study) -> DataFrame:
+    """A table by site, with several rows of some: what a file of site annotations gives."""
+    return s.refs.select("chr", "bp1", F.concat("grp", F.lit("_"), "name").alias("label"), F.length("alt").cast("long").alias("width"))
+
+
+query("mask_meta_file", lambda s: mask(s, {"meta.file": [annotations_of_sites(s)], "include": "label like 'A%' and width < 2"}).variants.select("var_id", "label", "width"),
+    """SELECT var_id, label, width FROM g_variants v JOIN (SELECT chr, bp1, concat(grp,'_',name) AS label, CAST(length(alt) AS BIGINT) AS width FROM g_ref QUALIFY row_number() OVER (PARTITION BY chr, bp1 ORDER BY concat(grp,'_',name), length(alt))=1) f
+ ON f.chr=v.chr AND f.bp1=v.bp1 WHERE label LIKE 'A%' AND width<2""")
+
+_RSQ = "SELECT site_id, count(*) AS n, round(avg(t),6) AS aaf, round(CASE WHEN avg(t)*(1-avg(t))>0 THEN 2*var_pop(t)/(avg(t)*(1-avg(t))) ELSE 0 END,6) AS rsq FROM (SELECT site_id, {} AS t FROM r_geno) x GROUP BY 1"
+record_query("imputation_r2", lambda r: S.rounded(G.imputation_quality(r.genotypes.select("site_id", "dosage"), "site_id")), _RSQ.format("dosage/2"))
+record_query("imputation_r2_posterior", lambda r: S.rounded(G.imputation_quality(r.genotypes.select("site_id", *[F.expr(f"l{k} / (l0 + l1 + l2)").alias(f"p{k}") for k in range(3)]), "site_id")), _RSQ.format("(l1+2*l2)/(l0+l1+l2)/2"))
+
+query("loc_name_intersect", L.name_intersection, "SELECT altname, count(*) FILTER (group_id=0) AS a, count(*) FILTER (group_id=1) AS b FROM g_loci GROUP BY 1 HAVING count(*) FILTER (group_id=0)>0 AND count(*) FILTER (group_id=1)>0")
+query("loc_group_span", L.group_span, "SELECT group_id, chr, min(bp1) AS bp1, max(bp2) AS bp2, min(bp1)+(max(bp2)-min(bp1))//2 AS midpoint, count(*) AS n FROM g_loci GROUP BY 1, 2")
+query("ref_range", lambda s: L.ref_range(s, 5), """SELECT var_id, grp, count(*) AS n, array_to_string(list_sort(list_distinct(list(name))), ',') AS names FROM (SELECT v.var_id, r.grp, r.name FROM g_variants v JOIN g_ref r ON r.chr=v.chr AND r.bp1 BETWEEN v.bp1-5 AND v.bp1+length(v.ref)+4) x GROUP BY 1, 2""")
