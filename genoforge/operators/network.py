@@ -128,6 +128,26 @@ def net_partners(study: Study, threshold: float = 0.0) -> DataFrame:
     return taken.join(counts.where("rep = 0").select("node", "ca", "cu"), "node").select("seed", "node", "parent", "ca", "cu")
 
 
+def v_assoc_permuted(study: Study, replicates: int = 99, strata: bool = True) -> DataFrame:
+    """(var_id, chi2, p, chi2dom, pdom, chi2rec, prec): allelic, dominant and recessive chi-squares of each variant, with p from labels permuted within strata.
+
+    p is (replicates that reach the statistic + 1) / (replicates + 1). A missing genotype takes its person out of the table,
+    with whatever label the replicate gives. Variants without a stored genotype have no row.
+    """
+    kinds = F.when(F.col("ac") == 1, 1).when(F.col("ac") == 2, 2).otherwise(3)
+    stored = study.geno.where("ac is null or ac > 0").join(ranked(study, strata), "indiv_id").withColumn("cell", F.col("var_id") * 4 + kinds)
+    cells = replicate_counts(stored, "cell", replicates).withColumn("var_id", F.expr("cell div 4")).withColumn("kind", F.col("cell") % 4)
+    of = lambda c, k, name: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)).alias(name)
+    each = cells.groupBy("var_id", "rep").agg(*[of(c, k, f"{c}{k}") for c in ("ca", "cu") for k in (1, 2, 3)]).crossJoin(F.broadcast(people(study.indiv).select("na", "nu")))  # one row
+    side = lambda n, c: (F.col(n) - F.col(f"{c}1") - F.col(f"{c}2") - F.col(f"{c}3"), F.col(f"{c}1"), F.col(f"{c}2"))
+    (ra, ha, oa), (ru, hu, ou) = side("na", "ca"), side("nu", "cu")
+    tables = {"": (ha + 2 * oa, 2 * ra + ha, hu + 2 * ou, 2 * ru + hu), "dom": (ha + oa, ra, hu + ou, ru), "rec": (oa, ra + ha, ou, ru + hu)}
+    stats = cut(each.select("var_id", "rep", *[chi2_2x2(*t).alias(f"chi2{k}") for k, t in tables.items()]))
+    real, drawn = stats.where("rep = 0").drop("rep"), stats.where("rep > 0").select("var_id", *[F.col(f"chi2{k}").alias(f"d{k}") for k in tables])
+    reached = real.join(drawn, "var_id", "left").groupBy("var_id", *[f"chi2{k}" for k in tables]).agg(*[F.count(F.when(F.col(f"d{k}") >= F.col(f"chi2{k}") - 1e-9, 1)).alias(f"r{k}") for k in tables])
+    return reached.select("var_id", *[c for k in tables for c in (F.col(f"chi2{k}"), ((F.col(f"r{k}") + 1) / F.lit(replicates + 1.0)).alias(f"p{k}"))])
+
+
 def largest_p(replicates: DataFrame, keys: tuple[str, ...] = ("test",)) -> DataFrame:
     """(keys, set, stat, p, p_corrected): statistics (keys, set, rep, stat) of sets against their own replicates and against each replicate's largest over all sets.
 

@@ -192,6 +192,7 @@ query("stepup", E.stepup)
 query("net_assoc", W.net_assoc)
 query("net_partners", W.net_partners)
 query("smp", W.smp)
+query("v_assoc_permuted", W.v_assoc_permuted)
 query("gene_assoc", lambda s: E.gene_assoc(s, (20, 40)))
 query("two_hit", E.two_hit, """, car AS (SELECT loc_id, g.var_id, indiv_id, ac, aff FROM vl JOIN g_geno g ON vl.var_id=g.var_id JOIN g_indiv USING (indiv_id) WHERE ac>0),
  bo AS (SELECT a.loc_id, a.var_id AS v, b.var_id AS u, a.indiv_id, greatest(a.ac,b.ac) AS most FROM car a JOIN car b ON a.loc_id=b.loc_id AND a.indiv_id=b.indiv_id AND a.var_id<b.var_id),

@@ -98,3 +98,32 @@ def test_largest_over_sets(made):
         tops = [max(f(v) for v in c.values()) for c in counts[1:]]
         assert x.p == pytest.approx((1 + sum(f(c[x.set]) >= x.stat for c in counts[1:])) / (REPLICATES + 1))
         assert x.p_corrected == pytest.approx((1 + sum(t >= x.stat for t in tops)) / (REPLICATES + 1))
+
+
+def test_permuted_single_variants(spark):
+    r = np.random.default_rng(2)
+    people, variants = 80, 6
+    case, stratum = r.random(people) < 0.5, np.arange(people) % 2
+    ac = r.choice([0, 0, 0, 1, 2, -1], (variants, people))
+    study = Study(
+        variants=None, calls=None, geno=spark.createDataFrame([(v, i, None if ac[v, i] < 0 else int(ac[v, i])) for v in range(variants) for i in range(people) if ac[v, i]], "var_id long, indiv_id long, ac int"),
+        indiv=spark.createDataFrame([(i, 2 if case[i] else 1, int(stratum[i])) for i in range(people)], "indiv_id long, aff int, strata long"))
+    rank, of, cases = (np.zeros(people, int) for _ in range(3))
+    for s in range(2):
+        own = np.flatnonzero(stratum == s)
+        rank[own], of[own], cases[own] = np.arange(len(own)), len(own), case[own].sum()
+    labels = [case, *[permuted(rank, of, rep) < cases for rep in range(1, 10)]]
+
+    def table(a, b, c, d):
+        m = (a + b) * (c + d) * (a + c) * (b + d)
+        return (a + b + c + d) * (a * d - b * c) ** 2 / m if m > 1e-10 else 0.0
+
+    def three(v, label):
+        n = [[int(((ac[v] == k) & (label == side)).sum()) for k in range(3)] for side in (True, False)]
+        (r1, h1, o1), (r0, h0, o0) = n
+        return table(h1 + 2 * o1, 2 * r1 + h1, h0 + 2 * o0, 2 * r0 + h0), table(h1 + o1, r1, h0 + o0, r0), table(o1, r1 + h1, o0, r0 + h0)
+
+    for x in N.v_assoc_permuted(study, 9).collect():
+        stats = [three(x.var_id, label) for label in labels]
+        for k, (stat, p) in enumerate(((x.chi2, x.p), (x.chi2dom, x.pdom), (x.chi2rec, x.prec))):
+            assert stat == pytest.approx(stats[0][k]) and p == pytest.approx((1 + sum(s[k] >= stats[0][k] - 1e-9 for s in stats[1:])) / 10)
