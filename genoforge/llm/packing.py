@@ -30,7 +30,8 @@ END = 1
 MAX_QUEUES = 1024
 #: Rounds x queues that are looked at together.
 BLOCK = 1 << 18
-CACHED = 200_000
+#: Words that a worker remembers at most, and as many pieces of words.
+CACHED = 400_000
 
 #: Rows of (task, source, start) that are broadcast at most, some 100 bytes each.
 BROADCAST_ROWS = 200_000
@@ -45,12 +46,19 @@ _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f
 _PIECE = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}{_NUMBER}]+")
 
 
+def _unknown(new: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+    """Those of new that aren't in older; the others move to known."""
+    known.update((x, older[x]) for x in new if x in older)
+    return [x for x in new if x not in older]
+
+
 class WordIds:
     """Ids of a text by blank-separated words and the pieces that the tokenizer cuts these into, as little-endian uint32 bytes.
 
     Pieces are encoded on their own, so the ids of words and pieces seen are remembered; new pieces of a text
-    are encoded together, and each ends with a token that closes a word. The memory is bounded: a full one
-    starts anew. Texts with other characters or with the tokenizer's own marks are encoded as they are.
+    are encoded together, and each ends with a token that closes a word. The memory is bounded: when half of it is
+    new, the older half goes, but for what was met since. Texts with other characters or with the tokenizer's own
+    marks are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -58,6 +66,8 @@ class WordIds:
 
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)  # for pieces, which are lower-cased and composed already
         self.bare.normalizer = normalizers.Sequence([])
@@ -81,21 +91,23 @@ class WordIds:
         return True
 
     def of(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<|" in flat or not (flat.isascii() and flat.isprintable() or _PLAIN.fullmatch(flat)):
             return self.ids(text).tobytes()
-        words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        words = flat.lower().split(" ")
         if new := set(words).difference(self.words):
-            cut = [(w, _PIECE.findall(w)) for w in new]
-            fresh = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+            new = _unknown(new, self.words, self.older_words)
+            cut = [(w, [w] if w.isalpha() else _PIECE.findall(w)) for w in new]  # what is alphabetic in a plain text is a letter of _LETTER
+            fresh = _unknown({p for _, ps in cut for p in ps}.difference(self.pieces), self.pieces, self.older_pieces)
             if fresh and not self.learn(fresh):
                 return self.ids(text).tobytes()
             for w, ps in cut:
                 self.words[w] = b"".join([self.pieces[p] for p in ps])
         out = b"".join(map(self.words.__getitem__, words))
-        if len(self.words) > CACHED:
-            self.words = {"": b""}
-        if len(self.pieces) > CACHED:
-            self.pieces = {}
+        if len(self.words) > CACHED // 2:
+            self.words, self.older_words = {"": b""}, self.words
+        if len(self.pieces) > CACHED // 2:
+            self.pieces, self.older_pieces = {}, self.pieces
         return out
 
 

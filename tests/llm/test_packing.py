@@ -126,3 +126,23 @@ def test_more_sources_than_queues(spark, monkeypatch):
     pieces = packing.packed(cases.documents(spark), packing.vocabulary(), 64, 8).collect()
     at = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces)
     assert at[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(at, at[1:]))
+
+
+def test_a_full_memory_keeps_what_is_frequent(monkeypatch):
+    """Words that every text has are encoded once however often the memory fills, which stays bounded, and ids are the tokenizer's."""
+    monkeypatch.setattr(packing, "CACHED", 200)
+    words, encoded = packing.WordIds(packing.vocabulary()), defaultdict(int)
+    learn = words.learn
+
+    def counted(pieces):
+        for p in pieces:
+            encoded[p] += 1
+        return learn(pieces)
+
+    words.learn = counted
+    often = ["alpha", "it's", "naïve", "(well)", "x2"]
+    for k in range(100):
+        text = " ".join(often + [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(9)])
+        assert words.of(text) == words.ids(text).tobytes()
+        assert max(map(len, (words.words, words.older_words, words.pieces, words.older_pieces))) <= 200
+    assert [encoded[p] for p in ("alpha", "naïve", "well", "(", "'s")] == [1] * 5
