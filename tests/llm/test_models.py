@@ -252,3 +252,41 @@ def test_media_recall_by_distance(spark):
     share = {x.held: x["count"] / 200 for x in found}
     print(share)
     assert all(share[k] == 1 for k in range(16)) and all(share[k] >= 0.9 for k in range(media.MOST_BITS_APART + 1)) and max(share) == media.MOST_BITS_APART
+
+
+def test_near_descriptors_meet_once(spark):
+    """Descriptors that agree in all words or in some are one pair, however many words they meet in."""
+    r = np.random.default_rng(6)
+    asked = r.integers(-(2**63), 2**63 - 1, (50, 4)).tolist()
+    known = [(*q[:3], q[3] ^ (1 << k), k) for q in asked for k in (0, 40)] + [(*q, 99) for q in asked]
+    names = "d0 long, d1 long, d2 long, d3 long"
+    found = media.alike(spark.createDataFrame([(*q, i) for i, q in enumerate(asked)], names + ", q int"), spark.createDataFrame(known, names + ", held int"))
+    assert sorted((x.q, x.held) for x in found.collect()) == sorted((q, k) for q in range(50) for k in (0, 40, 99))
+
+
+def test_media_groups_are_those_of_all_links(spark, monkeypatch):
+    """A row for each image, with the components of every link between a query and an image, also where queries ask in several turns."""
+    monkeypatch.setattr(media, "FEWEST_ASKING", 2)
+    monkeypatch.setattr(media, "TURN_BY", 3)
+    r = np.random.default_rng(12)
+    rows = []
+    for k in range(3):  # ten queries of a picture, with edits that are near them and near each other
+        a = picture(r)
+        edits = [np.rint(np.clip(a * r.uniform(0.8, 1.1) + r.normal(0, 4, a.shape), 0, 255)) for _ in range(20)] + [a[20:, :110], a, a]
+        rows += [(1000 * k + (100 * j if j < 10 else j), media.encoded(b)) for j, b in enumerate(edits)]
+    rows += [(9001, media.encoded(picture(r))), (9002, None), (9003, b"no"), (9100, None), (None, None), (9001, b"other")]
+    table = spark.createDataFrame(rows, "media_id long, image binary")
+    got = media.grouped(table).collect()
+    assert len(got) == len(rows) - 1
+    top = {i: i for i, _ in rows if i is not None} | {9100: 9002}
+    moved = True
+    links = [(x.query_id, x.match_id) for x in media.copies(table).collect()] + [(x.media_id, x.class_id) for x in got]
+    while moved:
+        moved = False
+        for a, b in links:
+            least = min(top[a], top[b])
+            moved |= (top[a], top[b]) != (least, least)
+            top[a] = top[b] = least
+    assert {(x.media_id, x.component_id) for x in got} == {(i, t) for i, t in top.items()}
+    assert {x.component_id for x in got if x.media_id < 3000} == {0, 1000, 2000} and {x.copies for x in got if x.media_id == 21} == {2}
+    assert media.grouped(table.limit(0)).count() == 0
