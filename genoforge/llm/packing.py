@@ -10,12 +10,15 @@ and where their own share of each queue starts.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ END = 1
 MAX_QUEUES = 1024
 #: Rounds x queues that are looked at together.
 BLOCK = 1 << 18
-#: Words that a worker remembers at most, and as many pieces of words.
-CACHED = 400_000
+#: Pieces that a worker remembers at most.
+CACHED = 800_000
+#: Characters of texts whose pieces are looked up together; a longer text is alone.
+TOGETHER = 1 << 21
 
 #: Rows of (task, source, start) that are broadcast at most, some 100 bytes each.
 BROADCAST_ROWS = 200_000
@@ -43,7 +48,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Texts of these characters only (Latin, without what is neither letter, number, sign nor plain blank) are cut here.
 _PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u012f\u0131-\u017f]*")
 _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PIECE = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}{_NUMBER}]+")
+#: What stands beside letters in a piece of its own.
+_APART = f"([{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTER}{_NUMBER}]+)"
+#: By how this is cut it shows whether a tokenizer cuts as _cut does.
+_PROBE = "it's we'll y've 'd'm'x x2 12 (naïve)--½½ é1ſß!?'re, µª…"
+
+
+def _cut(texts: list[str]) -> pa.Array:
+    """The list of each lower-cased plain text's pieces, with empty ones where blanks follow each other."""
+    return pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.large_string()), _APART, r" \1 "), " ")
 
 
 def _unknown(new: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
@@ -53,28 +66,37 @@ def _unknown(new: set[str], known: dict[str, bytes], older: dict[str, bytes]) ->
 
 
 class WordIds:
-    """Ids of a text by blank-separated words and the pieces that the tokenizer cuts these into, as little-endian uint32 bytes.
+    """Ids of texts by the pieces (words, digits, runs of signs) that the tokenizer cuts them into, as little-endian uint32 bytes.
 
-    Pieces are encoded on their own, so the ids of words and pieces seen are remembered; new pieces of a text
-    are encoded together, and each ends with a token that closes a word. The memory is bounded: when half of it is
-    new, the older half goes, but for what was met since. Texts with other characters or with the tokenizer's own
-    marks are encoded as they are.
+    Texts are taken together: each different piece is looked up once and its ids are put wherever it stands. Pieces are
+    encoded on their own, so the ids of those seen are remembered; new ones are encoded together, and each
+    ends with a token that closes a word. The memory is bounded: when half of it is new, the older half goes, but
+    for what was met since. Texts with other characters or with the tokenizer's own marks are encoded as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.older_pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)  # for pieces, which are lower-cased and composed already
         self.bare.normalizer = normalizers.Sequence([])
+        if [_PROBE[a:b] for _, (a, b) in self.bare.pre_tokenizer.pre_tokenize_str(_PROBE)] == [x for x in _cut([_PROBE]).values.to_pylist() if x]:  # and cut already
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    @property
+    def words(self) -> dict[str, bytes]:
+        """Words are pieces like others."""
+        return self.pieces
+
+    @property
+    def older_words(self) -> dict[str, bytes]:
+        return self.older_pieces
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -91,24 +113,52 @@ class WordIds:
         return True
 
     def of(self, text: str) -> bytes:
-        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "<|" in flat or not (flat.isascii() and flat.isprintable() or _PLAIN.fullmatch(flat)):
-            return self.ids(text).tobytes()
-        words = flat.lower().split(" ")
-        if new := set(words).difference(self.words):
-            new = _unknown(new, self.words, self.older_words)
-            cut = [(w, [w] if w.isalpha() else _PIECE.findall(w)) for w in new]  # what is alphabetic in a plain text is a letter of _LETTER
-            fresh = _unknown({p for _, ps in cut for p in ps}.difference(self.pieces), self.pieces, self.older_pieces)
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        out, some, size = [], [], 0
+        for text in texts:
+            if some and size + len(text) > TOGETHER:
+                out += self._together(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        return out + self._together(some)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        flat = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        plain = ["<|" not in f and bool(f.isascii() and f.isprintable() or _PLAIN.fullmatch(f)) for f in flat]
+        found = self._plain([f.lower() for f, p in zip(flat, plain) if p])
+        if found is None:
+            return [self.ids(t).tobytes() for t in texts]
+        found = iter(found)
+        return [next(found) if p else self.ids(t).tobytes() for t, p in zip(texts, plain)]
+
+    def _plain(self, texts: list[str]) -> list[bytes] | None:
+        """Ids of lower-cased texts of plain characters, or None if the tokenizer cuts them in another way."""
+        lists = _cut(texts)
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := set(pieces).difference(self.pieces):
+            fresh = _unknown(new, self.pieces, self.older_pieces)
             if fresh and not self.learn(fresh):
-                return self.ids(text).tobytes()
-            for w, ps in cut:
-                self.words[w] = b"".join([self.pieces[p] for p in ps])
-        out = b"".join(map(self.words.__getitem__, words))
-        if len(self.words) > CACHED // 2:
-            self.words, self.older_words = {"": b""}, self.words
+                return None
+        known = list(map(self.pieces.__getitem__, pieces))
         if len(self.pieces) > CACHED // 2:
-            self.pieces, self.older_pieces = {}, self.pieces
-        return out
+            self.pieces, self.older_pieces = {"": b""}, self.pieces
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + n, n) + np.arange(n.sum())]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+
+
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """The memory of a worker, which its later tasks find filled."""
+    return WordIds(path)
 
 
 def tokenised(documents: DataFrame, path: str) -> DataFrame:
@@ -116,9 +166,9 @@ def tokenised(documents: DataFrame, path: str) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, starts, part = WordIds(path), {}, TaskContext.get().partitionId()
+        words, starts, part = word_ids(path), {}, TaskContext.get().partitionId()
         for pdf in batches:
-            pdf["ids"] = [words.of(t or "") + end for t in pdf.pop("text")]
+            pdf["ids"] = [x + end for x in words.each([t or "" for t in pdf.pop("text")])]
             pdf["n"] = pdf["ids"].str.len() // 4
             local = []
             for source, n in zip(pdf["source"], pdf["n"]):

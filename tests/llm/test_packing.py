@@ -146,3 +146,23 @@ def test_a_full_memory_keeps_what_is_frequent(monkeypatch):
         assert words.of(text) == words.ids(text).tobytes()
         assert max(map(len, (words.words, words.older_words, words.pieces, words.older_pieces))) <= 200
     assert [encoded[p] for p in ("alpha", "naïve", "well", "(", "'s")] == [1] * 5
+
+
+def test_pieces_of_all_plain_characters():
+    """Any two plain characters, alone and within words, have the tokenizer's ids, also when many texts are taken together."""
+    plain = [chr(c) for c in range(0x180) if packing._PLAIN.fullmatch(chr(c))]
+    texts = ["".join(f"{a}{b} x{a}{b}y{a}'{b} " for b in plain) for a in plain] + ["", " ", "<|endoftext|>", "\u0130\u3042 x"]
+    words = packing.WordIds(packing.vocabulary())
+    assert words.each(texts) == [words.ids(t).tobytes() for t in texts]
+
+
+def test_a_piece_is_looked_up_once_for_many_texts(monkeypatch):
+    """New pieces of texts that are taken together are encoded in one go, and again in none."""
+    words, calls = packing.WordIds(packing.vocabulary()), []
+    learn = words.learn
+    words.learn = lambda pieces: calls.append(sorted(pieces)) or learn(pieces)
+    texts = [f"Same words, it's number{k % 3}\n" for k in range(50)]
+    assert words.each(texts) == [words.ids(t).tobytes() for t in texts] == words.each(texts)
+    assert calls == [sorted(["same", "words", ",", "it", "'s", "number", "0", "1", "2"])]
+    monkeypatch.setattr(packing, "TOGETHER", 40)
+    assert words.each(texts) == [words.of(t) for t in texts] and len(calls) == 1
