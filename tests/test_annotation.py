@@ -5,6 +5,7 @@ import random
 import pytest
 
 from genoforge.operators import annotation as A
+from genoforge.sources.projection import study
 
 CODE = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"))
 TURN = str.maketrans("ACGT", "TGCA")
@@ -225,3 +226,11 @@ def test_codons_and_summary(spark):
     assert own[1, "missense"] == ("c.5GCC>GTC", "p.2A>V") and own[2, "nonsense"] == ("c.9TGG>TGA", "p.3W>*") and own[4, "silent"] == (None, None) and (5, "monomorphic") in own
     worst = {x.var_id: (x.func, x.gene, x.annot_full) for x in A.worst(rows).collect()}
     assert worst[2] == ("nonsense", "G", "mixed") and worst[3] == ("intergenic", ".", "intergenic") and worst[4] == ("silent", "G", "mixed") and worst[6][0] == "start-lost"
+
+
+def test_what_meets_transcripts_is_made_once(spark):
+    """Neither the interval join nor what stands at exon ends is planned again by those who read consequences, and they read them once."""
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan, whole = (text(f(study(spark, "/root/testdata/sf0.001"))) for f in (A.annotated_variants, A.loc_annotate))
+    assert "_a_bin" not in plan and "seq1" not in plan
+    assert plan.count("Union") == whole.count("Union")
