@@ -13,38 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.permute import permuted
-from ..functions.stats import chi2_2x2
-from ..plans.study import Study, people
-from ..sources.scratch import shared_folder
+from ..functions.stats import chi2_2x2, chi2_table
+from ..plans.study import Study, people, ranked
+from ..sources.scratch import kept, shared_folder
 from .intervals import points_in
-
-
-def ranked(study: Study, strata: bool = True) -> DataFrame:
-    """(indiv_id, aff, rank, of, cases): each person's place in the stratum, the stratum's size and its cases."""
-    kept = study.indiv.where("aff in (1, 2)").select("indiv_id", "aff", (F.coalesce(F.col("strata").cast("string"), F.lit("")) if strata else F.lit("")).alias("stratum"))
-    ranks = kept.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy("indiv_id")) - 1)
-    sizes = kept.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"), F.count(F.when(F.col("aff") == 2, 1)).alias("cases"))
-    return ranks.join(sizes, "stratum").drop("stratum")
-
-
-def replicate_counts(carriers: DataFrame, keys: str, replicates: int, first: int = 0) -> DataFrame:
-    """(key, rep, ca, cu): carriers (key, indiv_id, aff, rank, of, cases) by label, as they are (rep 0) and in each replicate.
-
-    Labels follow from ranks, so tasks count what they read and only counts are shuffled; replicates have the keys first + 1 ...
-    """
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            key, at = np.unique(pdf["key"].to_numpy(), return_inverse=True)
-            all_ = np.bincount(at, minlength=len(key))
-            for rep in range(replicates + 1):
-                case = (pdf["aff"] == 2).to_numpy() if rep == 0 else permuted(pdf["rank"].to_numpy(), pdf["of"].to_numpy(), first + rep) < pdf["cases"].to_numpy()
-                ca = np.bincount(at, case, len(key)).astype(np.int64)
-                yield pd.DataFrame({"key": key, "rep": rep, "ca": ca, "cu": all_ - ca})
-
-    own = carriers.select(F.col(keys).alias("key"), "aff", "rank", "of", "cases").mapInPandas(counted, "key long, rep int, ca long, cu long")
-    return own.groupBy("key", "rep").agg(F.sum("ca").alias("ca"), F.sum("cu").alias("cu")).withColumnRenamed("key", keys)
+from .replicates import by_replicate, label_sums, labelled, ordered, summed, unpacked
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -98,8 +71,8 @@ def grown(counts: DataFrame, edges: DataFrame, seeds: DataFrame, totals: DataFra
 def _grown(study: Study, replicates: int, threshold: float, strata: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     met = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("node"), "var_id")
     sizes = met.groupBy("node").agg(F.countDistinct("var_id").alias("nvar"))
-    carried = study.geno.where("ac > 0").join(met, "var_id").select("node", "indiv_id").distinct().join(ranked(study, strata), "indiv_id")
-    counts = cut(replicate_counts(carried, "node", replicates))
+    carried = study.geno.where("ac > 0").join(met, "var_id").select("node", "indiv_id").distinct().join(labelled(ranked(study, strata), replicates), "indiv_id")
+    counts = kept(by_replicate(label_sums(carried, "node", replicates), "node"), "counts")
     has = sizes.select("node")
     edges = study.edges.where(F.col("score") >= threshold).join(has.withColumnRenamed("node", "a"), "a", "left_semi").join(has.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").distinct()
     state, taken = grown(counts, edges, has.withColumnRenamed("node", "seed"), people(study.indiv).select("na", "nu"))
@@ -134,18 +107,28 @@ def v_assoc_permuted(study: Study, replicates: int = 99, strata: bool = True) ->
     p is (replicates that reach the statistic + 1) / (replicates + 1). A missing genotype takes its person out of the table,
     with whatever label the replicate gives. Variants without a stored genotype have no row.
     """
-    kinds = F.when(F.col("ac") == 1, 1).when(F.col("ac") == 2, 2).otherwise(3)
-    stored = study.geno.where("ac is null or ac > 0").join(ranked(study, strata), "indiv_id").withColumn("cell", F.col("var_id") * 4 + kinds)
-    cells = replicate_counts(stored, "cell", replicates).withColumn("var_id", F.expr("cell div 4")).withColumn("kind", F.col("cell") % 4)
-    of = lambda c, k, name: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)).alias(name)
-    each = cells.groupBy("var_id", "rep").agg(*[of(c, k, f"{c}{k}") for c in ("ca", "cu") for k in (1, 2, 3)]).crossJoin(F.broadcast(people(study.indiv).select("na", "nu")))  # one row
-    side = lambda n, c: (F.col(n) - F.col(f"{c}1") - F.col(f"{c}2") - F.col(f"{c}3"), F.col(f"{c}1"), F.col(f"{c}2"))
-    (ra, ha, oa), (ru, hu, ou) = side("na", "ca"), side("nu", "cu")
-    tables = {"": (ha + 2 * oa, 2 * ra + ha, hu + 2 * ou, 2 * ru + hu), "dom": (ha + oa, ra, hu + ou, ru), "rec": (oa, ra + ha, ou, ru + hu)}
-    stats = cut(each.select("var_id", "rep", *[chi2_2x2(*t).alias(f"chi2{k}") for k, t in tables.items()]))
-    real, drawn = stats.where("rep = 0").drop("rep"), stats.where("rep > 0").select("var_id", *[F.col(f"chi2{k}").alias(f"d{k}") for k in tables])
-    reached = real.join(drawn, "var_id", "left").groupBy("var_id", *[f"chi2{k}" for k in tables]).agg(*[F.count(F.when(F.col(f"d{k}") >= F.col(f"chi2{k}") - 1e-9, 1)).alias(f"r{k}") for k in tables])
-    return reached.select("var_id", *[c for k in tables for c in (F.col(f"chi2{k}"), ((F.col(f"r{k}") + 1) / F.lit(replicates + 1.0)).alias(f"p{k}"))])
+    na, nu = people(study.indiv).select("na", "nu").first()
+    stored = study.geno.where("ac is null or ac > 0").join(labelled(ranked(study, strata), replicates), "indiv_id").select("var_id", "ac", "labels")
+
+    def cells(pdf: pd.DataFrame) -> np.ndarray:
+        """All and cases of each kind: one ALT allele, two, missing."""
+        bits = np.concatenate([np.ones((len(pdf), 1), np.uint8), unpacked(pdf["labels"], replicates)], axis=1)
+        ac = pdf["ac"].to_numpy(float)
+        return np.concatenate([bits * k[:, None].astype(np.uint8) for k in (ac == 1, ac == 2, ~((ac == 1) | (ac == 2)))], axis=1)
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, sums in summed(batches, "var_id", cells):
+            three = sums.reshape(len(keys), 3, -1)
+            ca, cu = three[:, :, 1:], three[:, :, :1] - three[:, :, 1:]
+            (ra, ha, oa), (ru, hu, ou) = ((n - c.sum(1), c[:, 0], c[:, 1]) for n, c in ((na, ca), (nu, cu)))
+            tables = {"": (ha + 2 * oa, 2 * ra + ha, hu + 2 * ou, 2 * ru + hu), "dom": (ha + oa, ra, hu + ou, ru), "rec": (oa, ra + ha, ou, ru + hu)}
+            out = {"var_id": keys}
+            for k, t in tables.items():
+                found = chi2_table(*t)
+                out |= {f"chi2{k}": found[:, 0], f"p{k}": ((found[:, 1:] >= found[:, :1] - 1e-9).sum(1) + 1) / (replicates + 1.0)}
+            yield pd.DataFrame(out)
+
+    return ordered(stored, "var_id").mapInPandas(tested, "var_id long, chi2 double, p double, chi2dom double, pdom double, chi2rec double, prec double")
 
 
 def largest_p(replicates: DataFrame, keys: tuple[str, ...] = ("test",)) -> DataFrame:
@@ -169,8 +152,8 @@ def largest_p(replicates: DataFrame, keys: tuple[str, ...] = ("test",)) -> DataF
 def smp(study: Study, replicates: int = 99, strata: bool = True) -> DataFrame:
     """(test, set, stat, p, p_corrected) of two statistics of every locus: cases among its carriers, and their chi-square."""
     met = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("set"), "var_id")
-    carried = study.geno.where("ac > 0").join(met, "var_id").select("set", "indiv_id").distinct().join(ranked(study, strata), "indiv_id")
-    counts = replicate_counts(carried, "set", replicates).crossJoin(F.broadcast(people(study.indiv).select("na", "nu")))  # one row
+    carried = study.geno.where("ac > 0").join(met, "var_id").select("set", "indiv_id").distinct().join(labelled(ranked(study, strata), replicates), "indiv_id")
+    counts = by_replicate(label_sums(carried, "set", replicates), "set").crossJoin(F.broadcast(people(study.indiv).select("na", "nu")))  # one row
     chi2 = statistic(F.col("ca"), F.col("cu"))
     both = F.explode(F.create_map(F.lit("cases"), F.col("ca").cast("double"), F.lit("chi2"), chi2)).alias("test", "stat")
-    return largest_p(cut(counts.select("set", "rep", both)))
+    return largest_p(kept(counts.select("set", "rep", both), "replicates"))

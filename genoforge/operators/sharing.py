@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.study import Study
+from ..plans.study import Study, ranked
 from .intervals import overlaps, points_in
-from .network import cut, ranked, replicate_counts
+from .replicates import label_sums, labelled, ordered, summed
 
 
 def both_ways(ibd: DataFrame) -> DataFrame:
@@ -62,18 +66,29 @@ def s_assoc(study: Study, replicates: int = 99, strata: bool = True) -> DataFram
     people = ranked(study, strata)
     met = points_in(study.variants.select("var_id", "chr", "bp1"), study.loci.select("loc_id", "chr", "bp1", "bp2")).select(F.col("i_loc_id").alias("loc_id"), "var_id").distinct()
     size = met.groupBy("loc_id").agg(F.count(F.lit(1)).alias("nvar")).where("nvar >= 2")
-    carried = study.geno.where("ac > 0").select("var_id", "indiv_id").join(people, "indiv_id")
-    case = carried.where("aff = 2").select("var_id", "indiv_id").join(study.variants.select("var_id", "chr", "bp1"), "var_id")
-    shared = points_in(case, both_ways(study.ibd)).where("indiv_id = i_indiv_id").select("var_id", F.col("i_partner").alias("indiv_id")).join(people, "indiv_id")
-    own = replicate_counts(carried, "var_id", replicates)
-    partners = replicate_counts(shared, "var_id", replicates, APART).select("var_id", "rep", F.col("ca").alias("pa"), F.col("cu").alias("pu"))
-    each = own.where("ca > 0").join(partners, ["var_id", "rep"], "left").join(met, "var_id").join(size, "loc_id", "left_semi")
-    stats = cut(each.groupBy("loc_id", "rep").agg(F.sum(F.when(F.col("cu") == 0, F.col("ca")).otherwise(0)).alias("burden"), F.coalesce(F.sum("pa"), F.lit(0)).alias("aa"), F.coalesce(F.sum("pu"), F.lit(0)).alias("au")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    real = size.join(stats.where("rep = 0").drop("rep"), "loc_id", "left").select("loc_id", "nvar", zero("burden").alias("burden"), zero("aa").alias("aa"), zero("au").alias("au"))
-    drawn = real.join(stats.where("rep > 0").select("loc_id", F.col("burden").alias("b"), (F.col("aa") - F.col("au")).alias("d")), "loc_id", "left")
-    more = drawn.groupBy("loc_id").agg(F.count("b").alias("with"), F.count(F.when(F.col("b") >= F.col("burden"), 1)).alias("rb"), F.count(F.when(F.col("d") >= F.col("aa") - F.col("au"), 1)).alias("rd"))
-    # Replicates in which no case carries a variant of the locus have no row: burden and difference are 0.
-    rest = replicates - F.col("with")
-    p = lambda r, reached: (F.col(r) + F.when(reached, rest).otherwise(0) + 1) / F.lit(replicates + 1.0)
-    return real.join(more, "loc_id").select("loc_id", "nvar", "burden", "aa", "au", p("rb", F.col("burden") <= 0).alias("p_burden"), p("rd", F.col("aa") - F.col("au") <= 0).alias("p_sharing"))
+    geno = study.geno.where("ac > 0").select("var_id", "indiv_id")
+    case = geno.join(people.where("aff = 2").select("indiv_id"), "indiv_id", "left_semi").join(study.variants.select("var_id", "chr", "bp1"), "var_id")
+    # A case carrier's segments are few: they join by person before the bounds are compared.
+    seg = both_ways(study.ibd).select("indiv_id", "partner", F.col("chr").alias("s_chr"), F.col("bp1").alias("s1"), F.col("bp2").alias("s2"))
+    shared = case.join(seg, "indiv_id").where((F.col("chr") == F.col("s_chr")) & F.col("bp1").between(F.col("s1"), F.col("s2"))).select("var_id", F.col("partner").alias("indiv_id"))
+    own = label_sums(geno.join(labelled(people, replicates), "indiv_id"), "var_id", replicates)
+    partners = label_sums(shared.join(labelled(people, replicates, APART), "indiv_id"), "var_id", replicates).select("var_id", F.col("n").alias("pn"), F.col("ca").alias("pa"))
+    each = met.join(size, "loc_id", "left_semi").join(own.join(partners, "var_id", "left"), "var_id").select("loc_id", "n", "ca", "pn", "pa")
+
+    def rows(pdf: pd.DataFrame) -> np.ndarray:
+        none = np.zeros(replicates + 1, np.int32)
+        ca, pa = np.stack(pdf["ca"]), np.stack([none if x is None else x for x in pdf["pa"]])
+        alone, some = ca == pdf["n"].to_numpy()[:, None], ca > 0
+        return np.concatenate([ca * alone, pa * some, (pdf["pn"].fillna(0).to_numpy(np.int64)[:, None] - pa) * some], axis=1)
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, sums in summed(batches, "loc_id", rows):
+            burden, aa, au = np.split(sums, 3, axis=1)
+            gain = aa - au
+            yield pd.DataFrame({"loc_id": keys, "burden": burden[:, 0], "aa": aa[:, 0], "au": au[:, 0], "rb": (burden[:, 1:] >= burden[:, :1]).sum(1), "rd": (gain[:, 1:] >= gain[:, :1]).sum(1)})
+
+    found = size.join(ordered(each, "loc_id").mapInPandas(tested, "loc_id long, burden long, aa long, au long, rb long, rd long"), "loc_id", "left")
+    # In a locus without a carrier, burden and difference are 0 in all replicates.
+    found = found.fillna(0, ["burden", "aa", "au"]).fillna(replicates, ["rb", "rd"])
+    p = lambda r: (F.col(r) + 1) / F.lit(replicates + 1.0)
+    return found.select("loc_id", "nvar", "burden", "aa", "au", p("rb").alias("p_burden"), p("rd").alias("p_sharing"))
